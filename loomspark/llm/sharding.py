@@ -95,8 +95,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS,
     spark = docs.sparkSession
     rows = cut(sized(docs, old_shards, text_col, id_col))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    # large rows: over a 2000th of a new shard; they are dealt first
-    limit = max(2, total // (2000 * shards))
+    # large rows: over a 200th of a new shard; they are dealt first
+    limit = max(2, total // (200 * shards))
     rank = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 1)
     rows = rows.withColumn("small", F.col("size") <= limit).withColumn("rank", rank).withColumn("block", F.pmod("rank", F.lit(blocks)).cast("int"))
     sums = rows.groupBy("small", "old_shard", "block").agg(F.sum("size").alias("bytes")).collect()  # at most 2 * old_shards * blocks rows
