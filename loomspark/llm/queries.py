@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import licenses, neardup, packing, quality, sharding
+from loomspark.llm import fingerprints, licenses, neardup, packing, quality, sharding
 from loomspark.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(read(spark, sf_dir))
 
 
+def op7_winnowing(spark, sf_dir):
+    return fingerprints.edited_likeness(read(spark, sf_dir))
+
+
 def op8_min_cost_resharding(spark, sf_dir):
     placed = sharding.assign(read(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard", "moved")
@@ -29,5 +33,5 @@ def op10_tokeniser_fertility(spark, sf_dir):
     return quality.measure(read(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op6_minhash_near_dedup, op8_min_cost_resharding, op9_hierarchical_packing, op10_tokeniser_fertility)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op6_minhash_near_dedup, op7_winnowing, op8_min_cost_resharding, op9_hierarchical_packing, op10_tokeniser_fertility)}
 ORACLES: dict[str, str] = {}
