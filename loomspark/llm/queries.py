@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import fingerprints, licenses, neardup, packing, quality, sharding
+from loomspark.llm import fingerprints, licenses, mixing, neardup, packing, pii, quality, sharding
 from loomspark.llm.common import read
 
 
@@ -12,6 +12,15 @@ def op2_license_scan(spark, sf_dir):
     return licenses.scan_documents(read(spark, sf_dir))
 
 
+def op4_surrogates(spark, sf_dir):
+    return pii.replace(read(spark, sf_dir), count_col="n_entities").select("doc_id", "text", "n_entities")
+
+
+def op5_temperature_mixing(spark, sf_dir):
+    mixed = mixing.mix(read(spark, sf_dir), only_ids=True)
+    return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_block").alias("block"), F.col("_order").alias("sort_key"))
+
+
 def op6_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(read(spark, sf_dir))
 
@@ -33,5 +42,5 @@ def op10_tokeniser_fertility(spark, sf_dir):
     return quality.measure(read(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op6_minhash_near_dedup, op7_winnowing, op8_min_cost_resharding, op9_hierarchical_packing, op10_tokeniser_fertility)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_surrogates, op5_temperature_mixing, op6_minhash_near_dedup, op7_winnowing, op8_min_cost_resharding, op9_hierarchical_packing, op10_tokeniser_fertility)}
 ORACLES: dict[str, str] = {}
