@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import fingerprints, licenses, mixing, neardup, packing, pii, quality, sharding
+from loomspark.llm import fingerprints, licenses, lm, mixing, neardup, packing, pii, quality, sharding
 from loomspark.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op2_license_scan(spark, sf_dir):
     return licenses.scan_documents(read(spark, sf_dir))
 
 
+def op3_context_mixing(spark, sf_dir):
+    return lm.score(read(spark, sf_dir))
+
+
 def op4_surrogates(spark, sf_dir):
     return pii.replace(read(spark, sf_dir), count_col="n_entities").select("doc_id", "text", "n_entities")
 
@@ -42,5 +46,5 @@ def op10_tokeniser_fertility(spark, sf_dir):
     return quality.measure(read(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_surrogates, op5_temperature_mixing, op6_minhash_near_dedup, op7_winnowing, op8_min_cost_resharding, op9_hierarchical_packing, op10_tokeniser_fertility)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_context_mixing, op4_surrogates, op5_temperature_mixing, op6_minhash_near_dedup, op7_winnowing, op8_min_cost_resharding, op9_hierarchical_packing, op10_tokeniser_fertility)}
 ORACLES: dict[str, str] = {}
