@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import fingerprints, licenses, lm, mixing, neardup, packing, pii, quality, sharding
+from loomspark.llm import fingerprints, licenses, lm, mixing, neardup, packing, passages, pii, quality, sharding
 from loomspark.llm.common import read
 
 
+def op1_chained_passages(spark, sf_dir):
+    return passages.passages(read(spark, sf_dir))
+
+
 def op2_license_scan(spark, sf_dir):
     return licenses.scan_documents(read(spark, sf_dir))
 
@@ -46,5 +50,11 @@ def op10_tokeniser_fertility(spark, sf_dir):
     return quality.measure(read(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_context_mixing, op4_surrogates, op5_temperature_mixing, op6_minhash_near_dedup, op7_winnowing, op8_min_cost_resharding, op9_hierarchical_packing, op10_tokeniser_fertility)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_chained_passages, op2_license_scan, op3_context_mixing, op4_surrogates, op5_temperature_mixing, op6_minhash_near_dedup, op7_winnowing, op8_min_cost_resharding, op9_hierarchical_packing, op10_tokeniser_fertility, pipeline)}
 ORACLES: dict[str, str] = {}
