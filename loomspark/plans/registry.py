@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("retrieval", "corpus", "evaluation", "construction")
 
 
 def _all(name: str) -> dict:
