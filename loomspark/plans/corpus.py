@@ -117,7 +117,7 @@ ORACLES = {
     "corpus_report": f"WITH w AS (SELECT source, text, len({_W}) AS n FROM documents) SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE n = 0) AS n_dropped, sum(CASE WHEN n = 0 THEN 0 WHEN n <= 384 THEN 1 ELSE ceil((n - 384) / 320) + 1 END)::BIGINT AS n_chunks FROM w GROUP BY source",
     "source_lookup": f"WITH p AS (SELECT DISTINCT sha256({_STRIP.format('text')}) AS h, source FROM documents) SELECT h AS text_hash, string_agg(source, ',' ORDER BY source) AS source_membership FROM p GROUP BY h",
     "html_clean": f"SELECT page_id, length({_CLEAN}) AS n_chars, md5({_CLEAN}) AS text_md5 FROM pages",
-    "page_split": r"WITH m AS (SELECT page_id, string_split(regexp_replace(html, '(?i)(<p(?:\s[^>]*)?>)', chr(1) || '\1', 'g'), chr(1)) AS p FROM pages), g AS (SELECT page_id, len(p) - 1 AS n_headers, list_filter(CASE WHEN len(p) > 1 THEN list_prepend(p[1] || p[2], p[3:]) ELSE p END, x -> length(trim(x)) > 0) AS s FROM m) SELECT page_id, n_headers, unnest(generate_series(1, len(s))) AS page, md5(unnest(s)) AS content_md5 FROM g",
+    "page_split": r"WITH m AS (SELECT page_id, string_split(regexp_replace(html, '(?i)(<p(?:\s[^>]*)?>)', chr(1) || '\1', 'g'), chr(1)) AS p FROM pages), g AS (SELECT page_id, len(p) - 1 AS n_headers, list_filter(CASE WHEN len(p) > 1 THEN list_prepend(p[1] || p[2], p[3:]) ELSE p END, lambda x: length(trim(x)) > 0) AS s FROM m) SELECT page_id, n_headers, unnest(generate_series(1, len(s))) AS page, md5(unnest(s)) AS content_md5 FROM g",
     "request_batches": "SELECT doc_id, (r // 500 + 1)::BIGINT AS batch, (r % 500)::BIGINT AS batch_row FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents WHERE length(text) >= 100)",
     "stable_tag": "SELECT page_id, regexp_replace(CASE WHEN regexp_extract(url, 'models--([^/]+)', 1) <> '' THEN regexp_extract(url, 'models--([^/]+)', 1) ELSE list_last(string_split(regexp_replace(url, '/+$', ''), '/')) END, '[^A-Za-z0-9_.-]+', '_', 'g') || '-' || left(sha256(url), 8) AS tag FROM pages",
     "join_key": "SELECT o_orderkey, o_orderkey::VARCHAR AS join_key FROM orders",

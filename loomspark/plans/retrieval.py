@@ -87,10 +87,10 @@ def _queries_sql(q: str) -> str:
 _KINDS = "SELECT item_id AS q_id, unnest(['full', 'core', 'profile']) AS kind, unnest([text, substring(text, instr(text, '.') + 1), split_part(text, '.', 1)]) AS txt FROM benchmark"
 _CASCADE = f"""{_BASE}, {_queries_sql(_KINDS)}, {_SCORES},
 plan AS (SELECT * FROM (VALUES ('base_rag', 'full', 'full', NULL), ('prof_rag', 'core', 'full', 'profile'), ('q_qp', 'core', 'full', NULL), ('q_q', 'core', 'core', NULL)) p(condition, f1, f2, f3)),
-s1 AS (SELECT *, row_number() OVER (PARTITION BY condition, q_id ORDER BY score DESC, doc_id) AS rank FROM plan JOIN sc ON kind = f1 QUALIFY rank <= 64),
-s2 AS (SELECT s1.condition, s1.q_id, f3, s1.doc_id, coalesce(sc.score, 0.0) AS score, row_number() OVER (PARTITION BY s1.condition, s1.q_id ORDER BY coalesce(sc.score, 0.0) DESC, s1.doc_id) AS rank FROM s1 LEFT JOIN sc ON sc.q_id = s1.q_id AND sc.kind = f2 AND sc.doc_id = s1.doc_id QUALIFY rank <= 8),
-s3 AS (SELECT s2.condition, s2.q_id, s2.doc_id, CASE WHEN f3 IS NULL THEN s2.score ELSE coalesce(sc.score, 0.0) END AS score2, row_number() OVER (PARTITION BY s2.condition, s2.q_id ORDER BY CASE WHEN f3 IS NULL THEN s2.score ELSE coalesce(sc.score, 0.0) END DESC, s2.doc_id) AS rank FROM s2 LEFT JOIN sc ON sc.q_id = s2.q_id AND sc.kind = f3 AND sc.doc_id = s2.doc_id QUALIFY rank <= 1),
-cas AS (SELECT condition, q_id AS item_id, 'initial' AS stage, rank, doc_id, score FROM s1 UNION ALL SELECT condition, q_id, 'middle', rank, doc_id, score FROM s2 UNION ALL SELECT condition, q_id, 'final', rank, doc_id, score2 FROM s3),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY condition, q_id ORDER BY score DESC, doc_id) AS r1 FROM plan JOIN sc ON kind = f1 QUALIFY r1 <= 64),
+s2 AS (SELECT s1.condition, s1.q_id, f3, s1.doc_id, coalesce(sc.score, 0.0) AS score, row_number() OVER (PARTITION BY s1.condition, s1.q_id ORDER BY coalesce(sc.score, 0.0) DESC, s1.doc_id) AS r2 FROM s1 LEFT JOIN sc ON sc.q_id = s1.q_id AND sc.kind = f2 AND sc.doc_id = s1.doc_id QUALIFY r2 <= 8),
+s3 AS (SELECT s2.condition, s2.q_id, s2.doc_id, CASE WHEN f3 IS NULL THEN s2.score ELSE coalesce(sc.score, 0.0) END AS score2, row_number() OVER (PARTITION BY s2.condition, s2.q_id ORDER BY CASE WHEN f3 IS NULL THEN s2.score ELSE coalesce(sc.score, 0.0) END DESC, s2.doc_id) AS r3 FROM s2 LEFT JOIN sc ON sc.q_id = s2.q_id AND sc.kind = f3 AND sc.doc_id = s2.doc_id QUALIFY r3 <= 1),
+cas AS (SELECT condition, q_id AS item_id, 'initial' AS stage, r1 AS rank, doc_id, score FROM s1 UNION ALL SELECT condition, q_id, 'middle', r2, doc_id, score FROM s2 UNION ALL SELECT condition, q_id, 'final', r3, doc_id, score2 FROM s3),
 found AS (SELECT cas.*, source AS document_source, lang AS population FROM cas JOIN documents USING (doc_id))
 """
 
@@ -98,7 +98,7 @@ QUERIES = {f.__name__: f for f in (bm25_index_stats, bm25_topk, dense_topk, rera
 ORACLES = {
     "bm25_index_stats": f"WITH {_BASE} SELECT term, df, tf::BIGINT AS tf, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {_BASE}, {_queries_sql("SELECT item_id AS q_id, 0 AS kind, text AS txt FROM benchmark")}, {_SCORES} SELECT q_id AS item_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM sc QUALIFY rank <= 64",
-    "dense_topk": "WITH s AS (SELECT q.vec_id, e.vec_id AS neighbor, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), x -> x[1]::DOUBLE * x[2]::DOUBLE)), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor) AS rank, neighbor, score FROM s QUALIFY rank <= 8",
+    "dense_topk": "WITH s AS (SELECT q.vec_id, e.vec_id AS neighbor, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor) AS rank, neighbor, score FROM s QUALIFY rank <= 8",
     "rerank_cascade": f"WITH {_CASCADE} SELECT condition, item_id, stage, rank, doc_id, score FROM cas",
     "trajectory_documents": f"WITH {_CASCADE} SELECT item_id, condition, stage, CASE stage WHEN 'initial' THEN 64 WHEN 'middle' THEN 8 ELSE 1 END::BIGINT AS requested_k, count(*) OVER (PARTITION BY item_id, condition, stage) AS observed_k, rank, doc_id AS corpus_index, score, document_source FROM found",
     "question_source_counts": f"WITH {_CASCADE} SELECT condition, item_id, stage, document_source, count(*) AS count, round_even(100 * count(*) / sum(count(*)) OVER (PARTITION BY condition, item_id, stage), 2)::DOUBLE AS percentage FROM found GROUP BY condition, item_id, stage, document_source",
