@@ -85,16 +85,18 @@ def successors(ids: DataFrame) -> DataFrame:
 
 def edited_likeness(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The digest of each row's text, of its edited text, and their likenesses."""
-    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("n", F.char_length("text"))
-    order = successors(text)
-    # what each document has to lend: the longest head that a document before it needs
-    need = text.groupBy("id").agg(F.max("n").alias("n")).join(order, "id").select(F.col("next_id").alias("id"), F.floor(F.col("n") / 4).cast("int").alias("k"), F.col("id").alias("to_id"))
+    # one shuffle of the texts serves every step below: all are by id
+    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartition("id")
+    quarter = F.floor(F.char_length("text") / 4).cast("int")
+    order = successors(docs.select(F.col(id_col).alias("id")))
+    # what each document has to lend: the head that the document before it needs
+    need = text.groupBy("id").agg(F.max(quarter).alias("k")).join(order, "id").select(F.col("next_id").alias("id"), "k", F.col("id").alias("to_id"))
     heads = text.join(need, "id").groupBy("to_id").agg(F.min(F.expr("substring(text, 1, k)")).alias("head")).withColumnRenamed("to_id", "id")
-    both = text.join(heads, "id").withColumn("k", F.floor(F.col("n") / 4).cast("int"))
+    both = text.join(heads, "id").withColumn("n", F.char_length("text")).withColumn("k", quarter)
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n - k))"), F.expr("substring(head, 1, k)")))
     both = both.select("id", "n", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), winnowed(F.col("text")).alias("picks"), winnowed(F.col("edited")).alias("edited_picks"))
-    both = cut(both)
-    nexts = order.select(F.col("next_id"), F.col("id").alias("to_id")).join(both.groupBy("id").agg(F.min("picks").alias("next_picks")).withColumnRenamed("id", "next_id"), "next_id").select(F.col("to_id").alias("id"), "next_picks")
+    own = text.select("id", _hashes(winnowed(F.col("text"))).alias("next_hashes")).groupBy("id").agg(F.min("next_hashes").alias("next_hashes")).withColumnRenamed("id", "next_id")
+    nexts = own.join(order.select("next_id", F.col("id").alias("to_id")), "next_id").select(F.col("to_id").alias("id"), "next_hashes")
     out = both.join(nexts, "id")
     return out.select(
         F.col("id").alias(id_col),
@@ -103,5 +105,5 @@ def edited_likeness(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         shown(F.col("picks")).alias("fingerprint"),
         shown(F.col("edited_picks")).alias("edited_fingerprint"),
         likeness(_hashes(F.col("picks")), _hashes(F.col("edited_picks"))).alias("near_edited"),
-        likeness(_hashes(F.col("picks")), _hashes(F.col("next_picks"))).alias("near_next"),
+        likeness(_hashes(F.col("picks")), F.col("next_hashes")).alias("near_next"),
     )
