@@ -13,11 +13,13 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import LOWER, batches_of, bpe, encoded, rows
+from loomspark.llm.common import batches_of, bpe, encoded, rows
 
 #: For each script the least and most characters a token, the most byte-fallback share,
 #: and the least token entropy as a share of what as many tokens could have.
@@ -48,7 +50,7 @@ def base_counts(data: bytes) -> tuple[int, int, int, int, int, list[bytes]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the words of a whole text."""
     words = data.split()
     joined = b"".join(words)
-    chars = len(joined) - sum(map(joined.count, map(bytes, ([x] for x in range(0x80, 0xC0))))) if not joined.isascii() else len(joined)
+    chars = len(joined) if joined.isascii() else len(joined.decode("utf-8", "replace"))
     symbols = sum(map(data.count, map(bytes, ([x] for x in SYMBOLS))))
     lines = [x for x in data.split(b"\n") if x.split()]
     dup = len(lines) - len(set(lines))
@@ -95,22 +97,24 @@ class Fertility:
             except UnicodeDecodeError:
                 self.lone.add(i)
 
-    def __call__(self, counts: Counter) -> tuple[int, int, float]:
+    def ids(self, w: bytes) -> tuple:
+        """The word's tokens, from the memo if there."""
+        ids = self.memo.get(w)
+        if ids is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            ids = tuple(self.enc.encode_ordinary(" " + w.decode("utf-8", "replace")))
+            if len(w) <= 64:
+                self.memo[w] = ids
+        return ids
+
+    def __call__(self, words: list[bytes]) -> tuple[int, int, float]:
         """Tokens, byte-fallback tokens, and entropy in bits of one text's words."""
-        memo, lone, tokens = self.memo, self.lone, Counter()
-        for w, n in counts.items():
-            ids = memo.get(w)
-            if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ids = tuple(self.enc.encode_ordinary(" " + w.decode("utf-8", "replace")))
-                if len(w) <= 64:
-                    memo[w] = ids
-            for i in ids:
-                tokens[i] += n
+        tokens = Counter(chain.from_iterable(map(self.ids, words)))
         total = sum(tokens.values())
-        back = sum(n for i, n in tokens.items() if i in lone)
-        entropy = math.log2(total) - sum(n * math.log2(n) for n in tokens.values()) / total if total else 0.0
+        back = sum(tokens[i] for i in self.lone & tokens.keys())
+        n = np.fromiter(tokens.values(), np.float64, len(tokens))
+        entropy = math.log2(total) - float(n @ np.log2(n)) / total if total else 0.0
         return total, back, entropy
 
 
@@ -120,10 +124,9 @@ def judge(text: str | None, meters: list) -> tuple:
     failed = n_words < 50 or 100 * repeat > 50 * n_words
     script = script_of(text or "")
     low, high, most, least = BANDS[script]
-    counts = Counter(words)
     per, share, even = [], [], []
     for m in meters:
-        total, back, entropy = m(counts)
+        total, back, entropy = m(words)
         per.append(chars / total if total else 0.0)
         share.append(back / total if total else 0.0)
         even.append(entropy / math.log2(min(total, 4096)) if total > 1 else 0.0)
