@@ -3,9 +3,10 @@
 Plan: one pass over the texts gives each document its set's key and signature. Equal sets are one class, of which
 only the representative goes on. In each band's bucket every member is paired with one hub of that bucket (drawn by
 a hash, another in each band), never with all others. Pairs whose signatures agree too little are dropped, the rest
-is confirmed on full sets, and links are joined by alternating large-star and small-star. Where members of a
-bucket are still in several components, those are paired across components and confirmed too, so that no link
-between components is lost because a bucket's hub was far from both ends.
+is confirmed on full sets, and links are joined by alternating large-star and small-star. Buckets whose members are
+still in several components draw another hub in the next turn, for members of other components only, until a turn
+finds no link or the turns are over; rows grow with the members of buckets, not with their square. A document of a
+large group whose links are very few can be missed this way.
 
 With 40 bands of 4 rows a link of similarity 0.75 shares no bucket with probability 2.5e-7; five standard deviations
 of the signature's estimate are allowed below the threshold.
@@ -30,6 +31,8 @@ from loomspark.llm.common import LOWER, U64, batches_of, cut, encoded, mix64, ro
 WORDS, BANDS, ROWS = 5, 40, 4
 #: The threshold is PER_CENT of a hundred of the union.
 PER_CENT = 75
+#: Turns of hubs at most, and bands that the first turn takes.
+TURNS, FIRST_BANDS = 4, 8
 _M = U64(0x9E3779B97F4A7C15)
 
 
@@ -65,10 +68,10 @@ def signature(s: np.ndarray, ab) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """id, n_shingles, set_key, sig of every row."""
+    """id, n_shingles, set_key, sig, and mini (a byte of each minimum) of every row."""
     import pyarrow as pa
 
-    arrow = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
+    arrow = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("mini", pa.binary())])
 
     def run(batches):
         ab = coefficients(bands * per_band)
@@ -76,15 +79,19 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, per_
         def one():
             for k, t in rows(batches, "id", "text"):
                 s = shingles(t)
-                yield (k, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s, ab).tobytes()) if len(s) else (k, 0, None, None)
+                if not len(s):
+                    yield k, 0, None, None, None
+                    continue
+                sig = signature(s, ab)
+                yield k, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig.tobytes(), sig.astype(np.uint8).tobytes()
 
         yield from batches_of(one(), arrow)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, set_key binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, set_key binary, sig binary, mini binary")
 
 
 def banded(reps: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """A row (key, id) for each band of each representative."""
+    """A row (key, id, band) for each band of each representative."""
     import pyarrow as pa
 
     def run(batches):
@@ -97,9 +104,9 @@ def banded(reps: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFra
             with np.errstate(over="ignore"):
                 for j in range(per_band):
                     key = mix64((key * _M + sig[:, :, j]).ravel()).reshape(n, bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, bands))], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), n))], names=["key", "id", "band"])
 
-    return reps.select("id", "sig").mapInArrow(run, "key long, id long")
+    return reps.select("id", "sig").mapInArrow(run, "key long, id long, band int")
 
 
 def _similar(sig: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -107,29 +114,37 @@ def _similar(sig: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     import pyarrow as pa
 
     t = PER_CENT / 100
-    least = n * (t - 5 * math.sqrt(t * (1 - t) / n))
+    least = n * (t - 5 * math.sqrt(t * (1 - t) / n))  # bytes agree by chance too, so this is on the safe side
 
     def run(batches):
         for b in batches:
             m = b.num_rows
             if not m:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(m, n) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(m, n) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
-    side = lambda c: sig.select(F.col("id").alias(c), F.col("n_shingles").alias("n" + c), F.col("sig").alias("s" + c))
+    side = lambda c: sig.select(F.col("id").alias(c), F.col("n_shingles").alias("n" + c), F.col("mini").alias("s" + c))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.greatest("na", "nb") * PER_CENT <= F.least("na", "nb") * 100)
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame) -> DataFrame:
-    """The pairs that hold on full sets."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+    """(id, s) with the full sets of the documents that share a bucket with others."""
     import pyarrow as pa
 
     def sets(batches):
         yield from batches_of(((k, shingles(t).tobytes()) for k, t in rows(batches, "id", "text")), pa.schema([("id", pa.int64()), ("s", pa.binary())]), 512)
 
+    full = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    return full.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"])
+
+
+def _confirmed(full: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that hold on full sets."""
+    import pyarrow as pa
+
     def run(batches):
         for b in batches:
             ok = []
@@ -139,9 +154,6 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame) ->
                 ok.append(100 * common >= PER_CENT * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    full = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    full = cut(full.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]))
     side = lambda c: full.select(F.col("id").alias(c), F.col("s").alias("s" + c))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -168,26 +180,39 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     n = BANDS * ROWS
-    base = cut(signed(docs, id_col, text_col))
-    reps = cut(base.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+    base = signed(docs, id_col, text_col)
+    keys = cut(base.select("id", "n_shingles", "set_key"))
+    reps = cut(base.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("mini").alias("mini")))
     bands = banded(reps)
-    draw = F.xxhash64("key", "id")
-    shared = cut(bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(draw.alias("r"), "id")).alias("hub")).where("n > 1").select("key", F.col("hub.id").alias("hub")))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(bands.join(shared, "key"))
-    tried = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = cut(_confirmed(docs, id_col, text_col, cut(_similar(reps, tried, n))))
-    found = cut(components(links))
-    # buckets whose members are still apart
-    at = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    apart = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    at = cut(at.join(apart, "key"))
-    other = at.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
-    rest = at.join(other, "key").where("c < c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    more = cut(_confirmed(docs, id_col, text_col, cut(_similar(reps, rest.join(tried, ["a", "b"], "left_anti"), n))))
-    # only components that the second round joins change
-    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    sketch = cut(reps.select("id", "n_shingles", "mini").join(members.select("id").distinct(), "id", "left_semi"))
+    full = cut(_sets(docs, id_col, text_col, members.select("id").distinct()))
+    found, tried = None, None
+    for turn in range(TURNS):
+        some = members if turn else members.where(F.col("band") < FIRST_BANDS)
+        at = some if found is None else some.join(found, "id", "left")
+        at = at.select("key", "id", (F.col("id") if found is None else F.coalesce("component", "id")).alias("c"))
+        # where a bucket's members are still apart, a member of its largest component is the hub, another one each turn
+        draw = F.xxhash64("key", "id", F.lit(turn))
+        parts = at.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct(draw.alias("r"), "id")).alias("h"))
+        hubs = parts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("m", F.col("h.r").alias("r"), F.col("h.id").alias("id"), "c")).alias("hub")).where("k > 1")
+        hubs = hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c"))
+        pairs = at.join(hubs, "key").where("c <> hub_c").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = cut(_confirmed(full, cut(_similar(sketch, pairs, n))))
+        if turn and links.isEmpty():
+            break
+        if found is not None:
+            links = links.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        found = cut(components(links))
+    if found is None:
+        found = reps.sparkSession.createDataFrame([], "id long, component long")
     classes = reps.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    out = base.join(classes, "set_key", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    out = keys.join(classes, "set_key", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
