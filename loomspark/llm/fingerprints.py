@@ -29,8 +29,8 @@ def _let(value: Column, body) -> Column:
 
 
 def _doubled(a: Column, step: int, combine) -> Column:
-    """combine(a[i], a[i + step]) for all i that have both; one or more entries stay."""
-    return _let(a, lambda v: F.when(F.size(v) > step, F.transform(F.sequence(F.lit(0), F.size(v) - step - 1), lambda i: combine(F.get(v, i), F.get(v, i + step)))).otherwise(v))
+    """combine(a[i], a[i + step]) for all i that have both; fewer entries become their least."""
+    return _let(a, lambda v: F.when(F.size(v) > step, F.transform(F.sequence(F.lit(0), F.size(v) - step - 1), lambda i: combine(F.get(v, i), F.get(v, i + step)))).when(F.size(v) == 0, v).otherwise(F.array(F.array_min(v))))
 
 
 def winnowed(text: Column) -> Column:
