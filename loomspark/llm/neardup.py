@@ -1,12 +1,12 @@
 """MinHash near-dedup: universal hash minima, banding, signature check, exact check, and connected components.
 
 Plan: one pass over the texts gives each document its set's key and signature. Equal sets are one class, of which
-only the representative goes on. In each band's bucket every member is paired with one hub of that bucket (drawn by
-a hash, another in each band), never with all others. Pairs whose signatures agree too little are dropped, the rest
-is confirmed on full sets, and links are joined by alternating large-star and small-star. Buckets whose members are
-still in several components draw another hub in the next turn, for members of other components only, until a turn
-finds no link or the turns are over; rows grow with the members of buckets, not with their square. A document of a
-large group whose links are very few can be missed this way.
+only the representative goes on. In each bucket every member is paired with one hub, the member that shares most
+places with others, never with all others: first in a few bands, then, for members of other components, in all.
+Pairs whose signatures agree too little are dropped, the rest is confirmed on full sets, and links are joined by
+alternating large-star and small-star. Buckets whose members are still in several components are compared in full:
+blocks of the members outside the largest component meet blocks of all members, signatures first, so no link is lost
+and no pairs but likely ones become rows.
 
 With 40 bands of 4 rows a link of similarity 0.75 shares no bucket with probability 2.5e-7; five standard deviations
 of the signature's estimate are allowed below the threshold.
@@ -31,8 +31,8 @@ from loomspark.llm.common import LOWER, U64, batches_of, cut, encoded, mix64, ro
 WORDS, BANDS, ROWS = 5, 40, 4
 #: The threshold is PER_CENT of a hundred of the union.
 PER_CENT = 75
-#: Turns of hubs at most, and bands that the first turn takes.
-TURNS, FIRST_BANDS = 4, 8
+#: Bands of the first turn of hubs; members, and shingles on average, of a block.
+FIRST_BANDS, BLOCK, BLOCK_SHINGLES = 3, 256, 1 << 15
 _M = U64(0x9E3779B97F4A7C15)
 
 
@@ -109,40 +109,76 @@ def banded(reps: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFra
     return reps.select("id", "sig").mapInArrow(run, "key long, id long, band int")
 
 
-def _similar(sig: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """The pairs whose sizes and signatures allow the threshold."""
+def _screened(pairs: DataFrame, sketch: DataFrame, n: int) -> DataFrame:
+    """(a, b) of the pairs whose sizes and signatures allow the threshold."""
     import pyarrow as pa
 
-    t = PER_CENT / 100
-    least = n * (t - 5 * math.sqrt(t * (1 - t) / n))  # bytes agree by chance too, so this is on the safe side
-
     def run(batches):
         for b in batches:
-            m = b.num_rows
-            if not m:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(m, n) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, n) for i in (2, 3))
+                agree = (x == y).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(agree >= _least(n)))
 
-    side = lambda c: sig.select(F.col("id").alias(c), F.col("n_shingles").alias("n" + c), F.col("mini").alias("s" + c))
+    side = lambda c: sketch.select(F.col("id").alias(c), F.col("n_shingles").alias("n" + c), F.col("mini").alias("s" + c))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.greatest("na", "nb") * PER_CENT <= F.least("na", "nb") * 100)
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _least(n: int) -> float:
+    """Equal minima of a link, less five standard deviations; bytes agree by chance too, so this is on the safe side."""
+    t = PER_CENT / 100
+    return n * (t - 5 * math.sqrt(t * (1 - t) / n))
+
+
+def _blocks(apart: DataFrame, sketch: DataFrame, n: int) -> DataFrame:
+    """(a, b) of all pairs of a bucket whose members are in two components and whose signatures allow the threshold.
+
+    apart has (key, id, c, hub_c, n_all, n_out): n_all members, of which n_out are outside the largest component
+    hub_c. Blocks of the outsiders meet blocks of all members; a task holds two blocks of signatures, never a bucket.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for groups in batches:
+            out: list = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+            for sides in zip(groups.column(0).to_pylist(), groups.column(1).to_pylist(), strict=True):
+                if not all(sides):
+                    continue
+                ids, cs, sizes = ([np.array([r[k] for r in s], np.int64) for s in sides] for k in ("id", "c", "n_shingles"))
+                x, y = (np.frombuffer(b"".join(r["mini"] for r in s), np.uint8).reshape(-1, n) for s in sides)
+                ok = (cs[0][:, None] != cs[1]) & (np.maximum(sizes[0][:, None], sizes[1]) * PER_CENT <= np.minimum(sizes[0][:, None], sizes[1]) * 100)
+                for i in np.flatnonzero(ok.any(axis=1)):
+                    agree = (x[i] == y).sum(axis=1)
+                    j = np.flatnonzero(ok[i] & (agree >= _least(n)))
+                    out[0].append(np.minimum(ids[0][i], ids[1][j]))
+                    out[1].append(np.maximum(ids[0][i], ids[1][j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["a", "b"])
+
+    block = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col(count) / BLOCK)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / BLOCK).cast("int") - 1))
+    known = apart.join(sketch, "id")
+    one = F.struct("id", "c", "n_shingles", "mini")
+    left = known.where("c <> hub_c").select("key", block("n_out", 1).alias("i"), every("n_all").alias("j"), one.alias("l"), F.lit(None).alias("r"))
+    right = known.select("key", every("n_out").alias("i"), block("n_all", 2).alias("j"), F.lit(None).alias("l"), one.alias("r"))
+    met = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list("l").alias("l"), F.collect_list("r").alias("r"))  # about BLOCK rows a side
+    return met.select("l", "r").mapInArrow(run, "a long, b long").distinct()
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
-    """(id, s) with the full sets of the documents that share a bucket with others."""
+    """(id, s) with the full sets of these documents."""
     import pyarrow as pa
 
     def sets(batches):
         yield from batches_of(((k, shingles(t).tobytes()) for k, t in rows(batches, "id", "text")), pa.schema([("id", pa.int64()), ("s", pa.binary())]), 512)
 
-    full = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return full.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.distinct(), "id", "left_semi")
+    return texts.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"])
 
 
-def _confirmed(full: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that hold on full sets."""
+def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that hold on full sets, which are made anew for the documents of these pairs only."""
     import pyarrow as pa
 
     def run(batches):
@@ -154,8 +190,49 @@ def _confirmed(full: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok.append(100 * common >= PER_CENT * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda c: full.select(F.col("id").alias(c), F.col("s").alias("s" + c))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    full = lambda c: _sets(docs, id_col, text_col, pairs.select(F.col(c).alias("id"))).select(F.col("id").alias(c), F.col("s").alias("s" + c))
+    return pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _confirmed_in_blocks(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """As _confirmed, for many pairs of the same documents.
+
+    Groups of documents that pairs connect are dealt into blocks of bounded shingles; where two blocks have pairs, each
+    of their documents brings its set once for all of them.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for groups in batches:
+            out: list = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+            for members, both in zip(groups.column(0).to_pylist(), groups.column(1).to_pylist(), strict=True):
+                of = {r["id"]: np.frombuffer(r["s"], U64) for r in members}
+                partners: dict[int, list] = {}
+                for r in both:
+                    partners.setdefault(r["a"], []).append(r["b"])
+                for a, bs in partners.items():
+                    p = of[a]
+                    sizes = np.array([len(of[b]) for b in bs])
+                    every = np.concatenate([of[b] for b in bs])
+                    hit = p[np.minimum(np.searchsorted(p, every), len(p) - 1)] == every
+                    common = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                    linked = np.array(bs, np.int64)[100 * common >= PER_CENT * (len(p) + sizes - common)]
+                    out[0].append(np.full(len(linked), a, np.int64))
+                    out[1].append(linked)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["a", "b"])
+
+    group = cut(components(pairs).join(sketch.select("id", "n_shingles"), "id"))
+    blocks = group.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("n"))
+    place = cut(group.join(blocks, "component").select("id", "component", F.pmod(F.xxhash64("id"), "n").alias("block")))
+    full = cut(_sets(docs, id_col, text_col, place.select("id")))
+    at = lambda c, block: place.select(F.col("id").alias(c), F.col("component").alias("g"), F.col("block").alias(block))
+    dealt = pairs.join(at("a", "i"), "a").join(at("b", "j").drop("g"), "b")
+    dealt = cut(dealt.select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.struct("a", "b").alias("p")))
+    ids = dealt.select("g", "i", "j", F.explode(F.array("p.a", "p.b")).alias("id")).distinct()
+    sets = ids.join(full, "id").select("g", "i", "j", F.struct("id", "s").alias("m"), F.lit(None).alias("p"))
+    rows_ = sets.unionByName(dealt.withColumn("m", F.lit(None)))
+    met = rows_.groupBy("g", "i", "j").agg(F.collect_list("m").alias("m"), F.collect_list("p").alias("p"))  # two blocks
+    return met.select("m", "p").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -177,41 +254,53 @@ def components(edges: DataFrame) -> DataFrame:
     return root.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct().join(root.select("id"), "id", "left_anti"))
 
 
+def _placed(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """members with c, the component that each is in so far."""
+    if found is None:
+        return members.withColumn("c", F.col("id"))
+    return members.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def _hubs(at: DataFrame) -> DataFrame:
+    """(key, hub, hub_c, n_all, n_out) of the buckets whose members are apart: the most central member of the largest component."""
+    parts = at.groupBy("key", "c").agg(F.count("*").alias("m"), F.max(F.struct("central", F.negative("id").alias("least"))).alias("h"))
+    hubs = parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("m").alias("n_all"), F.max(F.struct("m", F.col("h.central").alias("s"), F.col("h.least").alias("least"), "c")).alias("hub")).where("k > 1")
+    return hubs.select("key", F.negative("hub.least").alias("hub"), F.col("hub.c").alias("hub_c"), "n_all", (F.col("n_all") - F.col("hub.m")).alias("n_out"))
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     n = BANDS * ROWS
-    base = signed(docs, id_col, text_col)
-    keys = cut(base.select("id", "n_shingles", "set_key"))
-    reps = cut(base.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("mini").alias("mini")))
+    base = cut(signed(docs, id_col, text_col))
+    keys = base.select("id", "n_shingles", "set_key")
+    reps = base.where("n_shingles > 0").groupBy("set_key").agg(F.min_by(F.struct("id", "n_shingles", "sig", "mini"), "id").alias("x")).select("set_key", "x.*")
     bands = banded(reps)
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(bands.join(shared, "key"))
-    sketch = cut(reps.select("id", "n_shingles", "mini").join(members.select("id").distinct(), "id", "left_semi"))
-    full = cut(_sets(docs, id_col, text_col, members.select("id").distinct()))
-    found, tried = None, None
-    for turn in range(TURNS):
-        some = members if turn else members.where(F.col("band") < FIRST_BANDS)
-        at = some if found is None else some.join(found, "id", "left")
-        at = at.select("key", "id", (F.col("id") if found is None else F.coalesce("component", "id")).alias("c"))
-        # where a bucket's members are still apart, a member of its largest component is the hub, another one each turn
-        draw = F.xxhash64("key", "id", F.lit(turn))
-        parts = at.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct(draw.alias("r"), "id")).alias("h"))
-        hubs = parts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("m", F.col("h.r").alias("r"), F.col("h.id").alias("id"), "c")).alias("hub")).where("k > 1")
-        hubs = hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c"))
-        pairs = at.join(hubs, "key").where("c <> hub_c").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = cut(_confirmed(full, cut(_similar(sketch, pairs, n))))
-        if turn and links.isEmpty():
-            break
+    # a document in the largest buckets is nearest the middle of its group, and the best hub
+    central = members.groupBy("id").agg(F.sum("n").alias("central"))
+    sketch = cut(reps.select("id", "n_shingles", "mini").join(central, "id"))
+    members = members.select("key", "id", "band").join(sketch.select("id", "central"), "id")
+    found = None
+
+    def merged(links):
+        """Components after these links (a, b)."""
         if found is not None:
             links = links.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        found = cut(components(links))
-    if found is None:
-        found = reps.sparkSession.createDataFrame([], "id long, component long")
-    classes = reps.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+        return cut(components(links))
+
+    for some in (members.where(F.col("band") < FIRST_BANDS), members):
+        at = _placed(some, found)
+        met = at.join(_hubs(at), "key").where("c <> hub_c")
+        # of a component's hubs a member takes one
+        pairs = met.groupBy("id", "hub_c").agg(F.min("hub").alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        found = merged(_confirmed(docs, id_col, text_col, cut(_screened(pairs, sketch, n))))
+    # what is still apart: all pairs across components, compared in blocks
+    at = _placed(members.drop("band"), found)
+    rest = cut(_blocks(cut(at.join(_hubs(at), "key")), sketch, n))
+    if not rest.isEmpty():
+        found = merged(_confirmed_in_blocks(docs, id_col, text_col, rest, sketch))
+    classes = reps.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = keys.join(classes, "set_key", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
