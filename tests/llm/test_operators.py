@@ -171,6 +171,24 @@ def test_near_duplicates(docs, texts):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_sparse_links_of_a_large_group_in_blocks(spark, monkeypatch):
+    """Copies of one text with changed words, most pairs a little under the threshold, compared in blocks of few."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2000)
+    r = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    group = {}
+    for k in range(150):
+        words = list(base)
+        for i in r.choice(200, r.integers(3, 7), replace=False):
+            words[i] = f"x{r.integers(10**6)}"
+        group[k] = " ".join(words)
+    want, _ = naive_components(group)
+    assert 10 < len(set(want.values())) < 140
+    got = neardup.near_duplicates(spark.createDataFrame(list(group.items()), "doc_id long, text string"))
+    assert {x.doc_id: x.component_id for x in got.collect()} == want
+
+
 def test_components_of_a_long_path(spark):
     e = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in neardup.components(e).collect()} == {0}
