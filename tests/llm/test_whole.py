@@ -25,3 +25,21 @@ def test_chains_against_all_pairs():
             score.append(passages.K + max([0.0, *near]))
         got = passages.chains(m)
         assert abs(got[0][5] - max(score)) < 1e-9 and sum(c[4] for c in got) == len(m)
+
+
+def test_alignment_over_a_wide_insertion():
+    a = np.arange(200, dtype=np.uint32)
+    b = np.insert(a, 100, np.arange(1000, 1030, dtype=np.uint32))
+    assert passages.identity(a, b) == 1 - 30 / 230
+
+
+def test_alignment_against_the_full_matrix():
+    rng = np.random.default_rng(6)
+    for n, m in [(0, 0), (0, 3), (1, 1), (5, 9), (70, 64), (64, 130), (90, 90)]:
+        a, b = rng.integers(0, 6, n).astype(np.uint32), rng.integers(0, 6, m).astype(np.uint32)
+        d = list(range(m + 1))
+        for i in range(n):
+            d, e = [i + 1], d
+            for j in range(m):
+                d.append(min(e[j] + int(a[i] != b[j]), e[j + 1] + 1, d[j] + 1))
+        assert passages.distance(a, b) == passages.distance(b, a) == d[m]
