@@ -43,3 +43,32 @@ def test_alignment_against_the_full_matrix():
             for j in range(m):
                 d.append(min(e[j] + int(a[i] != b[j]), e[j + 1] + 1, d[j] + 1))
         assert passages.distance(a, b) == passages.distance(b, a) == d[m]
+
+
+def test_fuzzy_passages_are_found(spark):
+    """52 words with every tenth changed, and 80 with every twelfth, in otherwise unlike texts."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts, want = [], {}
+    for i, (n, step) in enumerate([(52, 10), (60, 12), (80, 12), (52, 14)] * 5):
+        p = words(n)
+        q = [f"c{j}" if j % step == step // 2 else w for j, w in enumerate(p)]
+        texts += [words(60) + p + words(60), words(30) + q + words(90)]
+        want[2 * i + 1] = (30, 30 + n, 60, 60 + n)
+    got = passages.passages(spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")).collect()
+    assert len(got) == len(want) and {r.doc_id for r in got} == set(want)
+    assert all(r.ref_doc_id == r.doc_id - 1 and r.identity > 0.8 for r in got)
+    for r in got:
+        near = zip((r.start_word, r.end_word, r.ref_start_word, r.ref_end_word), want[r.doc_id], strict=True)
+        assert all(abs(a - b) <= 5 for a, b in near)
+
+
+def test_frequent_seeds_are_met_as_others(spark, monkeypatch):
+    """A passage of many documents: looked up or dealt, the matches are the same."""
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    p = words(50)
+    docs = spark.createDataFrame([(i, " ".join(words(20) + p + words(20))) for i in range(100)], "id long, text string").repartition(1)
+    looked = sorted(map(tuple, passages.met(docs).collect()))
+    monkeypatch.setattr(passages, "HOT", 1)
+    assert looked == sorted(map(tuple, passages.met(docs).collect())) and len(looked) == 99 * 43
