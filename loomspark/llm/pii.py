@@ -28,7 +28,7 @@ PATTERNS = {
     "secret": r"(?<=\b(?:password|token|secret|api_key) ?[=:] ?\"?)[A-Za-z0-9_\-]{8,}",
     "name": r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?|(?<!\p{L})(?:Господин|Госпожа|Κύριος|Κυρία) \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
-#: A text with none of these words, no @ and no two digits in a row has no entity (fixed values).
+#: A text with none of these words, no @, no two digits in a row and no dot between two has no entity (fixed values).
 HINTS = ("@", "AKIA", "password", "token", "secret", "api_key", "Mr", "Ms", "Miss", "Herr", "Frau", "Señor", "Monsieur", "Madame", "Господин", "Госпожа", "Κύριος", "Κυρία")
 #: Titles of women (fixed values).
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа", "Κυρία")
@@ -92,6 +92,9 @@ def _luhn(digits: Column) -> Column:
 def draw(kind: Column, digits: Column, r: Column, attempt: int) -> Column:
     """The surrogate of a canonical form (digits, for numbers) by the numbers r of an attempt; fictional 555 numbers come first."""
     masked = _masked(digits, r)
+    # a secret of nearly no letters and digits has too few others of its format, or none: all its places are drawn
+    few = (kind == "secret") & ((F.length(F.regexp_replace(digits, r"[_\-]", "")) < 4) | F.lit(attempt >= ATTEMPTS // 2))
+    masked = F.when(few, _masked(F.regexp_replace(digits, r"[_\-]", "a"), r)).otherwise(masked)
     body = masked.substr(F.lit(2), F.length(digits) - 2)
     card = F.concat(digits.substr(1, 1), body)
     middle = F.lit("555") if attempt < 3 else masked.substr(F.length(digits) - 6, F.lit(3))
@@ -140,7 +143,7 @@ def poured(kind: Column, e: Column, s: Column) -> Column:
 def replace(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
     """docs with surrogates in their texts (and the number of entities in count_col)."""
     text = F.col(text_col)
-    hint = text.rlike("[0-9][0-9]")
+    hint = text.rlike("[0-9][.]?[0-9]")
     for h in HINTS:
         hint = hint | text.contains(h)
     hits = F.when(hint, F.regexp_extract_all(text, F.lit(_ALL), F.lit(0)))

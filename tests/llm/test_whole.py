@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from loomspark.llm import passages
+from loomspark.llm import passages, pii
 
 
 def test_a_later_passage_is_one_chain():
@@ -72,3 +72,18 @@ def test_frequent_seeds_are_met_as_others(spark, monkeypatch):
     looked = sorted(map(tuple, passages.met(docs).collect()))
     monkeypatch.setattr(passages, "HOT", 1)
     assert looked == sorted(map(tuple, passages.met(docs).collect())) and len(looked) == 99 * 43
+
+
+def test_addresses_of_one_digit_octets(spark):
+    rows = [(1, "name server 8.8.8.8 here"), (2, "in 2024 it was 8.8.8.8 too"), (3, "version 1.2 of 3")]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
+    assert (got[1].n, got[2].n, got[3].n) == (1, 1, 0) and "8.8.8.8" not in got[1].text + got[2].text
+    assert got[1].text.split()[2] == got[2].text.split()[4] and got[3].text == rows[2][1]
+
+
+def test_secrets_without_letters(spark):
+    rows = [(1, "token: --------"), (2, "secret=________"), (3, "again token: --------"), *((10 + i, f"password: -------{i}") for i in range(10))]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
+    new = {k: r.text.split("=")[-1].split(" ")[-1] for k, r in got.items()}
+    assert new[1] == new[3] and len(set(new.values())) == len(rows) - 1 and not {t.split("=")[-1].split(" ")[-1] for _, t in rows} & set(new.values())
+    assert all(r.n == 1 for r in got.values())
