@@ -7,9 +7,9 @@ probability map over (bits so far, mixed estimate) refines the result. A text is
 UTF-8 never has, so the score is a log probability of the whole text.
 
 Passes: (1) all training texts add to the tables, which tasks emit sparsely, a shuffle by block adds up, and only the
-fixed-size sums come to the driver; (2) one fold of the training texts steps the weights, each bit predicted without its own
-count, and tasks' weights are averaged; (3) every text is scored by the frozen model, so scores don't depend on order or
-retries. Equal contexts of a batch are computed once.
+fixed-size sums come to the driver; (2) all training texts step the weights, each bit predicted without its own count, and
+tasks' weights are averaged; (3) every text is scored by the frozen model, so scores don't depend on order or retries.
+Equal contexts of a batch are computed once.
 
 Token counts of the base score: the most frequent tokens (a bounded number) are looked up in the task, all others by a shuffle join.
 
@@ -36,7 +36,7 @@ SLOT_BITS, BLOCK_BITS = (16, 18, 20, 21, 21, 22), 14
 OFFSETS = tuple(sum(1 << b for b in SLOT_BITS[:i]) for i in range(N_CTX + 1))
 PAD = 6
 END = b"\xff"
-FOLDS, HELD, TUNE = 5, 1, 2
+FOLDS, HELD = 5, 1
 #: Tokens looked up in the task; bytes of text in a batch.
 FREQUENT, BATCH = 1 << 19, 2 << 20
 GATES = 8 * (N_CTX + 1)
@@ -249,12 +249,12 @@ def tables(docs: DataFrame) -> np.ndarray:
 
 
 def tuned(docs: DataFrame, counts) -> Model:
-    """Weights averaged over tasks and map counts added up, from one fold of the training rows."""
+    """Weights averaged over tasks and map counts added up, from all training rows."""
     import pyarrow as pa
 
     def run(batches):
         m, n = Model(counts.value), 0
-        for batch in in_batches(((k, x) for k, x in _texts(batches) if fold(k) == TUNE), BATCH // 128):
+        for batch in in_batches(((k, x) for k, x in _texts(batches) if fold(k) != HELD), BATCH // 128):
             c = Contexts([x for _, x in batch])
             m.learn(c)
             n += int(c.times.sum())

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from loomspark.llm import passages, pii
+from loomspark.llm import lm, passages, pii
 
 
 def test_a_later_passage_is_one_chain():
@@ -87,3 +87,12 @@ def test_secrets_without_letters(spark):
     new = {k: r.text.split("=")[-1].split(" ")[-1] for k, r in got.items()}
     assert new[1] == new[3] and len(set(new.values())) == len(rows) - 1 and not {t.split("=")[-1].split(" ")[-1] for _, t in rows} & set(new.values())
     assert all(r.n == 1 for r in got.values())
+
+
+def test_all_training_folds_step_the_weights(spark):
+    start = lm.Model(np.zeros((1, 2), np.uint16)).weights
+    for f in range(lm.FOLDS):
+        ids = [k for k in range(40) if lm.fold(k) == f]
+        docs = spark.createDataFrame([(k, f"some words of text {k} and some more words of it") for k in ids], "id long, text string")
+        weights = lm.tuned(docs, spark.sparkContext.broadcast(lm.tables(docs))).weights
+        assert (f == lm.HELD) == np.array_equal(weights, start)
