@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Units are runs of non-space characters, cut to eight at most, lower-cased A-Z not applied: equal texts only have equal
-units. Hashes of k = 4 units are rolled up by doubling (each position's hash comes from two hashes of half the
+Units are runs of non-space characters, cut to eight at most from the run's start, lower-cased A-Z not applied. Where
+that start would decide over much text, each code point is a unit: in scripts without spaces, and in runs of over 64
+characters (base64, long URLs), so that equal substrings have equal units wherever they start. Hashes of k = 4 units are rolled up by doubling (each position's hash comes from two hashes of half the
 length), the least of each window of w = 8 is taken by doubling too, rightmost on ties, and its position kept. A run
-of w + k - 1 = 11 units that two texts share is always found.
+of w + k - 1 = 11 units that two texts share is always found; in a run of 9 to 64 characters they share its units only
+from its start on.
 
 Defined cases: null and empty texts have an empty fingerprint and are alike (1.0) to empty ones only; a text of fewer
 than k units has one hash of all it has; rows that repeat a doc_id are one step in the order of ids, and the least of their texts
@@ -19,6 +21,9 @@ from pyspark.sql.window import Window
 from loomspark.llm.common import cut
 
 UNIT = r"[^\x20\x09-\x0D]{1,8}"
+#: A character of a script without spaces, and one of a run of over 64 characters (from its start on, each behind the last).
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+LONG = r"(?:\G(?!^)|(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{65}))[^\x20\x09-\x0D]"
 K_DOUBLINGS, W_DOUBLINGS = 2, 3
 _POS = 31
 
@@ -35,7 +40,8 @@ def _doubled(a: Column, step: int, combine) -> Column:
 
 def winnowed(text: Column) -> Column:
     """array<long> of packed picks (32 bits of hash, then the position counted down), in order of position."""
-    grams = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
+    apart = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), UNSPACED, " $0 "), LONG, " $0 ")
+    grams = F.transform(F.regexp_extract_all(apart, F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
     # fewer than four units: one hash of all
     grams = _let(grams, lambda v: F.when((F.size(v) > 0) & (F.size(v) < 2**K_DOUBLINGS), F.array(F.xxhash64(v))).otherwise(_rolled(v)))
     packed = F.transform(grams, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 64 - 32), _POS).bitwiseOR(F.lit(2**_POS - 1) - i.cast("long")))

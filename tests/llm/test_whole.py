@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from loomspark.llm import lm, passages, pii
+from loomspark.llm import fingerprints, lm, passages, pii
 
 
 def test_a_later_passage_is_one_chain():
@@ -96,3 +97,18 @@ def test_all_training_folds_step_the_weights(spark):
         docs = spark.createDataFrame([(k, f"some words of text {k} and some more words of it") for k in ids], "id long, text string")
         weights = lm.tuned(docs, spark.sparkContext.broadcast(lm.tables(docs))).weights
         assert (f == lm.HELD) == np.array_equal(weights, start)
+
+
+def test_equal_substrings_of_long_runs_share_hashes(spark):
+    """One character in front moves every piece of eight, but no code point."""
+    rng = np.random.default_rng(10)
+    han = "".join(chr(0x4E00 + c) for c in rng.integers(0, 5000, 300))
+    thai = "".join(chr(0x0E01 + c) for c in rng.integers(0, 40, 50))
+    coded = "".join("ABCDEFGHIJabcdefghij0123456789+/"[c] for c in rng.integers(0, 32, 2000))
+    wide = "".join(chr(0x1F300 + c) for c in rng.integers(0, 500, 200))
+    for t in (han, thai, coded, wide):
+        pairs = spark.createDataFrame([(t, "x" + t)], "a string, b string")
+        near = fingerprints.likeness(*(fingerprints._hashes(fingerprints.winnowed(F.col(c))) for c in "ab"))
+        assert pairs.select(near).first()[0] > 0.7
+    plain = spark.createDataFrame([("one two threefourfive six\nseven " + "y" * 64,)], "t string").select(F.size(F.regexp_extract_all(F.regexp_replace("t", fingerprints.LONG, " $0 "), F.lit(fingerprints.UNIT), F.lit(0)))).first()[0]
+    assert plain == 14
