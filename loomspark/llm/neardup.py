@@ -5,8 +5,10 @@ only the representative goes on. In each bucket every member is paired with one
 places with others, never with all others: first in a few bands, then, for members of other components, in all.
 Pairs whose signatures agree too little are dropped, the rest is confirmed on full sets, and links are joined by
 alternating large-star and small-star. Buckets whose members are still in several components are compared in full:
-blocks of the members outside the largest component meet blocks of all members, signatures first, so no link is lost
-and no pairs but likely ones become rows.
+blocks of the members outside the largest component meet blocks of all members by their signatures. Groups that likely
+pairs connect are dealt into blocks, each two of which meet once with full sets; a union-find skips pairs already joined,
+so no link between components is lost and a task gives at most a row for each member, never all its pairs. Frequent
+buckets and nodes are few and go to their rows by broadcast; only the others are dealt out by key.
 
 With 40 bands of 4 rows a link of similarity 0.75 shares no bucket with probability 2.5e-7; five standard deviations
 of the signature's estimate are allowed below the threshold.
@@ -32,7 +34,9 @@ WORDS, BANDS, ROWS = 5, 40, 4
 #: The threshold is PER_CENT of a hundred of the union.
 PER_CENT = 75
 #: Bands of the first turn of hubs; members, and shingles on average, of a block.
-FIRST_BANDS, BLOCK, BLOCK_SHINGLES = 3, 256, 1 << 15
+FIRST_BANDS, BLOCK, BLOCK_SHINGLES = 3, 1024, 1 << 18
+#: Ids up to which they are broadcast (under 2 MB), and hot keys at most (under 3 MB).
+FEW_IDS, HOT_KEYS, HOT_ROWS = 200_000, 50_000, 256
 _M = U64(0x9E3779B97F4A7C15)
 
 
@@ -132,29 +136,63 @@ def _least(n: int) -> float:
     return n * (t - 5 * math.sqrt(t * (1 - t) / n))
 
 
+class Joined:
+    """Union-find over places."""
+
+    def __init__(self, labels):
+        first: dict = {}
+        self.up = [first.setdefault(c, i) for i, c in enumerate(labels)]
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether i and j were apart."""
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _likely(sides, n: int, by: str):
+    """(i, places j, ids, Joined) for each place i of the first side that has any: the places j in the second side, counted
+    behind the first, of other components whose sizes and signatures allow the threshold. Places of equal `by` begin joined."""
+    ids, cs, sizes = ([np.array([r[k] for r in s], np.int64) for s in sides] for k in ("id", "c", "n_shingles"))
+    x, y = (np.frombuffer(b"".join(r["mini"] for r in s), np.uint8).reshape(-1, n) for s in sides)
+    joined = Joined([r[by] for s in sides for r in s])
+    every = np.concatenate(ids)
+    for i in range(len(x)):
+        ok = (cs[0][i] != cs[1]) & (np.maximum(sizes[0][i], sizes[1]) * PER_CENT <= np.minimum(sizes[0][i], sizes[1]) * 100)
+        j = np.flatnonzero(ok)
+        if len(j):
+            j = j[(x[i] == y[j]).sum(axis=1) >= _least(n)]
+        if len(j):
+            yield i, len(x) + j, every, joined
+
+
 def _blocks(apart: DataFrame, sketch: DataFrame, n: int) -> DataFrame:
-    """(a, b) of all pairs of a bucket whose members are in two components and whose signatures allow the threshold.
+    """(a, b): a forest of the likely links in each pair of blocks of a bucket, between members of two components.
 
     apart has (key, id, c, hub_c, n_all, n_out): n_all members, of which n_out are outside the largest component
-    hub_c. Blocks of the outsiders meet blocks of all members; a task holds two blocks of signatures, never a bucket.
+    hub_c. Blocks of the outsiders meet blocks of all members; a task holds two blocks of signatures, never a bucket,
+    and gives at most a row for each member in it.
     """
     import pyarrow as pa
 
     def run(batches):
         for groups in batches:
-            out: list = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+            out: list = [[], []]
             for sides in zip(groups.column(0).to_pylist(), groups.column(1).to_pylist(), strict=True):
                 if not all(sides):
                     continue
-                ids, cs, sizes = ([np.array([r[k] for r in s], np.int64) for s in sides] for k in ("id", "c", "n_shingles"))
-                x, y = (np.frombuffer(b"".join(r["mini"] for r in s), np.uint8).reshape(-1, n) for s in sides)
-                ok = (cs[0][:, None] != cs[1]) & (np.maximum(sizes[0][:, None], sizes[1]) * PER_CENT <= np.minimum(sizes[0][:, None], sizes[1]) * 100)
-                for i in np.flatnonzero(ok.any(axis=1)):
-                    agree = (x[i] == y).sum(axis=1)
-                    j = np.flatnonzero(ok[i] & (agree >= _least(n)))
-                    out[0].append(np.minimum(ids[0][i], ids[1][j]))
-                    out[1].append(np.maximum(ids[0][i], ids[1][j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["a", "b"])
+                for i, js, ids, joined in _likely(sides, n, "id"):
+                    for j in js.tolist():
+                        if joined.join(i, j):
+                            out[0].append(min(ids[i], ids[j]))
+                            out[1].append(max(ids[i], ids[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
     block = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col(count) / BLOCK)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / BLOCK).cast("int") - 1))
@@ -167,13 +205,15 @@ def _blocks(apart: DataFrame, sketch: DataFrame, n: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
-    """(id, s) with the full sets of these documents."""
+    """(id, s) with the full sets of these documents; a checked small number of ids goes to the texts."""
     import pyarrow as pa
 
     def sets(batches):
         yield from batches_of(((k, shingles(t).tobytes()) for k, t in rows(batches, "id", "text")), pa.schema([("id", pa.int64()), ("s", pa.binary())]), 512)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.distinct(), "id", "left_semi")
+    ids = ids.distinct()
+    some = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(some, "id", "left_semi")
     return texts.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"])
 
 
@@ -194,45 +234,60 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame) ->
     return pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed_in_blocks(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """As _confirmed, for many pairs of the same documents.
+def _confirmed_in_blocks(docs: DataFrame, id_col: str, text_col: str, likely: DataFrame, found: DataFrame, sketch: DataFrame, n: int) -> DataFrame:
+    """(a, b): links that join all components that links on full sets join, among documents that likely pairs connect.
 
-    Groups of documents that pairs connect are dealt into blocks of bounded shingles; where two blocks have pairs, each
-    of their documents brings its set once for all of them.
+    Each group that likely pairs connect is dealt into blocks of bounded shingles, and each two blocks meet once with
+    their signatures and full sets. Pairs whose components are already joined there are skipped, so a task gives at most
+    a row for each member in it, however many links they have.
     """
     import pyarrow as pa
 
     def run(batches):
         for groups in batches:
-            out: list = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
-            for members, both in zip(groups.column(0).to_pylist(), groups.column(1).to_pylist(), strict=True):
-                of = {r["id"]: np.frombuffer(r["s"], U64) for r in members}
-                partners: dict[int, list] = {}
-                for r in both:
-                    partners.setdefault(r["a"], []).append(r["b"])
-                for a, bs in partners.items():
-                    p = of[a]
-                    sizes = np.array([len(of[b]) for b in bs])
-                    every = np.concatenate([of[b] for b in bs])
+            out: list = [[], []]
+            for i_block, j_block, members in zip(*(groups.column(k).to_pylist() for k in range(3)), strict=True):
+                left = [r for r in members if r["block"] == i_block]
+                right = [r for r in members if r["block"] == j_block] if i_block != j_block else left
+                if not left or not right:
+                    continue
+                sets = [np.frombuffer(r["s"], U64) for r in [*left, *right]]
+                for i, js, ids, joined in _likely((left, right), n, "c"):
+                    root = joined.root(i)
+                    js = [j for j in js.tolist() if joined.root(j) != root]
+                    if not js:
+                        continue
+                    p = sets[i]
+                    sizes = np.array([len(sets[j]) for j in js])
+                    every = np.concatenate([sets[j] for j in js])
                     hit = p[np.minimum(np.searchsorted(p, every), len(p) - 1)] == every
                     common = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                    linked = np.array(bs, np.int64)[100 * common >= PER_CENT * (len(p) + sizes - common)]
-                    out[0].append(np.full(len(linked), a, np.int64))
-                    out[1].append(linked)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["a", "b"])
-
-    group = cut(components(pairs).join(sketch.select("id", "n_shingles"), "id"))
-    blocks = group.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("n"))
-    place = cut(group.join(blocks, "component").select("id", "component", F.pmod(F.xxhash64("id"), "n").alias("block")))
-    full = cut(_sets(docs, id_col, text_col, place.select("id")))
-    at = lambda c, block: place.select(F.col("id").alias(c), F.col("component").alias("g"), F.col("block").alias(block))
-    dealt = pairs.join(at("a", "i"), "a").join(at("b", "j").drop("g"), "b")
-    dealt = cut(dealt.select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.struct("a", "b").alias("p")))
-    ids = dealt.select("g", "i", "j", F.explode(F.array("p.a", "p.b")).alias("id")).distinct()
-    sets = ids.join(full, "id").select("g", "i", "j", F.struct("id", "s").alias("m"), F.lit(None).alias("p"))
-    rows_ = sets.unionByName(dealt.withColumn("m", F.lit(None)))
-    met = rows_.groupBy("g", "i", "j").agg(F.collect_list("m").alias("m"), F.collect_list("p").alias("p"))  # two blocks
-    return met.select("m", "p").mapInArrow(run, "a long, b long")
+                    for j, ok in zip(js, (100 * common >= PER_CENT * (len(p) + sizes - common)).tolist(), strict=True):
+                        if ok and joined.join(i, j):
+                            out[0].append(min(ids[i], ids[j]))
+                            out[1].append(max(ids[i], ids[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    group = cut(components(likely).withColumnRenamed("component", "g").join(sketch.select("id", "n_shingles", "mini"), "id"))
+    group = _placed(group, found)
+    per = F.least(F.greatest(F.col("n") / 16, F.lit(BLOCK // 4)), F.lit(BLOCK_SHINGLES) * F.col("n") / F.col("sum"))
+    blocks = group.groupBy("g").agg(F.sum("n_shingles").alias("sum"), F.count("*").alias("n")).select("g", F.ceil(F.col("n") / per).cast("int").alias("blocks"))
+    placed = group.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    full = placed.join(_sets(docs, id_col, text_col, group.select("id")), "id")
+    dealt = full.select("g", F.struct("id", "c", "n_shingles", "mini", "s", "block").alias("m"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.select("g", F.least("other", "m.block").alias("i"), F.greatest("other", "m.block").alias("j"), "m")
+    met = dealt.groupBy("g", "i", "j").agg(F.collect_list("m").alias("members"))  # two blocks
+    return met.select("i", "j", "members").mapInArrow(run, "a long, b long").distinct()
+
+
+def _met(rows_: DataFrame, table: DataFrame, key: str, n: str, limit: int) -> DataFrame:
+    """rows_ joined with table, which has a row for each key and n, about the number of its rows.
+
+    Keys with limit rows or more are few and go to the rows; only the others are dealt out, so no key is one task's.
+    """
+    hot = F.broadcast(table.where(F.col(n) >= limit))
+    cold = rows_.join(F.broadcast(table.where(F.col(n) >= limit).select(key)), key, "left_anti")
+    return rows_.join(hot, key).unionByName(cold.join(table.where(F.col(n) < limit), key))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,9 +299,11 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+        limit = max(HOT_ROWS, 2 * now[0] // HOT_KEYS)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = _met(both.where("v > u"), low, "u", "n", limit).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # after a large-star a node points down only, so its least one is one of few
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = cut(small.select("e.u", "e.v").where("u <> v").distinct())
@@ -275,8 +332,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     keys = base.select("id", "n_shingles", "set_key")
     reps = base.where("n_shingles > 0").groupBy("set_key").agg(F.min_by(F.struct("id", "n_shingles", "sig", "mini"), "id").alias("x")).select("set_key", "x.*")
     bands = banded(reps)
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(bands.join(shared, "key"))
+    limit = max(HOT_ROWS, BANDS * base.count() // HOT_KEYS)
+    shared = cut(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = cut(_met(bands, shared, "key", "n", limit))
     # a document in the largest buckets is nearest the middle of its group, and the best hub
     central = members.groupBy("id").agg(F.sum("n").alias("central"))
     sketch = cut(reps.select("id", "n_shingles", "mini").join(central, "id"))
@@ -291,15 +349,15 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     for some in (members.where(F.col("band") < FIRST_BANDS), members):
         at = _placed(some, found)
-        met = at.join(_hubs(at), "key").where("c <> hub_c")
+        met = _met(at, cut(_hubs(at)), "key", "n_all", limit).where("c <> hub_c")
         # of a component's hubs a member takes one
         pairs = met.groupBy("id", "hub_c").agg(F.min("hub").alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         found = merged(_confirmed(docs, id_col, text_col, cut(_screened(pairs, sketch, n))))
     # what is still apart: all pairs across components, compared in blocks
     at = _placed(members.drop("band"), found)
-    rest = cut(_blocks(cut(at.join(_hubs(at), "key")), sketch, n))
+    rest = cut(_blocks(cut(_met(at, cut(_hubs(at)), "key", "n_all", limit)), sketch, n))
     if not rest.isEmpty():
-        found = merged(_confirmed_in_blocks(docs, id_col, text_col, rest, sketch))
+        found = merged(_confirmed_in_blocks(docs, id_col, text_col, rest, found, sketch, n))
     classes = reps.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = keys.join(classes, "set_key", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
