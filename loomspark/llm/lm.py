@@ -1,20 +1,29 @@
 """LM scoring by online logistic context mixing over bits.
 
-Six bit predictors (contexts of 1, 2, 3, 4 and 6 bytes, and the word so far) keep counts of zeros and ones in hashed
-tables of fixed size. Their stretched estimates are combined by logistic mixing with weights that a gate selects (bit
-place and the longest context seen before), learned online by gradient steps as the text streams by; an adaptive
-probability map over (bits so far, mixed estimate) refines the result. A text is its bytes and an end byte 0xFF that
-UTF-8 never has, so the score is a log probability of the whole text.
-
-Passes: (1) all training texts add to the tables, which tasks emit sparsely, a shuffle by block adds up, and only the
-fixed-size sums come to the driver; (2) all training texts step the weights, each bit predicted without its own count, and
-tasks' weights are averaged; (3) every text is scored by the frozen model, so scores don't depend on order or retries.
-Equal contexts of a batch are computed once.
-
-Token counts of the base score: the most frequent tokens (a bounded number) are looked up in the task, all others by a shuffle join.
-
-Defined cases: a null or empty text is its end alone; repeated rows are scored each for itself; without training rows all
-counts are 0 and all bits even; an empty table gives an empty result; other columns are ignored.
+A text is its lower-cased words and one end. Each token is coded by binary decisions, then drawn by counts or spelt:
+
+1. Is it the word that followed the last place of the word before it, in this text? (where that word stood before)
+2. Is it drawn from the text so far, by its count there? A word may come by this way or the next; both chances add up.
+3. Is it a frequent word of training? Then it is drawn by its training count in texts of this class (below).
+4. Otherwise it is a rare word of training, drawn by its count, or an unknown one, spelt bit by bit.
+
+Every decision and every bit of a letter is predicted by several predictors that keep counts in hashed contexts (words
+before, outcomes of the last decisions, place, rate of outcomes in this text; for letters the 1 to 4 bytes before, and
+the word so far). Their stretched estimates are combined by logistic mixing with weights that a gate selects, learned
+online by gradient steps as training texts stream by; an adaptive probability map refines the result. At scoring, words,
+outcomes and the class of the text itself are learned as it goes by, and nothing of other texts, so scores don't depend
+on order or retries. The class is the likeliest of CLASSES mixtures of the most frequent words, given the words so far;
+the mixtures are fitted to how often two of these words stand in one text, over all training texts.
+
+What is gathered: exact counts of all tokens, in a distributed table that grows with the input and that rare tokens are
+joined with; the decisions' contexts and weights, from all training texts; spelling tables over all distinct training
+words, each predicted without its own count. Spelling tables are sized from the number of distinct words up to a bound of
+memory; a slot has a check byte, so that beyond the bound contexts compete for slots but are not blurred. Only these tables
+of bounded size and at most FREQUENT counts come to the driver and go to the executors.
+
+Defined cases: a null or empty text is its end alone; repeated rows are scored each for itself; a null doc_id counts as
+empty text and is in training; without training rows all bits are even; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,48 +33,62 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import LOWER, U64, cut, encoded, mix64, rows
 
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (1, 2, 3, 4)
 N_CTX = len(ORDERS) + 1
-#: Table bits of each context, and of a block that tasks emit; all tables together are fixed at 9.6 million slots.
-SLOT_BITS, BLOCK_BITS = (16, 18, 20, 21, 21, 22), 14
-OFFSETS = tuple(sum(1 << b for b in SLOT_BITS[:i]) for i in range(N_CTX + 1))
-PAD = 6
+#: Least and most table bits of each spelling context (5.6 million slots in all), and of a block that tasks emit.
+LEAST_BITS, MOST_BITS, BLOCK_BITS = 14, (16, 18, 20, 21, 21), 14
+PAD = 4
 END = b"\xff"
 FOLDS, HELD = 5, 1
-#: Tokens looked up in the task; bytes of text in a batch.
-FREQUENT, BATCH = 1 << 19, 2 << 20
+#: Tokens that tasks look up, their greatest length, and bytes of text in a batch.
+FREQUENT, LONGEST, BATCH = 1 << 18, 64, 1 << 18
 GATES = 8 * (N_CTX + 1)
 APM_STEPS = 33
 RATE = 0.12
 _B = 0x9E3779B97F4A7C15 | 1
 _BINV = pow(_B, -1, 2**64)
 _END_TOKEN = b"\n"
+_END_HASH = xxhash.xxh3_64_intdigest(_END_TOKEN)
+#: Decisions, and the slots of each of a decision's contexts.
+DECISIONS = 3
+REGIONS = (128, 1024, 1 << 14, 1 << 16, 256, 1 << 14)
+_REGION_AT = np.concatenate([[0], np.cumsum(REGIONS)])
+_SLOTS = int(_REGION_AT[-1])
+#: Classes of texts, words that tell them, words whose counts are kept by class, and the weight of their counts in all.
+CLASSES, TELLING, CLASSED, PRIOR = 12, 64, 1 << 14, 5000.0
 
 
 def fold(doc_id) -> int:
-    return zlib.crc32(str(doc_id).encode()) % FOLDS
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
 
 
 def tokens(text: str | None) -> list[bytes]:
     return encoded(text).translate(LOWER).split()
 
 
+def slot_bits(n_words: int) -> tuple[int, ...]:
+    """Table bits of each spelling context for so many distinct words."""
+    need = max(n_words, 1).bit_length() + 2
+    return tuple(min(b, max(LEAST_BITS, need)) for b in MOST_BITS)
+
+
 class Contexts:
-    """The distinct (contexts, byte) of a batch of texts: bytes, context hashes, multiplicities, and where each place's is."""
+    """The distinct (contexts, byte) of a batch of words: bytes, context hashes, multiplicities, and where each place's is."""
 
-    def __init__(self, texts: list[bytes]):
-        data = (END * PAD).join([b"", *(t + END for t in texts)])
+    def __init__(self, words: list[bytes]):
+        data = (END * PAD).join([b"", *(t + END for t in words)])
         b = np.frombuffer(data, np.uint8)
-        lens = np.array([len(t) + 1 for t in texts])
+        lens = np.array([len(t) + 1 for t in words])
         self.starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-        at = np.repeat(PAD * np.arange(1, len(texts) + 1), lens) + np.arange(lens.sum())
+        at = np.repeat(PAD * np.arange(1, len(words) + 1), lens) + np.arange(lens.sum())
         with np.errstate(over="ignore"):
-            # the last six bytes, packed
+            # the last bytes, packed
             wide, last = b.astype(U64), np.zeros(len(b), U64)
             for k in range(1, PAD + 1):
                 last[k:] |= wide[:-k] << U64(8 * k - 8)
@@ -74,10 +97,8 @@ class Contexts:
             inverse = np.cumprod(np.full(len(b) + 1, _BINV, U64))
             prefix = np.zeros(len(b) + 1, U64)
             np.cumsum((wide + U64(1)) * power[:-1], out=prefix[1:])
-            space = (b == 32) | ((b >= 9) & (b <= 13)) | (b == 255)
-            start = np.zeros(len(b), np.int64)
-            start[1:] = np.maximum.accumulate(np.where(space, np.arange(1, len(b) + 1), 0))[:-1]
-            word = ((prefix[:-1] - prefix[start]) * inverse[start])[at]
+            start = np.repeat(at[self.starts], lens)
+            word = (prefix[at] - prefix[start]) * inverse[start]
             last = last[at]
             key = mix64(last * U64(_B) + mix64(word) + wide[at] * U64(0xD6E8FEB86659FD93))
             order = np.argsort(key)
@@ -93,18 +114,20 @@ class Contexts:
             self.ctx = [mix64((last & U64((1 << 8 * k) - 1)) + U64(k << 56)) for k in ORDERS]
             self.ctx.append(mix64(word[first] + U64(99 << 50)))
 
-    def nodes(self):
-        """For each of the eight bits: its place, the node of bits so far, the bit, and each predictor's slots."""
+    def nodes(self, bits: tuple[int, ...]):
+        """For each of the eight bits: its place, the node of bits so far, the bit, and each predictor's slots and checks."""
+        offsets = [sum(1 << b for b in bits[:i]) for i in range(N_CTX)]
         for j in range(8):
             node = (1 << j) | (self.byte >> (8 - j))
             bit = (self.byte >> (7 - j)) & 1
             salt = mix64(node.astype(U64) * U64(0xA0761D6478BD642F))
             # contexts are mixed already: one multiplication spreads the node
-            yield j, node, bit, [((c ^ salt) * U64(_B) >> U64(64 - n)).astype(np.int64) + at for c, n, at in zip(self.ctx, SLOT_BITS, OFFSETS, strict=False)]
+            mixed = [(c ^ salt) * U64(_B) for c in self.ctx]
+            yield j, node, bit, [((h >> U64(64 - n)).astype(np.int64) + at, (h & U64(255)).astype(np.uint8) | np.uint8(1)) for h, n, at in zip(mixed, bits, offsets, strict=True)]
 
 
 def in_batches(pairs, most: int = BATCH):
-    """Lists of (row, text bytes) of bounded size."""
+    """Lists of (row, bytes) of bounded size."""
     out, size = [], 0
     for k, t in pairs:
         out.append((k, t))
@@ -116,69 +139,253 @@ def in_batches(pairs, most: int = BATCH):
         yield out
 
 
+def stepped(weights, gate, x: list, err, spread) -> None:
+    """One online step of the mixing weights of each gate, by the gradient of coding cost over its curvature."""
+    for k, v in enumerate(x):
+        curve = np.bincount(gate, spread * v**2, len(weights))
+        weights[:, k] += RATE * np.bincount(gate, err * v, len(weights)) / (curve + 20)
+
+
+def mixed(weights, gate, x: list) -> tuple[np.ndarray, np.ndarray]:
+    """The mixed log odds, and its probability."""
+    z = weights[gate, len(x)] * 0.3
+    for k, v in enumerate(x):
+        z += weights[:, k][gate] * v
+    np.clip(z, -12, 12, out=z)
+    return z, 1 / (1 + np.exp(-z))
+
+
+def refined(apm, cell, p) -> np.ndarray:
+    """p, half way to what the adaptive probability map has seen in its cell."""
+    n = apm[cell]
+    seen = (n[:, 1] + 8 * p) / (n[:, 0] + n[:, 1] + 8)
+    return np.clip((p + seen) / 2, 1e-6, 1 - 1e-6)
+
+
+def step_of(z) -> np.ndarray:
+    return np.clip(np.rint((z + 8) * 2), 0, APM_STEPS - 1).astype(np.int64)
+
+
 class Model:
-    """Tables, weights and map; predicts the bits of Contexts."""
+    """Spelling: tables, weights and map; predicts the bits of Contexts."""
 
-    def __init__(self, tables: np.ndarray, weights: np.ndarray | None = None, apm: np.ndarray | None = None):
-        self.tables = tables  # (slots of all contexts, 2)
-        self.weights = np.full((GATES, N_CTX + 1), 0.35) if weights is None else weights
+    def __init__(self, bits: tuple[int, ...], counts: np.ndarray, checks: np.ndarray, weights=None, apm=None):
+        self.layout, self.counts, self.checks = bits, counts, checks  # (slots of all contexts, 2), (slots,)
+        self.weights = np.full((GATES, N_CTX + 1), 0.2) if weights is None else weights
         self.apm = np.zeros((256 * APM_STEPS, 2)) if apm is None else apm
-        self.odds: np.ndarray | None = None
-
-    def stretched(self) -> np.ndarray:
-        """The estimate of each slot as a log odds; 0 where nothing was seen."""
-        n = self.tables.astype(np.float32) + np.float32(0.2)
-        np.log(n, out=n)
-        return n[:, 1] - n[:, 0]
 
-    def mixed(self, j: int, x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The gate (bit place, number of contexts with an estimate), the mixed log odds, and its probability."""
-        gate = np.full(len(x[0]), j * (N_CTX + 1))
+    def stretched(self, slot, check, own=None) -> np.ndarray:
+        """The estimates as log odds, without the own bit if it is given; 0 where nothing was seen."""
+        n = self.counts[slot].astype(np.float64)
+        if own is not None:
+            at = np.arange(len(own))
+            n[at, own] = np.maximum(n[at, own] - 1, 0)
+        return np.where(self.checks[slot] == check, np.log((n[:, 1] + 0.2) / (n[:, 0] + 0.2)), 0.0)
+
+    def gate(self, j: int, x: list) -> np.ndarray:
+        """Bit place and number of contexts with an estimate."""
+        out = np.full(len(x[0]), j * (N_CTX + 1))
         for v in x:
-            gate += v != 0
-        z = self.weights[gate, -1] * 0.3
-        for k, v in enumerate(x):
-            z += self.weights[:, k][gate] * v
-        np.clip(z, -12, 12, out=z)
-        return gate, z, 1 / (1 + np.exp(-z))
-
-    def cell(self, node, z):
-        return node * APM_STEPS + np.clip(np.rint((z + 8) * 2), 0, APM_STEPS - 1).astype(np.int64)
+            out += v != 0
+        return out
 
     def bits(self, c: Contexts) -> np.ndarray:
         """Bits that each distinct byte costs."""
-        if self.odds is None:
-            self.odds = self.stretched()
         cost = np.zeros(len(c.byte))
-        for j, node, bit, slots in c.nodes():
-            _, z, p = self.mixed(j, [self.odds[s] for s in slots])
-            n = self.apm[self.cell(node, z)]
-            refined = (n[:, 1] + 8 * p) / (n[:, 0] + n[:, 1] + 8)
-            p = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
+        for j, node, bit, slots in c.nodes(self.layout):
+            x = [self.stretched(*s) for s in slots]
+            z, p = mixed(self.weights, self.gate(j, x), x)
+            p = refined(self.apm, node * APM_STEPS + step_of(z), p)
             cost -= np.log2(np.where(bit, p, 1 - p))
         return cost
 
     def learn(self, c: Contexts) -> None:
-        """One online step for each bit place: weights by the gradient of coding cost, and the map's counts."""
-        for j, node, bit, slots in c.nodes():
-            x = []
-            for s in slots:
-                n = self.tables[s].astype(np.float64) + 0.2
-                own = n[np.arange(len(bit)), bit]
-                n[np.arange(len(bit)), bit] = np.maximum(own - 1, 0.2)
-                x.append(np.log(n[:, 1] / n[:, 0]))
-            gate, z, p = self.mixed(j, x)
-            x.append(np.full(len(bit), 0.3))
-            err = (bit - p) * c.times
-            spread = p * (1 - p) * c.times
-            for k in range(N_CTX + 1):
-                curve = np.bincount(gate, spread * x[k] ** 2, GATES)
-                self.weights[:, k] += RATE * np.bincount(gate, err * x[k], GATES) / (curve + 20)
-            cell = self.cell(node, z)
+        """One online step for each bit place: weights, and the map's counts."""
+        for j, node, bit, slots in c.nodes(self.layout):
+            x = [self.stretched(*s, bit) for s in slots]
+            gate = self.gate(j, x)
+            z, p = mixed(self.weights, gate, x)
+            stepped(self.weights, gate, [*x, np.full(len(bit), 0.3)], (bit - p) * c.times, p * (1 - p) * c.times)
+            cell = node * APM_STEPS + step_of(z)
             self.apm[:, 1] += np.bincount(cell, bit * c.times, len(self.apm))
             self.apm[:, 0] += np.bincount(cell, (1 - bit) * c.times, len(self.apm))
 
 
+class Frequent:
+    """The frequent tokens, by hash: counts, ranks, and the classes that the most frequent ones tell."""
+
+    def __init__(self, hashes, counts, shares=None, telling=None):
+        """hashes and counts from the most frequent on; shares and telling as from `classes`."""
+        order = np.argsort(hashes)
+        self.hashes, self.rank = hashes[order], order
+        self.counts = np.append(counts.astype(np.float64), 0.0)
+        self.total = max(float(self.counts.sum()), 1.0)
+        self.rest = max(float(self.counts[CLASSED:].sum()), 1.0)
+        self.shares = np.zeros(1) if shares is None else np.log(shares)
+        self.telling = np.zeros((1, 0)) if telling is None else np.log(telling)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Ranks of these hashes; of others the number of all."""
+        n = len(self.hashes)
+        if not n:
+            return np.zeros(len(h), np.int64)
+        i = np.minimum(np.searchsorted(self.hashes, h), n - 1)
+        return np.where(self.hashes[i] == h, self.rank[i], n)
+
+
+def classes(together: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shares, words of each class): mixtures under which two words of one text are drawn from one class, fitted to the
+    weights of pairs by expectation and maximisation from a fixed start."""
+    n = len(together)
+    r = np.random.default_rng(0)
+    words, shares = r.dirichlet(np.ones(n), CLASSES), np.full(CLASSES, 1 / CLASSES)
+    for _ in range(200):
+        pairs = shares[:, None, None] * words[:, :, None] * words[:, None, :]
+        pairs *= together / np.maximum(pairs.sum(axis=0), 1e-30)
+        shares, words = pairs.sum(axis=(1, 2)) + 1e-9, pairs.sum(axis=2) + pairs.sum(axis=1) + 1e-3
+        shares, words = shares / shares.sum(), words / words.sum(axis=1, keepdims=True)
+    return shares, words
+
+
+def _bucket(n: np.ndarray, most: int) -> np.ndarray:
+    return np.minimum(np.log2(n + 1).astype(np.int64), most)
+
+
+class Stream:
+    """The tokens of a batch of texts, each followed by an end, and what each has before it in its own text."""
+
+    def __init__(self, words: list[list[bytes]], frequent: Frequent, least: int):
+        """least: the training count from which a token is frequent (one more for a text that is in the counts)."""
+        lens = np.array([len(w) + 1 for w in words])
+        self.starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
+        n = int(lens.sum())
+        h = np.empty(n, U64)
+        is_end = np.zeros(n, bool)
+        is_end[np.cumsum(lens) - 1] = True
+        h[is_end] = _END_HASH
+        h[~is_end] = np.fromiter((x for w in words for x in map(xxhash.xxh3_64_intdigest, w)), U64, n - len(words))
+        self.hash = h
+        unique, token = np.unique(h, return_inverse=True)
+        text = np.repeat(np.arange(len(words)), lens)
+        self.t = np.arange(n) - np.repeat(self.starts, lens)
+        key = text * len(unique) + token
+        order = np.argsort(key, kind="stable")
+        same = np.zeros(n, bool)
+        same[1:] = key[order[1:]] == key[order[:-1]]
+        last = np.full(n, -1)
+        last[order[1:]] = np.where(same[1:], order[:-1], -1)  # the place before of the same token in the text
+        rank = np.arange(n)
+        self.before = np.empty(n, np.int64)
+        self.before[order] = rank - np.maximum.accumulate(np.where(same, 0, rank))
+        self.rank = frequent.of(unique)[token]
+        self.count = frequent.counts[self.rank]
+        follows = np.full(n, -1)
+        follows[1:] = np.where((self.t[1:] > 0) & (last[:-1] >= 0), last[:-1] + 1, -1)
+        self.has = follows >= 0
+        guess = np.maximum(follows, 0)
+        self.guess = np.where(self.has, h[guess], U64(0))
+        self.hit = self.has & (token[guess] == token)
+        self.seen = self.before > 0
+        self.often = self.count >= least
+        status = np.where(self.hit, 0, np.where(self.seen, 1, np.where(self.often, 2, 3)))
+        back = lambda v, k, none: np.concatenate([np.full(min(k, n), none, v.dtype), v[: max(0, n - k)]])
+        past = [np.where(self.t >= k, back(status, k, 4), 4) for k in (1, 2, 3)]
+        self.past = past[0]
+        streak = np.arange(n) - 1 - back(np.maximum.accumulate(np.where(self.hit, -1, np.arange(n))), 1, -1)
+        place = _bucket(self.t, 15)
+        one = np.where(self.t >= 1, back(h, 1, 0), U64(1))
+        two = np.where(self.t >= 2, back(h, 2, 0), U64(1))
+        with np.errstate(over="ignore"):
+            pair = mix64(one * U64(_B) + two)
+            one, guessed = mix64(one), mix64(self.guess)
+        self.shared = [place * 5 + past[0], (past[0] * 25 + past[1] * 5 + past[2]) * 8 + np.clip(streak, 0, 7), (one >> U64(50)).astype(np.int64), (pair >> U64(48)).astype(np.int64)]
+        self.own = [(guessed >> U64(50)).astype(np.int64)] * 2 + [past[0] * 80 + past[1] * 16 + place]
+        self.place = place
+        self.lens = lens
+        tells = np.flatnonzero(self.rank < frequent.telling.shape[1])
+        likely = np.zeros((n, len(frequent.shares)))
+        likely[tells] = frequent.telling[:, self.rank[tells]].T
+        self.kind = (self.inside(likely) + frequent.shares).argmax(axis=1)
+        self.of = [(np.flatnonzero(self.has), self.hit), (np.flatnonzero(~self.hit & (self.t > 0)), self.seen), (np.flatnonzero(~self.hit), self.often)]
+
+    def inside(self, v: np.ndarray) -> np.ndarray:
+        """Sums of v over the places before, in the same text."""
+        total = np.cumsum(v, axis=0) - v
+        return total - np.repeat(total[self.starts], self.lens, axis=0)
+
+    def decisions(self):
+        """For each decision: its number, where it is met, the outcomes, the slots of its contexts, its gate and its map row."""
+        for d, (at, outcome) in enumerate(self.of):
+            met = np.zeros(len(self.t), bool)
+            met[at] = True
+            yes, trials = self.inside((met & outcome).astype(np.int64))[at], self.inside(met.astype(np.int64))[at]
+            rate = np.clip(np.rint(2 * np.log2((yes + 0.5) / (trials - yes + 0.5))), -8, 8).astype(np.int64) + 8
+            local = rate * 8 + _bucket(trials, 7)
+            contexts = [*(c[at] for c in self.shared), local, self.own[d][at]]
+            slots = [d * _SLOTS + a + c for a, c in zip(_REGION_AT, contexts, strict=False)]
+            yield d, at, outcome[at], slots, d * 16 + self.place[at], (d * 5 + self.past[at]) * APM_STEPS
+
+
+class Decisions:
+    """Counts, weights and map of the decisions, and counts of frequent words by class; learned online."""
+
+    def __init__(self, counts=None, weights=None, apm=None, words=None):
+        self.counts = np.zeros((DECISIONS * _SLOTS, 2), np.float32) if counts is None else counts
+        self.weights = np.full((DECISIONS * 16, len(REGIONS) + 1), 0.3) if weights is None else weights
+        self.apm = np.zeros((DECISIONS * 5 * APM_STEPS, 2)) if apm is None else apm
+        self.words = np.zeros((CLASSES, CLASSED + 1), np.float32) if words is None else words
+
+    def predicted(self, slots, gate, row):
+        x = []
+        for s in slots:
+            n = self.counts[s].astype(np.float64) + 0.2
+            x.append(np.log(n[:, 1] / n[:, 0]))
+        z, p = mixed(self.weights, gate, x)
+        cell = row + step_of(z)
+        return x, p, cell, refined(self.apm, cell, p)
+
+    def drawn(self, s: Stream, frequent: Frequent) -> np.ndarray:
+        """The chance of each frequent token among the frequent ones, in texts of its class; of others 0."""
+        rank = np.minimum(s.rank, CLASSED)
+        share = np.where(rank < CLASSED, s.count, frequent.rest) / frequent.total
+        share = (self.words[s.kind, rank] + PRIOR * share) / (self.words.sum(axis=1, dtype=np.float64)[s.kind] + PRIOR)
+        return np.where(rank < CLASSED, share, share * s.count / frequent.rest)
+
+    def ways(self, s: Stream, frequent: Frequent):
+        """What decisions() gives with its prediction, the chances of the ways of each token, and that of its draw from the text."""
+        found = [(d, *self.predicted(*d[3:])) for d in s.decisions()]
+        chance = [np.zeros(len(s.t)) for _ in found]
+        for (d, at, *_), *_, p in found:
+            chance[d][at] = p
+        own = chance[1] * s.before / np.maximum(s.t, 1)
+        other = (1 - chance[1]) * np.where(s.often, chance[2] * self.drawn(s, frequent), 1 - chance[2])
+        return found, chance[0], own, other
+
+    def learn(self, s: Stream, frequent: Frequent) -> None:
+        """Each batch is predicted by what came before it, then weights, map and counts take it in. The second decision
+        isn't seen: what is learned is its chance given the token. The third is learned by the chance that it is met."""
+        found, _, own, other = self.ways(s, frequent)
+        # a rare word that stands in the text is taken from there
+        own = np.where(s.seen & ~s.often, 1.0, own / np.maximum(own + other, 1e-300))
+        for (d, at, outcome, slots, gate, row), x, p, cell, _ in found:
+            if not len(at):
+                continue
+            yes, times = (own[at], np.ones(len(at))) if d == 1 else (outcome.astype(np.float64), 1 - own[at] if d == 2 else np.ones(len(at)))
+            stepped(self.weights, gate, [*x, np.full(len(p), 0.3)], (yes - p) * times, p * (1 - p) * times)
+            both = np.stack([(1 - yes) * times, yes * times], axis=1)
+            for table, k in ((self.apm, cell), *((self.counts, k) for k in slots)):
+                low, size = int(k.min()), int(k.max()) - int(k.min()) + 1
+                for b in (0, 1):
+                    table[low : low + size, b] += np.bincount(k - low, both[:, b], size).astype(table.dtype)
+        np.add.at(self.words, (s.kind[s.often], np.minimum(s.rank[s.often], CLASSED)), 1)
+
+    def bits(self, s: Stream, frequent: Frequent) -> np.ndarray:
+        """Bits of each token of a stream, but for the draw of rare tokens that are new in their text."""
+        _, hit, own, other = self.ways(s, frequent)
+        other = np.where(s.seen & ~s.often, 0.0, other)
+        return -np.log2(np.where(s.hit, hit, (1 - hit) * (own + other)))
+
+
 def _texts(batches):
     return ((k, encoded(t)) for k, t in rows(batches, "id", "text"))
 
@@ -198,88 +405,168 @@ def token_counts(docs: DataFrame) -> DataFrame:
             if fold(k) != HELD:
                 n.update(tokens(t))
                 n[_END_TOKEN] += 1
-                if len(n) >= 1 << 19:
+                if len(n) >= 1 << 18:
                     yield from flush()
         yield from flush()
 
     return docs.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def tables(docs: DataFrame) -> np.ndarray:
-    """The counts of all training rows, as 16 bits; the driver gets fixed-size sums only."""
+def tables(words: DataFrame, bits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and checks of the distinct words (token); tasks emit touched blocks, the driver gets sums of fixed size."""
     import pyarrow as pa
 
-    per = 1 << BLOCK_BITS
-    n_blocks = OFFSETS[-1] >> BLOCK_BITS
+    per, slots = 1 << BLOCK_BITS, sum(1 << b for b in bits)
+    kind = np.dtype([("at", "<u2"), ("check", "u1"), ("n0", "<u4"), ("n1", "<u4")])
 
     def count(batches):
-        t = np.zeros((OFFSETS[-1], 2), np.uint32)
-        every = t.reshape(-1)
-        for batch in in_batches((k, x) for k, x in _texts(batches) if fold(k) != HELD):
+        every, checks = np.zeros(slots * 2, np.uint32), np.zeros(slots, np.uint8)
+        for batch in in_batches((None, t) for (t,) in rows(batches, "token")):
             c = Contexts([x for _, x in batch])
             times = c.times.astype(np.uint32)
-            for _, _, bit, slots in c.nodes():
-                for s in slots:
-                    np.add.at(every, 2 * s + bit, times)
-        flat = t.reshape(n_blocks, per, 2)
-        for i in range(n_blocks):
-            at = np.flatnonzero(flat[i].any(axis=1))
+            for _, _, bit, places in c.nodes(bits):
+                for s, check in places:
+                    free = checks[s] == 0
+                    checks[s[free]] = check[free]
+                    held = checks[s] == check
+                    np.add.at(every, 2 * s[held] + bit[held], times[held])
+        counts = every.reshape(-1, 2)
+        for i in range(slots // per):
+            at = np.flatnonzero(checks[i * per : (i + 1) * per])
             if len(at):
-                packed = at.astype("<u2").tobytes() + flat[i][at].astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed], pa.binary())], names=["block", "packed"])
+                out = np.empty(len(at), kind)
+                out["at"], out["check"], out["n0"], out["n1"] = at, checks[i * per + at], counts[i * per + at, 0], counts[i * per + at, 1]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "packed"])
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        parts: dict[int, list] = {}
         for b in batches:
             for i, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                m = len(packed) // 10
-                acc = sums.setdefault(i, np.zeros((per, 2), np.int64))
-                acc[np.frombuffer(packed[: 2 * m], "<u2")] += np.frombuffer(packed[2 * m :], "<u4").reshape(m, 2)
-        for i, acc in sums.items():
-            down = acc.max(axis=1, keepdims=True) // 65536 + 1  # a slot's two counts are scaled down together, kept over 0
-            acc = np.where(acc, np.maximum(1, acc // down), 0)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([acc.astype("<u2").tobytes()], pa.binary())], names=["block", "packed"])
-
-    few = max(1, -(-docs.rdd.getNumPartitions() // 3))
-    parts = docs.coalesce(few).mapInArrow(count, "block int, packed binary")
-    out = np.zeros((n_blocks, per, 2), np.uint16)
-    for r in parts.repartition("block").mapInArrow(add, "block int, packed binary").collect():  # n_blocks rows of fixed size
-        out[r.block] = np.frombuffer(r.packed, "<u2").reshape(per, 2)
-    return out.reshape(-1, 2)
-
-
-def tuned(docs: DataFrame, counts) -> Model:
-    """Weights averaged over tasks and map counts added up, from all training rows."""
+                parts.setdefault(i, []).append(np.frombuffer(packed, kind))
+        for i, got in parts.items():
+            got = np.concatenate(got)
+            key, where = np.unique(got["at"].astype(np.int64) << 8 | got["check"], return_inverse=True)
+            n = np.stack([np.bincount(where, got[c], len(key)) for c in ("n0", "n1")], axis=1)
+            order = np.lexsort((key, -n.sum(axis=1), key >> 8))  # of a slot's contexts the most frequent has it
+            order = order[np.unique(key[order] >> 8, return_index=True)[1]]
+            key, n = key[order], n[order]
+            down = n.max(axis=1, keepdims=True) // 65536 + 1  # both counts are scaled down together, kept over 0
+            n = np.where(n > 0, np.maximum(1, n // down), 0).astype("<u2")
+            block = np.zeros((per, 2), "<u2")
+            block[key >> 8] = n
+            check = np.zeros(per, np.uint8)
+            check[key >> 8] = key & 255
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([block.tobytes()], pa.binary()), pa.array([check.tobytes()], pa.binary())], names=["block", "packed", "checks"])
+
+    few = max(1, -(-words.rdd.getNumPartitions() // 3))
+    parts = words.select("token").coalesce(few).mapInArrow(count, "block int, packed binary")
+    counts, checks = np.zeros((slots, 2), np.uint16), np.zeros(slots, np.uint8)
+    for r in parts.repartition("block").mapInArrow(add, "block int, packed binary, checks binary").toLocalIterator():
+        counts[r.block * per : (r.block + 1) * per] = np.frombuffer(r.packed, "<u2").reshape(per, 2)
+        checks[r.block * per : (r.block + 1) * per] = np.frombuffer(r.checks, np.uint8)
+    return counts, checks
+
+
+def averaged(df: DataFrame, shapes: list[tuple], run) -> list[np.ndarray] | None:
+    """Weights averaged by n and other arrays added up over the tasks of run, which yields (n, weights, arrays...)."""
     import pyarrow as pa
 
-    def run(batches):
-        m, n = Model(counts.value), 0
-        for batch in in_batches(((k, x) for k, x in _texts(batches) if fold(k) != HELD), BATCH // 128):
-            c = Contexts([x for _, x in batch])
-            m.learn(c)
-            n += int(c.times.sum())
+    names = ["n", *(f"a{k}" for k in range(len(shapes)))]
+    schema = "n double, " + ", ".join(f"{c} binary" for c in names[1:])
+
+    def batch(n, arrays):
+        return pa.RecordBatch.from_arrays([pa.array([float(n)]), *(pa.array([np.asarray(a, np.float32).tobytes()], pa.binary()) for a in arrays)], names=names)
+
+    def each(batches):
+        n, arrays = run(batches)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.apm.tobytes()], pa.binary())], names=["n", "w", "apm"])
+            yield batch(n, [arrays[0] * n, *arrays[1:]])
 
     def add(batches):
-        n, w, apm = 0, 0.0, 0.0
+        n, sums = 0.0, None
         for b in batches:
-            for k, x, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                n, w, apm = n + k, w + k * np.frombuffer(x), apm + np.frombuffer(y)
+            for r in zip(*(b.column(i).to_pylist() for i in range(len(names))), strict=True):
+                got = [np.frombuffer(x, np.float32).astype(np.float64) for x in r[1:]]
+                n, sums = n + r[0], got if sums is None else [x + y for x, y in zip(sums, got, strict=True)]
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(w / n).tobytes()], pa.binary()), pa.array([apm.tobytes()], pa.binary())], names=["n", "w", "apm"])
+            yield batch(n, sums)
 
-    schema = "n long, w binary, apm binary"
-    got = docs.mapInArrow(run, schema).repartition(8, F.xxhash64("w")).mapInArrow(add, schema).collect()  # at most 8 rows
+    got = df.mapInArrow(each, schema).repartition(8, F.xxhash64("a0")).mapInArrow(add, schema).collect()  # at most 8 rows
     if not got:
-        return Model(counts.value)
-    n = sum(r.n for r in got)
-    w = sum(r.n * np.frombuffer(r.w) for r in got) / n
-    apm = sum(np.frombuffer(r.apm) for r in got)
-    return Model(counts.value, w.reshape(GATES, -1), apm.reshape(-1, 2))
+        return None
+    sums = [sum(np.frombuffer(r[c], np.float32).astype(np.float64) for r in got) for c in names[1:]]
+    sums[0] = sums[0] / sum(r.n for r in got)
+    return [x.reshape(s) for x, s in zip(sums, shapes, strict=True)]
 
 
-SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, bits double, base double, known long, tail array<binary>, tail_n array<long>"
+def tuned(words: DataFrame, held) -> Model:
+    """Spelling weights averaged over tasks and map counts added up, from all distinct words."""
+
+    def run(batches):
+        m, n = Model(*held.value), 0
+        for batch in in_batches(((None, t) for (t,) in rows(batches, "token")), BATCH // 8):
+            c = Contexts([x for _, x in batch])
+            m.learn(c)
+            n += int(c.times.sum())
+        return n, [m.weights, m.apm]
+
+    start = Model(*held.value)
+    got = averaged(words.select("token"), [start.weights.shape, start.apm.shape], run)
+    return Model(*held.value, *(got or (None, None)))
+
+
+def told(docs: DataFrame, common: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The classes of texts, fitted to how these words stand together in all training rows."""
+    place = {w: i for i, w in enumerate(common)}
+    n = len(common)
+
+    def run(batches):
+        out, texts = np.zeros((n, n)), 0
+        for k, t in rows(batches, "id", "text"):
+            if fold(k) != HELD:
+                found = np.bincount([place[w] for w in tokens(t) if w in place], minlength=n)
+                out += np.outer(found, found) / max(found.sum(), 1)
+                texts += 1
+        return texts, [np.zeros(1), out]
+
+    got = averaged(docs, [(1,), (n, n)], run) if n > 1 else None
+    if not got:
+        return None
+    np.fill_diagonal(got[1], 0)
+    return classes(got[1])
+
+
+def decided(docs: DataFrame, frequent) -> Decisions:
+    """The decisions learned from all training rows: weights averaged over tasks, counts and map added up."""
+
+    def run(batches):
+        d, n = Decisions(), 0
+        for batch in in_batches((k, t) for k, t in _texts(batches) if fold(k) != HELD):
+            s = Stream([t.translate(LOWER).split() for _, t in batch], frequent.value, 3)
+            d.learn(s, frequent.value)
+            n += len(s.t)
+        return n, [d.weights, d.apm, d.counts, d.words]
+
+    start = Decisions()
+    got = averaged(docs, [start.weights.shape, start.apm.shape, start.counts.shape, start.words.shape], run)
+    return Decisions(got[2].astype(np.float32), got[0], got[1], got[3].astype(np.float32)) if got else start
+
+
+def spelt(words: DataFrame, held, learned) -> DataFrame:
+    """(token, bits) of distinct words (token)."""
+    import pyarrow as pa
+
+    def run(batches):
+        m = Model(*held.value, *learned.value)
+        for batch in in_batches((None, t) for (t,) in rows(batches, "token")):
+            c = Contexts([x for _, x in batch])
+            bits = np.add.reduceat(m.bits(c)[c.where], c.starts)
+            yield pa.RecordBatch.from_arrays([pa.array([x for _, x in batch], pa.binary()), pa.array(bits)], names=["token", "bits"])
+
+    return words.select("token").mapInArrow(run, "token binary, bits double")
+
+
+SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, bits double, base double, known long, first string, again string"
 
 
 def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -289,43 +576,64 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = cut(token_counts(docs))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    total, distinct, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     below = math.log10(total + 0.5 * (distinct + 1))
-    top = counts.where(F.octet_length("token") <= 64).orderBy(F.desc("c"), "token").limit(FREQUENT).select("token", "c")
-    frequent = spark.sparkContext.broadcast({bytes(r.token): r.c for r in top.toLocalIterator()})  # at most FREQUENT short tokens
-    held = spark.sparkContext.broadcast(tables(docs))
-    m = tuned(docs, held)
+    top = counts.where((F.col("c") >= 2) & (F.octet_length("token") <= LONGEST)).orderBy(F.desc("c"), "token").limit(FREQUENT)
+    common = [(bytes(r.token), r.c) for r in top.toLocalIterator()]  # at most FREQUENT short tokens
+    hashes, times = np.array([xxhash.xxh3_64_intdigest(w) for w, _ in common], U64), np.array([c for _, c in common], np.int64)
+    kinds = told(docs, [w for w, _ in common if w != _END_TOKEN][:TELLING])
+    if kinds:  # ranks count the end
+        end = next((i for i, (w, _) in enumerate(common[:TELLING]) if w == _END_TOKEN), None)
+        if end is not None:
+            kinds = kinds[0], np.insert(kinds[1], end, 1.0, axis=1)
+    frequent = spark.sparkContext.broadcast(Frequent(hashes, times, *(kinds or ())))
+    del common
+    bits = slot_bits(distinct)
+    held = spark.sparkContext.broadcast((bits, *tables(counts, bits)))
+    m = tuned(counts, held)
     learned = spark.sparkContext.broadcast((m.weights, m.apm))
-    arrow = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("bits", pa.float64()), ("base", pa.float64()), ("known", pa.int64()), ("tail", pa.list_(pa.binary())), ("tail_n", pa.list_(pa.int64()))])
+    decisions = spark.sparkContext.broadcast(decided(docs, frequent))
+    # what a rare token is, by training tokens without themselves: unknown, or known in another place
+    rare_total = total - int(times.sum())
+    known_rare = 2 * twice + rare_total - once
+    unknown = (once + 0.5) / (once + known_rare + 1)
+    arrow = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("bits", pa.float64()), ("base", pa.float64()), ("known", pa.int64()), ("first", pa.string()), ("again", pa.string())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        model, common, row = Model(held.value, *learned.value), frequent.value, TaskContext.get().partitionId() << 40
+        d, often, row = decisions.value, frequent.value, TaskContext.get().partitionId() << 40
         for batch in in_batches(_texts(batches)):
-            c = Contexts([x for _, x in batch])
-            bits = np.add.reduceat(model.bits(c)[c.where], c.starts)
+            words = [t.translate(LOWER).split() for _, t in batch]
+            s = Stream(words, often, 2)
+            cost = np.add.reduceat(d.bits(s, often), s.starts)
+            base = np.add.reduceat(np.where(s.often, np.log10(s.count + 0.5) - below, 0.0), s.starts)
+            known = np.add.reduceat(s.often.astype(np.int64), s.starts)
+            rare = np.flatnonzero(~s.often)
+            edge = np.searchsorted(rare, np.append(s.starts, len(s.t)))
             out = []
-            for (k, x), cost in zip(batch, bits, strict=True):
-                n = Counter(x.translate(LOWER).split())
-                n[_END_TOKEN] += 1
-                base, known, tail = 0.0, 0, []
-                for t, times in n.items():
-                    got = common.get(t)
-                    if got is None:
-                        tail.append((t, times))
-                    else:
-                        base += times * (math.log10(got + 0.5) - below)
-                        known += times
-                out.append((row, k, fold(k) == HELD, sum(n.values()), len(x), float(cost), base, known, [t for t, _ in tail], [i for _, i in tail]))
+            for i, ((k, t), w) in enumerate(zip(batch, words, strict=True)):
+                at = rare[edge[i] : edge[i + 1]]
+                new = s.seen[at]
+                at = (at - s.starts[i]).tolist()
+                got: tuple[list, list] = ([], [])
+                for p, again in zip(at, new.tolist(), strict=True):
+                    got[again].append(w[p] if p < len(w) else _END_TOKEN)
+                tails = [b" ".join(x).decode("utf-8", "replace") if x else None for x in got]
+                out.append((row, k, fold(k) == HELD, len(w) + 1, len(t), float(cost[i]), float(base[i]), int(known[i]), *tails))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     main = cut(docs.mapInArrow(run, SCHEMA))
-    tail = main.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.tail_n").alias("n"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rest = tail.join(counts, "token", "left").groupBy("row").agg(F.sum(F.col("n") * (F.log10(c + 0.5) - F.lit(below))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"))
-    out = main.drop("tail", "tail_n").join(rest, "row", "left")
+    part = lambda c: main.where(F.col(c).isNotNull()).select("row", "held_out", F.lit(c == "first").alias("first"), F.explode(F.split(c, " ")).alias("token"))
+    tail = part("first").unionByName(part("again")).withColumn("token", F.col("token").cast("binary"))
+    # all words of training texts are known; those of held-out texts may not be, and are spelt once each
+    odd = part("first").where("held_out").select(F.col("token").cast("binary").alias("token")).distinct().join(counts, "token", "left_anti")
+    draws = F.lit(-math.log2(1 - unknown)) - F.log2(F.col("c") / F.lit(float(max(rare_total, 1))))
+    prices = counts.select("token", "c", draws.alias("bits")).unionByName(spelt(odd, held, learned).select("token", F.lit(0).cast("long").alias("c"), (F.col("bits") + F.lit(-math.log2(unknown))).alias("bits")))
+    rest = tail.join(prices, "token").groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.5) - F.lit(below)).alias("more"), F.count_if(F.col("c") > 0).alias("more_known"), F.sum(F.when(F.col("first"), F.col("bits")).otherwise(0.0)).alias("more_bits"))
+    out = main.drop("first", "again").join(rest, "row", "left")
+    bits_ = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
     return out.select(
         F.col("doc_id").alias(id_col),
         "held_out",
@@ -333,6 +641,6 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (-F.col("bits") * math.log10(2)).alias("score"),
-        (F.col("bits") / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
+        (-bits_ * math.log10(2)).alias("score"),
+        (bits_ / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
     )

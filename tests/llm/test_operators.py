@@ -103,7 +103,14 @@ def test_lm(docs, texts):
 
 
 def test_lm_probabilities_sum_to_one():
-    m = lm.Model(np.random.default_rng(1).integers(0, 9, (lm.OFFSETS[-1], 2)).astype(np.uint16))
+    rng, bits = np.random.default_rng(1), lm.slot_bits(100)
+    slots = sum(1 << b for b in bits)
+    checks = np.zeros(slots, np.uint8)
+    for b in range(256):
+        for *_, places in lm.Contexts([b"the cat" + bytes([b])]).nodes(bits):
+            for s, check in places:
+                checks[s] = check
+    m = lm.Model(bits, rng.integers(0, 9, (slots, 2)).astype(np.uint16), checks)
     cost = 0.0
     for b in range(256):
         c = lm.Contexts([b"the cat" + bytes([b])])

@@ -90,13 +90,77 @@ def test_secrets_without_letters(spark):
     assert all(r.n == 1 for r in got.values())
 
 
+def some_frequent(words, times, kinds=None):
+    return lm.Frequent(np.array([lm.xxhash.xxh3_64_intdigest(w) for w in words], np.uint64), np.array(times), *(kinds or ()))
+
+
 def test_all_training_folds_step_the_weights(spark):
-    start = lm.Model(np.zeros((1, 2), np.uint16)).weights
+    start = lm.Decisions().weights
+    frequent = spark.sparkContext.broadcast(some_frequent([b"some", b"words", b"of"], [9, 8, 7]))
     for f in range(lm.FOLDS):
         ids = [k for k in range(40) if lm.fold(k) == f]
         docs = spark.createDataFrame([(k, f"some words of text {k} and some more words of it") for k in ids], "id long, text string")
-        weights = lm.tuned(docs, spark.sparkContext.broadcast(lm.tables(docs))).weights
-        assert (f == lm.HELD) == np.array_equal(weights, start)
+        assert (f == lm.HELD) == np.array_equal(lm.decided(docs, frequent).weights, start)
+
+
+def test_decisions_against_a_token_by_token_model():
+    """Every text by itself, one token after the other, gives what the streams of many texts give."""
+    rng = np.random.default_rng(12)
+    words = [b"w%d" % i for i in range(30)]
+    shares, telling = np.full(3, 1 / 3), rng.dirichlet(np.ones(10), 3)
+    frequent = some_frequent(words[:20], list(range(60, 40, -1)), (shares, telling))
+    texts = [[words[i] for i in np.minimum(rng.zipf(1.5, n) - 1, 29)] for n in (0, 1, 2, 7, 60, 200)]
+    texts[-1] += texts[-1][40:90]
+    d = lm.Decisions()
+    for _ in range(3):
+        d.learn(lm.Stream(texts, frequent, 2), frequent)
+    s = lm.Stream(texts, frequent, 2)
+    bits, at = d.bits(s, frequent), 0
+    for t in texts:
+        alone = lm.Stream([t], frequent, 2)
+        assert np.allclose(d.bits(alone, frequent), bits[at : at + len(t) + 1])
+        full, log, streak = [*t, b"\n"], np.log(shares), 0
+        yes, trials = [0, 0, 0], [0, 0, 0]
+        for i, w in enumerate(full):
+            before = full[:i]
+            last = max((j for j in range(i - 1) if before[j] == before[-1]), default=None) if i else None
+            hit = last is not None and before[last + 1] == w
+            n = before.count(w)
+            assert (alone.hit[i], alone.before[i], alone.seen[i], alone.has[i]) == (hit, n, n > 0, last is not None)
+            assert alone.kind[i] == log.argmax() and (alone.past[i] == 4) == (i == 0)
+            if w in words[:10]:
+                log = log + np.log(telling[:, words.index(w)])
+            streak = streak + 1 if hit else 0
+            met = (last is not None, not hit and i > 0, not hit)
+            outcome = (hit, n > 0, w in words[:20])
+            for k in range(3):
+                yes[k] += met[k] and outcome[k]
+                trials[k] += met[k]
+        for k, got, outcome, *_ in alone.decisions():
+            assert (outcome.sum(), len(got)) == (yes[k], trials[k])
+        at += len(t) + 1
+
+
+def test_unknown_words_are_spelt_and_copies_are_cheap(spark):
+    rng = np.random.default_rng(13)
+    syllables = "ba den fo gar hel jo kin lam mor nel pen rus sol tam".split()
+    text = lambda n: " ".join("".join(rng.choice(syllables, 3)) for _ in range(n))
+    texts = {k: text(200) for k in range(60)}
+    held = next(k for k in texts if lm.fold(k) == lm.HELD)
+    texts[held] = text(100) + " qzxwvy"
+    twice = next(k for k in texts if lm.fold(k) == lm.HELD and k != held)
+    half = text(100)
+    texts[twice] = f"{half} {half}"
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    longer = {**texts, held: texts[held] + " qzxwvy" * 20}
+    more = {r.doc_id: r for r in lm.score(spark.createDataFrame(list(longer.items()), "doc_id long, text string")).collect()}
+    assert more[held].n_known == got[held].n_known and 20 * -5 < more[held].score - got[held].score < 0
+    assert got[twice].score > 0.85 * got[twice].base_score
+
+
+def test_held_out_texts_are_likelier_than_by_counts(spark):
+    rows = [r for r in lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
+    assert np.mean([r.score for r in rows]) > np.mean([r.base_score for r in rows])
 
 
 def test_equal_substrings_of_long_runs_share_hashes(spark):
