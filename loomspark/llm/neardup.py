@@ -25,8 +25,9 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspark.llm.common import LOWER, U64, batches_of, cut, encoded, mix64, rows
 
@@ -37,6 +38,8 @@ PER_CENT = 75
 FIRST_BANDS, BLOCK, BLOCK_SHINGLES = 3, 1024, 1 << 18
 #: Ids up to which they are broadcast (under 2 MB), and hot keys at most (under 3 MB).
 FEW_IDS, HOT_KEYS, HOT_ROWS = 200_000, 50_000, 256
+#: Rows of a partition of links.
+FEW_ROWS = 50_000
 _M = U64(0x9E3779B97F4A7C15)
 
 
@@ -268,9 +271,9 @@ def _confirmed_in_blocks(docs: DataFrame, id_col: str, text_col: str, likely: Da
                             out[1].append(max(ids[i], ids[j]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    group = cut(components(likely).withColumnRenamed("component", "g").join(sketch.select("id", "n_shingles", "mini"), "id"))
+    group = counted(components(likely).withColumnRenamed("component", "g").join(sketch.select("id", "n_shingles", "mini"), "id"))[0]
     group = _placed(group, found)
-    per = F.least(F.greatest(F.col("n") / 16, F.lit(BLOCK // 4)), F.lit(BLOCK_SHINGLES) * F.col("n") / F.col("sum"))
+    per = F.least(F.greatest(F.col("n") / 8, F.lit(BLOCK // 4)), F.lit(BLOCK_SHINGLES) * F.col("n") / F.col("sum"))
     blocks = group.groupBy("g").agg(F.sum("n_shingles").alias("sum"), F.count("*").alias("n")).select("g", F.ceil(F.col("n") / per).cast("int").alias("blocks"))
     placed = group.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     full = placed.join(_sets(docs, id_col, text_col, group.select("id")), "id")
@@ -290,23 +293,33 @@ def _met(rows_: DataFrame, table: DataFrame, key: str, n: str, limit: int) -> Da
     return rows_.join(hot, key).unionByName(cold.join(table.where(F.col(n) < limit), key))
 
 
+def counted(df: DataFrame, *more) -> tuple[DataFrame, tuple]:
+    """df with its lineage cut, in as many partitions as its rows need, and (rows, *more), which the same job gathers."""
+    seen = Observation()
+    names = [f"m{i}" for i in range(len(more))]
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(x) for c, x in zip(more, names, strict=True))))
+    got = seen.get
+    return out.coalesce(1 + got["n"] // FEW_ROWS), (got["n"], *(got[x] for x in names))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of edges (a, b) by alternating large-star and small-star; component is its least node."""
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    sum_ = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    edges, before = counted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), sum_)
+    while before[0]:
+        few = 1 + before[0] // FEW_ROWS
+        limit = max(HOT_ROWS, 2 * before[0] // HOT_KEYS)
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(few)
+        low = counted(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))[0]
+        large = _met(both.where("v > u"), low, "u", "n", limit).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(few)
+        # after a large-star a node points down only, to the least ones of its neighbours, whose copies go first
+        down = large.groupBy("u", "v").agg(F.lit(1).alias("one")).coalesce(few)
+        small = down.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges, now = counted(small.select("e.u", "e.v").where("u <> v").coalesce(few).distinct(), sum_)
         if now == before:
             break
         before = now
-        limit = max(HOT_ROWS, 2 * now[0] // HOT_KEYS)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-        large = _met(both.where("v > u"), low, "u", "n", limit).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # after a large-star a node points down only, so its least one is one of few
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = cut(small.select("e.u", "e.v").where("u <> v").distinct())
     root = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
     return root.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct().join(root.select("id"), "id", "left_anti"))
 
@@ -345,18 +358,18 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         """Components after these links (a, b)."""
         if found is not None:
             links = links.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        return cut(components(links))
+        return counted(components(links))[0]
 
     for some in (members.where(F.col("band") < FIRST_BANDS), members):
         at = _placed(some, found)
-        met = _met(at, cut(_hubs(at)), "key", "n_all", limit).where("c <> hub_c")
+        met = _met(at, counted(_hubs(at))[0], "key", "n_all", limit).where("c <> hub_c")
         # of a component's hubs a member takes one
         pairs = met.groupBy("id", "hub_c").agg(F.min("hub").alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        found = merged(_confirmed(docs, id_col, text_col, cut(_screened(pairs, sketch, n))))
+        found = merged(_confirmed(docs, id_col, text_col, counted(_screened(pairs, sketch, n))[0]))
     # what is still apart: all pairs across components, compared in blocks
     at = _placed(members.drop("band"), found)
-    rest = cut(_blocks(cut(_met(at, cut(_hubs(at)), "key", "n_all", limit)), sketch, n))
-    if not rest.isEmpty():
+    rest, (n_rest,) = counted(_blocks(cut(_met(at, counted(_hubs(at))[0], "key", "n_all", limit)), sketch, n))
+    if n_rest:
         found = merged(_confirmed_in_blocks(docs, id_col, text_col, rest, found, sketch, n))
     classes = reps.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = keys.join(classes, "set_key", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
