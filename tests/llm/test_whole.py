@@ -1,11 +1,17 @@
 """Cases in which an operator once did less than the whole job."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.llm import fingerprints, lm, passages, pii
 
 
+@pytest.fixture(scope="module")
+def docs_small(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet").cache()
+
+
 def test_a_later_passage_is_one_chain():
     """The end of a long passage is the best place before a later one, but too far from it."""
     first = [(i, i) for i in range(50)]
@@ -225,3 +231,35 @@ def test_equal_substrings_of_long_runs_share_hashes(spark):
         assert pairs.select(near).first()[0] > 0.7
     plain = spark.createDataFrame([("one two threefourfive six\nseven " + "y" * 64,)], "t string").select(F.size(F.regexp_extract_all(F.regexp_replace("t", fingerprints.LONG, " $0 "), F.lit(fingerprints.UNIT), F.lit(0)))).first()[0]
     assert plain == 14
+
+
+def test_fertility_rejects_what_the_base_rule_keeps(docs_small):
+    """Symbols between words go by the method alone; prose of four languages stays."""
+    from loomspark.llm import quality
+
+    rows = quality.measure(docs_small).collect()
+    texts = {r.doc_id: r.text for r in docs_small.collect()}
+    passed = [r for r in rows if not r.base_failed]
+    junk = [r for r in passed if r.n_symbols > r.n_words]
+    assert len(junk) > 10 and not any(r.kept for r in junk) and all("chars_per_token" in r.rejected_by for r in junk)
+    clean = [r for r in passed if r.n_symbols == 0]
+    assert np.mean([r.kept for r in clean]) > 0.99 and len(clean) > 500
+    for r in rows[:40]:  # the verdict anew, word by word
+        words = texts[r.doc_id].encode().split()
+        ok = True
+        for v in quality.VOCABULARIES:
+            enc, bands = quality.bpe(v), quality.BANDS.get(v, quality.ENGLISH)
+            ids = [i for w in words for i in enc.encode_ordinary(" " + w.decode())]
+            low, high, most, least = bands[r.script]
+            n = {i: ids.count(i) for i in set(ids)}
+            h = -sum(c / len(ids) * np.log2(c / len(ids)) for c in n.values()) if ids else 0
+            lone = 0
+            for i in ids:
+                try:
+                    enc.decode_single_token_bytes(i).decode()
+                except UnicodeDecodeError:
+                    lone += 1
+            chars = sum(len(w.decode()) for w in words)
+            if ids:
+                ok &= low <= chars / len(ids) <= high and lone / len(ids) <= most and (h / np.log2(min(len(ids), 4096)) if len(ids) > 1 else 0) >= least
+        assert r.kept == (ok and not r.base_failed)
