@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
+import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to a-z only, as bytes.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -24,11 +25,13 @@ def encoded(text: str | None) -> bytes:
 
 
 def ensure_checkpoint(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; sets a folder of its own only where none is set (tests)."""
+    """Uses spark.checkpoint.dir. Only where Spark runs in this process alone (tests) a folder of its own will do."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or "/tmp/loomspark-checkpoints")
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomspark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,6 +40,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, in any case of letters."""
+    had = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in had:
+            n += "_"
+        out.append(n)
+    return out
+
+
+#: Hot keys at most (a few MB with short values), and rows from which a key may be one.
+HOT_KEYS, HOT_ROWS = 50_000, 256
+
+
+def hot_limit(rows: int) -> int:
+    """Rows from which a key is hot, so that no more than HOT_KEYS are."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def met(rows_: DataFrame, table: DataFrame, key: list[str], n: str, limit: int, short=None) -> DataFrame:
+    """rows_ joined with table, which has a row for each key and n, the number of its rows (or about it).
+
+    Keys with limit rows or more (that are short, if that is asked) are few and go to the rows by broadcast; only the
+    others are dealt out, so no key is one task's.
+    """
+    is_hot = F.col(n) >= limit if short is None else (F.col(n) >= limit) & short
+    hot = table.where(is_hot)
+    cold = rows_.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return rows_.join(F.broadcast(hot), key).unionByName(cold.join(table.where(~is_hot), key))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x.astype(U64, copy=True)
@@ -59,9 +94,6 @@ def bpe(file: str):
     return tiktoken.Encoding(file, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_SURROGATE = re.compile("[\ud800-\udfff]")
-
-
 def rows(batches, *names):
     """Python tuples of the named columns of Arrow batches."""
     for b in batches:

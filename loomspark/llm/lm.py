@@ -139,7 +139,7 @@ def in_batches(pairs, most: int = BATCH):
         yield out
 
 
-def stepped(weights, gate, x: list, err, spread) -> None:
+def taken(weights, gate, x: list, err, spread) -> None:
     """One online step of the mixing weights of each gate, by the gradient of coding cost over its curvature."""
     for k, v in enumerate(x):
         curve = np.bincount(gate, spread * v**2, len(weights))
@@ -148,9 +148,10 @@ def stepped(weights, gate, x: list, err, spread) -> None:
 
 def mixed(weights, gate, x: list) -> tuple[np.ndarray, np.ndarray]:
     """The mixed log odds, and its probability."""
-    z = weights[gate, len(x)] * 0.3
+    w = weights.astype(np.float32)
+    z = w[gate, len(x)] * np.float32(0.3)
     for k, v in enumerate(x):
-        z += weights[:, k][gate] * v
+        z += w[:, k][gate] * v
     np.clip(z, -12, 12, out=z)
     return z, 1 / (1 + np.exp(-z))
 
@@ -166,6 +167,15 @@ def step_of(z) -> np.ndarray:
     return np.clip(np.rint((z + 8) * 2), 0, APM_STEPS - 1).astype(np.int64)
 
 
+ALMOST = np.float32(0.2)
+
+
+def odds(counts: np.ndarray) -> np.ndarray:
+    """The estimate of each slot as log odds."""
+    n = np.log(counts.astype(np.float32) + ALMOST)
+    return n[:, 1] - n[:, 0]
+
+
 class Model:
     """Spelling: tables, weights and map; predicts the bits of Contexts."""
 
@@ -173,14 +183,17 @@ class Model:
         self.layout, self.counts, self.checks = bits, counts, checks  # (slots of all contexts, 2), (slots,)
         self.weights = np.full((GATES, N_CTX + 1), 0.2) if weights is None else weights
         self.apm = np.zeros((256 * APM_STEPS, 2)) if apm is None else apm
+        self.odds: np.ndarray | None = None
 
     def stretched(self, slot, check, own=None) -> np.ndarray:
         """The estimates as log odds, without the own bit if it is given; 0 where nothing was seen."""
-        n = self.counts[slot].astype(np.float64)
-        if own is not None:
-            at = np.arange(len(own))
-            n[at, own] = np.maximum(n[at, own] - 1, 0)
-        return np.where(self.checks[slot] == check, np.log((n[:, 1] + 0.2) / (n[:, 0] + 0.2)), 0.0)
+        held = self.checks[slot] == check
+        if own is None:
+            if self.odds is None:
+                self.odds = odds(self.counts)
+            return self.odds[slot] * held
+        n = self.counts[slot].astype(np.float32)
+        return np.log((np.maximum(n[:, 1] - own, 0) + ALMOST) / (np.maximum(n[:, 0] - (1 - own), 0) + ALMOST)) * held
 
     def gate(self, j: int, x: list) -> np.ndarray:
         """Bit place and number of contexts with an estimate."""
@@ -205,7 +218,7 @@ class Model:
             x = [self.stretched(*s, bit) for s in slots]
             gate = self.gate(j, x)
             z, p = mixed(self.weights, gate, x)
-            stepped(self.weights, gate, [*x, np.full(len(bit), 0.3)], (bit - p) * c.times, p * (1 - p) * c.times)
+            taken(self.weights, gate, [*x, np.full(len(bit), 0.3)], (bit - p) * c.times, p * (1 - p) * c.times)
             cell = node * APM_STEPS + step_of(z)
             self.apm[:, 1] += np.bincount(cell, bit * c.times, len(self.apm))
             self.apm[:, 0] += np.bincount(cell, (1 - bit) * c.times, len(self.apm))
@@ -303,9 +316,9 @@ class Stream:
         self.place = place
         self.lens = lens
         tells = np.flatnonzero(self.rank < frequent.telling.shape[1])
-        likely = np.zeros((n, len(frequent.shares)))
+        likely = np.zeros((n, len(frequent.shares)), np.float32)
         likely[tells] = frequent.telling[:, self.rank[tells]].T
-        self.kind = (self.inside(likely) + frequent.shares).argmax(axis=1)
+        self.kind = (self.inside(likely) + frequent.shares.astype(np.float32)).argmax(axis=1)
         self.of = [(np.flatnonzero(self.has), self.hit), (np.flatnonzero(~self.hit & (self.t > 0)), self.seen), (np.flatnonzero(~self.hit), self.often)]
 
     def inside(self, v: np.ndarray) -> np.ndarray:
@@ -334,12 +347,12 @@ class Decisions:
         self.weights = np.full((DECISIONS * 16, len(REGIONS) + 1), 0.3) if weights is None else weights
         self.apm = np.zeros((DECISIONS * 5 * APM_STEPS, 2)) if apm is None else apm
         self.words = np.zeros((CLASSES, CLASSED + 1), np.float32) if words is None else words
+        self.odds: np.ndarray | None = None
 
     def predicted(self, slots, gate, row):
-        x = []
-        for s in slots:
-            n = self.counts[s].astype(np.float64) + 0.2
-            x.append(np.log(n[:, 1] / n[:, 0]))
+        if self.odds is None:
+            self.odds = odds(self.counts)
+        x = [self.odds[s] for s in slots]
         z, p = mixed(self.weights, gate, x)
         cell = row + step_of(z)
         return x, p, cell, refined(self.apm, cell, p)
@@ -371,12 +384,13 @@ class Decisions:
             if not len(at):
                 continue
             yes, times = (own[at], np.ones(len(at))) if d == 1 else (outcome.astype(np.float64), 1 - own[at] if d == 2 else np.ones(len(at)))
-            stepped(self.weights, gate, [*x, np.full(len(p), 0.3)], (yes - p) * times, p * (1 - p) * times)
+            taken(self.weights, gate, [*x, np.full(len(p), 0.3)], (yes - p) * times, p * (1 - p) * times)
             both = np.stack([(1 - yes) * times, yes * times], axis=1)
             for table, k in ((self.apm, cell), *((self.counts, k) for k in slots)):
                 low, size = int(k.min()), int(k.max()) - int(k.min()) + 1
                 for b in (0, 1):
                     table[low : low + size, b] += np.bincount(k - low, both[:, b], size).astype(table.dtype)
+        self.odds = None
         np.add.at(self.words, (s.kind[s.often], np.minimum(s.rank[s.often], CLASSED)), 1)
 
     def bits(self, s: Stream, frequent: Frequent) -> np.ndarray:
@@ -468,35 +482,51 @@ def tables(words: DataFrame, bits: tuple[int, ...]) -> tuple[np.ndarray, np.ndar
 
 
 def averaged(df: DataFrame, shapes: list[tuple], run) -> list[np.ndarray] | None:
-    """Weights averaged by n and other arrays added up over the tasks of run, which yields (n, weights, arrays...)."""
+    """Weights averaged by n and other arrays added up over the tasks of run, which gives (n, [weights, arrays...]).
+
+    Tasks emit the blocks that aren't zero; sums are by block, first for groups of tasks; the driver gets one sum of
+    fixed size.
+    """
     import pyarrow as pa
 
-    names = ["n", *(f"a{k}" for k in range(len(shapes)))]
-    schema = "n double, " + ", ".join(f"{c} binary" for c in names[1:])
+    sizes = [1, *(int(np.prod(x)) for x in shapes)]
+    per, ends = 1 << BLOCK_BITS, np.cumsum(sizes)
+    schema = "block long, turn long, packed binary"
 
-    def batch(n, arrays):
-        return pa.RecordBatch.from_arrays([pa.array([float(n)]), *(pa.array([np.asarray(a, np.float32).tobytes()], pa.binary()) for a in arrays)], names=names)
+    def batch(got):
+        keys, turns, packed = zip(*got, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(turns, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in packed], pa.binary())], names=["block", "turn", "packed"])
 
     def each(batches):
+        from pyspark import TaskContext
+
         n, arrays = run(batches)
         if n:
-            yield batch(n, [arrays[0] * n, *arrays[1:]])
+            flat = np.concatenate([[n / 1e6], np.ravel(arrays[0]) * (n / 1e6), *map(np.ravel, arrays[1:])])
+            parts = ((i, flat[i * per : (i + 1) * per]) for i in range(-(-len(flat) // per)))
+            for i, x in parts:
+                if x.any():
+                    yield batch([(i, TaskContext.get().partitionId() % 64, x)])
 
     def add(batches):
-        n, sums = 0.0, None
+        sums: dict = {}
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(len(names))), strict=True):
-                got = [np.frombuffer(x, np.float32).astype(np.float64) for x in r[1:]]
-                n, sums = n + r[0], got if sums is None else [x + y for x, y in zip(sums, got, strict=True)]
-        if n:
-            yield batch(n, sums)
-
-    got = df.mapInArrow(each, schema).repartition(8, F.xxhash64("a0")).mapInArrow(add, schema).collect()  # at most 8 rows
-    if not got:
+            for key, turn, packed in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                x = np.frombuffer(packed, np.float32).astype(np.float64)
+                sums[key, turn] = sums[key, turn] + x if (key, turn) in sums else x
+        for (key, turn), x in sums.items():
+            yield batch([(key, turn, x)])
+
+    groups = df.mapInArrow(each, schema).repartition("block", "turn").mapInArrow(add, schema)
+    got = groups.withColumn("turn", F.lit(0).cast("long")).repartition("block").mapInArrow(add, schema).collect()  # each block once
+    flat = np.zeros(ends[-1])
+    for r in got:
+        x = np.frombuffer(r.packed, np.float32)
+        flat[r.block * per : r.block * per + len(x)] = x
+    if not flat[0]:
         return None
-    sums = [sum(np.frombuffer(r[c], np.float32).astype(np.float64) for r in got) for c in names[1:]]
-    sums[0] = sums[0] / sum(r.n for r in got)
-    return [x.reshape(s) for x, s in zip(sums, shapes, strict=True)]
+    out = [flat[a:b].reshape(s) for a, b, s in zip(ends[:-1], ends[1:], shapes, strict=True)]
+    return [out[0] / flat[0], *out[1:]]
 
 
 def tuned(words: DataFrame, held) -> Model:
@@ -590,7 +620,7 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     del common
     bits = slot_bits(distinct)
     held = spark.sparkContext.broadcast((bits, *tables(counts, bits)))
-    m = tuned(counts, held)
+    m = tuned(counts.where("c = 1"), held)  # words that would be unknown without their one place
     learned = spark.sparkContext.broadcast((m.weights, m.apm))
     decisions = spark.sparkContext.broadcast(decided(docs, frequent))
     # what a rare token is, by training tokens without themselves: unknown, or known in another place

@@ -29,17 +29,15 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.llm.common import LOWER, U64, batches_of, cut, encoded, mix64, rows
+from loomspark.llm.common import LOWER, U64, batches_of, cut, encoded, hot_limit, met, mix64, rows
 
 WORDS, BANDS, ROWS = 5, 40, 4
 #: The threshold is PER_CENT of a hundred of the union.
 PER_CENT = 75
 #: Bands of the first turn of hubs; members, and shingles on average, of a block.
 FIRST_BANDS, BLOCK, BLOCK_SHINGLES = 3, 1024, 1 << 18
-#: Ids up to which they are broadcast (under 2 MB), and hot keys at most (under 3 MB).
-FEW_IDS, HOT_KEYS, HOT_ROWS = 200_000, 50_000, 256
-#: Rows of a partition of links.
-FEW_ROWS = 50_000
+#: Ids up to which they are broadcast (under 2 MB), and rows of a partition of links.
+FEW_IDS, FEW_ROWS = 200_000, 50_000
 _M = U64(0x9E3779B97F4A7C15)
 
 
@@ -203,8 +201,8 @@ def _blocks(apart: DataFrame, sketch: DataFrame, n: int) -> DataFrame:
     one = F.struct("id", "c", "n_shingles", "mini")
     left = known.where("c <> hub_c").select("key", block("n_out", 1).alias("i"), every("n_all").alias("j"), one.alias("l"), F.lit(None).alias("r"))
     right = known.select("key", every("n_out").alias("i"), block("n_all", 2).alias("j"), F.lit(None).alias("l"), one.alias("r"))
-    met = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list("l").alias("l"), F.collect_list("r").alias("r"))  # about BLOCK rows a side
-    return met.select("l", "r").mapInArrow(run, "a long, b long").distinct()
+    blocks = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list("l").alias("l"), F.collect_list("r").alias("r"))  # about BLOCK rows a side
+    return blocks.select("l", "r").mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
@@ -279,18 +277,8 @@ def _confirmed_in_blocks(docs: DataFrame, id_col: str, text_col: str, likely: Da
     full = placed.join(_sets(docs, id_col, text_col, group.select("id")), "id")
     dealt = full.select("g", F.struct("id", "c", "n_shingles", "mini", "s", "block").alias("m"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     dealt = dealt.select("g", F.least("other", "m.block").alias("i"), F.greatest("other", "m.block").alias("j"), "m")
-    met = dealt.groupBy("g", "i", "j").agg(F.collect_list("m").alias("members"))  # two blocks
-    return met.select("i", "j", "members").mapInArrow(run, "a long, b long").distinct()
-
-
-def _met(rows_: DataFrame, table: DataFrame, key: str, n: str, limit: int) -> DataFrame:
-    """rows_ joined with table, which has a row for each key and n, about the number of its rows.
-
-    Keys with limit rows or more are few and go to the rows; only the others are dealt out, so no key is one task's.
-    """
-    hot = F.broadcast(table.where(F.col(n) >= limit))
-    cold = rows_.join(F.broadcast(table.where(F.col(n) >= limit).select(key)), key, "left_anti")
-    return rows_.join(hot, key).unionByName(cold.join(table.where(F.col(n) < limit), key))
+    both = dealt.groupBy("g", "i", "j").agg(F.collect_list("m").alias("members"))  # two blocks
+    return both.select("i", "j", "members").mapInArrow(run, "a long, b long").distinct()
 
 
 def counted(df: DataFrame, *more) -> tuple[DataFrame, tuple]:
@@ -308,10 +296,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges, before = counted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), sum_)
     while before[0]:
         few = 1 + before[0] // FEW_ROWS
-        limit = max(HOT_ROWS, 2 * before[0] // HOT_KEYS)
+        limit = hot_limit(2 * before[0])
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(few)
         low = counted(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))[0]
-        large = _met(both.where("v > u"), low, "u", "n", limit).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(few)
+        large = met(both.where("v > u"), low, ["u"], "n", limit).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(few)
         # after a large-star a node points down only, to the least ones of its neighbours, whose copies go first
         down = large.groupBy("u", "v").agg(F.lit(1).alias("one")).coalesce(few)
         small = down.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
@@ -345,9 +333,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     keys = base.select("id", "n_shingles", "set_key")
     reps = base.where("n_shingles > 0").groupBy("set_key").agg(F.min_by(F.struct("id", "n_shingles", "sig", "mini"), "id").alias("x")).select("set_key", "x.*")
     bands = banded(reps)
-    limit = max(HOT_ROWS, BANDS * base.count() // HOT_KEYS)
+    limit = hot_limit(BANDS * base.count())
     shared = cut(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = cut(_met(bands, shared, "key", "n", limit))
+    members = cut(met(bands, shared, ["key"], "n", limit))
     # a document in the largest buckets is nearest the middle of its group, and the best hub
     central = members.groupBy("id").agg(F.sum("n").alias("central"))
     sketch = cut(reps.select("id", "n_shingles", "mini").join(central, "id"))
@@ -362,13 +350,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     for some in (members.where(F.col("band") < FIRST_BANDS), members):
         at = _placed(some, found)
-        met = _met(at, counted(_hubs(at))[0], "key", "n_all", limit).where("c <> hub_c")
+        meeting = met(at, counted(_hubs(at))[0], ["key"], "n_all", limit).where("c <> hub_c")
         # of a component's hubs a member takes one
-        pairs = met.groupBy("id", "hub_c").agg(F.min("hub").alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        pairs = meeting.groupBy("id", "hub_c").agg(F.min("hub").alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         found = merged(_confirmed(docs, id_col, text_col, counted(_screened(pairs, sketch, n))[0]))
     # what is still apart: all pairs across components, compared in blocks
     at = _placed(members.drop("band"), found)
-    rest, (n_rest,) = counted(_blocks(cut(_met(at, counted(_hubs(at))[0], "key", "n_all", limit)), sketch, n))
+    rest, (n_rest,) = counted(_blocks(cut(met(at, counted(_hubs(at))[0], ["key"], "n_all", limit)), sketch, n))
     if n_rest:
         found = merged(_confirmed_in_blocks(docs, id_col, text_col, rest, found, sketch, n))
     classes = reps.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
