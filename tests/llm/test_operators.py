@@ -36,7 +36,7 @@ OPS = {
     "passages": lambda d: passages.passages(d),
     "licenses": lambda d: licenses.scan_documents(d),
     "lm": lambda d: lm.score(d),
-    "pii": lambda d: pii.replace(d),
+    "pii": lambda d: pii.replace(d, "k"),
     "mixing": lambda d: mixing.mix(d),
     "neardup": lambda d: neardup.near_duplicates(d),
     "keep_one": lambda d: neardup.keep_one(d),
@@ -121,7 +121,7 @@ def test_lm_probabilities_sum_to_one():
 
 def test_surrogates(spark):
     rows = [(1, "call +1 (212) 555-1234 or mail Ann.Lee@x.org, card 4111111111111111."), (2, "again +1 (212) 555-1234; ip 10.20.30.40; ann.lee@x.org; Mrs. Clara Stone"), (3, "nothing here")]
-    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k", count_col="n").collect()}
     a, b = got[1].text, got[2].text
     phone = re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}")
     assert phone.search(a)[0] == phone.search(b)[0] != "+1 (212) 555-1234"
@@ -135,7 +135,7 @@ def test_surrogates(spark):
 
 def test_surrogates_are_distinct(spark):
     forms = spark.range(3000).select(F.lit("phone").alias("kind"), F.concat(F.lit("212"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("canon"))
-    got = pii.surrogates(forms).collect()
+    got = pii.surrogates(forms, "k").collect()
     assert len(got) == 3000 == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & {r.canon for r in got}
 
 

@@ -132,14 +132,14 @@ def test_frequent_seeds_are_met_as_others(spark, monkeypatch):
 
 def test_addresses_of_one_digit_octets(spark):
     rows = [(1, "name server 8.8.8.8 here"), (2, "in 2024 it was 8.8.8.8 too"), (3, "version 1.2 of 3")]
-    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k", count_col="n").collect()}
     assert (got[1].n, got[2].n, got[3].n) == (1, 1, 0) and "8.8.8.8" not in got[1].text + got[2].text
     assert got[1].text.split()[2] == got[2].text.split()[4] and got[3].text == rows[2][1]
 
 
 def test_secrets_without_letters(spark):
     rows = [(1, "token: --------"), (2, "secret=________"), (3, "again token: --------"), *((10 + i, f"password: -------{i}") for i in range(10))]
-    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k", count_col="n").collect()}
     new = {k: r.text.split("=")[-1].split(" ")[-1] for k, r in got.items()}
     assert new[1] == new[3] and len(set(new.values())) == len(rows) - 1 and not {t.split("=")[-1].split(" ")[-1] for _, t in rows} & set(new.values())
     assert all(r.n == 1 for r in got.values())
@@ -263,3 +263,47 @@ def test_fertility_rejects_what_the_base_rule_keeps(docs_small):
             if ids:
                 ok &= low <= chars / len(ids) <= high and lone / len(ids) <= most and (h / np.log2(min(len(ids), 4096)) if len(ids) > 1 else 0) >= least
         assert r.kept == (ok and not r.base_failed)
+
+
+def replaced(spark, texts, key="k"):
+    return [r.text for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key).orderBy("doc_id").collect()]
+
+
+def test_parts_of_names_and_addresses_agree(spark):
+    a, b, c, d = replaced(spark, ["Mrs. Clara Stone and Mrs. Stone met Mr. David Stone", "to ann@corp.com and bob@corp.com", "bob@other.org", "Mrs. Clara Wood"])
+    w = a.split()
+    assert w[2] == w[5] == w[9] and "Stone" not in a and "Clara" not in a + d and d.split()[1] == w[1] and d.split()[2] != w[2]
+    one, two, three = b.split()[1], b.split()[3], c
+    assert one.split("@")[1] == two.split("@")[1] != three.split("@")[1] and two.split("@")[0] == three.split("@")[0] != one.split("@")[0]
+    assert replaced(spark, ["Mrs. Clara Stone"], "another key") != replaced(spark, ["Mrs. Clara Stone"])
+
+
+def test_numbers_come_from_ranges_that_nobody_has(spark):
+    got = replaced(spark, [f"call 415-867-{5300 + i}, ssn 123-45-{6700 + i}, host 8.8.{i}.8, key AKIA{i:016d}" for i in range(40)])
+    import re
+
+    assert len(set(got)) == 40
+    for t in got:
+        phone, ssn, ip, key = re.fullmatch(r"call ([\d-]+), ssn ([\d-]+), host ([\d.]+), key (\w+)", t).groups()
+        assert re.fullmatch(r"\d{3}-555-\d{4}", phone) and re.fullmatch(r"9\d\d-\d\d-\d{4}", ssn) and re.fullmatch(r"AKIA\d{16}", key)
+        assert re.match(r"192\.0\.2\.|198\.51\.100\.|203\.0\.113\.|198\.1[89]\.|2(?:4\d|5[0-4])\.", ip)
+
+
+def test_long_hosts_and_clashing_columns(spark):
+    long = "a@" + "b." * 20000 + "com x"
+    rows = [(1, long, 5, 6, "s"), (2, "mail me: x@y.org", 7, 8, "t")]
+    got = pii.replace(spark.createDataFrame(rows, "doc_id long, text string, _hits int, `_Row` int, s string"), "k")
+    out = {r.doc_id: r for r in got.collect()}
+    assert got.columns == ["doc_id", "text", "_hits", "_Row", "s"] and (out[2]["_hits"], out[2]["_Row"], out[2].s) == (7, 8, "t")
+    assert out[1].text == long and "x@y.org" not in out[2].text  # a host has 253 characters at most
+    assert "a@" not in replaced(spark, ["a@" + "b." * 100 + "com x"])[0]
+
+
+def test_a_small_space_grows(spark):
+    forms = spark.range(400).select(F.lit("given_greek_f").alias("kind"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("canon"))
+    assert len({r.surrogate for r in pii.surrogates(forms, "k").collect()}) == 400
+    import hashlib
+    import hmac
+
+    want = hmac.new(b"key", "text é".encode(), hashlib.sha256).hexdigest()
+    assert spark.range(1).select(pii._hmac("key", F.lit("text é")).alias("h")).first().h == want
