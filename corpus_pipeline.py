@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
-from loomspark.llm import mixing, neardup, packing, pii, quality
+from loomspark.llm import mixing, neardup, packing, pii, quality, queries
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the fertility rules reject go."""
+    """Documents that the fertility rules reject go; those without text fail the base rule. Empty tables stay empty."""
     return quality.keep(docs)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that of the least id; texts without words are in no group and
+    stay, as do all rows of an id that stays; rows without an id go."""
     return neardup.keep_one(docs)
 
 
 def surrogates(spark, docs, sf_dir):
-    """Personal data are replaced in the texts; n_chars follows."""
+    """Personal data are replaced in the texts; n_chars follows. Null texts stay null, with a null n_chars."""
     from pyspark.sql import functions as F
 
-    return pii.replace(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return pii.replace(docs, queries.surrogate_key(spark)).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Rows are repeated or left out so that sources meet their target weights."""
+    """Rows are repeated or left out so that sources meet their target weights; null sources are one source."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def pack(spark, docs, sf_dir):
-    """Pieces of token sequences."""
+    """Pieces of token sequences; a null text is its end alone."""
     return packing.pack(docs)
 
 
