@@ -14,7 +14,8 @@ With 40 bands of 4 rows a link of similarity 0.75 shares no bucket with probabil
 of the signature's estimate are allowed below the threshold.
 
 Defined cases: a document without words has an empty set and is linked with nothing; with fewer than five words the
-whole sequence is the one shingle; rows that repeat a doc_id are one document; an empty table gives an empty result;
+whole sequence is the one shingle; rows that repeat a doc_id are one document; rows without one are linked with nothing,
+have no component and are kept; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.llm.common import LOWER, U64, batches_of, cut, encoded, hot_limit, met, mix64, rows
+from loomspark.llm.common import LOWER, U64, batches_of, cut, encoded, fresh, hot_limit, met, mix64, rows
 
 WORDS, BANDS, ROWS = 5, 40, 4
 #: The threshold is PER_CENT of a hundred of the union.
@@ -331,7 +332,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     n = BANDS * ROWS
     base = cut(signed(docs, id_col, text_col))
     keys = base.select("id", "n_shingles", "set_key")
-    reps = base.where("n_shingles > 0").groupBy("set_key").agg(F.min_by(F.struct("id", "n_shingles", "sig", "mini"), "id").alias("x")).select("set_key", "x.*")
+    reps = base.where("n_shingles > 0 and id is not null").groupBy("set_key").agg(F.min_by(F.struct("id", "n_shingles", "sig", "mini"), "id").alias("x")).select("set_key", "x.*")
     bands = banded(reps)
     limit = hot_limit(BANDS * base.count())
     shared = cut(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -360,11 +361,12 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     if n_rest:
         found = merged(_confirmed_in_blocks(docs, id_col, text_col, rest, found, sketch, n))
     classes = reps.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    out = keys.join(classes, "set_key", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    out = keys.join(classes, "set_key", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, with their columns, that are the first of their group of near duplicates."""
-    kept = near_duplicates(docs, text_col, id_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+    (name,) = fresh(docs, "_kept_id")
+    kept = near_duplicates(docs, text_col, id_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(kept, F.col(id_col) == F.col(name), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
