@@ -12,7 +12,7 @@ def quality_rules(spark, docs, sf_dir):
 
 def near_dedup(spark, docs, sf_dir):
     """One document of each group of near duplicates stays, that of the least id; texts without words are in no group and
-    stay, as do all rows of an id that stays; rows without an id go."""
+    stay, as do all rows of an id that stays and rows without an id."""
     return neardup.keep_one(docs)
 
 
