@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 POPULATIONS = ("Adult", "Pediatric", "General")
 ANSWERS = ("a", "b", "c", "d")
 DIFFICULTIES = ("Easy", "Medium", "Hard")
+CATEGORIES = ("Pre-op Assessment", "Pharmacology & Fluid", "Airway & Equipment", "Crisis & Complication", "Post-op & Pain")
+QUESTION_TYPES = ("Management", "Calculation", "Diagnosis")
 
 
 def repaired(c: Column) -> Column:
@@ -37,23 +39,68 @@ def response_error(c: Column) -> Column:
     return F.coalesce(F.get_json_object(c, "$.error.message"), F.get_json_object(c, "$.error"))
 
 
+def kind(v: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID, ...; null where there is no value."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def inner(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def text_of(v: Column, name: str) -> Column:
+    """A field's text; null where it is no text."""
+    return F.when(kind(inner(v, name)) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+
+
+def lacking(v: Column, names) -> Column:
+    """The first of these fields that an object doesn't have (null counts as there), else null."""
+    return F.coalesce(*[F.when(inner(v, n).isNull(), f"{n} is missing") for n in names])
+
+
+def _blank(c: Column) -> Column:
+    return F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit("")) == ""
+
+
+def _one_of(c: Column, values) -> Column:
+    return F.coalesce(c.isin(*values), F.lit(False))
+
+
 def stage1_error(v: Column) -> Column:
-    """A page verdict: is_relevant a real boolean, a known population, and a category if relevant."""
-    text = lambda p: F.try_variant_get(v, f"$.{p}", "string")
+    """A page verdict: all fields, is_relevant a real boolean, a known population, a known category (null only if not
+    relevant), and a reason in words."""
+    no_category = kind(inner(v, "category")) == "VOID"
     return (
-        F.when(v.isNull(), "no JSON object")
-        .when(~F.coalesce(field_type(v, "is_relevant") == "BOOLEAN", F.lit(False)), "is_relevant is no boolean")
-        .when(~F.coalesce(text("target_population").isin(*POPULATIONS), F.lit(False)), "unknown target_population")
-        .when((text("is_relevant") == "true") & (F.coalesce(text("category"), F.lit("")) == ""), "category is missing")
+        F.when(F.coalesce(kind(v) != "OBJECT", F.lit(True)), "no JSON object")
+        .when(lacking(v, ("is_relevant", "target_population", "category", "reason")).isNotNull(), lacking(v, ("is_relevant", "target_population", "category", "reason")))
+        .when(kind(inner(v, "is_relevant")) != "BOOLEAN", "is_relevant is no boolean")
+        .when(~_one_of(text_of(v, "target_population"), POPULATIONS), "unknown target_population")
+        .when(~no_category & ~_one_of(text_of(v, "category"), CATEGORIES), "unknown category")
+        .when(no_category & F.try_variant_get(v, "$.is_relevant", "boolean"), "category is missing")
+        .when(kind(inner(v, "reason")) != "STRING", "reason is no text")
     )
 
 
-def stage2_error(rules: Column) -> Column:
-    """Rules: each with condition and action texts and at least one criterion."""
-    blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
-    bad = F.exists(rules, lambda r: blank(r["condition_base"]) | blank(r["action"]))
-    none = F.exists(rules, lambda r: F.coalesce(F.size(r["triggers"]), F.lit(0)) <= 0)
-    return F.when(rules.isNull(), "rules is no list").when(bad, "a rule has blank text").when(none, "a rule has no trigger")
+def rules_of(v: Column) -> Column:
+    """The rules of a stage 2 response, each a variant; null where there is no list."""
+    return F.when((kind(v) == "OBJECT") & (kind(inner(v, "rules")) == "ARRAY"), F.try_variant_get(v, "$.rules", "array<variant>"))
+
+
+def _rule_error(r: Column) -> Column:
+    triggers = F.when(kind(inner(r, "triggers")) == "ARRAY", F.try_variant_get(r, "$.triggers", "array<variant>"))
+    fields = ("condition_base", "action", "triggers", "source_fragment", "notes")
+    out = F.when(F.coalesce(kind(r) != "OBJECT", F.lit(True)), "a rule is no object").when(lacking(r, fields).isNotNull(), lacking(r, fields))
+    for name in ("condition_base", "action", "source_fragment"):
+        out = out.when(_blank(text_of(r, name)), f"{name} is blank")
+    out = out.when(F.coalesce(F.size(triggers), F.lit(0)) <= 0, "a rule has no trigger")
+    out = out.when(F.exists(triggers, lambda t: F.coalesce(kind(t) != "OBJECT", F.lit(True)) | _blank(text_of(t, "criterion"))), "a trigger has no criterion")
+    return out.when(~kind(inner(r, "notes")).isin("STRING", "VOID"), "notes is no text")
+
+
+def stage2_error(v: Column) -> Column:
+    """Rules: a list of objects with condition, action and source texts, triggers with criteria, and notes or null."""
+    errors = F.filter(F.transform(rules_of(v), _rule_error), lambda e: e.isNotNull())
+    return F.when(F.coalesce(kind(v) != "OBJECT", F.lit(True)), "no JSON object").when(rules_of(v).isNull(), "rules is no list").when(F.size(errors) > 0, F.get(errors, F.lit(0)))
 
 
 def normalized_options(options: Column) -> Column:
@@ -63,22 +110,62 @@ def normalized_options(options: Column) -> Column:
     return F.when(ok, low)
 
 
-def stage3_error(options: Column, answer: Column, population: Column, group_population: Column) -> Column:
-    return (
-        F.when(normalized_options(options).isNull(), "options are not a-d")
-        .when(~F.coalesce(F.lower(answer).isin(*ANSWERS), F.lit(False)), "answer is not a-d")
-        .when(~population.eqNullSafe(group_population), "population differs from its group")
-    )
+def nested(c: Column) -> Column:
+    """Text that holds a list or an object, as a variant: JSON, or the same with single quotes and Python's words."""
+    t = F.trim(c)
+    python = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.translate(t, "'", '"'), r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    python = F.regexp_replace(F.regexp_replace(F.regexp_replace(python, r"^\(", "["), r"\)$", "]"), r",\s*\]$", "]")
+    return F.when(t.rlike(r"^[\[{(]"), F.coalesce(F.try_parse_json(t), F.try_parse_json(python)))
+
+
+def options_of(v: Column) -> Column:
+    """The options of a question: an object, or one written as text; normalized, else null."""
+    o = inner(v, "options")
+    o = F.when(kind(o) == "STRING", nested(F.try_variant_get(v, "$.options", "string"))).otherwise(o)
+    texts = F.forall(F.map_values(F.try_variant_get(o, "$", "map<string,variant>")), lambda x: kind(x) == "STRING")
+    return F.when((kind(o) == "OBJECT") & texts, normalized_options(F.try_variant_get(o, "$", "map<string,string>")))
+
+
+def questions_of(v: Column) -> Column:
+    """The questions of a stage 3 response: a list of them, or one."""
+    return F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).when(v.isNotNull(), F.array(v))
+
+
+def _question_error(q: Column, population: Column, category: Column) -> Column:
+    fields = ("question_type", "target_population", "category", "patient_profile", "scenario", "question", "options", "correct_answer", "explanation", "difficulty")
+    out = F.when(F.coalesce(kind(q) != "OBJECT", F.lit(True)), "a question is no object").when(lacking(q, fields).isNotNull(), lacking(q, fields))
+    out = out.when(~_one_of(text_of(q, "question_type"), QUESTION_TYPES), "unknown question_type")
+    out = out.when(~text_of(q, "target_population").eqNullSafe(population), "population differs from its group")
+    out = out.when(~text_of(q, "category").eqNullSafe(category), "category differs from its group")
+    out = out.when(~_one_of(text_of(q, "difficulty"), DIFFICULTIES), "unknown difficulty")
+    for name in ("patient_profile", "scenario", "question", "explanation"):
+        out = out.when(_blank(text_of(q, name)), f"{name} is blank")
+    out = out.when(options_of(q).isNull(), "options are not a-d")
+    return out.when(~_one_of(F.lower(F.try_variant_get(q, "$.correct_answer", "string")), ANSWERS), "answer is not a-d")
+
+
+def stage3_error(v: Column, population: Column, category: Column) -> Column:
+    """Generated questions: at least one, each whole, of the population and category of its group."""
+    errors = F.filter(F.transform(questions_of(v), lambda q: _question_error(q, population, category)), lambda e: e.isNotNull())
+    return F.when(v.isNull(), "no JSON object").when(F.size(questions_of(v)) == 0, "no question").when(F.size(errors) > 0, F.get(errors, F.lit(0)))
 
 
 def profile(c: Column, original: Column) -> tuple[Column, Column]:
-    """(profile, question core); any failure gives the general patient and the original question."""
-    v = parsed(c)
-    p, q = F.try_variant_get(v, "$.patient_profile", "string"), F.try_variant_get(v, "$.question_core", "string")
-    ok = p.isNotNull() & q.isNotNull() & (F.lower(p) != "general patient")
-    return F.when(ok, p).otherwise("general patient"), F.when(ok, q).otherwise(original)
+    """(profile, question core) of a reply, plain or fenced. No JSON, no profile or the general patient anywhere in it gives
+    the general patient and the original question; a blank core gives the original question."""
+    t = F.trim(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    fenced = F.trim(F.regexp_replace(F.get(F.split(t, "```", -1), F.lit(1)), "^json", ""))
+    v = F.try_parse_json(F.when(t.contains("```"), fenced).otherwise(t))
+    field = lambda name: F.trim(F.coalesce(F.when(kind(v) == "OBJECT", F.try_variant_get(v, f"$.{name}", "string")), F.lit("")))
+    p, core = field("PATIENT_PROFILE"), field("QUESTION_CORE")
+    ok = (p != "") & ~F.lower(p).contains("general patient")
+    return F.when(ok, p).otherwise("general patient"), F.when(ok & (core != ""), core).otherwise(original)
 
 
 def membership(c: Column) -> Column:
-    """"a||b" text as ordered distinct trimmed names."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|\|"), F.trim), lambda x: x != ""))
+    """Sources in text as ordered distinct trimmed names: "a|b", a list written as text, or one name; null is none."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    v = nested(t)
+    listed = F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<string>"))
+    parts = F.when((t == "") | (F.lower(t) == "nan"), F.array().cast("array<string>")).otherwise(F.coalesce(listed, F.split(t, r"\|", -1)))
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != ""))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities that are decoded, after tags are gone; the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-ANSWER = r"(?i)final answer\s*(?:is)?\s*:?\s*\(?([a-d])"
-BARE = r"(?i)\(([a-d])\)"
+#: How an answer is given, the named way first.
+ANSWER = r"(?i)final\s*answer\s*:?\s*(?:option\s*)?[\(\[]?\s*([A-D])\s*[\)\]]?"
+BARE = r"(?i)\(([A-D])\)"
+#: A character reference that ends in a semicolon.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def strip(c: Column) -> Column:
@@ -25,28 +29,58 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
+def unescaped(c: Column) -> Column:
+    """Character references decoded, by number and by the names of HTML; unknown ones stay."""
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+    name = lambda e: e.substr(F.lit(2), F.length(e) - 2)
+    point = lambda n: F.when((n > 0) & (n < 1114112) & ~n.between(55296, 57343), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def decoded(e):
+        number = F.when(e.rlike("^&#[xX]"), F.conv(e.substr(F.lit(4), F.length(e) - 4), 16, 10).cast("long")).when(e.startswith("&#"), e.substr(F.lit(3), F.length(e) - 3).cast("long"))
+        return F.coalesce(point(number), F.when(number.isNull(), F.try_element_at(names, name(e))), e)
+
+    gaps, found = F.split(c, REFERENCE, -1), F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))
+    whole = F.array_join(F.zip_with(gaps, F.transform(found, decoded), lambda gap, e: F.concat(gap, F.coalesce(e, F.lit("")))), "")
+    return F.when(c.contains("&"), whole).otherwise(c)
+
+
 def clean_html(c: Column) -> Column:
-    """Scripts and styles dropped, tags to blanks, entities decoded, white space collapsed."""
+    """Scripts and styles dropped, tags to blanks, character references decoded, white space collapsed; null is empty."""
+    c = F.coalesce(c, F.lit(""))
     for tag in ("script", "style"):
         c = F.regexp_replace(c, rf"(?is)<{tag}[^>]*>.*?</{tag}\s*>", " ")
-    c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
-    for a, b in ENTITIES:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
-
-
-def split_at_headers(html: Column, tag: str = "header") -> tuple[Column, Column]:
-    """(pieces, number of headers): cut before every <tag ...>; a preamble stays with the first piece; blanks go."""
-    marked = F.regexp_replace(html, rf"(?i)(<{tag}(?:\s[^>]*)?>)", "\u0001$1")
-    parts = F.split(marked, "\u0001", -1)
-    n = (F.size(parts) - 1).cast("long")
-    glued = F.when(F.size(parts) > 1, F.concat(F.array(F.concat(parts[0], parts[1])), F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))))).otherwise(parts)
-    return F.filter(glued, lambda p: F.length(F.trim(p)) > 0), n
+    return strip(F.regexp_replace(unescaped(F.regexp_replace(c, r"(?s)<[^>]*>", " ")), r"(?U)\s+", " "))
 
 
 def is_page_header(fragment: Column) -> Column:
-    """Names a chapter, and has no style or the font size of chapter headers."""
-    return fragment.rlike(r"(?i)chapter\s+\d+") & (~fragment.rlike(r"(?i)style\s*=") | fragment.rlike(r"(?i)font-size\s*:\s*18px"))
+    """A header element whose text names a chapter, and whose own style, if any, has the font size of chapter headers."""
+    attributes = F.regexp_extract(fragment, r"(?is)^\s*<header\b([^>]*)>", 1)
+    style = F.regexp_replace(F.lower(F.regexp_extract(attributes, r"(?is)\bstyle\s*=\s*(['\"])(.*?)\1", 2)), r"\s+", "")
+    words = F.regexp_replace(unescaped(F.regexp_replace(fragment, r"(?s)<[^>]+>", " ")), r"(?U)\s+", " ")
+    named = fragment.rlike(r"(?is)^\s*<header\b[^>]*>") & words.rlike(r"(?i)\bchapter \d+\b")
+    return F.coalesce(named & ((style == "") | style.contains("font-size:18px")), F.lit(False))
+
+
+def split_at_headers(html: Column, mode: str = "all") -> tuple[Column, Column]:
+    """(pages, number of headers): cut before every whole header element, or before those that name a chapter
+    ("validated"); what stands before the first header is in the first page; blank pages go; no HTML is an error."""
+    if mode not in ("all", "validated"):
+        raise ValueError(f"unknown mode {mode}")
+    mark = "\ue000"
+    whole = F.when(F.length(strip(html)) > 0, html).otherwise(F.raise_error(F.lit("no HTML")).cast("string"))
+    parts = F.split(F.regexp_replace(whole, r"(?is)<header\b[^>]*>.*?</header\s*>", mark + "$0"), mark, -1)
+    element = lambda p: F.regexp_extract(p, r"(?is)^<header\b[^>]*>.*?</header\s*>", 0)
+    cuts = (lambda p: F.lit(True)) if mode == "all" else (lambda p: is_page_header(element(p)))
+    start = F.struct(F.array(F.lit("")).alias("pages"), F.lit(0).cast("long").alias("n"))
+    glue = lambda a, p: F.concat(F.slice(a["pages"], 1, F.size(a["pages"]) - 1), F.array(F.concat(F.element_at(a["pages"], -1), p)))
+    first = F.struct(F.array(parts[0]).alias("pages"), F.lit(0).cast("long").alias("n"))
+
+    def step(a, p):
+        new = F.when(cuts(p) & (a["n"] > 0), F.concat(a["pages"], F.array(p))).otherwise(glue(a, p))
+        return F.struct(new.alias("pages"), (a["n"] + F.when(cuts(p), 1).otherwise(0)).alias("n"))
+
+    got = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.coalesce(first, start), step)
+    return F.filter(got["pages"], lambda p: F.length(strip(p)) > 0), got["n"]
 
 
 def token_windows(text: Column, size: int = 384, overlap: int = 64) -> Column:
@@ -80,10 +114,11 @@ def clip(c: Column, most: int) -> Column:
 
 
 def format_context(texts: Column, most: int = 4500) -> Column:
-    """Numbered blocks under a header whose noun follows their number."""
-    blocks = F.transform(texts, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), clip(t, most)))
-    head = F.when(F.size(texts) == 1, "Reference passage:").otherwise("Reference passages:")
-    return F.when(F.size(texts) == 0, "").otherwise(F.concat(head, F.lit("\n"), F.array_join(blocks, "\n")))
+    """Numbered blocks of stripped texts under a header that counts them; nothing for no texts."""
+    blocks = F.transform(texts, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] Text:\n"), clip(strip(t), most)))
+    n = F.size(texts)
+    head = F.concat(F.lit("### Retrieved "), F.when(n == 1, "excerpt").otherwise("excerpts"), F.lit(" (top-"), n.cast("string"), F.lit(")\n"))
+    return F.when(n <= 0, "").otherwise(F.concat(head, F.array_join(blocks, "\n\n")))
 
 
 def stable_tag(c: Column) -> Column:

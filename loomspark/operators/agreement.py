@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark.functions.jsonops import POPULATIONS
+from loomspark.operators.corpus import require_columns
+
+#: The raters' metrics, and the columns and question types of model labels.
+ORDINAL = ("Guideline Consistency", "Medical Validity", "One-Best-Answer Clarity", "Distractor Plausibility")
+TARGET = "Target Population Appropriateness"
+LABEL_COLUMNS = ("id", "source", "question_type", "target_population", "is_anesthesia_model")
+LABEL_TYPES = ("DIAGNOSIS", "MANAGEMENT", "BASIC_SCIENCE", "OTHER")
+
 
 def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Both raters' rows by key, with suffixes _1 and _2; keys must be unique and the same."""
@@ -21,18 +30,25 @@ def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def cohen_kappa(pairs: DataFrame, left: str, right: str, quadratic: bool = False) -> DataFrame:
-    """One row (n_items, kappa) of pairs; weights by place among the labels seen; null if chance disagreement is 0."""
+    """One row (n_items, kappa) of pairs; weights by place among the labels seen; null if chance disagreement is 0.
+
+    Disagreement by chance comes from the raters' label counts and their moments, so no label meets all others.
+    """
     cells = pairs.groupBy(F.col(left).alias("l"), F.col(right).alias("r")).agg(F.count("*").alias("n"))  # labels, not rows, from here on
-    labels = cells.select(F.explode(F.array("l", "r")).alias("v")).distinct().withColumn("i", F.row_number().over(Window.orderBy("v")) - 1)
-    i = labels.select(F.col("v").alias("l"), F.col("i").alias("li"))
-    j = labels.select(F.col("v").alias("r"), F.col("i").alias("ri"))
-    grid = i.crossJoin(F.broadcast(j)).crossJoin(F.broadcast(labels.agg(F.greatest(F.max("i"), F.lit(1)).alias("span"))))
-    row = cells.groupBy("l").agg(F.sum("n").alias("nl"))
-    col = cells.groupBy("r").agg(F.sum("n").alias("nr"))
-    full = grid.join(cells, ["l", "r"], "left").join(row, "l", "left").join(col, "r", "left").na.fill(0, ["n", "nl", "nr"])
-    w = F.pow((F.col("li") - F.col("ri")) / F.col("span"), 2) if quadratic else (F.col("li") != F.col("ri")).cast("double")
-    out = full.agg(F.sum("n").alias("n_items"), F.sum(w * F.col("n")).alias("o"), F.sum(w * F.col("nl") * F.col("nr")).alias("e"))
-    return out.select("n_items", F.when(F.col("e") > 1e-12, F.round(1 - F.col("o") * F.col("n_items") / F.col("e"), 6)).alias("kappa"))
+    sides = cells.select(F.explode(F.array(F.struct(F.col("l").alias("v"), F.col("n").alias("nl"), F.lit(0).cast("long").alias("nr")), F.struct(F.col("r").alias("v"), F.lit(0).cast("long").alias("nl"), F.col("n").alias("nr")))).alias("x")).select("x.*")
+    labels = sides.groupBy("v").agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr")).withColumn("i", (F.row_number().over(Window.orderBy("v")) - 1).cast("double"))
+    moment = lambda n, k: F.sum(F.col(n) * F.pow("i", F.lit(k)))
+    total = labels.agg(F.sum("nl").alias("n_items"), F.greatest(F.max("i"), F.lit(1.0)).alias("span"), moment("nl", 1).alias("l1"), moment("nl", 2).alias("l2"), moment("nr", 1).alias("r1"), moment("nr", 2).alias("r2"), F.sum(F.col("nl").cast("double") * F.col("nr")).alias("same"))
+    place = labels.select("v", "i")
+    seen = cells.join(place.select(F.col("v").alias("l"), F.col("i").alias("li")), "l").join(place.select(F.col("v").alias("r"), F.col("i").alias("ri")), "r")
+    seen = seen.agg(F.sum(F.pow(F.col("li") - F.col("ri"), 2) * F.col("n")).alias("far"), F.sum(F.when(F.col("li") != F.col("ri"), F.col("n")).otherwise(0)).cast("double").alias("other"))
+    n, span2 = F.col("n_items").cast("double"), F.pow("span", F.lit(2))
+    if quadratic:
+        o, e = F.col("far") / span2, (n * F.col("l2") + n * F.col("r2") - 2 * F.col("l1") * F.col("r1")) / span2
+    else:
+        o, e = F.col("other"), n * n - F.col("same")
+    out = total.crossJoin(seen)  # one row each
+    return out.select(F.coalesce("n_items", F.lit(0)).alias("n_items"), F.when(e > 1e-12, F.round(1 - o * n / e, 6)).alias("kappa"))
 
 
 def rating_summary(pairs: DataFrame, metric: str, left: str, right: str, quadratic: bool = True) -> DataFrame:
@@ -45,6 +61,73 @@ def rating_summary(pairs: DataFrame, metric: str, left: str, right: str, quadrat
     return a.crossJoin(b).crossJoin(k).select(F.lit(metric).alias("metric"), "*")  # one row each
 
 
+def binary_summary(pairs: DataFrame, metric: str, left: str, right: str, positive: str = "Correct") -> DataFrame:
+    """One row on a yes-or-no metric: the pooled share of positive ratings, exact agreement, and kappa without weights."""
+    pooled = pairs.select(F.explode(F.array(left, right)).alias("v"))
+    a = pooled.agg(F.count("v").alias("n_ratings"), F.round(F.avg((F.col("v") == positive).cast("double")), 6).alias("accuracy"))
+    b = pairs.agg(F.round(F.avg((F.col(left) == F.col(right)).cast("double")), 6).alias("exact_agreement"))
+    return a.crossJoin(b).crossJoin(cohen_kappa(pairs, left, right)).select(F.lit(metric).alias("metric"), "*")  # one row each
+
+
+def summarize(both: DataFrame) -> DataFrame:
+    """All metrics of two raters' aligned rows (columns with suffixes _1 and _2), a row for each metric."""
+    out = None
+    for m in ORDINAL:
+        part = rating_summary(both, m, f"`{m}_1`", f"`{m}_2`").withColumns({"scale": F.lit("ordinal_1_5"), "kappa_weighting": F.lit("quadratic"), "accuracy": F.lit(None).cast("double")})
+        out = part if out is None else out.unionByName(part)
+    last = binary_summary(both, TARGET, f"`{TARGET}_1`", f"`{TARGET}_2`").withColumns({"scale": F.lit("binary"), "kappa_weighting": F.lit("unweighted"), **{c: F.lit(None).cast("double") for c in ("mean", "std", "within_one")}})
+    return out.unionByName(last)
+
+
+def faults(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """df, if no row meets any of the checks (fault: condition); else an error that names the first fault and its rows."""
+    counts = df.agg(*[F.count_if(F.coalesce(c, F.lit(True))).alias(f"c{i}") for i, c in enumerate(checks.values())]).first()
+    for i, name in enumerate(checks):
+        if counts[f"c{i}"]:
+            raise ValueError(f"{name}: {counts[f'c{i}']} rows")
+    return df
+
+
+def unique(df: DataFrame, key: str) -> DataFrame:
+    again = [r[0] for r in df.groupBy(key).count().where("count > 1").orderBy(key).limit(5).collect()]
+    if again:
+        raise ValueError(f"{key} is not unique: {again}")
+    return df
+
+
+def checked_ratings(df: DataFrame, key: str = "data_id") -> DataFrame:
+    """One rater's rows: trimmed keys, not empty and unique, whole ratings of 1 to 5, and Correct or Incorrect."""
+    require_columns(df, [key, *ORDINAL, TARGET])
+    number = {m: F.col(m).try_cast("double") for m in ORDINAL}
+    out = df.select(F.trim(F.col(key).cast("string")).alias(key), *[number[m].alias(m) for m in ORDINAL], F.trim(F.col(TARGET)).alias(TARGET))
+    bad = {f"{m} is no whole rating of 1 to 5": ~(F.col(m).between(1, 5) & (F.col(m) % 1 == 0)) for m in ORDINAL}
+    faults(out, {f"{key} is empty": F.col(key) == "", **bad, f"{TARGET} is neither Correct nor Incorrect": ~F.col(TARGET).isin("Correct", "Incorrect")})
+    return unique(out, key).withColumns({m: F.col(m).cast("int") for m in ORDINAL})
+
+
+def checked_labels(df: DataFrame, model: str) -> DataFrame:
+    """One model's labels: the columns that are needed, unique ids, closed vocabularies, real booleans; with the model's name."""
+    require_columns(df, LABEL_COLUMNS)
+    if dict(df.dtypes)["is_anesthesia_model"] != "boolean":
+        raise ValueError(f"{model}: is_anesthesia_model is no boolean")
+    out = df.select(*LABEL_COLUMNS)
+    faults(out, {f"{model}: {c} is missing": F.col(c).isNull() for c in LABEL_COLUMNS if c != "source"})
+    faults(out, {f"{model}: unknown question_type": ~F.col("question_type").isin(*LABEL_TYPES), f"{model}: unknown target_population": ~F.col("target_population").isin(*POPULATIONS)})
+    return unique(out, "id").withColumn("model", F.lit(model))
+
+
+def aligned_labels(frames: list[DataFrame]) -> DataFrame:
+    """The frames of all models as one, if they have the same ids with the same sources."""
+    first = frames[0].select("id", F.col("source").alias("s0"), F.lit(1).alias("a"))
+    for f in frames[1:]:
+        both = first.join(f.select("id", F.col("source").alias("s1"), F.lit(1).alias("b")), "id", "full_outer")
+        faults(both, {"ids that one model lacks": F.col("a").isNull() | F.col("b").isNull(), "sources differ between models": ~F.col("s0").eqNullSafe(F.col("s1"))})
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def fleiss_kappa(ratings: DataFrame, item: str, label: str, raters: int = 3) -> DataFrame:
     """One row (n_items, kappa) of long ratings; items without exactly `raters` ratings make it null."""
     cells = ratings.groupBy(item, label).agg(F.count("*").alias("n"))

@@ -61,9 +61,24 @@ def split_excluded(df: DataFrame, excluded: DataFrame, key: str) -> tuple[DataFr
 
 
 def prepare_documents(df: DataFrame, source: str | Column, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows with text that is not blank, their source, and their place in the source as loaded."""
+    """Rows with text that is not blank, stripped, their source, and their place in the source as loaded."""
     src = F.lit(source) if isinstance(source, str) else source
-    return df.withColumn("source", src).withColumn("source_index", F.col(id_col)).where(strip(F.col(text)) != "")
+    rows = df.withColumns({"source": src, "source_index": F.col(id_col).cast("string"), text: strip(F.col(text).cast("string"))})
+    return rows.where(F.col(text) != "")
+
+
+def dropped(df: DataFrame, text: str = "text") -> Column:
+    """How many rows of a group prepare_documents leaves out."""
+    return F.count_if(F.coalesce(strip(F.col(text)), F.lit("")) == "")
+
+
+def with_position(df: DataFrame, order: str, name: str = "position", blocks: int = 64) -> DataFrame:
+    """df with a dense position from 0 by `order`: places inside ranges, and counts of the ranges before."""
+    rows = df.repartitionByRange(blocks, order).withColumn("_p", F.spark_partition_id())
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    start = rows.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    return rows.join(F.broadcast(start), "_p").withColumn(name, (F.col("_s") + F.col("_n") - 1).cast("long")).drop("_p", "_n", "_s")
 
 
 def exact_dedup(docs: DataFrame, order: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -88,3 +103,42 @@ def chunk_membership(chunks: DataFrame, text: str = "text", source: str = "sourc
     """(text_key, source_membership): the sorted sources that hold an equal chunk."""
     pairs = chunks.select(F.sha2(F.col(text), 256).alias("text_key"), F.col(source).alias("source")).distinct()
     return pairs.groupBy("text_key").agg(F.sort_array(F.collect_set("source")).alias("source_membership"))
+
+
+def chunk_by_tokenizer(docs: DataFrame, file: str, size: int = 384, overlap: int = 64, text: str = "text") -> DataFrame:
+    """A row for each window of a tokenizer's ids (a JSON file that executors can read), decoded and stripped; a text of one
+    window stays as it is; blank windows go before they are numbered. Nothing is shuffled."""
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    if not 0 <= overlap < size:
+        raise ValueError("0 <= overlap < size")
+    kept = [f for f in docs.schema.fields if f.name != text]
+    numbers = ("chunk_id", "token_start", "token_end", "token_count", "document_token_count")
+    schema = StructType([*kept, *(StructField(n, IntegerType()) for n in numbers), StructField(text, StringType())])
+
+    def windows(tok, t):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        if len(ids) <= size:
+            return [(0, len(ids), t)] * bool(ids), len(ids)
+        starts = range(0, len(ids) - overlap, size - overlap)
+        cut = [(a, min(a + size, len(ids))) for a in starts]
+        return [(a, b, tok.decode(ids[a:b]).strip()) for a, b in cut], len(ids)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from tokenizers import Tokenizer
+
+        tok, arrow = Tokenizer.from_file(file), to_arrow_schema(schema)
+        for b in batches:
+            of, rows = [], []
+            for i, t in enumerate(b.column(b.schema.get_field_index(text)).to_pylist()):
+                got, total = windows(tok, t)
+                for n, (start, end, part) in enumerate(x for x in got if x[2]):
+                    of.append(i)
+                    rows.append((n, start, end, end - start, total, part))
+            carried = b.select([f.name for f in kept]).take(pa.array(of, pa.int64()))
+            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] * 5 + [pa.string()])]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*carried.columns, *made], arrow, strict=True)], schema=arrow)
+
+    return docs.mapInArrow(run, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.agreement import LABEL_TYPES
+
 LETTERS = ("a", "b", "c", "d", "e")
 
 
@@ -54,8 +56,8 @@ def classification_error(v: Column) -> Column:
     kind = F.schema_of_variant(F.try_variant_get(v, "$.is_anesthesia", "variant"))
     return (
         F.when(v.isNull(), "no JSON object")
-        .when(F.coalesce(text("question_type"), F.lit("")) == "", "question_type is missing")
+        .when(~F.coalesce(text("question_type").isin(*LABEL_TYPES), F.lit(False)), "unknown question_type")
         .when(~F.coalesce(text("target_population").isin("Adult", "Pediatric", "General"), F.lit(False)), "unknown target_population")
         .when(~F.coalesce(kind == "BOOLEAN", F.lit(False)), "is_anesthesia is no boolean")
-        .when(text("reason").isNull(), "reason is no text")
+        .when(F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.reason", "variant")) != "STRING", F.lit(True)), "reason is no text")
     )

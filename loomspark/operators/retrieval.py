@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions.text import bm25_tokens
+from loomspark.operators.lineage import written
 
 K1, B = 1.5, 0.75
 #: Query sides up to so many rows are broadcast; others are joined by shuffles, or taken in blocks.
@@ -46,7 +47,8 @@ def with_idf(df: DataFrame) -> DataFrame:
 
 def bm25_scores(docs: DataFrame, terms: DataFrame, *more: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(q_id, more..., doc_id, score) of documents that hold a query's term."""
-    tf = postings(docs, terms, text_col, id_col)
+    terms = written(terms)
+    tf = written(postings(docs, terms, text_col, id_col))  # of query terms only; read for df and for scores
     n, avg = collection(docs, text_col).first()  # one row
     avg = max(avg or 0.0, 1e-6)
     df = with_idf(tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("n_docs", F.lit(n)))
@@ -84,7 +86,7 @@ def cascade(docs: DataFrame, questions: DataFrame, k: tuple[int, int, int] = (64
     """(condition, q_id, stage, rank, doc_id, score) for all conditions; questions has q_id, full, core, profile."""
     kinds = ("full", "core", "profile")
     long = questions.select("q_id", F.explode(F.array(*[F.struct(F.lit(x).alias("kind"), F.col(x).alias("text")) for x in kinds])).alias("e")).select("q_id", "e.kind", "e.text")
-    scores = bm25_scores(docs, query_terms(long, "q_id", "text", "kind"), "kind").persist()
+    scores = written(bm25_scores(docs, query_terms(long, "q_id", "text", "kind"), "kind"))
     plan = [(c, *s) for c, s in CONDITIONS.items()]
     plan = questions.sparkSession.createDataFrame(plan, "condition string, first string, middle string, final string")
     first = top_k(scores.join(F.broadcast(plan), scores["kind"] == plan["first"]).select("condition", "q_id", "middle", "final", "doc_id", "score"), k[0], "condition", "q_id")

@@ -42,3 +42,37 @@ def merge_results(df: DataFrame, key: str, got: DataFrame, error: Callable[[Colu
     status = Q.merged_results(df.select(F.col(key).cast("string").alias("key")), seen, why)
     ok = status.where("status = 'ok'").select("key", "line").join(seen.select("key", "line", "response"), ["key", "line"])
     return df.join(ok.withColumnRenamed("key", "_key"), F.col(key).cast("string") == F.col("_key")).drop("_key", "line"), status.where("status <> 'ok'")
+
+
+def relevant(df: DataFrame, response: str = "response") -> DataFrame:
+    """Pages that stage 1 found relevant, with its fields; a category is required of them."""
+    v = F.col(response)
+    text = lambda name: F.try_variant_get(v, f"$.{name}", "string").alias(name)
+    return df.where(F.try_variant_get(v, "$.is_relevant", "boolean")).select(*[c for c in df.columns if c != response], text("target_population"), text("category"), text("reason"))
+
+
+def totals(status: DataFrame) -> DataFrame:
+    """(status, n) of merged results, for reports."""
+    return status.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def construct(pages: DataFrame, key: str, lines: dict[int, DataFrame], order: str, guideline: str = "guideline", page: str = "page") -> tuple[DataFrame, dict[int, DataFrame]]:
+    """(final questions, errors by stage) of pages, from the result lines (line, value) of the three stages: relevant
+    pages, their rules, groups by page, and the questions of their responses. Rows whose response isn't valid are errors."""
+    errors = {}
+    judged, errors[1] = merge_results(pages, key, results(lines[1]), J.stage1_error)
+    chosen = relevant(judged)
+    ruled, errors[2] = merge_results(chosen, key, results(lines[2]), J.stage2_error)
+    rules = Q.explode_rules(ruled).withColumn("rule_order", F.struct(order, "rule_number_on_page"))
+    single = ["target_population", "category", "reason"]
+    groups = Q.numbered_groups(Q.stage3_groups(rules, [guideline, page], "rule_order", single, ["condition", "action", "triggers", "source_fragment", "notes"]))
+    mixed = groups.where("mixed").limit(1).collect()
+    if mixed:
+        raise ValueError(f"{mixed[0]['key']} has more than one value where it must have one")
+    seen = results(lines[3]).withColumn("response", J.parsed(F.col("text")))
+    of = seen.join(groups.select("key", "target_population", "category"), "key", "left")
+    bad = J.stage3_error(F.col("response"), F.col("target_population"), F.col("category"))
+    status = Q.merged_results(groups, of, F.coalesce(F.col("error"), bad))
+    errors[3] = status.where("status <> 'ok'")
+    ok = status.where("status = 'ok'").select("key", "line").join(seen.select("key", "line", "response"), ["key", "line"])
+    return Q.final_questions(groups, ok), errors

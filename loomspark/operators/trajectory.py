@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark.functions.jsonops import membership, nested
 from loomspark.functions.text import text_hash
 
 STAGES = ("initial", "middle", "final")
+#: Columns of results of an older layout, the first that is there.
+LEGACY = {"initial": ("candidate_texts", "top_64"), "middle": ("middle_texts", "top_8"), "final": ("retrieved_texts", "top_1")}
 
 
 def source_category(members: Column) -> Column:
@@ -23,6 +26,41 @@ def flatten(results: DataFrame, keys: list[str], trajectory: str = "trajectory")
     return rows.select(*keys, "condition", "stage", "query_kind", "requested_k", "observed_k", "d.*")
 
 
+def with_documents(rows: DataFrame, docs: DataFrame, index: str = "corpus_index", id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Flattened rows with the text and the other columns of the documents that they name."""
+    return rows.join(docs.withColumnRenamed(id_col, index).withColumnRenamed(text, "document_text"), index, "left")
+
+
+def legacy(results: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each text of each stage of results of an older layout, whose columns are arrays or text that holds a list;
+    one plain text is a list of one. Columns that are not there have no rows."""
+    out = None
+    types = dict(results.dtypes)
+    for stage, names in LEGACY.items():
+        name = next((n for n in names if n in types), None)
+        if name is None:
+            continue
+        c = F.col(name)
+        if not types[name].startswith("array"):
+            plain = F.when(F.trim(c).isin("", "nan") | c.isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
+            c = F.coalesce(F.try_variant_get(nested(c), "$", "array<string>"), plain)
+        part = results.select(*keys, F.lit(stage).alias("stage"), F.size(c).alias("observed_k"), F.posexplode(c).alias("_n", "document_text"))
+        part = part.select(*keys, "stage", "observed_k", (F.col("_n") + 1).cast("long").alias("rank"), "document_text")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"no column among {sorted(n for v in LEGACY.values() for n in v)}")
+    return out
+
+
+def document_membership(rows: DataFrame, lookup: DataFrame, members: str = "source_membership", source: str = "source", text: str = "document_text") -> DataFrame:
+    """rows with the membership of each document: its own list, else its own source, else that of its text; else none."""
+    found = rows.withColumn("_h", text_hash(F.coalesce(F.col(text), F.lit("")))).join(lookup.select(F.col("text_hash").alias("_h"), F.col("source_membership").alias("_m")), "_h", "left")
+    own = [membership(F.col(c)) if dict(rows.dtypes).get(c) == "string" else F.col(c) for c in (members, source) if c in rows.columns]
+    some = [F.when(F.size(c) > 0, c) for c in own]
+    got = F.coalesce(*some, F.col("_m"), F.array().cast("array<string>"))
+    return found.withColumn("document_membership", got).withColumn("document_source", source_category(got)).drop("_h", "_m")
+
+
 def source_lookup(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """(text_hash, source_membership): sorted sources of each stripped text."""
     pairs = docs.select(text_hash(F.col(text)).alias("text_hash"), F.col(source).alias("source")).distinct()

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from loomspark.functions import jsonops as J
 from loomspark.functions import text as X
 from loomspark.operators import ablation as B
+from loomspark.operators import prompts as P
 from loomspark.operators import qa_build as Q
 from loomspark.plans.retrieval import read
 
-_RULES = "sentences of documents as rules, (source, lang) as pages"
-
 
 def _wrapped(spark, sf_dir):
     """Event properties as model output: fenced, in prose, with a trailing comma, or cut off."""
@@ -33,21 +32,80 @@ def result_errors(spark, sf_dir):
     return Q.merged_results(index, results, F.when(J.parsed(F.col("output")).isNull(), "no JSON"))
 
 
-def _rules(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", r"\.")).alias("n", "condition"))
-    return d.where("length(condition) > 0").select("source", "lang", (F.col("doc_id") * 1000000 + F.col("n")).alias("ord"), F.col("condition"), (F.col("n") + 1).alias("rule_number"))
+def _pages(spark, sf_dir):
+    """Documents as pages of a guideline (their source), with their sentences as rules of a stage 2 response."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("guideline"), F.col("doc_id").alias("page"), "lang", F.filter(F.split("text", r"\."), lambda x: F.length(x) > 0).alias("s"))
+    rule = lambda x: F.struct(x.alias("condition_base"), F.concat(F.lit("act "), F.length(x).cast("string")).alias("action"), F.array(F.struct(F.lit("over 5").alias("criterion"))).alias("triggers"), x.alias("source_fragment"), F.lit(None).cast("string").alias("notes"))
+    response = F.to_json(F.struct(F.transform("s", rule).alias("rules")), {"ignoreNullFields": "false"})
+    return d.select("doc_id", "guideline", "page", "lang", F.try_parse_json(response).alias("response"))
 
 
 def explode_rules(spark, sf_dir):
-    r = _rules(spark, sf_dir)
-    return r.select("source", "lang", "ord", F.col("rule_number").cast("long").alias("rule_number"), F.md5(F.col("condition").cast("binary")).alias("condition_md5"))
+    r = Q.explode_rules(_pages(spark, sf_dir))
+    return r.select("guideline", "page", "rule_number_on_page", "action", "triggers", "notes", F.md5(F.col("condition").cast("binary")).alias("condition_md5"))
+
+
+def _groups(spark, sf_dir):
+    """Groups by page; in every seventh document some rules name another population."""
+    r = Q.explode_rules(_pages(spark, sf_dir))
+    odd = (F.col("doc_id") % 7 == 0) & (F.col("rule_number_on_page") % 3 == 0)
+    r = r.withColumn("rule_order", F.struct("doc_id", "rule_number_on_page")).withColumn("target_population", F.when(odd, "General").otherwise("Adult")).withColumn("category", F.lit("Post-op & Pain"))
+    return Q.numbered_groups(Q.stage3_groups(r, ["guideline", "page"], "rule_order", ["target_population", "category"], ["condition", "rule_number_on_page"]))
 
 
 def stage3_groups(spark, sf_dir):
-    r = _rules(spark, sf_dir).withColumn("population", F.col("lang"))
-    g = Q.stage3_groups(r, ["source", "lang"], "ord", ["population"], ["rule_number"])
-    f = Q.final_rows(g, ["rule_number"])
-    return f.select("source", "lang", "first", "n_rules", "population", "mixed", F.aggregate("rule_rule_number", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_numbers"))
+    f = Q.final_rows(_groups(spark, sf_dir), ["rule_number_on_page"])
+    return f.select("key", "guideline", "page", "n_rules", "mixed", F.aggregate("rule_rule_number_on_page", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_numbers"))
+
+
+def final_questions(spark, sf_dir):
+    """Two questions for each page of even number, as a list; one for others; none for every fifth."""
+    g = _groups(spark, sf_dir).where("not mixed")
+    options = F.create_map(*[x for k in "ABcd" for x in (F.lit(k), F.concat(F.lit(f"option {k} of "), F.col("page").cast("string")))])
+    fixed = {"question_type": "Diagnosis", "patient_profile": "a child", "scenario": "a ward", "explanation": "so", "difficulty": "Easy", "correct_answer": "B"}
+    one = lambda n: F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], F.col("target_population"), F.col("category"), F.concat(F.lit(f"question {n} of "), F.col("key")).alias("question"), options.alias("options"))
+    reply = F.when(F.col("page") % 2 == 0, F.to_json(F.array(one(1), one(2)))).otherwise(F.to_json(one(1)))
+    responses = g.where("page % 5 <> 0").select("key", F.try_parse_json(reply).alias("response"))
+    out = Q.final_questions(g, responses)
+    return out.select("key", "page", F.col("question_number").cast("long").alias("question_number"), "question", "correct_answer", F.element_at("options", F.col("correct_answer")).alias("answer"), "difficulty", "target_population")
+
+
+S1 = '{"is_relevant": true, "target_population": "Adult", "category": "Post-op & Pain", "reason": "r"}'
+S2 = '{"rules":[{"condition_base":"c","action":"a","triggers":[{"criterion":"x"}],"source_fragment":"s","notes":null}]}'
+S3 = '{"question_type":"Diagnosis","target_population":"Adult","category":"c","patient_profile":"p","scenario":"s","question":"q","options":{"A":"1","b":"2","c":"3","d":"4"},"correct_answer":"B","explanation":"e","difficulty":"Easy"}'
+#: Model replies by stage, and the fault that each has, written down by hand.
+REPLIES = {
+    "stage1": [(S1, None), (S1.replace('"Post-op & Pain"', "null"), "category is missing"), (S1.replace("true", "false").replace('"Post-op & Pain"', "null"), None), (S1.replace("Post-op", "X"), "unknown category"), (S1.replace(', "reason": "r"', ""), "reason is missing"), (S1.replace('"r"', "3"), "reason is no text"), (S1.replace("true", '"true"'), "is_relevant is no boolean"), (S1.replace("Adult", "adult"), "unknown target_population"), ("[1]", "no JSON object"), ("words", "no JSON object")],
+    "stage2": [(S2, None), ('{"rules":[]}', None), ('{"rules":{}}', "rules is no list"), ("{}", "rules is no list"), (S2.replace('"x"', '" "'), "a trigger has no criterion"), (S2.replace('[{"criterion":"x"}]', "[]"), "a rule has no trigger"), (S2.replace('"s"', '"  "'), "source_fragment is blank"), (S2.replace(":null", ":3"), "notes is no text"), (S2.replace(',"notes":null', ""), "notes is missing"), ('{"rules":[1]}', "a rule is no object")],
+    "stage3": [(S3, None), (f"[{S3}, {S3}]", None), ("[]", "no question"), (S3.replace("Diagnosis", "Other"), "unknown question_type"), (S3.replace("Adult", "General"), "population differs from its group"), (S3.replace('"c",', '"d",', 1), "category differs from its group"), (S3.replace("Easy", "easy"), "unknown difficulty"), (S3.replace('"4"', "4"), "options are not a-d"), (S3.replace('"B"', '"e"'), "answer is not a-d"), (S3.replace('"q"', '""'), "question is blank"), (S3.replace(',"explanation":"e"', ""), "explanation is missing")],
+}
+#: Profile replies, with profile and core (null: the question) written down by hand.
+PROFILES = [('{"PATIENT_PROFILE": "a child", "QUESTION_CORE": "why"}', "a child", "why"), ('```json\n{"PATIENT_PROFILE": "a man", "QUESTION_CORE": ""}\n```', "a man", None), ('{"PATIENT_PROFILE": "General patient, adult", "QUESTION_CORE": "x"}', "general patient", None), ('{"patient_profile": "a child", "question_core": "x"}', "general patient", None), ("no JSON", "general patient", None), ('["x"]', "general patient", None)]
+#: Memberships in text, as they are read.
+MEMBERS = [("a|b", "a,b"), ("['x', 'y']", "x,y"), ('["p","q","p"]', "p,q"), ("one", "one"), (" ", ""), ("nan", ""), ("a || a|c ", "a,c"), ("('t', 'u')", "t,u")]
+
+
+def _reply(cases):
+    """The reply of a row, by its number."""
+    return F.get(F.array(*[F.lit(c[0]) for c in cases]), F.pmod("event_id", F.lit(len(cases))).cast("int"))
+
+
+def response_faults(spark, sf_dir):
+    """Replies of all three stages and what is wrong with them."""
+    e = read(spark, sf_dir, "events").select("event_id")
+    v = {k: J.parsed(_reply(c)) for k, c in REPLIES.items()}
+    return e.select("event_id", J.stage1_error(v["stage1"]).alias("stage1"), J.stage2_error(v["stage2"]).alias("stage2"), J.stage3_error(v["stage3"], F.lit("Adult"), F.lit("c")).alias("stage3"))
+
+
+def profiles(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("question "), F.col("event_id").cast("string")).alias("q"))
+    p, core = J.profile(_reply(PROFILES), F.col("q"))
+    return e.select("event_id", p.alias("profile"), core.alias("core"))
+
+
+def memberships(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id")
+    return e.select("event_id", F.array_join(J.membership(_reply(MEMBERS)), ",").alias("members"))
 
 
 def rebalance(spark, sf_dir):
@@ -55,7 +113,7 @@ def rebalance(spark, sf_dir):
 
 
 def profile_replacement(spark, sf_dir):
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.expr("array('Adult', 'Pediatric', 'General')[item_id % 3]").alias("population"), F.substring("text", 1, 30).alias("profile"))
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.expr("array('Adult', 'Pediatric', 'General')[item_id % 3]").alias("population"), F.col("text").alias("profile"))
     out = None
     for c in ("original", "random", "within_group", "cross_group"):
         part = B.replacement_profiles(b, c, "item_id", "population", "profile").select(F.lit(c).alias("condition"), "item_id", "new_profile")
@@ -69,26 +127,50 @@ def context_format(spark, sf_dir):
 
 
 def prompt_build(spark, sf_dir):
-    p = F.replace(F.replace(F.lit("Context:\n{c}\nQuestion: {q}\nAnswer with a-d."), F.lit("{c}"), F.substring("text", 1, 50)), F.lit("{q}"), F.col("item_id").cast("string"))
-    return read(spark, sf_dir, "benchmark").select("item_id", F.md5(Q.request_json(F.col("item_id").cast("string"), p, "be brief", 0.0).cast("binary")).alias("request_md5"), p.alias("prompt")).drop("request_md5")
+    p = P.filled("Context:\n{c}\nQuestion: {q}\nAnswer with a-d.", {"c": F.col("text"), "q": F.col("item_id")})
+    line = Q.request_json(F.col("item_id").cast("string"), p, "be brief", 0.0)
+    return read(spark, sf_dir, "benchmark").select("item_id", p.alias("prompt"), F.md5(line.cast("binary")).alias("request_md5"))
+
+
+def answer_counts(spark, sf_dir):
+    d = Q.rebalance(read(spark, sf_dir, "documents").select("doc_id"), "doc_id").withColumn("old_label", F.expr("array('a', 'b', 'c')[doc_id % 3]"))
+    return Q.answer_counts(d, "old_label", "correct_label")
 
 
 _WR = r"SELECT event_id, user_id, CASE event_id % 4 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'Here it is: ' || props || ' done' WHEN 2 THEN regexp_replace(props, '\}$', ',}') ELSE 'no object' END AS output FROM events"
 _FENCE = r"regexp_extract(output, '(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$', 1)"
 _REP = rf"regexp_replace(regexp_extract(CASE WHEN {_FENCE} <> '' THEN {_FENCE} ELSE output END, '(?s)[{{\[].*[}}\]]', 0), ',\s*([}}\]])', '\1', 'g')"
-_RU = "SELECT source, lang, doc_id * 1000000 + n - 1 AS ord, n AS rule_number, p[n] AS condition FROM (SELECT *, unnest(generate_series(1, len(p))) AS n FROM (SELECT doc_id, source, lang, string_split(text, '.') AS p FROM documents)) WHERE length(p[n]) > 0"
-_B = "SELECT item_id, ['Adult','Pediatric','General'][item_id % 3 + 1] AS population, substring(text, 1, 30) AS profile FROM benchmark"
-_POOL = f"SELECT population AS g, profile AS p FROM (SELECT DISTINCT population, profile FROM ({_B}) WHERE population <> 'General' AND lower(profile) <> 'general patient') QUALIFY row_number() OVER (PARTITION BY population ORDER BY md5('42:' || profile), profile) <= 120"
+_RU = """SELECT doc_id, source AS guideline, doc_id AS page, c, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM (
+  SELECT doc_id, source, p[n] AS c, n FROM (SELECT *, unnest(generate_series(1, len(p))) AS n FROM (SELECT doc_id, source, string_split(text, '.') AS p FROM documents))) WHERE length(c) > 0"""
+_GR = f"""SELECT *, 'guideline_page_' || lpad((row_number() OVER (ORDER BY page))::VARCHAR, 6, '0') AS key FROM (
+  SELECT guideline, page, count(*) AS n_rules, page % 7 = 0 AND count(*) >= 3 AS mixed, sum(k)::BIGINT AS sum_numbers FROM ({_RU}) GROUP BY guideline, page)"""
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _picked(values) -> str:
+    return f"{_listed(values)}[event_id % {len(values)} + 1]"
+
+
+_B = "SELECT item_id, ['Adult','Pediatric','General'][item_id % 3 + 1] AS population, text AS profile FROM benchmark"
+_POOL = f"SELECT population AS g, profile AS p FROM (SELECT DISTINCT population, profile FROM ({_B}) WHERE population <> 'General' AND profile <> 'general patient') QUALIFY row_number() OVER (PARTITION BY population ORDER BY md5('42:' || profile), profile) <= 120"
 _DRAW = "coalesce((SELECT arg_min(p, md5('42:' || item_id || ':' || p)) FROM pool WHERE {}), b.profile)"
 
-QUERIES = {f.__name__: f for f in (json_repair, result_errors, explode_rules, stage3_groups, rebalance, profile_replacement, context_format, prompt_build)}
+QUERIES = {f.__name__: f for f in (json_repair, result_errors, explode_rules, stage3_groups, final_questions, response_faults, profiles, memberships, answer_counts, rebalance, profile_replacement, context_format, prompt_build)}
 ORACLES = {
     "json_repair": f"SELECT event_id, json_valid({_REP}) AND {_REP} <> '' AS valid, md5({_REP}) AS repaired_md5 FROM ({_WR})",
     "result_errors": f"WITH r AS ({_WR}), i AS (SELECT DISTINCT event_id // 2 AS key FROM r WHERE event_id % 10 <> 1), s AS (SELECT event_id // 2 AS key, event_id AS line, CASE WHEN json_valid({_REP}) AND {_REP} <> '' THEN 0 ELSE 1 END AS bad FROM r WHERE event_id % 10 <> 3), f AS (SELECT key, min(bad * 1000000000000 + line) AS m, count(*) AS n FROM s GROUP BY key) SELECT coalesce(i.key, f.key) AS key, CASE WHEN i.key IS NULL THEN 'unexpected' WHEN f.key IS NULL THEN 'missing' WHEN m >= 1000000000000 THEN 'invalid' ELSE 'ok' END AS status, (m % 1000000000000)::BIGINT AS line, coalesce(n, 0) AS n_results FROM i FULL JOIN f ON i.key = f.key",
-    "explode_rules": f"SELECT source, lang, ord, rule_number, md5(condition) AS condition_md5 FROM ({_RU})",
-    "stage3_groups": f"SELECT source, lang, min(ord) AS first, count(*) AS n_rules, lang AS population, false AS mixed, sum(rule_number)::BIGINT AS sum_numbers FROM ({_RU}) GROUP BY source, lang",
+    "explode_rules": f"""SELECT guideline, page, k AS rule_number_on_page, 'act ' || length(c) AS action, '[{{"criterion":"over 5"}}]' AS triggers, NULL::VARCHAR AS notes, md5(c) AS condition_md5 FROM ({_RU})""",
+    "stage3_groups": f"SELECT key, guideline, page, n_rules, mixed, sum_numbers FROM ({_GR})",
+    "final_questions": f"SELECT key, page, n AS question_number, 'question ' || (n + 1) || ' of ' || key AS question, 'b' AS correct_answer, 'option B of ' || page AS answer, 'Easy' AS difficulty, 'Adult' AS target_population FROM (SELECT *, unnest(generate_series(0, 1 - page % 2)) AS n FROM ({_GR}) WHERE NOT mixed AND page % 5 <> 0)",
+    "response_faults": f"SELECT event_id, {', '.join(f'{_picked([x[1] for x in c])} AS {k}' for k, c in REPLIES.items())} FROM events",
+    "profiles": f"SELECT event_id, {_picked([x[1] for x in PROFILES])} AS profile, coalesce({_picked([x[2] for x in PROFILES])}, 'question ' || event_id) AS core FROM events",
+    "memberships": f"SELECT event_id, {_picked([x[1] for x in MEMBERS])} AS members FROM events",
+    "answer_counts": "WITH t AS (SELECT count(*) AS t FROM documents) SELECT 'old_label' AS \"column\", l AS label, (SELECT count(*) FROM documents WHERE ['a', 'b', 'c'][doc_id % 3 + 1] = l) AS count FROM (SELECT unnest(['a', 'b', 'c', 'd']) AS l) UNION ALL SELECT 'correct_label', ['a', 'b', 'c', 'd'][i + 1], t // 4 + CASE WHEN i < t % 4 THEN 1 ELSE 0 END FROM t, (SELECT unnest([0, 1, 2, 3]) AS i)",
     "rebalance": "WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS p, count(*) OVER () AS t FROM documents) SELECT doc_id, CASE WHEN p < t // 4 + least(t % 4, 1) THEN 'a' WHEN p < 2 * (t // 4) + least(t % 4, 2) THEN 'b' WHEN p < 3 * (t // 4) + least(t % 4, 3) THEN 'c' ELSE 'd' END AS correct_label FROM o",
     "profile_replacement": f"WITH b AS ({_B}), pool AS ({_POOL}) SELECT 'original' AS condition, item_id, profile AS new_profile FROM b UNION ALL SELECT 'random', item_id, {_DRAW.format('p <> b.profile')} FROM b UNION ALL SELECT 'within_group', item_id, {_DRAW.format("p <> b.profile AND g = CASE WHEN b.population = 'Pediatric' THEN 'Pediatric' ELSE 'Adult' END")} FROM b UNION ALL SELECT 'cross_group', item_id, {_DRAW.format("g = CASE WHEN b.population = 'Pediatric' THEN 'Adult' ELSE 'Pediatric' END")} FROM b",
-    "context_format": "SELECT item_id, 'Reference passages:' || chr(10) || '[1] ' || CASE WHEN length(text) <= 200 THEN text WHEN instr(substring(text, 1, 200), ' ') > 0 THEN left(substring(text, 1, 200), length(substring(text, 1, 200)) - instr(reverse(substring(text, 1, 200)), ' ')) || '...' ELSE substring(text, 1, 200) || '...' END || chr(10) || '[2] short' AS context FROM benchmark",
-    "prompt_build": "SELECT item_id, 'Context:' || chr(10) || substring(text, 1, 50) || chr(10) || 'Question: ' || item_id || chr(10) || 'Answer with a-d.' AS prompt FROM benchmark",
+    "context_format": r"""SELECT item_id, '### Retrieved excerpts (top-2)' || chr(10) || '[1] Text:' || chr(10) || CASE WHEN length(t) <= 200 THEN t WHEN instr(substring(t, 1, 200), ' ') > 0 THEN left(substring(t, 1, 200), length(substring(t, 1, 200)) - instr(reverse(substring(t, 1, 200)), ' ')) || '...' ELSE substring(t, 1, 200) || '...' END || chr(10) || chr(10) || '[2] Text:' || chr(10) || 'short' AS context FROM (SELECT item_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS t FROM benchmark)""",
+    "prompt_build": """SELECT item_id, prompt, md5('{"key":"' || item_id || '","request":{"contents":[{"parts":[{"text":' || to_json(prompt)::VARCHAR || '}],"role":"user"}],"system_instruction":"be brief","generation_config":{"temperature":0.0}}}') AS request_md5 FROM (SELECT item_id, 'Context:' || chr(10) || text || chr(10) || 'Question: ' || item_id || chr(10) || 'Answer with a-d.' AS prompt FROM benchmark)""",
 }

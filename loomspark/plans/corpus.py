@@ -54,10 +54,13 @@ def chunk_membership(spark, sf_dir):
 
 
 def corpus_report(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("source", "text")
-    n = F.size(X.words(F.col("text")))
-    chunks = F.when(n == 0, 0).when(n <= 384, 1).otherwise(F.ceil((n - 384) / F.lit(320)) + 1)
-    return docs.groupBy("source").agg(F.count("*").alias("n_rows"), F.count_if(X.strip(F.coalesce("text", F.lit(""))) == "").alias("n_dropped"), F.sum(chunks).cast("long").alias("n_chunks"))
+    """Rows, dropped rows, chunks, and chunks that another source has too, of each source."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = d.groupBy("source").agg(F.count("*").alias("n_rows"), C.dropped(d).alias("n_dropped"))
+    c = C.chunk(C.prepare_documents(d, F.col("source"))).select("source", F.sha2(F.col("text"), 256).alias("text_key"))
+    shared = C.chunk_membership(c.withColumnRenamed("text_key", "text")).where(F.size("source_membership") > 1).select("text_key")
+    c = c.withColumn("text_key", F.sha2("text_key", 256)).join(shared.withColumn("s", F.lit(1)), "text_key", "left")
+    return rows.join(c.groupBy("source").agg(F.count("*").alias("n_chunks"), F.count("s").alias("n_shared")), "source", "left").na.fill(0)
 
 
 def source_lookup(spark, sf_dir):
@@ -71,7 +74,9 @@ def html_clean(spark, sf_dir):
 
 
 def page_split(spark, sf_dir):
-    parts, n = X.split_at_headers(F.col("html"), "p")
+    """Paragraphs stand for headers."""
+    html = F.replace(F.replace("html", F.lit("<p>"), F.lit("<header>")), F.lit("</p>"), F.lit("</header>"))
+    parts, n = X.split_at_headers(html)
     rows = read(spark, sf_dir, "pages").select("page_id", n.alias("n_headers"), F.posexplode(parts).alias("page", "content"))
     return rows.select("page_id", "n_headers", (F.col("page") + 1).cast("long").alias("page"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
@@ -91,33 +96,39 @@ def join_key(spark, sf_dir):
 
 
 _W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-_CHUNKS = rf"""
-w AS (SELECT doc_id, source, text, {_W} AS t FROM documents),
+def _chunks(docs: str) -> str:
+    return rf"""
+w AS (SELECT doc_id, source, text, {_W} AS t FROM {docs}),
 i AS (SELECT *, len(t) AS n, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) <= 384 THEN [0] ELSE generate_series(0, ceil((len(t) - 384) / 320)::BIGINT) END) AS c FROM w),
 ch AS (SELECT doc_id, source, c AS chunk_id, c * 320 AS token_start, least(c * 320 + 384, n) AS token_end, least(c * 320 + 384, n) - c * 320 AS token_count, n AS document_token_count,
   CASE WHEN n <= 384 THEN text ELSE array_to_string(t[c * 320 + 1 : c * 320 + 384], ' ') END AS txt FROM i)
 """
+
+
+_CHUNKS = _chunks("documents")
 _STRIP = r"regexp_replace(regexp_replace({}, '^[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+', ''), '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+$', '')"
 _CLEAN = "html"
 for _tag in ("script", "style"):
     _CLEAN = f"regexp_replace({_CLEAN}, '(?is)<{_tag}[^>]*>.*?</{_tag}\\s*>', ' ', 'g')"
 _CLEAN = f"regexp_replace({_CLEAN}, '(?s)<[^>]*>', ' ', 'g')"
-for _a, _b in X.ENTITIES:
-    _CLEAN = "replace({}, '{}', '{}')".format(_CLEAN, _a, _b.replace("'", "''"))
+# the character references that the pages hold; the ampersand last
+for _a, _b in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+    _CLEAN = f"replace({_CLEAN}, '{_a}', '{_b}')"
 _CLEAN = f"trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g'), ' ')"
 
+_STRIPPED = _chunks(f"(SELECT doc_id, source, {_STRIP.format('text')} AS text FROM documents)")
 QUERIES = {f.__name__: f for f in (search_plan, search_provenance, exclude_gold, chunk_documents, dedup_membership, chunk_membership, corpus_report, source_lookup, html_clean, page_split, request_batches, stable_tag, join_key)}
 ORACLES = {
     "search_plan": "SELECT k AS base_keyword, m AS modifier, m || ' ' || k AS query, 500::BIGINT AS \"limit\" FROM (SELECT DISTINCT lower(split_part(trim(p_name), ' ', 1)) AS k FROM part), (SELECT unnest(['adult', 'pediatric']) AS m)",
     "search_provenance": f"WITH h AS (SELECT doc_id, q, list_position({list(KEYWORDS)!r}, q) AS no FROM (SELECT doc_id, unnest(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), {list(KEYWORDS)!r})) AS q FROM documents) QUALIFY row_number() OVER (PARTITION BY q ORDER BY doc_id) <= 1500) SELECT doc_id, string_agg(q, ',' ORDER BY no) AS matched_queries, string_agg(q, ',' ORDER BY no) AS matched_keywords, 0::BIGINT AS n_modifiers FROM h GROUP BY doc_id",
     "exclude_gold": "SELECT doc_id, source, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'excluded' ELSE 'retained' END AS status FROM documents",
-    "chunk_documents": f"WITH {_CHUNKS} SELECT doc_id, source, chunk_id, token_start, token_end, token_count, document_token_count, md5(txt) AS text_md5 FROM ch",
+    "chunk_documents": f"WITH {_STRIPPED} SELECT doc_id, source, chunk_id, token_start, token_end, token_count, document_token_count, md5(txt) AS text_md5 FROM ch",
     "dedup_membership": "WITH f AS (SELECT text, source, min(doc_id) AS o, count(*) AS n FROM documents GROUP BY ALL) SELECT min(o) AS doc_id, sha256(text) AS text_key, sum(n)::BIGINT AS n_copies, string_agg(source, ',' ORDER BY o, source) AS source_membership FROM f GROUP BY text",
     "chunk_membership": f"WITH {_CHUNKS}, p AS (SELECT DISTINCT txt, source FROM ch) SELECT sha256(txt) AS text_key, string_agg(source, ',' ORDER BY source) AS source_membership, CASE WHEN count(*) > 1 THEN 'both' ELSE min(source) END AS category FROM p GROUP BY txt",
-    "corpus_report": f"WITH w AS (SELECT source, text, len({_W}) AS n FROM documents) SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE n = 0) AS n_dropped, sum(CASE WHEN n = 0 THEN 0 WHEN n <= 384 THEN 1 ELSE ceil((n - 384) / 320) + 1 END)::BIGINT AS n_chunks FROM w GROUP BY source",
+    "corpus_report": f"WITH {_STRIPPED}, m AS (SELECT txt FROM ch GROUP BY txt HAVING count(DISTINCT source) > 1), g AS (SELECT source, count(*) AS n_chunks, count(*) FILTER (WHERE txt IN (SELECT txt FROM m)) AS n_shared FROM ch GROUP BY source) SELECT source, n_rows, n_dropped, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_shared, 0) AS n_shared FROM (SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE len({_W}) = 0) AS n_dropped FROM documents GROUP BY source) LEFT JOIN g USING (source)",
     "source_lookup": f"WITH p AS (SELECT DISTINCT sha256({_STRIP.format('text')}) AS h, source FROM documents) SELECT h AS text_hash, string_agg(source, ',' ORDER BY source) AS source_membership FROM p GROUP BY h",
     "html_clean": f"SELECT page_id, length({_CLEAN}) AS n_chars, md5({_CLEAN}) AS text_md5 FROM pages",
-    "page_split": r"WITH m AS (SELECT page_id, string_split(regexp_replace(html, '(?i)(<p(?:\s[^>]*)?>)', chr(1) || '\1', 'g'), chr(1)) AS p FROM pages), g AS (SELECT page_id, len(p) - 1 AS n_headers, list_filter(CASE WHEN len(p) > 1 THEN list_prepend(p[1] || p[2], p[3:]) ELSE p END, lambda x: length(trim(x)) > 0) AS s FROM m) SELECT page_id, n_headers, unnest(generate_series(1, len(s))) AS page, md5(unnest(s)) AS content_md5 FROM g",
+    "page_split": r"WITH m AS (SELECT page_id, string_split(regexp_replace(replace(replace(html, '<p>', '<header>'), '</p>', '</header>'), '(?is)(<header\b[^>]*>.*?</header\s*>)', chr(57344) || '\1', 'g'), chr(57344)) AS p FROM pages), g AS (SELECT page_id, len(p) - 1 AS n_headers, list_filter(CASE WHEN len(p) > 1 THEN list_prepend(p[1] || p[2], p[3:]) ELSE p END, lambda x: length(trim(x)) > 0) AS s FROM m) SELECT page_id, n_headers, unnest(generate_series(1, len(s))) AS page, md5(unnest(s)) AS content_md5 FROM g",
     "request_batches": "SELECT doc_id, (r // 500 + 1)::BIGINT AS batch, (r % 500)::BIGINT AS batch_row FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents WHERE length(text) >= 100)",
     "stable_tag": "SELECT page_id, regexp_replace(CASE WHEN regexp_extract(url, 'models--([^/]+)', 1) <> '' THEN regexp_extract(url, 'models--([^/]+)', 1) ELSE list_last(string_split(regexp_replace(url, '/+$', ''), '/')) END, '[^A-Za-z0-9_.-]+', '_', 'g') || '-' || left(sha256(url), 8) AS tag FROM pages",
     "join_key": "SELECT o_orderkey, o_orderkey::VARCHAR AS join_key FROM orders",

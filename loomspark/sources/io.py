@@ -5,14 +5,22 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from loomspark.functions.jsonops import POPULATIONS, normalized_options
 from loomspark.functions.text import strip
-from loomspark.operators.corpus import RETRIEVAL_TEXT, require_columns, text_column
+from loomspark.operators.corpus import RETRIEVAL_TEXT, require_columns, text_column, with_position
+from loomspark.operators.metrics import correct_answer
+
+
+#: Bytes up to which a file that only the driver can read is read there.
+DRIVER_BYTES = 256 << 20
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """By suffix: parquet, csv (quotes doubled, many lines), json lines; anything else is an error."""
+    """By suffix: parquet, csv (quotes doubled, many lines), json lines; pickles and sheets of checked size through the
+    driver; anything else is an error."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read.schema(schema) if schema else spark.read
     if kind == "parquet":
@@ -21,9 +29,61 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
         return reader.csv(path, header=True, multiLine=True, escape='"')
     if kind in ("jsonl", "json"):
         return reader.json(path)
+    if kind in ("pkl", "pickle", "xlsx", "xls"):
+        return _driver_table(spark, path, kind)
     raise ValueError(f"unsupported table: {path}")
 
 
+def _driver_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Pickles run code when they are read: only files of one's own."""
+    import io
+
+    import pandas as pd
+
+    row = spark.read.format("binaryFile").load(path).select("length").first()
+    if row.length > DRIVER_BYTES:
+        raise ValueError(f"{path} is larger than {DRIVER_BYTES} bytes; store it as parquet")
+    data = io.BytesIO(bytes(spark.read.format("binaryFile").load(path).select("content").first().content))
+    frame = pd.read_pickle(data) if kind.startswith("p") else pd.read_excel(data)
+    frame.columns = [str(c) for c in frame.columns]
+    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None))
+
+
+def read_keywords(df: DataFrame, order: str, skip: int = 0) -> list[str]:
+    """Distinct trimmed keywords of a sheet: column by column, row by row from `skip` on by `order`; columns without a name
+    are left out; none is an error."""
+    usable = [c for c in df.columns if c != order and not c.strip().lower().startswith("unnamed:")]
+    if not usable:
+        raise ValueError("no usable column")
+    rows = with_position(df, order, "_i").where(F.col("_i") >= skip)
+    cells = rows.select("_i", F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in usable])).alias("_c", "v"))
+    words = cells.select("_c", "_i", strip(F.col("v")).alias("v")).where("v <> ''").groupBy("v").agg(F.min(F.struct("_c", "_i")).alias("at"))
+    got = [r.v for r in words.orderBy("at").collect()]  # the keywords of a search, which the driver plans
+    if not got:
+        raise ValueError("no keyword")
+    return got
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """One JSON object of a file; anything else is an error."""
+    value = json.loads(spark.read.text(path, wholetext=True).first().value)
+    if not isinstance(value, dict):
+        raise ValueError(f"{path} is no JSON object")
+    return value
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
+    """(path, length, modified) of a folder's files, by name without regard to case."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    return files.select("path", "length", F.col("modificationTime").alias("modified")).orderBy(name, "path")
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of files."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def parse_source_spec(spec: str) -> tuple[str, str]:
     name, _, path = spec.partition("=")
     if not name or not path:
@@ -39,15 +99,16 @@ def parse_rag_spec(spec: str) -> tuple[str, list[str], str | None]:
     return name, rest[0].split("|||"), rest[1] if len(rest) > 1 else None
 
 
-def load_corpus(frames: list[tuple[str, DataFrame]], row: str = "corpus_row") -> DataFrame:
-    """Sources as one table of text and metadata; rows keep their place in their source, blanks are dropped."""
+def load_corpus(frames: list[tuple[str, DataFrame]], row: str) -> DataFrame:
+    """Sources as one table of text and metadata with a running corpus_index from 0; rows keep their place in their
+    source, which column `row` gives; blanks are dropped before they are counted."""
     out = None
     for n, (name, df) in enumerate(frames):
         c = text_column(df, RETRIEVAL_TEXT)
         meta = F.to_json(F.struct(*[x for x in df.columns if x != c], F.lit(name).alias("corpus_path"), F.lit(c).alias("text_column")))
-        part = df.select(F.lit(n).alias("source_no"), F.col(row).cast("long").alias("corpus_row") if row in df.columns else F.monotonically_increasing_id().alias("corpus_row"), F.col(c).alias("text"), meta.alias("metadata")).where(strip(F.col(c)) != "")
+        part = df.select(F.struct(F.lit(n).alias("source_no"), F.col(row).cast("long").alias("corpus_row")).alias("at"), strip(F.col(c)).alias("text"), meta.alias("metadata")).where("text <> ''")
         out = part if out is None else out.unionByName(part)
-    return out
+    return with_position(out, "at", "corpus_index").select("corpus_index", "at.*", "text", "metadata")
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
@@ -59,15 +120,35 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, error, value): blank lines dropped; what is no object has an error."""
-    rows = spark.read.text(path).where(F.trim("value") != "")
-    ok = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
-    return rows.select("value", F.when(~ok, "not a JSON object").alias("error"))
+    """(line, value, error) with line numbers from 1; blank lines are left out but counted; what is no object has an error.
 
-
-def validated(df: DataFrame, columns, population: str | None = None) -> DataFrame:
-    require_columns(df, columns)
-    return df if population is None else df.where(F.lower("target_population") == population.lower())
+    A file is one row here, as a line's number needs all before it: for files that fit a task, as those of a batch do.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
+    ok = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
+    return lines.where(strip(F.col("value")) != "").select("file", (F.col("n") + 1).cast("long").alias("line"), "value", F.when(~ok, "not a JSON object").alias("error"))
+
+
+def validated(df: DataFrame, population: str = "all") -> DataFrame:
+    """Evaluation rows of one population (its name in any case; rows exactly), each with options a-d and an answer key;
+    rows without them are an error when they are read."""
+    require_columns(df, ["question"])
+    if population.lower() != "all":
+        names = {p.lower(): p for p in POPULATIONS}
+        if population.lower() not in names:
+            raise ValueError(f"unknown population {population}")
+        require_columns(df, ["target_population"])
+        df = df.where(F.col("target_population") == names[population.lower()])
+    some = [F.col(c) for c in ("new_options", "options") if c in df.columns]
+    keys = [F.when(F.col("new_options").isNotNull(), F.col("new_correct_answer"))] if {"new_options", "new_correct_answer"} <= set(df.columns) else []
+    keys += [F.col(c) for c in ("correct_answer", "final_answer") if c in df.columns]
+    if not some or not keys:
+        raise ValueError("no options or no answer key")
+    options = F.coalesce(*map(normalized_options, some))
+    options = F.when(options.isNotNull(), options).otherwise(F.raise_error(F.lit("a row has no options a-d")).cast("map<string,string>"))
+    answer = correct_answer(*keys)
+    answer = F.when(answer.isNotNull(), answer).otherwise(F.raise_error(F.lit("a row has no answer a-d")).cast("string"))
+    return df.withColumns({"evaluated_options": options, "evaluated_answer": answer})
 
 
 def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -82,11 +163,69 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
         df.write.mode(mode).parquet(path)
 
 
-def write_request_batches(df: DataFrame, path: str, line: str = "line", overwrite: bool = False) -> None:
-    """A folder for each batch of request lines."""
+def write_request_batches(df: DataFrame, path: str, line: str = "line", overwrite: bool = False, **facts) -> dict:
+    """A folder for each batch of request lines, and beside it a manifest of batches, rows and further facts, which is returned."""
     df.select("batch", F.col(line).alias("value")).write.mode("overwrite" if overwrite else "errorifexists").partitionBy("batch").text(path)
+    n = df.agg(F.max("batch"), F.count("*")).first()
+    made = {**facts, "batches": int(n[0] or 0), "requests": int(n[1])}
+    write_bytes(df.sparkSession, f"{path.rstrip("/")}.manifest.json", manifest(**made).encode(), overwrite=True)
+    return made
 
 
 def manifest(**facts) -> str:
     """Sorted JSON of a run's facts."""
-    return json.dumps(facts, sort_keys=True, ensure_ascii=False)
+    return json.dumps(facts, sort_keys=True, ensure_ascii=False, indent=2)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = False) -> None:
+    """A small file in one step, in any file system of Spark's: written beside, then renamed."""
+    jvm = spark.sparkContext._jvm
+    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) and not overwrite:
+        raise FileExistsError(path)
+    out = fs.create(beside, True)
+    out.write(bytearray(data))
+    out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(beside, target):
+        raise OSError(f"{path} can't be written")
+
+
+def built_once(spark: SparkSession, path: str, facts: dict, build) -> DataFrame:
+    """The table at path, if it was built from the same facts (inputs, parameters); else built, written and noted anew.
+
+    The note is written last, so a table that was broken off is built again.
+    """
+    note = manifest(**facts)
+    try:
+        same = spark.read.text(f"{path}.json", wholetext=True).first().value == note
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        same = False
+    if not same:
+        build().write.mode("overwrite").parquet(path)
+        write_bytes(spark, f"{path}.json", note.encode(), overwrite=True)
+    return spark.read.parquet(path)
+
+
+def identity(spark: SparkSession, path: str) -> list:
+    """What tells a file or folder from a later one: paths, lengths and times of its files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return [[r.path, r.length, str(r.modificationTime)] for r in files.select("path", "length", "modificationTime").orderBy("path").collect()]
+
+
+def retried(call, attempts: int = 3, wait: float = 0.0, errors: tuple = (Exception,)):
+    """call(), tried again after errors with a wait that doubles; the last error stands."""
+    import time
+
+    for n in range(attempts):
+        try:
+            return call()
+        except errors:
+            if n + 1 == attempts:
+                raise
+            time.sleep(wait * 2**n)
+    raise ValueError("attempts must be positive")

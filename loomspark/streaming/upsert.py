@@ -12,12 +12,7 @@ def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str
     spark = stream.sparkSession
 
     def batch(df: DataFrame, epoch: int) -> None:
-        new = df.dropDuplicates(keys)
-        try:
-            new = upsert(spark.read.parquet(f"{path}/v{(epoch + 1) % 2}"), new, keys)
-        except Exception as e:  # the first batch has no old version
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.write.mode("overwrite").parquet(f"{path}/v{epoch % 2}")
+        old = spark.read.parquet(f"{path}/v{(epoch + 1) % 2}") if epoch else df.limit(0)  # the first batch has no old version
+        upsert(old, df, keys).write.mode("overwrite").parquet(f"{path}/v{epoch % 2}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

@@ -9,7 +9,7 @@ def test_stage_round_trip(spark):
     pages = spark.createDataFrame([(1, "<p>" + "long text " * 20 + "</p>"), (2, "<p>short</p>"), (3, "<b>" + "other text " * 20 + "</b>")], "k long, html string")
     req = stages.page_requests(pages, "k", "html", system="s", temperature=0.0, batch_size=1)
     assert [(r.key, r.batch) for r in req.orderBy("key").collect()] == [(1, 1), (3, 2)]
-    good = '{"is_relevant": true, "target_population": "Adult", "category": "x"}'
+    good = '{"is_relevant": true, "target_population": "Adult", "category": "Post-op & Pain", "reason": "r"}'
     line = lambda k, t: F.to_json(F.struct(F.lit(k).alias("key"), F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.lit(t).alias("text"))).alias("parts")).alias("content"))).alias("candidates")).alias("response")))
     lines = spark.range(1).select(F.explode(F.array(F.struct(F.lit(1).alias("line"), line("1", "no").alias("value")), F.struct(F.lit(2).alias("line"), line("1", good).alias("value")), F.struct(F.lit(3).alias("line"), line("9", good).alias("value")))).alias("x")).select("x.*")
     ok, bad = stages.merge_results(pages.where("k <> 2"), "k", stages.results(lines), J.stage1_error)
