@@ -39,6 +39,8 @@ PER_CENT = 75
 FIRST_BANDS, BLOCK, BLOCK_SHINGLES = 3, 1024, 1 << 18
 #: Ids up to which they are broadcast (under 2 MB), and rows of a partition of links.
 FEW_IDS, FEW_ROWS = 200_000, 50_000
+#: Hubs whose sets are broadcast at most, and bytes of such a set (8 MB together).
+HOT_HUBS, HOT_BYTES = 500, 1 << 14
 _M = U64(0x9E3779B97F4A7C15)
 
 
@@ -116,7 +118,7 @@ def banded(reps: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFra
 
 
 def _screened(pairs: DataFrame, sketch: DataFrame, n: int) -> DataFrame:
-    """(a, b) of the pairs whose sizes and signatures allow the threshold."""
+    """The pairs (id, hub) whose sizes and signatures allow the threshold."""
     import pyarrow as pa
 
     def run(batches):
@@ -124,12 +126,14 @@ def _screened(pairs: DataFrame, sketch: DataFrame, n: int) -> DataFrame:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, n) for i in (2, 3))
                 agree = (x == y).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(agree >= _least(n)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["id", "hub"]).filter(pa.array(agree >= _least(n)))
 
-    side = lambda c: sketch.select(F.col("id").alias(c), F.col("n_shingles").alias("n" + c), F.col("mini").alias("s" + c))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda c, x: sketch.select(F.col("id").alias(c), F.col("n_shingles").alias("n" + x), F.col("mini").alias("s" + x))
+    times, (_, total) = counted(pairs.groupBy("hub").agg(F.count("*").alias("times")), F.sum("times"))
+    hubs = cut(side("hub", "b").join(times, "hub"))
+    both = met(pairs.join(side("id", "a"), "id"), hubs, ["hub"], "times", hot_limit(total or 0))
     both = both.where(F.greatest("na", "nb") * PER_CENT <= F.least("na", "nb") * 100)
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("id", "hub", "sa", "sb").mapInArrow(run, "id long, hub long")
 
 
 def _least(n: int) -> float:
@@ -220,7 +224,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFr
 
 
 def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hold on full sets, which are made anew for the documents of these pairs only."""
+    """The pairs (a, b) of pairs (id, hub) that hold on full sets, which are made anew for these documents only.
+
+    The sets of a few hubs that many meet, if they are small, go to their rows by broadcast; others are dealt out.
+    """
     import pyarrow as pa
 
     def run(batches):
@@ -232,8 +239,19 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame) ->
                 ok.append(100 * common >= PER_CENT * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    full = lambda c: _sets(docs, id_col, text_col, pairs.select(F.col(c).alias("id"))).select(F.col("id").alias(c), F.col("s").alias("s" + c))
-    return pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    often, (n_hubs, n_pairs) = counted(pairs.groupBy("hub").agg(F.count("*").alias("n")), F.sum("n"))
+    if not n_hubs:
+        return pairs.select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    hubs = cut(_sets(docs, id_col, text_col, often.select(F.col("hub").alias("id"))).select(F.col("id").alias("hub"), F.col("s").alias("sb")).join(often, "hub"))
+    is_hot = (F.col("n") >= max(256, n_pairs // HOT_HUBS)) & (F.octet_length("sb") <= HOT_BYTES)
+    hot = hubs.where(is_hot).select("hub", "sb")
+
+    def met_by(some, table):
+        own = _sets(docs, id_col, text_col, some.select("id")).withColumnRenamed("s", "sa")
+        return some.join(own, "id").join(table, "hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), "sa", "sb").mapInArrow(run, "a long, b long")
+
+    cold = met_by(pairs.join(F.broadcast(hot.select("hub")), "hub", "left_anti"), hubs.where(~is_hot).select("hub", "sb"))
+    return cold if hot.isEmpty() else cold.unionByName(met_by(pairs.join(F.broadcast(hot.select("hub")), "hub", "left_semi"), F.broadcast(hot)))
 
 
 def _confirmed_in_blocks(docs: DataFrame, id_col: str, text_col: str, likely: DataFrame, found: DataFrame, sketch: DataFrame, n: int) -> DataFrame:
@@ -353,7 +371,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         at = _placed(some, found)
         meeting = met(at, counted(_hubs(at))[0], ["key"], "n_all", limit).where("c <> hub_c")
         # of a component's hubs a member takes one
-        pairs = meeting.groupBy("id", "hub_c").agg(F.min("hub").alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        pairs = meeting.groupBy("id", "hub_c").agg(F.min("hub").alias("hub")).select("id", "hub")
         found = merged(_confirmed(docs, id_col, text_col, counted(_screened(pairs, sketch, n))[0]))
     # what is still apart: all pairs across components, compared in blocks
     at = _placed(members.drop("band"), found)
