@@ -2,7 +2,8 @@
 
 Texts are lower-cased (A-Z) and cut into words; all phrases are found at once by an automaton over the words
 joined by blanks, so a hit starts and ends at word bounds. Tags (`SPDX-License-Identifier:`) are followed by an
-expression that is parsed with OR < AND < WITH and parentheses; its leaves give further labels.
+expression that is parsed with OR < AND < WITH and parentheses; its leaves give further labels, if all of them are known
+identifiers: of a public family, or references.
 
 Defined cases: null and empty texts have no words and no hits; the same phrase in one place counts once for each
 phrase; repeated rows are scanned each for itself; an empty table gives an empty result.
@@ -40,8 +41,17 @@ MORE = {
 }
 BASE_WEIGHT = 0.8
 TAG = "spdx license identifier"
-#: Identifier prefixes of tags and the labels they give (fixed values).
-FAMILIES = ("agpl", "lgpl", "gpl", "apache", "mit", "mpl", "epl", "bsd", "isc", "cc0", "cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by", "unlicense")
+#: Families of public licence identifiers, as the identifiers begin (fixed values); of several the longest counts.
+FAMILIES = (
+    "0bsd", "aal", "adsl", "afl", "agpl", "apache", "apl", "apsl", "artistic", "beerware", "blueoak", "bsd", "bsl", "bzip2", "cal",
+    "cc-by", "cc-by-nc", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-by-sa", "cc0", "cddl", "cecill", "cern-ohl", "cpal", "cpl",
+    "curl", "ecl", "efl", "elastic", "epl", "eupl", "fair", "freetype", "ftl", "gfdl", "gpl", "hpnd", "icu", "ijg", "intel", "ipl",
+    "isc", "json", "lgpl", "libpng", "libtiff", "lpl", "lppl", "miros", "mit", "mpl", "ms-pl", "ms-rl", "mulanpsl", "ncsa", "nist-pd",
+    "npl", "odbl", "odc-by", "ofl", "ogl-uk", "openssl", "osl", "pddl", "php", "postgresql", "psf", "python", "qpl", "ruby", "sgi-b",
+    "sleepycat", "sspl", "tcl", "unicode", "unlicense", "upl", "vim", "w3c", "wtfpl", "x11", "zlib", "zpl",
+)
+#: Words that end an exception's or a reference's identifier (fixed values).
+EXCEPTION, REFERENCE = "-exception", "licenseref-"
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -102,25 +112,32 @@ def parse(text: str) -> tuple[list, bool]:
 
 
 def evaluate(postfix: list[str]) -> tuple[int, frozenset]:
-    """How many choices of licences an expression grants, and all licences in it (with their exceptions)."""
+    """How many choices of licences an expression grants (2^62 at most), and all licences in it (with their exceptions).
+
+    An exception belongs to one licence; where `with` stands between other things, all are taken as they are.
+    """
     stack: list[tuple[int, frozenset]] = []
     for t in postfix:
         if t in PRECEDENCE and len(stack) >= 2:
             (m, b), (n, a) = stack.pop(), stack.pop()
-            if t == "or":
-                stack.append((n + m, a | b))
-            elif t == "and":
-                stack.append((n * m, a | b))
-            else:
+            if t == "with" and len(a) == len(b) == 1:
                 stack.append((n, frozenset(f"{x} with {y}" for x in a for y in b)))
+            else:
+                stack.append((min(n + m if t == "or" else n * m, 2**62), a | b))
         else:
             stack.append((1, frozenset([t])))
     return stack[-1] if stack else (0, frozenset())
 
 
-def family(identifier: str) -> str:
-    name = identifier.split(" with ")[0]
-    return next((f for f in FAMILIES if name == f or name.startswith(f + "-") or name.startswith(f)), name)
+def family(identifier: str) -> str | None:
+    """The label of an identifier: its family's, its own if it is a reference; null if it is no known one."""
+    name, _, exception = identifier.partition(" with ")
+    if exception and EXCEPTION not in exception:
+        return None
+    if name.startswith(REFERENCE):
+        return name
+    base = name.removesuffix("+")
+    return max((f for f in FAMILIES if base == f or base.startswith(f + "-")), key=len, default=None)
 
 
 def scan(text: str | None, a) -> tuple:
@@ -154,11 +171,13 @@ def scan(text: str | None, a) -> tuple:
                 e = m.group(1).decode("utf-8", "replace").strip()
                 post, ok = parse(e)
                 n, leaves = evaluate(post)
+                known = {family(x) for x in leaves}
+                ok = ok and None not in known
                 expressions.append(" ".join(post))
                 valid = ok if valid is None else valid and ok
                 choices = min(choices + n, 2**62)
                 if ok:
-                    labels |= {family(x) for x in leaves}
+                    labels |= known
                     miss *= 0.05
     join = lambda s: ",".join(sorted(s))
     return len(words), n_base, first, last, join(base), join(labels), 1 - miss, "; ".join(expressions), valid, n_tags, choices
