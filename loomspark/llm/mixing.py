@@ -4,7 +4,8 @@ A source's weight is its token share to the power of an exponent. The exponent i
 until the mixture's entropy meets a target between the natural and the uniform one, or the most repeated source
 stands at the repetition limit, whichever comes first from the natural side. Weights times the budget give quotas in
 tokens; a quota is realised as whole permutations (blocks) of the source and a part of one more, in hashed order.
-Running sums are taken inside hashed buckets of a source and over its buckets, so a hot source is never in one task.
+Running sums are taken inside hashed buckets of a source, over the buckets of a shelf, and over its shelves, so a hot source
+is never in one task.
 
 Defined cases: null and empty sources are one source; a text without words counts one token; rows of equal id are
 ordered by their text's hash and both may be taken; an empty table gives an empty result; other columns are kept by `mix`.
@@ -16,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.llm.common import cut
+from loomspark.llm.common import cut, fresh
 
 #: Share of the way from natural to uniform entropy; most repeats of a source; rows in a bucket.
 ENTROPY_SHARE, MOST_REPEATS, BUCKET_ROWS = 0.5, 4.0, 2048
 #: Sources up to which weights are broadcast (under 10 MB); beyond, they are joined with salts.
 BROADCAST_SOURCES, SALTS = 50_000, 32
 GRID, ROUNDS = 32, 6
+#: Buckets of a shelf.
+SHELF_BUCKETS = 1024
 
 
 def tokens(text_col: str):
@@ -65,35 +68,41 @@ def weights(rows: DataFrame, budget_ratio: float = 1.0, entropy_share: float = E
 
 
 def mix(docs: DataFrame, seed: int = 42, budget_ratio: float = 1.0, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", only_ids: bool = False) -> DataFrame:
-    """The rows of the mixture: docs' columns (or the id), and _source, _tokens, _weight, _block, _order."""
-    keep = [F.col(id_col)] if only_ids else [F.col(c) for c in docs.columns]
+    """The rows of the mixture: docs' columns (or the id), and _source, _tokens, _weight, _block, _order (with further
+    underscores behind names that docs has already)."""
+    keep = [id_col] if only_ids else docs.columns
+    names = fresh(docs.select(*[F.col(f"`{c}`") for c in keep]), "_source", "_tokens", "_weight", "_block", "_order")
     salt = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    rows = docs.select(*keep, F.coalesce(F.col(source_col), F.lit("")).alias("_source"), tokens(text_col).alias("_tokens"), salt.alias("_salt"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), tokens(text_col).alias("tokens"), salt.alias("salt"))
     if only_ids:
         rows = cut(rows)
-    w = cut(weights(rows.select(F.col("_source").alias("source_key"), F.col("_tokens").alias("tokens")), budget_ratio))
+    w = cut(weights(rows.select(F.col("source").alias("source_key"), "tokens"), budget_ratio))
     w = w.select(
-        F.col("source_key").alias("_source"),
-        F.col("weight").alias("_weight"),
-        F.floor(F.col("quota") / F.col("source_tokens")).cast("int").alias("_whole"),
-        (F.col("quota") - F.floor(F.col("quota") / F.col("source_tokens")) * F.col("source_tokens")).alias("_rest"),
-        F.ceil(F.col("n_rows") / BUCKET_ROWS).cast("long").alias("_buckets"),
+        F.col("source_key").alias("source"),
+        "weight",
+        F.floor(F.col("quota") / F.col("source_tokens")).cast("int").alias("whole"),
+        (F.col("quota") - F.floor(F.col("quota") / F.col("source_tokens")) * F.col("source_tokens")).alias("rest"),
+        F.ceil(F.col("n_rows") / BUCKET_ROWS).cast("long").alias("buckets"),
     )
     if w.count() <= BROADCAST_SOURCES:
-        rows = rows.join(F.broadcast(w), "_source")
+        rows = rows.join(F.broadcast(w), "source")
     else:
-        w = w.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_n", F.pmod("_salt", F.lit(SALTS)).cast("int")).join(w, ["_source", "_n"]).drop("_n")
-    order = lambda block: F.xxhash64("_salt", block)
-    whole = rows.where("_whole > 0").withColumn("_block", F.explode(F.expr("sequence(0, _whole - 1)")))
-    part = rows.where("_rest > 0").withColumn("_block", F.col("_whole")).withColumn("_order", order(F.col("_block")))
-    part = part.withColumn("_bucket", F.pmod("_order", F.col("_buckets")))
-    sums = part.groupBy("_source", "_bucket").agg(F.sum("_tokens").alias("_b"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_b").over(before), F.lit(0))).drop("_b")
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_order", id_col).rowsBetween(Window.unboundedPreceding, -1)
+        w = w.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("n", F.pmod("salt", F.lit(SALTS)).cast("int")).join(w, ["source", "n"]).drop("n")
+    order = lambda block: F.xxhash64("salt", block)
+    whole = rows.where("whole > 0").withColumn("block", F.explode(F.expr("sequence(0, whole - 1)"))).withColumn("order", order(F.col("block")))
+    part = rows.where("rest > 0").withColumn("block", F.col("whole")).withColumn("order", order(F.col("block")))
+    part = part.withColumn("bucket", F.pmod("order", F.col("buckets"))).withColumn("shelf", F.floor(F.col("bucket") / SHELF_BUCKETS))
+    # tokens before a shelf of buckets, before a bucket in its shelf, and before a row in its bucket
+    up_to = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut(part.groupBy("source", "shelf", "bucket").agg(F.sum("tokens").alias("b")))
+    shelves = sums.groupBy("source", "shelf").agg(F.sum("b").alias("s"))
+    shelves = shelves.withColumn("at", F.coalesce(F.sum("s").over(up_to("source", "shelf")), F.lit(0))).drop("s")
+    starts = sums.withColumn("in", F.coalesce(F.sum("b").over(up_to("source", "shelf", "bucket")), F.lit(0))).join(shelves, ["source", "shelf"])
+    starts = starts.select("source", "bucket", (F.col("at") + F.col("in")).alias("start"))
+    inside = Window.partitionBy("source", "bucket").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1)
     # only buckets that the quota reaches; the bucket's tokens before this row decide
-    part = part.join(starts, ["_source", "_bucket"]).where("_start < _rest")
-    part = part.withColumn("_at", F.col("_start") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0)) + F.col("_tokens") / 2).where("_at < _rest")
-    names = [*([id_col] if only_ids else docs.columns), "_source", "_tokens", "_weight", "_block", "_order"]
-    return whole.withColumn("_order", order(F.col("_block"))).select(*names).unionByName(part.select(*names))
+    part = part.join(starts, ["source", "bucket"]).where("start < rest")
+    part = part.withColumn("place", F.col("start") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)) + F.col("tokens") / 2).where("place < rest")
+    shown = [F.col("doc.*"), *(F.col(c).alias(n) for c, n in zip(("source", "tokens", "weight", "block", "order"), names, strict=True))]
+    return whole.select(*shown).unionByName(part.select(*shown))
