@@ -3,8 +3,10 @@
 Documents are routed to tiers of context sizes (powers of two). Each tier is packed in bounded windows of rows:
 a sequence starts with the longest waiting piece of its tier, its gap is filled with the largest pieces of shorter
 tiers that fit, and what is left with a cut of the shortest. Full sequences thus end at a power of two; only the last
-of a partition may be padded. Steps group sequences of one tier with equal tokens. Everything is local to a
-partition of the input, so there is no shuffle, and a lost task gives the same rows again.
+of a partition may be padded. A piece is longer than half its tier (but in the shortest), so what fits its gap is of shorter
+tiers. All that is local to a partition of the input, so there is no shuffle, and a lost task gives the same rows again.
+Step groups hold sequences of one tier, whose number is as even as can be over the whole table: a sequence's place in its
+tier is its place in its partition and the count of partitions before.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each for itself; an empty table
 gives no pieces; other columns are ignored.
@@ -18,14 +20,15 @@ from bisect import bisect_right, insort
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from loomspark.llm.common import batches_of, bpe, rows
+from loomspark.llm.common import batches_of, bpe, cut, rows
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 #: Tokens that wait in a task before a window is packed, and tokens of a training step.
 WINDOW_TOKENS, STEP_TOKENS = 1 << 20, 1 << 17
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, place long"
 
 
 class Packer:
@@ -36,19 +39,17 @@ class Packer:
         self.waiting: list = []  # (length, arrival, doc, start, ids, doc_tokens) by length
         self.tokens = self.arrival = 0
         self.next, self.steps = base, dict.fromkeys(self.tiers, 0)
-        self.base = base
 
-    def piece(self, p, cut: int, offset: int, tier: int, group: int):
-        ids = p[4][:cut]
-        return (p[2], p[3], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), p[5], self.next, offset, tier, group)
+    def piece(self, p, size: int, offset: int, tier: int):
+        ids = p[4][:size]
+        return (p[2], p[3], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), p[5], self.next, offset, tier, self.steps[tier])
 
     def sequence(self, parts: list, tier: int):
-        group = self.base + self.tiers.index(tier) * (1 << 24) + self.steps[tier] // STEP_TOKENS
         offset = 0
-        for p, cut in parts:
-            yield self.piece(p, cut, offset, tier, group)
-            offset += cut
-        self.steps[tier] += tier
+        for p, size in parts:
+            yield self.piece(p, size, offset, tier)
+            offset += size
+        self.steps[tier] += 1
         self.next += 1
 
     def wait(self, doc, start, ids, total) -> None:
@@ -112,4 +113,17 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocabu
 
         yield from batches_of(out(), arrow)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    pieces = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema))
+    return stepped(pieces)
+
+
+def stepped(pieces: DataFrame) -> DataFrame:
+    """pieces with step_group in place of place: groups of one tier of STEP_TOKENS at most, as even as can be."""
+    pieces = pieces.withColumn("part", F.shiftright("sequence_id", 32))
+    counts = pieces.groupBy("tier", "part").agg((F.max("place") + 1).alias("n"))
+    before = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    counts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("tier")))
+    counts = counts.withColumn("groups", F.ceil(F.col("total") * F.col("tier") / F.lit(STEP_TOKENS)).cast("long")).drop("n")
+    group = F.floor((F.col("earlier") + F.col("place")) * F.col("groups") / F.col("total")).cast("long")
+    out = pieces.join(counts, ["tier", "part"])
+    return out.select(*[c for c in pieces.columns if c not in ("place", "part")], (F.col("tier").cast("long") * F.lit(1 << 40) + group).alias("step_group"))
