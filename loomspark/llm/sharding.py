@@ -6,6 +6,9 @@ shards come out near equal. Each old shard's rows lie in blocks by a hash; the f
 new shard, and only blocks at a cut are split by a running sum inside the block. The driver holds a number for each
 (shard, class, block), whose count is a parameter, never rows.
 
+Rows with equal texts are a group of copies, not a unit: the law is on bytes, so the largest group may be cut between
+shards as any other rows are.
+
 Defined cases: a null text has size 1; equal sizes and repeated rows are ordered by hash, id and text checksum; an
 empty table gives an empty result; other columns are ignored by `assign` and kept by `rewrite`.
 """
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.llm.common import cut
+from loomspark.llm.common import cut, fresh
 
 SHARDS, OLD_SHARDS, BLOCKS = 16, 12, 64
 
@@ -159,8 +162,23 @@ def slots(rows: DataFrame, blocks: int) -> DataFrame:
     return rows.withColumn("place", place).join(F.broadcast(start), ["shard", "block"]).withColumn("slot", (F.col("start") + F.col("place") - 1).cast("long")).drop("start", "place", "rank", "block")
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the shards that lose or gain rows, one folder each; untouched shards keep their files."""
-    touched = placed.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    rows = docs.join(placed.select(F.col("doc_id").alias(id_col), "shard"), id_col).join(F.broadcast(touched), "shard", "left_semi")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the shards that lose or gain rows, one folder each; untouched shards keep their files, and folders of old
+    shards that are no more go. The n-th copy of a row goes where the n-th of its equals in placed does."""
+    (n, size, crc, shard) = fresh(docs, "_n", "_size", "_crc", "shard")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({size: F.octet_length(text).cast("long") + 1, crc: F.crc32(F.encode(text, "UTF-8"))})
+    copy = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
+    left = keyed.withColumn(n, copy(id_col, size, crc))
+    right = placed.select(F.col("doc_id").alias("_id"), F.col("size").alias(size), F.col("text_crc32").alias(crc), F.col("shard").alias(shard), "old_shard", "moved", copy("doc_id", "size", "text_crc32").alias(n))
+    touched = placed.where("moved").select(F.explode(F.array("old_shard", "shard")).alias(shard)).distinct()
+    rows = left.join(right.withColumnRenamed("_id", "_id_"), [F.col(id_col).eqNullSafe(F.col("_id_")), *(left[c] == right[c] for c in (size, crc, n))])
+    rows = rows.select(*[left[c] for c in docs.columns], right[shard]).join(F.broadcast(touched), shard, "left_semi")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard).parquet(path)
+    jvm = docs.sparkSession.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(docs.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    kept = {r[shard] for r in placed.select(F.col("shard").alias(shard)).distinct().collect()}  # at most one row a shard
+    for r in placed.select("old_shard").distinct().collect():
+        if r.old_shard not in kept:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"{shard}={r.old_shard}"), True)
