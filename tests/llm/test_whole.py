@@ -307,3 +307,11 @@ def test_a_small_space_grows(spark):
 
     want = hmac.new(b"key", "text é".encode(), hashlib.sha256).hexdigest()
     assert spark.range(1).select(pii._hmac("key", F.lit("text é")).alias("h")).first().h == want
+
+
+def test_word_hashes_follow_words():
+    a = passages.word_hashes("One two\tTWO\n\x0b three one  ")
+    assert len(a) == 5 and a[0] == a[4] and a[1] == a[2] and len(set(a.tolist())) == 3
+    assert len(passages.word_hashes(None)) == len(passages.word_hashes(" \n")) == 0
+    words = [f"w{i}" for i in range(5000)] + ["ab", "ba", "a", "b", "aa"]
+    assert len(set(passages.word_hashes(" ".join(words)).tolist())) == len(words) and passages.word_hashes("x " * 9 + "w7")[-1] == passages.word_hashes("w7")[0]
