@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from loomspark.functions.text import strip
+
 #: Share of the context that each step keeps, and the least characters it may come to (fixed values).
 SHRINK, LEAST = 0.75, 128
 
@@ -20,12 +22,26 @@ def filled(template: str, fields: dict[str, Column]) -> Column:
     return out
 
 
-def mcqa_prompt(question: Column, options: Column, context: Column | None = None, profile: Column | None = None, scenario: Column | None = None) -> Column:
-    """A multiple-choice prompt; parts that are null are left out."""
-    lines = F.array_join(F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(F.upper(e["key"]), F.lit(". "), e["value"])), "\n")
-    part = lambda title, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(title), c))
-    parts = [part(t, c) for t, c in (("", context), ("Patient: ", profile), ("Scenario: ", scenario)) if c is not None]
-    return F.concat_ws("\n", *parts, F.concat(F.lit("Question: "), question), lines, F.lit("End with: Final answer: (letter)"))
+#: The headings of a prompt, what stands under the second, and the place of the question's parts.
+HEADINGS = {"instruction": "### Instruction: ", "output": "### Output structure:", "profile": "### Patient profile: ", "scenario": "### Clinical scenario: ", "question": "### Question: ", "answer": "### Answer:"}
+OUTPUT = "- Explanation: Your step-by-step reasoning\n- Final answer: Your final answer (e.g. (A), (B), ...)"
+#: What is asked for, and what is added where there are retrieved texts; of our own words.
+INSTRUCTION = "Choose the best option for the patient and situation below, and explain it in the given structure."
+WITH_CONTEXT = " Use the retrieved excerpts as evidence where they help."
+
+
+def mcqa_prompt(question: Column, options: Column, context: Column | None = None, profile: Column | None = None, scenario: Column | None = None, instruction: str = INSTRUCTION) -> Column:
+    """A multiple-choice prompt: headed sections apart by blank lines; profile, scenario and context are left out where they
+    are null or blank; options by label as (A): text."""
+    lines = F.array_join(F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(F.lit("("), F.upper(e["key"]), F.lit("): "), e["value"])), "\n")
+    some = lambda c: F.when(F.coalesce(strip(c.cast("string")), F.lit("")) != "", strip(c.cast("string")))
+    headed = lambda name, c: F.concat(F.lit(HEADINGS[name]), some(c))
+    given = some(context) if context is not None else F.lit(None).cast("string")
+    head = F.concat(F.lit(HEADINGS["instruction"] + instruction), F.when(given.isNotNull(), WITH_CONTEXT).otherwise(""))
+    parts = [head, F.lit(HEADINGS["output"] + "\n" + OUTPUT)]
+    parts += [headed(n, c) for n, c in (("profile", profile), ("scenario", scenario)) if c is not None]
+    parts += [F.concat(F.lit(HEADINGS["question"]), question.cast("string"), F.lit("\n"), lines), given, F.lit(HEADINGS["answer"])]
+    return F.concat_ws("\n\n", *parts)  # which leaves nulls out
 
 
 def within_budget(df: DataFrame, prompt: str, context: str, out: str, budget: int, count: Callable[[str], int]) -> DataFrame:

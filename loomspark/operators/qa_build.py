@@ -110,3 +110,15 @@ def shuffled_distractors(options: Column, correct: Column, new_label: Column, ke
     hashed = F.array_sort(F.transform(others, lambda x: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), key, x).cast("binary")).alias("h"), F.element_at(options, x).alias("t"))))
     free = F.filter(F.array(*map(F.lit, LABELS)), lambda x: x != new_label)
     return F.map_concat(F.map_from_arrays(F.array(new_label), F.array(F.element_at(options, correct))), F.map_from_arrays(free, F.transform(hashed, lambda x: x["t"])))
+
+
+def rebalanced(df: DataFrame, key: str, options: str = "options", correct: str = "correct_answer", seed: int = 42) -> DataFrame:
+    """df with its options and answer dealt anew, and both as they were before; options that aren't a-d, or an answer that
+    is no label, are an error."""
+    o, c = J.normalized_options(F.col(options)), F.lower(F.col(correct))
+    o = F.when(o.isNotNull(), o).otherwise(F.raise_error(F.lit("options are not a-d")).cast("map<string,string>"))
+    c = F.when(c.isin(*LABELS), c).otherwise(F.raise_error(F.lit("answer is not a-d")).cast("string"))
+    rows = df.withColumns({f"{options}_before_rebalance": o, f"{correct}_before_rebalance": c})
+    rows = rebalance(rows, key, seed)
+    new = shuffled_distractors(F.col(f"{options}_before_rebalance"), F.col(f"{correct}_before_rebalance"), F.col("correct_label"), F.col(key).cast("string"), seed)
+    return rows.withColumn(options, new).withColumn(correct, F.col("correct_label")).drop("correct_label")

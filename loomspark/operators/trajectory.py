@@ -79,3 +79,10 @@ def population_summary(rows: DataFrame, keys: list[str], question: str, source:
     n = rows.groupBy(*keys, source).agg(F.count("*").alias("n_documents"), F.count_distinct(question).alias("n_questions"))
     total = F.sum("n_documents").over(Window.partitionBy(*keys))
     return n.withColumn("percentage", F.bround(100 * F.col("n_documents") / total, 2))
+
+
+def source_warnings(rows: DataFrame, source: str = "document_source") -> list[str]:
+    """What the sources of retrieved documents make doubtful: some unknown, or none of several."""
+    n, unknown, both = rows.agg(F.count("*"), F.count_if(F.col(source) == "unknown"), F.count_if(F.col(source) == "both")).first()
+    out = [f"{unknown} of {n} retrieved documents have no source"] if unknown else []
+    return out + (["no document is of several sources; was membership kept when the corpus was built?"] if n and not both else [])

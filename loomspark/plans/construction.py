@@ -112,6 +112,24 @@ def rebalance(spark, sf_dir):
     return Q.rebalance(read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def rebalanced_options(spark, sf_dir):
+    """Options and answers of all documents, dealt anew."""
+    options = F.create_map(*[x for k in "AbcD" for x in (F.lit(k), F.concat(F.lit(f"text {k.lower()} of "), F.col("doc_id").cast("string")))])
+    d = read(spark, sf_dir, "documents").select("doc_id", options.alias("options"), F.expr("array('A', 'b', 'c')[doc_id % 3]").alias("correct_answer"))
+    got = Q.rebalanced(d, "doc_id")
+    texts = F.array_join(F.transform(F.array(*map(F.lit, Q.LABELS)), lambda x: F.element_at("options", x)), ";")
+    return got.select("doc_id", texts.alias("texts"), "correct_answer", F.col("correct_answer_before_rebalance").alias("old_answer"))
+
+
+def mcqa_prompts(spark, sf_dir):
+    """Prompts with and without a profile and a context."""
+    options = F.create_map(*[x for k in "abcd" for x in (F.lit(k), F.lit(f"option {k}"))])
+    b = read(spark, sf_dir, "benchmark")
+    even = F.col("item_id") % 2 == 0
+    p = P.mcqa_prompt(F.col("text"), options, F.when(even, X.format_context(F.array(F.lit(" one "), F.lit("two")))).otherwise(""), F.when(even, F.lit(" a child ")), F.lit("a ward"), "Choose.")
+    return b.select("item_id", p.alias("prompt"))
+
+
 def profile_replacement(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark").select("item_id", F.expr("array('Adult', 'Pediatric', 'General')[item_id % 3]").alias("population"), F.col("text").alias("profile"))
     out = None
@@ -158,7 +176,7 @@ _B = "SELECT item_id, ['Adult','Pediatric','General'][item_id % 3 + 1] AS popula
 _POOL = f"SELECT population AS g, profile AS p FROM (SELECT DISTINCT population, profile FROM ({_B}) WHERE population <> 'General' AND profile <> 'general patient') QUALIFY row_number() OVER (PARTITION BY population ORDER BY md5('42:' || profile), profile) <= 120"
 _DRAW = "coalesce((SELECT arg_min(p, md5('42:' || item_id || ':' || p)) FROM pool WHERE {}), b.profile)"
 
-QUERIES = {f.__name__: f for f in (json_repair, result_errors, explode_rules, stage3_groups, final_questions, response_faults, profiles, memberships, answer_counts, rebalance, profile_replacement, context_format, prompt_build)}
+QUERIES = {f.__name__: f for f in (json_repair, result_errors, explode_rules, stage3_groups, final_questions, response_faults, profiles, memberships, answer_counts, rebalance, rebalanced_options, mcqa_prompts, profile_replacement, context_format, prompt_build)}
 ORACLES = {
     "json_repair": f"SELECT event_id, json_valid({_REP}) AND {_REP} <> '' AS valid, md5({_REP}) AS repaired_md5 FROM ({_WR})",
     "result_errors": f"WITH r AS ({_WR}), i AS (SELECT DISTINCT event_id // 2 AS key FROM r WHERE event_id % 10 <> 1), s AS (SELECT event_id // 2 AS key, event_id AS line, CASE WHEN json_valid({_REP}) AND {_REP} <> '' THEN 0 ELSE 1 END AS bad FROM r WHERE event_id % 10 <> 3), f AS (SELECT key, min(bad * 1000000000000 + line) AS m, count(*) AS n FROM s GROUP BY key) SELECT coalesce(i.key, f.key) AS key, CASE WHEN i.key IS NULL THEN 'unexpected' WHEN f.key IS NULL THEN 'missing' WHEN m >= 1000000000000 THEN 'invalid' ELSE 'ok' END AS status, (m % 1000000000000)::BIGINT AS line, coalesce(n, 0) AS n_results FROM i FULL JOIN f ON i.key = f.key",
@@ -170,6 +188,15 @@ ORACLES = {
     "memberships": f"SELECT event_id, {_picked([x[1] for x in MEMBERS])} AS members FROM events",
     "answer_counts": "WITH t AS (SELECT count(*) AS t FROM documents) SELECT 'old_label' AS \"column\", l AS label, (SELECT count(*) FROM documents WHERE ['a', 'b', 'c'][doc_id % 3 + 1] = l) AS count FROM (SELECT unnest(['a', 'b', 'c', 'd']) AS l) UNION ALL SELECT 'correct_label', ['a', 'b', 'c', 'd'][i + 1], t // 4 + CASE WHEN i < t % 4 THEN 1 ELSE 0 END FROM t, (SELECT unnest([0, 1, 2, 3]) AS i)",
     "rebalance": "WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS p, count(*) OVER () AS t FROM documents) SELECT doc_id, CASE WHEN p < t // 4 + least(t % 4, 1) THEN 'a' WHEN p < 2 * (t // 4) + least(t % 4, 2) THEN 'b' WHEN p < 3 * (t // 4) + least(t % 4, 3) THEN 'c' ELSE 'd' END AS correct_label FROM o",
+    "rebalanced_options": """WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS p, count(*) OVER () AS t, ['a', 'b', 'c'][doc_id % 3 + 1] AS old FROM documents),
+      n AS (SELECT *, CASE WHEN p < t // 4 + least(t % 4, 1) THEN 'a' WHEN p < 2 * (t // 4) + least(t % 4, 2) THEN 'b' WHEN p < 3 * (t // 4) + least(t % 4, 3) THEN 'c' ELSE 'd' END AS new FROM o),
+      s AS (SELECT *, list_transform(list_sort(list_transform(list_filter(['a', 'b', 'c', 'd'], lambda x: x <> old), lambda x: md5('42:' || doc_id || ':' || x) || x)), lambda x: right(x, 1)) AS others, list_filter(['a', 'b', 'c', 'd'], lambda x: x <> new) AS free FROM n)
+      SELECT doc_id, array_to_string(list_transform(['a', 'b', 'c', 'd'], lambda x: 'text ' || CASE WHEN x = new THEN old ELSE others[list_position(free, x)] END || ' of ' || doc_id), ';') AS texts, new AS correct_answer, old AS old_answer FROM s""",
+    "mcqa_prompts": """SELECT item_id, array_to_string(list_filter(['### Instruction: Choose.' || CASE WHEN item_id % 2 = 0 THEN ' Use the retrieved excerpts as evidence where they help.' ELSE '' END,
+      '### Output structure:' || chr(10) || '- Explanation: Your step-by-step reasoning' || chr(10) || '- Final answer: Your final answer (e.g. (A), (B), ...)',
+      CASE WHEN item_id % 2 = 0 THEN '### Patient profile: a child' END, '### Clinical scenario: a ward',
+      '### Question: ' || text || chr(10) || '(A): option a' || chr(10) || '(B): option b' || chr(10) || '(C): option c' || chr(10) || '(D): option d',
+      CASE WHEN item_id % 2 = 0 THEN '### Retrieved excerpts (top-2)' || chr(10) || '[1] Text:' || chr(10) || 'one' || chr(10) || chr(10) || '[2] Text:' || chr(10) || 'two' END, '### Answer:'], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS prompt FROM benchmark""",
     "profile_replacement": f"WITH b AS ({_B}), pool AS ({_POOL}) SELECT 'original' AS condition, item_id, profile AS new_profile FROM b UNION ALL SELECT 'random', item_id, {_DRAW.format('p <> b.profile')} FROM b UNION ALL SELECT 'within_group', item_id, {_DRAW.format("p <> b.profile AND g = CASE WHEN b.population = 'Pediatric' THEN 'Pediatric' ELSE 'Adult' END")} FROM b UNION ALL SELECT 'cross_group', item_id, {_DRAW.format("g = CASE WHEN b.population = 'Pediatric' THEN 'Adult' ELSE 'Pediatric' END")} FROM b",
     "context_format": r"""SELECT item_id, '### Retrieved excerpts (top-2)' || chr(10) || '[1] Text:' || chr(10) || CASE WHEN length(t) <= 200 THEN t WHEN instr(substring(t, 1, 200), ' ') > 0 THEN left(substring(t, 1, 200), length(substring(t, 1, 200)) - instr(reverse(substring(t, 1, 200)), ' ')) || '...' ELSE substring(t, 1, 200) || '...' END || chr(10) || chr(10) || '[2] Text:' || chr(10) || 'short' AS context FROM (SELECT item_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS t FROM benchmark)""",
     "prompt_build": """SELECT item_id, prompt, md5('{"key":"' || item_id || '","request":{"contents":[{"parts":[{"text":' || to_json(prompt)::VARCHAR || '}],"role":"user"}],"system_instruction":"be brief","generation_config":{"temperature":0.0}}}') AS request_md5 FROM (SELECT item_id, 'Context:' || chr(10) || text || chr(10) || 'Question: ' || item_id || chr(10) || 'Answer with a-d.' AS prompt FROM benchmark)""",

@@ -34,4 +34,22 @@ def test_budget(spark):
 
 def test_prompt(spark):
     df = spark.createDataFrame([("q?", {"b": "2", "a": "1"}, None)], "q string, o map<string,string>, p string")
-    assert df.select(prompts.mcqa_prompt(F.col("q"), F.col("o"), profile=F.col("p")).alias("v")).first().v.startswith("Question: q?\nA. 1\nB. 2")
+    text = df.select(prompts.mcqa_prompt(F.col("q"), F.col("o"), profile=F.col("p"), instruction="Do.")).first()[0]
+    assert text.startswith("### Instruction: Do.\n\n### Output structure:\n") and text.endswith("### Question: q?\n(A): 1\n(B): 2\n\n### Answer:") and "profile" not in text
+
+
+def test_conditions_from_retrieval_to_accuracy(spark):
+    from loomspark.operators import experiments, models, trajectory
+
+    docs = spark.createDataFrame([(0, "child with fever", "s"), (1, "adult pain dose", "t"), (2, "other words", "s")], "doc_id long, text string, source string")
+    options = {x: x for x in "abcd"}
+    q = spark.createDataFrame([(1, "fever of a child", "fever", "child", "why fever", options, "a", "Pediatric"), (2, "pain dose", "dose", "adult", "which dose", options, "b", "Adult")], "q_id long, full string, core string, profile string, question string, options map<string,string>, correct_answer string, target_population string")
+    rows = experiments.run(docs, q, models.echo, (2, 2, 1)).collect()
+    assert len(rows) == 10 and {r.condition for r in rows} == {"no_rag", "base_rag", "prof_rag", "q_qp", "q_q"}
+    for r in rows:
+        text = {1: "child with fever", 2: "adult pain dose"}[r.q_id]
+        assert (text in r.prompt) == (r.condition != "no_rag") and r.predicted == "abcd"[len(r.prompt) % 4]
+    got = experiments.report(spark.createDataFrame(rows)).where("population = 'All'").collect()
+    assert [r.condition for r in got] == ["no_rag", "base_rag", "prof_rag", "q_qp", "q_q"] and all(r.n == 2 for r in got)
+    flagged = spark.createDataFrame([("unknown",), ("s",)], "document_source string")
+    assert len(trajectory.source_warnings(flagged)) == 2 and trajectory.source_warnings(spark.createDataFrame([("both",)], "document_source string")) == []
