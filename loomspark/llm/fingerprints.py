@@ -9,7 +9,8 @@ from its start on.
 
 Defined cases: null and empty texts have an empty fingerprint and are alike (1.0) to empty ones only; a text of fewer
 than k units has one hash of all it has; rows that repeat a doc_id are one step in the order of ids, and the least of their texts
-is the next one's; an empty table gives an empty result; other columns are ignored.
+is the next one's; rows without an id have no place in that order and no row here; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ UNIT = r"[^\x20\x09-\x0D]{1,8}"
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 LONG = r"(?:\G(?!^)|(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{65}))[^\x20\x09-\x0D]"
 K_DOUBLINGS, W_DOUBLINGS = 2, 3
+#: What texts hold that have any of the former, and of the latter.
+HIGH, RUN = r"[\u0E00-\uFFFF\x{10000}-\x{10FFFF}]", r"[^\x20\x09-\x0D]{65}"
 _POS = 31
 
 
@@ -40,7 +43,9 @@ def _doubled(a: Column, step: int, combine) -> Column:
 
 def winnowed(text: Column) -> Column:
     """array<long> of packed picks (32 bits of hash, then the position counted down), in order of position."""
-    apart = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), UNSPACED, " $0 "), LONG, " $0 ")
+    # most texts have neither, which a plain search tells
+    unspaced = _let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(HIGH), F.regexp_replace(t, UNSPACED, " $0 ")).otherwise(t))
+    apart = _let(unspaced, lambda t: F.when(t.rlike(RUN), F.regexp_replace(t, LONG, " $0 ")).otherwise(t))
     grams = F.transform(F.regexp_extract_all(apart, F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
     # fewer than four units: one hash of all
     grams = _let(grams, lambda v: F.when((F.size(v) > 0) & (F.size(v) < 2**K_DOUBLINGS), F.array(F.xxhash64(v))).otherwise(_rolled(v)))
