@@ -495,7 +495,10 @@ def averaged(df: DataFrame, shapes: list[tuple], run) -> list[np.ndarray] | None
 
     def batch(got):
         keys, turns, packed = zip(*got, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(turns, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in packed], pa.binary())], names=["block", "turn", "packed"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), pa.array(turns, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in packed], pa.binary())],
+            names=["block", "turn", "packed"],
+        )
 
     def each(batches):
         from pyspark import TaskContext
@@ -627,7 +630,20 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     rare_total = total - int(times.sum())
     known_rare = 2 * twice + rare_total - once
     unknown = (once + 0.5) / (once + known_rare + 1)
-    arrow = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("bits", pa.float64()), ("base", pa.float64()), ("known", pa.int64()), ("first", pa.string()), ("again", pa.string())])
+    arrow = pa.schema(
+        [
+            ("row", pa.int64()),
+            ("doc_id", pa.int64()),
+            ("held_out", pa.bool_()),
+            ("n_tokens", pa.int64()),
+            ("n_bytes", pa.int64()),
+            ("bits", pa.float64()),
+            ("base", pa.float64()),
+            ("known", pa.int64()),
+            ("first", pa.string()),
+            ("again", pa.string()),
+        ]
+    )
 
     def run(batches):
         from pyspark import TaskContext
@@ -660,8 +676,14 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     # all words of training texts are known; those of held-out texts may not be, and are spelt once each
     odd = part("first").where("held_out").select(F.col("token").cast("binary").alias("token")).distinct().join(counts, "token", "left_anti")
     draws = F.lit(-math.log2(1 - unknown)) - F.log2(F.col("c") / F.lit(float(max(rare_total, 1))))
-    prices = counts.select("token", "c", draws.alias("bits")).unionByName(spelt(odd, held, learned).select("token", F.lit(0).cast("long").alias("c"), (F.col("bits") + F.lit(-math.log2(unknown))).alias("bits")))
-    rest = tail.join(prices, "token").groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.5) - F.lit(below)).alias("more"), F.count_if(F.col("c") > 0).alias("more_known"), F.sum(F.when(F.col("first"), F.col("bits")).otherwise(0.0)).alias("more_bits"))
+    prices = counts.select("token", "c", draws.alias("bits")).unionByName(
+        spelt(odd, held, learned).select("token", F.lit(0).cast("long").alias("c"), (F.col("bits") + F.lit(-math.log2(unknown))).alias("bits"))
+    )
+    rest = tail.join(prices, "token").groupBy("row").agg(
+        F.sum(F.log10(F.col("c") + 0.5) - F.lit(below)).alias("more"),
+        F.count_if(F.col("c") > 0).alias("more_known"),
+        F.sum(F.when(F.col("first"), F.col("bits")).otherwise(0.0)).alias("more_bits"),
+    )
     out = main.drop("first", "again").join(rest, "row", "left")
     bits_ = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
     return out.select(

@@ -73,7 +73,13 @@ def mix(docs: DataFrame, seed: int = 42, budget_ratio: float = 1.0, text_col: st
     keep = [id_col] if only_ids else docs.columns
     names = fresh(docs.select(*[F.col(f"`{c}`") for c in keep]), "_source", "_tokens", "_weight", "_block", "_order")
     salt = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), tokens(text_col).alias("tokens"), salt.alias("salt"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"),
+        F.col(id_col).alias("id"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+        tokens(text_col).alias("tokens"),
+        salt.alias("salt"),
+    )
     if only_ids:
         rows = cut(rows)
     w = cut(weights(rows.select(F.col("source").alias("source_key"), "tokens"), budget_ratio))

@@ -112,7 +112,10 @@ def banded(reps: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFra
             with np.errstate(over="ignore"):
                 for j in range(per_band):
                     key = mix64((key * _M + sig[:, :, j]).ravel()).reshape(n, bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), n))], names=["key", "id", "band"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), n))],
+                names=["key", "id", "band"],
+            )
 
     return reps.select("id", "sig").mapInArrow(run, "key long, id long, band int")
 
@@ -341,7 +344,11 @@ def _placed(members: DataFrame, found: DataFrame | None) -> DataFrame:
 def _hubs(at: DataFrame) -> DataFrame:
     """(key, hub, hub_c, n_all, n_out) of the buckets whose members are apart: the most central member of the largest component."""
     parts = at.groupBy("key", "c").agg(F.count("*").alias("m"), F.max(F.struct("central", F.negative("id").alias("least"))).alias("h"))
-    hubs = parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("m").alias("n_all"), F.max(F.struct("m", F.col("h.central").alias("s"), F.col("h.least").alias("least"), "c")).alias("hub")).where("k > 1")
+    hubs = parts.groupBy("key").agg(
+        F.count("*").alias("k"),
+        F.sum("m").alias("n_all"),
+        F.max(F.struct("m", F.col("h.central").alias("s"), F.col("h.least").alias("least"), "c")).alias("hub"),
+    ).where("k > 1")
     return hubs.select("key", F.negative("hub.least").alias("hub"), F.col("hub.c").alias("hub_c"), "n_all", (F.col("n_all") - F.col("hub.m")).alias("n_out"))
 
 

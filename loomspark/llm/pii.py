@@ -112,7 +112,10 @@ def _pick(values: tuple, n: Column) -> Column:
 def _masked(text: Column, r: Column) -> Column:
     """Letters and digits of text by others of their class."""
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    one = lambda c, i: F.when(c.rlike("[a-z]"), F.lit(low).substr(F.pmod(F.get(r, i % 64), F.lit(26)) + 1, F.lit(1))).when(c.rlike("[A-Z]"), F.lit(up).substr(F.pmod(F.get(r, i % 64), F.lit(26)) + 1, F.lit(1))).when(c.rlike("[0-9]"), F.lit(num).substr(F.pmod(F.get(r, i % 64), F.lit(10)) + 1, F.lit(1))).otherwise(c)
+    one = lambda c, i: F.when(
+        c.rlike("[a-z]"),
+        F.lit(low).substr(F.pmod(F.get(r, i % 64), F.lit(26)) + 1, F.lit(1)),
+    ).when(c.rlike("[A-Z]"), F.lit(up).substr(F.pmod(F.get(r, i % 64), F.lit(26)) + 1, F.lit(1))).when(c.rlike("[0-9]"), F.lit(num).substr(F.pmod(F.get(r, i % 64), F.lit(10)) + 1, F.lit(1))).otherwise(c)
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
@@ -188,7 +191,10 @@ def surrogates(forms: DataFrame, key: str) -> DataFrame:
 def poured(kind: Column, raw: Column, s: Column) -> Column:
     """The surrogate in the format of the occurrence: digits between its separators."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
-    step = lambda a, c: F.when(c.rlike(r"\d"), F.struct(F.concat(a["out"], s.substr(a["i"], F.lit(1))).alias("out"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i")))
+    step = lambda a, c: F.when(
+        c.rlike(r"\d"),
+        F.struct(F.concat(a["out"], s.substr(a["i"], F.lit(1))).alias("out"), (a["i"] + 1).alias("i")),
+    ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i")))
     return F.when(kind.isin(*_DIGIT_TYPES), F.aggregate(F.split(raw, ""), start, step, lambda a: a["out"])).otherwise(s)
 
 

@@ -31,7 +31,14 @@ def op4_surrogates(spark, sf_dir):
 
 def op5_temperature_mixing(spark, sf_dir):
     mixed = mixing.mix(read(spark, sf_dir), only_ids=True)
-    return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_block").alias("block"), F.col("_order").alias("sort_key"))
+    return mixed.select(
+        "doc_id",
+        F.col("_source").alias("source"),
+        F.col("_tokens").alias("n_tokens"),
+        F.col("_weight").alias("weight"),
+        F.col("_block").alias("block"),
+        F.col("_order").alias("sort_key"),
+    )
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
@@ -61,5 +68,19 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chained_passages, op2_license_scan, op3_context_mixing, op4_surrogates, op5_temperature_mixing, op6_minhash_near_dedup, op7_winnowing, op8_min_cost_resharding, op9_hierarchical_packing, op10_tokeniser_fertility, pipeline)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_chained_passages,
+        op2_license_scan,
+        op3_context_mixing,
+        op4_surrogates,
+        op5_temperature_mixing,
+        op6_minhash_near_dedup,
+        op7_winnowing,
+        op8_min_cost_resharding,
+        op9_hierarchical_packing,
+        op10_tokeniser_fertility,
+        pipeline,
+    )
+}
 ORACLES: dict[str, str] = {}

@@ -170,7 +170,15 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id
     keyed = docs.withColumns({size: F.octet_length(text).cast("long") + 1, crc: F.crc32(F.encode(text, "UTF-8"))})
     copy = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
     left = keyed.withColumn(n, copy(id_col, size, crc))
-    right = placed.select(F.col("doc_id").alias("_id"), F.col("size").alias(size), F.col("text_crc32").alias(crc), F.col("shard").alias(shard), "old_shard", "moved", copy("doc_id", "size", "text_crc32").alias(n))
+    right = placed.select(
+        F.col("doc_id").alias("_id"),
+        F.col("size").alias(size),
+        F.col("text_crc32").alias(crc),
+        F.col("shard").alias(shard),
+        "old_shard",
+        "moved",
+        copy("doc_id", "size", "text_crc32").alias(n),
+    )
     touched = placed.where("moved").select(F.explode(F.array("old_shard", "shard")).alias(shard)).distinct()
     rows = left.join(right.withColumnRenamed("_id", "_id_"), [F.col(id_col).eqNullSafe(F.col("_id_")), *(left[c] == right[c] for c in (size, crc, n))])
     rows = rows.select(*[left[c] for c in docs.columns], right[shard]).join(F.broadcast(touched), shard, "left_semi")

@@ -28,7 +28,21 @@ def texts(docs):
 
 @pytest.fixture(scope="module")
 def edge(spark):
-    base = [None, "", " \t\n", "one", "one two three", "a b c d e f g h i j k l m n o p", "x" * 30000, " ".join(f"w{i}" for i in range(9000)), "tab\tnew\nline\x0b\x0c end", "ünï cödé 漢字 текст", "\x00\x1f ctl", "same text here now please", "same text here now please"]
+    base = [
+        None,
+        "",
+        " \t\n",
+        "one",
+        "one two three",
+        "a b c d e f g h i j k l m n o p",
+        "x" * 30000,
+        " ".join(f"w{i}" for i in range(9000)),
+        "tab\tnew\nline\x0b\x0c end",
+        "ünï cödé 漢字 текст",
+        "\x00\x1f ctl",
+        "same text here now please",
+        "same text here now please",
+    ]
     rows = [(i, t, None, None if i % 2 else "s", 0, "id", 1, 2, "k", 3, "h", "s", "x", 4, 5, 6, 7, 8) for i, t in enumerate(base)]
     return spark.createDataFrame([*rows, rows[4], (None, *rows[4][1:]), (None, *rows[7][1:])], SCHEMA).cache()
 

@@ -229,7 +229,9 @@ def test_equal_substrings_of_long_runs_share_hashes(spark):
         pairs = spark.createDataFrame([(t, "x" + t)], "a string, b string")
         near = fingerprints.likeness(*(fingerprints._hashes(fingerprints.winnowed(F.col(c))) for c in "ab"))
         assert pairs.select(near).first()[0] > 0.7
-    plain = spark.createDataFrame([("one two threefourfive six\nseven " + "y" * 64,)], "t string").select(F.size(F.regexp_extract_all(F.regexp_replace("t", fingerprints.LONG, " $0 "), F.lit(fingerprints.UNIT), F.lit(0)))).first()[0]
+    plain = spark.createDataFrame([("one two threefourfive six\nseven " + "y" * 64,)], "t string").select(
+        F.size(F.regexp_extract_all(F.regexp_replace("t", fingerprints.LONG, " $0 "), F.lit(fingerprints.UNIT), F.lit(0)))
+    ).first()[0]
     assert plain == 14
 
 
