@@ -35,10 +35,25 @@ def cohen_kappa(pairs: DataFrame, left: str, right: str, quadratic: bool = False
     Disagreement by chance comes from the raters' label counts and their moments, so no label meets all others.
     """
     cells = pairs.groupBy(F.col(left).alias("l"), F.col(right).alias("r")).agg(F.count("*").alias("n"))  # labels, not rows, from here on
-    sides = cells.select(F.explode(F.array(F.struct(F.col("l").alias("v"), F.col("n").alias("nl"), F.lit(0).cast("long").alias("nr")), F.struct(F.col("r").alias("v"), F.lit(0).cast("long").alias("nl"), F.col("n").alias("nr")))).alias("x")).select("x.*")
+    sides = cells.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("l").alias("v"), F.col("n").alias("nl"), F.lit(0).cast("long").alias("nr")),
+                F.struct(F.col("r").alias("v"), F.lit(0).cast("long").alias("nl"), F.col("n").alias("nr")),
+            )
+        ).alias("x")
+    ).select("x.*")
     labels = sides.groupBy("v").agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr")).withColumn("i", (F.row_number().over(Window.orderBy("v")) - 1).cast("double"))
     moment = lambda n, k: F.sum(F.col(n) * F.pow("i", F.lit(k)))
-    total = labels.agg(F.sum("nl").alias("n_items"), F.greatest(F.max("i"), F.lit(1.0)).alias("span"), moment("nl", 1).alias("l1"), moment("nl", 2).alias("l2"), moment("nr", 1).alias("r1"), moment("nr", 2).alias("r2"), F.sum(F.col("nl").cast("double") * F.col("nr")).alias("same"))
+    total = labels.agg(
+        F.sum("nl").alias("n_items"),
+        F.greatest(F.max("i"), F.lit(1.0)).alias("span"),
+        moment("nl", 1).alias("l1"),
+        moment("nl", 2).alias("l2"),
+        moment("nr", 1).alias("r1"),
+        moment("nr", 2).alias("r2"),
+        F.sum(F.col("nl").cast("double") * F.col("nr")).alias("same"),
+    )
     place = labels.select("v", "i")
     seen = cells.join(place.select(F.col("v").alias("l"), F.col("i").alias("li")), "l").join(place.select(F.col("v").alias("r"), F.col("i").alias("ri")), "r")
     seen = seen.agg(F.sum(F.pow(F.col("li") - F.col("ri"), 2) * F.col("n")).alias("far"), F.sum(F.when(F.col("li") != F.col("ri"), F.col("n")).otherwise(0)).cast("double").alias("other"))
@@ -75,7 +90,9 @@ def summarize(both: DataFrame) -> DataFrame:
     for m in ORDINAL:
         part = rating_summary(both, m, f"`{m}_1`", f"`{m}_2`").withColumns({"scale": F.lit("ordinal_1_5"), "kappa_weighting": F.lit("quadratic"), "accuracy": F.lit(None).cast("double")})
         out = part if out is None else out.unionByName(part)
-    last = binary_summary(both, TARGET, f"`{TARGET}_1`", f"`{TARGET}_2`").withColumns({"scale": F.lit("binary"), "kappa_weighting": F.lit("unweighted"), **{c: F.lit(None).cast("double") for c in ("mean", "std", "within_one")}})
+    last = binary_summary(both, TARGET, f"`{TARGET}_1`", f"`{TARGET}_2`").withColumns(
+        {"scale": F.lit("binary"), "kappa_weighting": F.lit("unweighted"), **{c: F.lit(None).cast("double") for c in ("mean", "std", "within_one")}}
+    )
     return out.unionByName(last)
 
 

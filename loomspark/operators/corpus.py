@@ -96,7 +96,15 @@ def chunk(docs: DataFrame, size: int = 384, overlap: int = 64, text: str = "text
     rows = docs.withColumn("_w", w).withColumn("document_token_count", F.coalesce(F.try_element_at("_w", F.lit(-1))["token_end"], F.lit(0)))
     keep = [c for c in docs.columns if c != text]
     rows = rows.select(*keep, "document_token_count", F.posexplode("_w").alias("chunk_id", "_c"))
-    return rows.select(*keep, "chunk_id", "_c.token_start", "_c.token_end", (F.col("_c.token_end") - F.col("_c.token_start")).alias("token_count"), "document_token_count", F.col("_c.text").alias(text))
+    return rows.select(
+        *keep,
+        "chunk_id",
+        "_c.token_start",
+        "_c.token_end",
+        (F.col("_c.token_end") - F.col("_c.token_start")).alias("token_count"),
+        "document_token_count",
+        F.col("_c.text").alias(text),
+    )
 
 
 def chunk_membership(chunks: DataFrame, text: str = "text", source: str = "source") -> DataFrame:

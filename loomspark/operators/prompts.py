@@ -23,7 +23,14 @@ def filled(template: str, fields: dict[str, Column]) -> Column:
 
 
 #: The headings of a prompt, what stands under the second, and the place of the question's parts.
-HEADINGS = {"instruction": "### Instruction: ", "output": "### Output structure:", "profile": "### Patient profile: ", "scenario": "### Clinical scenario: ", "question": "### Question: ", "answer": "### Answer:"}
+HEADINGS = {
+    "instruction": "### Instruction: ",
+    "output": "### Output structure:",
+    "profile": "### Patient profile: ",
+    "scenario": "### Clinical scenario: ",
+    "question": "### Question: ",
+    "answer": "### Answer:",
+}
 OUTPUT = "- Explanation: Your step-by-step reasoning\n- Final answer: Your final answer (e.g. (A), (B), ...)"
 #: What is asked for, and what is added where there are retrieved texts; of our own words.
 INSTRUCTION = "Choose the best option for the patient and situation below, and explain it in the given structure."

@@ -25,13 +25,27 @@ def mapped(df: DataFrame, source: str, label: str = "label") -> DataFrame:
     """Options in a map; a label names the correct one."""
     low = F.transform_keys("options", lambda k, _: F.lower(k))
     key = F.lower(F.col(label))
-    return df.select(F.col("id").cast("string").alias("id"), F.lit(source).alias("source"), "question", low.alias("options"), key.alias("correct_option"), F.element_at(low, key).alias("correct_answer"))
+    return df.select(
+        F.col("id").cast("string").alias("id"),
+        F.lit(source).alias("source"),
+        "question",
+        low.alias("options"),
+        key.alias("correct_option"),
+        F.element_at(low, key).alias("correct_answer"),
+    )
 
 
 def indexed(df: DataFrame, source: str, id_col: str = "link", prefix: str = "op") -> DataFrame:
     """Five option columns, the answer's text and its letter."""
     o = _options({x: f"{prefix}{x}" for x in LETTERS})
-    return df.select(F.col(id_col).cast("string").alias("id"), F.lit(source).alias("source"), "question", o.alias("options"), F.lower("answer_idx").alias("correct_option"), F.col("answer").alias("correct_answer"))
+    return df.select(
+        F.col(id_col).cast("string").alias("id"),
+        F.lit(source).alias("source"),
+        "question",
+        o.alias("options"),
+        F.lower("answer_idx").alias("correct_option"),
+        F.col("answer").alias("correct_answer"),
+    )
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

@@ -15,7 +15,16 @@ LABELS = ("a", "b", "c", "d")
 def request_json(key: Column, prompt: Column, system: str, temperature: float) -> Column:
     """The request line of one row."""
     content = F.array(F.struct(F.array(F.struct(prompt.alias("text"))).alias("parts"), F.lit("user").alias("role")))
-    return F.to_json(F.struct(key.alias("key"), F.struct(content.alias("contents"), F.lit(system).alias("system_instruction"), F.struct(F.lit(temperature).alias("temperature")).alias("generation_config")).alias("request")))
+    return F.to_json(
+        F.struct(
+            key.alias("key"),
+            F.struct(
+                content.alias("contents"),
+                F.lit(system).alias("system_instruction"),
+                F.struct(F.lit(temperature).alias("temperature")).alias("generation_config"),
+            ).alias("request"),
+        )
+    )
 
 
 def batches(df: DataFrame, ordinal: str, size: int = 500, blocks: int = 64) -> DataFrame:
@@ -39,7 +48,15 @@ def explode_rules(pages: DataFrame, response: str = "response") -> DataFrame:
     rows = pages.select(*[c for c in pages.columns if c != response], F.posexplode(J.rules_of(F.col(response))).alias("_n", "_r"))
     text = lambda name: F.try_variant_get("_r", f"$.{name}", "string")
     triggers = F.to_json(F.try_variant_get("_r", "$.triggers", "variant"))
-    return rows.select(*[c for c in rows.columns if c not in ("_n", "_r")], text("condition_base").alias("condition"), text("action").alias("action"), triggers.alias("triggers"), text("source_fragment").alias("source_fragment"), text("notes").alias("notes"), (F.col("_n") + 1).cast("long").alias("rule_number_on_page"))
+    return rows.select(
+        *[c for c in rows.columns if c not in ("_n", "_r")],
+        text("condition_base").alias("condition"),
+        text("action").alias("action"),
+        triggers.alias("triggers"),
+        text("source_fragment").alias("source_fragment"),
+        text("notes").alias("notes"),
+        (F.col("_n") + 1).cast("long").alias("rule_number_on_page"),
+    )
 
 
 def stage3_groups(rules: DataFrame, keys: list[str], order: str, single: list[str], nested: list[str]) -> DataFrame:
@@ -48,7 +65,13 @@ def stage3_groups(rules: DataFrame, keys: list[str], order: str, single: list[st
     A group holds the rules of one page of a guideline, so a list of them is bounded by a page.
     """
     aggs = [F.count_distinct(c).alias(f"_{c}") for c in single]
-    g = rules.groupBy(*keys).agg(F.min(order).alias("first"), F.count("*").alias("n_rules"), F.sort_array(F.collect_list(F.struct(order, *nested))).alias("rules"), *[F.min(c).alias(c) for c in single], *aggs)  # one page's rules
+    g = rules.groupBy(*keys).agg(
+        F.min(order).alias("first"),
+        F.count("*").alias("n_rules"),
+        F.sort_array(F.collect_list(F.struct(order, *nested))).alias("rules"),
+        *[F.min(c).alias(c) for c in single],
+        *aggs,
+    )  # one page's rules
     bad = F.lit(False)
     for c in single:
         bad = bad | (F.col(f"_{c}") != 1)
@@ -75,7 +98,13 @@ def final_questions(groups: DataFrame, responses: DataFrame, population: str = "
     rows = both.select(*groups.columns, F.posexplode(checked).alias("question_number", "_q"))
     text = lambda name: F.try_variant_get("_q", f"$.{name}", "string").alias(name)
     fields = ("question_type", "patient_profile", "scenario", "question", "explanation", "difficulty")
-    out = rows.select(*groups.columns, "question_number", *map(text, fields), J.options_of(F.col("_q")).alias("options"), F.lower(F.try_variant_get("_q", "$.correct_answer", "string")).alias("correct_answer"))
+    out = rows.select(
+        *groups.columns,
+        "question_number",
+        *map(text, fields),
+        J.options_of(F.col("_q")).alias("options"),
+        F.lower(F.try_variant_get("_q", "$.correct_answer", "string")).alias("correct_answer"),
+    )
     return out.orderBy("key", "question_number")
 
 

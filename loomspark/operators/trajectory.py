@@ -22,7 +22,15 @@ def flatten(results: DataFrame, keys: list[str], trajectory: str = "trajectory")
     """A row for each document of each stage of nested results."""
     t = F.col(trajectory)
     stages = F.array(*[F.struct(F.lit(s).alias("stage"), t[s]["query_kind"].alias("query_kind"), t[s]["requested_k"].alias("requested_k"), t[s]["documents"].alias("documents")) for s in STAGES])
-    rows = results.select(*keys, t["condition"].alias("condition"), F.explode(stages).alias("s")).select(*keys, "condition", "s.stage", "s.query_kind", "s.requested_k", F.size("s.documents").alias("observed_k"), F.explode("s.documents").alias("d"))
+    rows = results.select(*keys, t["condition"].alias("condition"), F.explode(stages).alias("s")).select(
+        *keys,
+        "condition",
+        "s.stage",
+        "s.query_kind",
+        "s.requested_k",
+        F.size("s.documents").alias("observed_k"),
+        F.explode("s.documents").alias("d"),
+    )
     return rows.select(*keys, "condition", "stage", "query_kind", "requested_k", "observed_k", "d.*")
 
 

@@ -16,7 +16,10 @@ def _wrapped(spark, sf_dir):
     """Event properties as model output: fenced, in prose, with a trailing comma, or cut off."""
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "props")
     k = F.col("event_id") % 4
-    out = F.when(k == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" done"))).when(k == 2, F.regexp_replace("props", r"\}$", ",}")).otherwise(F.lit("no object"))
+    out = F.when(k == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(
+        k == 1,
+        F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" done")),
+    ).when(k == 2, F.regexp_replace("props", r"\}$", ",}")).otherwise(F.lit("no object"))
     return e.withColumn("output", out)
 
 
@@ -34,8 +37,20 @@ def result_errors(spark, sf_dir):
 
 def _pages(spark, sf_dir):
     """Documents as pages of a guideline (their source), with their sentences as rules of a stage 2 response."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("guideline"), F.col("doc_id").alias("page"), "lang", F.filter(F.split("text", r"\."), lambda x: F.length(x) > 0).alias("s"))
-    rule = lambda x: F.struct(x.alias("condition_base"), F.concat(F.lit("act "), F.length(x).cast("string")).alias("action"), F.array(F.struct(F.lit("over 5").alias("criterion"))).alias("triggers"), x.alias("source_fragment"), F.lit(None).cast("string").alias("notes"))
+    d = read(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.col("source").alias("guideline"),
+        F.col("doc_id").alias("page"),
+        "lang",
+        F.filter(F.split("text", r"\."), lambda x: F.length(x) > 0).alias("s"),
+    )
+    rule = lambda x: F.struct(
+        x.alias("condition_base"),
+        F.concat(F.lit("act "), F.length(x).cast("string")).alias("action"),
+        F.array(F.struct(F.lit("over 5").alias("criterion"))).alias("triggers"),
+        x.alias("source_fragment"),
+        F.lit(None).cast("string").alias("notes"),
+    )
     response = F.to_json(F.struct(F.transform("s", rule).alias("rules")), {"ignoreNullFields": "false"})
     return d.select("doc_id", "guideline", "page", "lang", F.try_parse_json(response).alias("response"))
 
@@ -63,11 +78,26 @@ def final_questions(spark, sf_dir):
     g = _groups(spark, sf_dir).where("not mixed")
     options = F.create_map(*[x for k in "ABcd" for x in (F.lit(k), F.concat(F.lit(f"option {k} of "), F.col("page").cast("string")))])
     fixed = {"question_type": "Diagnosis", "patient_profile": "a child", "scenario": "a ward", "explanation": "so", "difficulty": "Easy", "correct_answer": "B"}
-    one = lambda n: F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], F.col("target_population"), F.col("category"), F.concat(F.lit(f"question {n} of "), F.col("key")).alias("question"), options.alias("options"))
+    one = lambda n: F.struct(
+        *[F.lit(v).alias(k) for k, v in fixed.items()],
+        F.col("target_population"),
+        F.col("category"),
+        F.concat(F.lit(f"question {n} of "), F.col("key")).alias("question"),
+        options.alias("options"),
+    )
     reply = F.when(F.col("page") % 2 == 0, F.to_json(F.array(one(1), one(2)))).otherwise(F.to_json(one(1)))
     responses = g.where("page % 5 <> 0").select("key", F.try_parse_json(reply).alias("response"))
     out = Q.final_questions(g, responses)
-    return out.select("key", "page", F.col("question_number").cast("long").alias("question_number"), "question", "correct_answer", F.element_at("options", F.col("correct_answer")).alias("answer"), "difficulty", "target_population")
+    return out.select(
+        "key",
+        "page",
+        F.col("question_number").cast("long").alias("question_number"),
+        "question",
+        "correct_answer",
+        F.element_at("options", F.col("correct_answer")).alias("answer"),
+        "difficulty",
+        "target_population",
+    )
 
 
 S1 = '{"is_relevant": true, "target_population": "Adult", "category": "Post-op & Pain", "reason": "r"}'
@@ -75,12 +105,53 @@ S2 = '{"rules":[{"condition_base":"c","action":"a","triggers":[{"criterion":"x"}
 S3 = '{"question_type":"Diagnosis","target_population":"Adult","category":"c","patient_profile":"p","scenario":"s","question":"q","options":{"A":"1","b":"2","c":"3","d":"4"},"correct_answer":"B","explanation":"e","difficulty":"Easy"}'
 #: Model replies by stage, and the fault that each has, written down by hand.
 REPLIES = {
-    "stage1": [(S1, None), (S1.replace('"Post-op & Pain"', "null"), "category is missing"), (S1.replace("true", "false").replace('"Post-op & Pain"', "null"), None), (S1.replace("Post-op", "X"), "unknown category"), (S1.replace(', "reason": "r"', ""), "reason is missing"), (S1.replace('"r"', "3"), "reason is no text"), (S1.replace("true", '"true"'), "is_relevant is no boolean"), (S1.replace("Adult", "adult"), "unknown target_population"), ("[1]", "no JSON object"), ("words", "no JSON object")],
-    "stage2": [(S2, None), ('{"rules":[]}', None), ('{"rules":{}}', "rules is no list"), ("{}", "rules is no list"), (S2.replace('"x"', '" "'), "a trigger has no criterion"), (S2.replace('[{"criterion":"x"}]', "[]"), "a rule has no trigger"), (S2.replace('"s"', '"  "'), "source_fragment is blank"), (S2.replace(":null", ":3"), "notes is no text"), (S2.replace(',"notes":null', ""), "notes is missing"), ('{"rules":[1]}', "a rule is no object")],
-    "stage3": [(S3, None), (f"[{S3}, {S3}]", None), ("[]", "no question"), (S3.replace("Diagnosis", "Other"), "unknown question_type"), (S3.replace("Adult", "General"), "population differs from its group"), (S3.replace('"c",', '"d",', 1), "category differs from its group"), (S3.replace("Easy", "easy"), "unknown difficulty"), (S3.replace('"4"', "4"), "options are not a-d"), (S3.replace('"B"', '"e"'), "answer is not a-d"), (S3.replace('"q"', '""'), "question is blank"), (S3.replace(',"explanation":"e"', ""), "explanation is missing")],
+    "stage1": [
+        (S1, None),
+        (S1.replace('"Post-op & Pain"', "null"), "category is missing"),
+        (S1.replace("true", "false").replace('"Post-op & Pain"', "null"), None),
+        (S1.replace("Post-op", "X"), "unknown category"),
+        (S1.replace(', "reason": "r"', ""), "reason is missing"),
+        (S1.replace('"r"', "3"), "reason is no text"),
+        (S1.replace("true", '"true"'), "is_relevant is no boolean"),
+        (S1.replace("Adult", "adult"), "unknown target_population"),
+        ("[1]", "no JSON object"),
+        ("words", "no JSON object"),
+    ],
+    "stage2": [
+        (S2, None),
+        ('{"rules":[]}', None),
+        ('{"rules":{}}', "rules is no list"),
+        ("{}", "rules is no list"),
+        (S2.replace('"x"', '" "'), "a trigger has no criterion"),
+        (S2.replace('[{"criterion":"x"}]', "[]"), "a rule has no trigger"),
+        (S2.replace('"s"', '"  "'), "source_fragment is blank"),
+        (S2.replace(":null", ":3"), "notes is no text"),
+        (S2.replace(',"notes":null', ""), "notes is missing"),
+        ('{"rules":[1]}', "a rule is no object"),
+    ],
+    "stage3": [
+        (S3, None),
+        (f"[{S3}, {S3}]", None),
+        ("[]", "no question"),
+        (S3.replace("Diagnosis", "Other"), "unknown question_type"),
+        (S3.replace("Adult", "General"), "population differs from its group"),
+        (S3.replace('"c",', '"d",', 1), "category differs from its group"),
+        (S3.replace("Easy", "easy"), "unknown difficulty"),
+        (S3.replace('"4"', "4"), "options are not a-d"),
+        (S3.replace('"B"', '"e"'), "answer is not a-d"),
+        (S3.replace('"q"', '""'), "question is blank"),
+        (S3.replace(',"explanation":"e"', ""), "explanation is missing"),
+    ],
 }
 #: Profile replies, with profile and core (null: the question) written down by hand.
-PROFILES = [('{"PATIENT_PROFILE": "a child", "QUESTION_CORE": "why"}', "a child", "why"), ('```json\n{"PATIENT_PROFILE": "a man", "QUESTION_CORE": ""}\n```', "a man", None), ('{"PATIENT_PROFILE": "General patient, adult", "QUESTION_CORE": "x"}', "general patient", None), ('{"patient_profile": "a child", "question_core": "x"}', "general patient", None), ("no JSON", "general patient", None), ('["x"]', "general patient", None)]
+PROFILES = [
+    ('{"PATIENT_PROFILE": "a child", "QUESTION_CORE": "why"}', "a child", "why"),
+    ('```json\n{"PATIENT_PROFILE": "a man", "QUESTION_CORE": ""}\n```', "a man", None),
+    ('{"PATIENT_PROFILE": "General patient, adult", "QUESTION_CORE": "x"}', "general patient", None),
+    ('{"patient_profile": "a child", "question_core": "x"}', "general patient", None),
+    ("no JSON", "general patient", None),
+    ('["x"]', "general patient", None),
+]
 #: Memberships in text, as they are read.
 MEMBERS = [("a|b", "a,b"), ("['x', 'y']", "x,y"), ('["p","q","p"]', "p,q"), ("one", "one"), (" ", ""), ("nan", ""), ("a || a|c ", "a,c"), ("('t', 'u')", "t,u")]
 
@@ -176,7 +247,25 @@ _B = "SELECT item_id, ['Adult','Pediatric','General'][item_id % 3 + 1] AS popula
 _POOL = f"SELECT population AS g, profile AS p FROM (SELECT DISTINCT population, profile FROM ({_B}) WHERE population <> 'General' AND profile <> 'general patient') QUALIFY row_number() OVER (PARTITION BY population ORDER BY md5('42:' || profile), profile) <= 120"
 _DRAW = "coalesce((SELECT arg_min(p, md5('42:' || item_id || ':' || p)) FROM pool WHERE {}), b.profile)"
 
-QUERIES = {f.__name__: f for f in (json_repair, result_errors, explode_rules, stage3_groups, final_questions, response_faults, profiles, memberships, answer_counts, rebalance, rebalanced_options, mcqa_prompts, profile_replacement, context_format, prompt_build)}
+QUERIES = {
+    f.__name__: f for f in (
+        json_repair,
+        result_errors,
+        explode_rules,
+        stage3_groups,
+        final_questions,
+        response_faults,
+        profiles,
+        memberships,
+        answer_counts,
+        rebalance,
+        rebalanced_options,
+        mcqa_prompts,
+        profile_replacement,
+        context_format,
+        prompt_build,
+    )
+}
 ORACLES = {
     "json_repair": f"SELECT event_id, json_valid({_REP}) AND {_REP} <> '' AS valid, md5({_REP}) AS repaired_md5 FROM ({_WR})",
     "result_errors": f"WITH r AS ({_WR}), i AS (SELECT DISTINCT event_id // 2 AS key FROM r WHERE event_id % 10 <> 1), s AS (SELECT event_id // 2 AS key, event_id AS line, CASE WHEN json_valid({_REP}) AND {_REP} <> '' THEN 0 ELSE 1 END AS bad FROM r WHERE event_id % 10 <> 3), f AS (SELECT key, min(bad * 1000000000000 + line) AS m, count(*) AS n FROM s GROUP BY key) SELECT coalesce(i.key, f.key) AS key, CASE WHEN i.key IS NULL THEN 'unexpected' WHEN f.key IS NULL THEN 'missing' WHEN m >= 1000000000000 THEN 'invalid' ELSE 'ok' END AS status, (m % 1000000000000)::BIGINT AS line, coalesce(n, 0) AS n_results FROM i FULL JOIN f ON i.key = f.key",

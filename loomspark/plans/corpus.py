@@ -27,7 +27,12 @@ def search_provenance(spark, sf_dir):
     plan = C.plan_queries(_keywords(spark), limit=1500).withColumn("query_no", F.expr(f"array_position(array({', '.join(repr(k) for k in KEYWORDS)}), query)"))
     words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_intersect(F.array_distinct(X.bm25_tokens(F.col("text"))), F.array(*map(F.lit, KEYWORDS)))).alias("query"))
     hits = C.limited(words.join(F.broadcast(plan), "query"))
-    return C.provenance(hits).select("doc_id", F.array_join("matched_queries", ",").alias("matched_queries"), F.array_join("matched_keywords", ",").alias("matched_keywords"), F.size("matched_modifiers").cast("long").alias("n_modifiers"))
+    return C.provenance(hits).select(
+        "doc_id",
+        F.array_join("matched_queries", ",").alias("matched_queries"),
+        F.array_join("matched_keywords", ",").alias("matched_keywords"),
+        F.size("matched_modifiers").cast("long").alias("n_modifiers"),
+    )
 
 
 def exclude_gold(spark, sf_dir):
@@ -39,7 +44,12 @@ def exclude_gold(spark, sf_dir):
 def chunk_documents(spark, sf_dir):
     docs = C.prepare_documents(read(spark, sf_dir, "documents"), F.col("source"))
     c = C.chunk(docs.select("doc_id", "source", "text"))
-    return c.select("doc_id", "source", *[F.col(x).cast("long").alias(x) for x in ("chunk_id", "token_start", "token_end", "token_count", "document_token_count")], F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return c.select(
+        "doc_id",
+        "source",
+        *[F.col(x).cast("long").alias(x) for x in ("chunk_id", "token_start", "token_end", "token_count", "document_token_count")],
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
+    )
 
 
 def dedup_membership(spark, sf_dir):
@@ -117,7 +127,23 @@ for _a, _b in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;",
 _CLEAN = f"trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g'), ' ')"
 
 _STRIPPED = _chunks(f"(SELECT doc_id, source, {_STRIP.format('text')} AS text FROM documents)")
-QUERIES = {f.__name__: f for f in (search_plan, search_provenance, exclude_gold, chunk_documents, dedup_membership, chunk_membership, corpus_report, source_lookup, html_clean, page_split, request_batches, stable_tag, join_key)}
+QUERIES = {
+    f.__name__: f for f in (
+        search_plan,
+        search_provenance,
+        exclude_gold,
+        chunk_documents,
+        dedup_membership,
+        chunk_membership,
+        corpus_report,
+        source_lookup,
+        html_clean,
+        page_split,
+        request_batches,
+        stable_tag,
+        join_key,
+    )
+}
 ORACLES = {
     "search_plan": "SELECT k AS base_keyword, m AS modifier, m || ' ' || k AS query, 500::BIGINT AS \"limit\" FROM (SELECT DISTINCT lower(split_part(trim(p_name), ' ', 1)) AS k FROM part), (SELECT unnest(['adult', 'pediatric']) AS m)",
     "search_provenance": f"WITH h AS (SELECT doc_id, q, list_position({list(KEYWORDS)!r}, q) AS no FROM (SELECT doc_id, unnest(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), {list(KEYWORDS)!r})) AS q FROM documents) QUALIFY row_number() OVER (PARTITION BY q ORDER BY doc_id) <= 1500) SELECT doc_id, string_agg(q, ',' ORDER BY no) AS matched_queries, string_agg(q, ',' ORDER BY no) AS matched_keywords, 0::BIGINT AS n_modifiers FROM h GROUP BY doc_id",

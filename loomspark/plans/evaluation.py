@@ -12,12 +12,29 @@ from loomspark.operators import public_sets as S
 from loomspark.plans.retrieval import read
 
 #: Answers of models, and the letter in each, written down by hand.
-PHRASES = (("Final answer: (C)", "c"), ("so final answer is B", None), ("first final answer: a, then Final answer: d", "d"), ("it may be (A) or (D)", "d"), ("Final answer: Based on it", "b"), ("none", None), ("Final answer: Option B", "b"), ("Final answer: [C]", "c"), ("finalanswer: a", "a"), ("Final answer is D, not (a)", "a"), ("FINAL  ANSWER option (d)", "d"))
+PHRASES = (
+    ("Final answer: (C)", "c"),
+    ("so final answer is B", None),
+    ("first final answer: a, then Final answer: d", "d"),
+    ("it may be (A) or (D)", "d"),
+    ("Final answer: Based on it", "b"),
+    ("none", None),
+    ("Final answer: Option B", "b"),
+    ("Final answer: [C]", "c"),
+    ("finalanswer: a", "a"),
+    ("Final answer is D, not (a)", "a"),
+    ("FINAL  ANSWER option (d)", "d"),
+)
 
 
 def _answers(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id")
-    return d.select("doc_id", F.get(F.array(*[F.lit(p) for p, _ in PHRASES]), (F.col("doc_id") % len(PHRASES)).cast("int")).alias("answer"), F.expr("array('a', 'b', 'c', 'd')[doc_id % 4]").alias("correct"), F.expr("array('Adult', 'Pediatric', 'General')[doc_id % 3]").alias("population"))
+    return d.select(
+        "doc_id",
+        F.get(F.array(*[F.lit(p) for p, _ in PHRASES]), (F.col("doc_id") % len(PHRASES)).cast("int")).alias("answer"),
+        F.expr("array('a', 'b', 'c', 'd')[doc_id % 4]").alias("correct"),
+        F.expr("array('Adult', 'Pediatric', 'General')[doc_id % 3]").alias("population"),
+    )
 
 
 def answer_parse(spark, sf_dir):
@@ -54,7 +71,14 @@ def rating_summary(spark, sf_dir):
 
 def _votes(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.array(*map(F.lit, range(3)))).alias("rater"))
-    return d.select("doc_id", "source", "rater", F.expr("array('Adult', 'Pediatric', 'General')[(doc_id * (rater + 1)) % 3]").alias("target_population"), F.expr("array('diagnosis', 'basic', 'other')[(doc_id + rater * (doc_id % 4)) % 3]").alias("question_type"), F.expr("(doc_id + rater) % 5 = 0").alias("is_anesthesia"))
+    return d.select(
+        "doc_id",
+        "source",
+        "rater",
+        F.expr("array('Adult', 'Pediatric', 'General')[(doc_id * (rater + 1)) % 3]").alias("target_population"),
+        F.expr("array('diagnosis', 'basic', 'other')[(doc_id + rater * (doc_id % 4)) % 3]").alias("question_type"),
+        F.expr("(doc_id + rater) % 5 = 0").alias("is_anesthesia"),
+    )
 
 
 def fleiss_kappa(spark, sf_dir):
@@ -67,14 +91,40 @@ def majority_vote(spark, sf_dir):
 
 def composition_rollup(spark, sf_dir):
     items = majority_vote(spark, sf_dir).where("not excluded")
-    return A.composition(items, "source", {"diagnosis": F.col("question_type").isin("diagnosis", "basic"), "pediatric": F.col("target_population") == "Pediatric", "anesthesia": F.col("is_anesthesia")})
+    return A.composition(
+        items,
+        "source",
+        {
+            "diagnosis": F.col("question_type").isin("diagnosis", "basic"),
+            "pediatric": F.col("target_population") == "Pediatric",
+            "anesthesia": F.col("is_anesthesia"),
+        },
+    )
 
 
 def normalise_union(spark, sf_dir):
     """Three differently shaped tables as one question set: options in columns, in a map with a label, and with an index."""
-    p = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("question"), F.col("p_brand").alias("opa"), F.col("p_type").alias("opb"), F.lit(None).cast("string").alias("opc"), F.lit("none").alias("opd"))
-    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("question"), F.create_map(F.lit("A"), F.col("lang"), F.lit("B"), F.col("source")).alias("options"), F.lit("B").alias("label"))
-    b = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("link"), F.col("text").alias("question"), *[F.lit(x).alias(f"op{x}") for x in "abcde"], F.lit("D").alias("answer_idx"), F.lit("d").alias("answer"))
+    p = read(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"),
+        F.col("p_name").alias("question"),
+        F.col("p_brand").alias("opa"),
+        F.col("p_type").alias("opb"),
+        F.lit(None).cast("string").alias("opc"),
+        F.lit("none").alias("opd"),
+    )
+    d = read(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
+        F.col("text").alias("question"),
+        F.create_map(F.lit("A"), F.col("lang"), F.lit("B"), F.col("source")).alias("options"),
+        F.lit("B").alias("label"),
+    )
+    b = read(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("link"),
+        F.col("text").alias("question"),
+        *[F.lit(x).alias(f"op{x}") for x in "abcde"],
+        F.lit("D").alias("answer_idx"),
+        F.lit("d").alias("answer"),
+    )
     out = S.union([S.lettered(p, "part"), S.mapped(d, "documents"), S.indexed(b, "benchmark")])
     options = F.array_join(F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return out.select("id", "source", F.md5(F.col("question").cast("binary")).alias("question_md5"), options.alias("options"), "correct_option", "correct_answer")
@@ -92,7 +142,16 @@ def _labels(spark, sf_dir, model):
     """One model's labels of all documents."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     kinds = "array('DIAGNOSIS', 'MANAGEMENT', 'BASIC_SCIENCE', 'OTHER')"
-    return A.checked_labels(d.select("id", "source", F.expr(f"{kinds}[(id + {model} * (id % 3)) % 4]").alias("question_type"), F.expr(f"array('Adult', 'Pediatric', 'General')[(id * ({model} + 1)) % 3]").alias("target_population"), F.expr(f"(id + {model}) % 5 = 0").alias("is_anesthesia_model")), f"m{model}")
+    return A.checked_labels(
+        d.select(
+            "id",
+            "source",
+            F.expr(f"{kinds}[(id + {model} * (id % 3)) % 4]").alias("question_type"),
+            F.expr(f"array('Adult', 'Pediatric', 'General')[(id * ({model} + 1)) % 3]").alias("target_population"),
+            F.expr(f"(id + {model}) % 5 = 0").alias("is_anesthesia_model"),
+        ),
+        f"m{model}",
+    )
 
 
 def aligned_labels(spark, sf_dir):
@@ -115,7 +174,12 @@ def rating_report(spark, sf_dir):
 def extractions(spark, sf_dir):
     """Extracted profiles by position, of the same questions."""
     q = C.with_position(read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
-    x = q.select("position", "question", F.substring_index("question", ".", 1).alias("extracted_patient_profile"), F.expr("substring(question, instr(question, '.') + 1)").alias("extracted_question_core"))
+    x = q.select(
+        "position",
+        "question",
+        F.substring_index("question", ".", 1).alias("extracted_patient_profile"),
+        F.expr("substring(question, instr(question, '.') + 1)").alias("extracted_question_core"),
+    )
     return M.with_extractions(q, x, "position").select("item_id", "position", "extracted_patient_profile", "extracted_question_core")
 
 
@@ -148,14 +212,34 @@ _VOTE = "CASE WHEN count(DISTINCT {0}) < 3 THEN mode({0}) END AS {0}"
 _MAJ = f"SELECT doc_id, source, {_VOTE.format('target_population')}, {_VOTE.format('question_type')}, sum(is_anesthesia::INT) >= 2 AS is_anesthesia, count(DISTINCT v.target_population) = 3 OR count(DISTINCT v.question_type) = 3 AS excluded FROM ({_VOTES}) v GROUP BY doc_id, source"
 _PCT = "count(*) FILTER (WHERE {1}) AS n_{0}, round_even(100 * count(*) FILTER (WHERE {1}) / count(*), 2)::DOUBLE AS pct_{0}"
 
-QUERIES = {f.__name__: f for f in (answer_parse, accuracy_by_population, metrics_upsert, cohen_kappa, quadratic_kappa, rating_summary, fleiss_kappa, majority_vote, composition_rollup, normalise_union, gold_context, aligned_labels, rating_report, extractions)}
+QUERIES = {
+    f.__name__: f for f in (
+        answer_parse,
+        accuracy_by_population,
+        metrics_upsert,
+        cohen_kappa,
+        quadratic_kappa,
+        rating_summary,
+        fleiss_kappa,
+        majority_vote,
+        composition_rollup,
+        normalise_union,
+        gold_context,
+        aligned_labels,
+        rating_report,
+        extractions,
+    )
+}
 ORACLES = {
     "answer_parse": f"SELECT doc_id, p AS parsed FROM ({_ANS})",
     "accuracy_by_population": f"WITH a AS ({_ANS}), g AS (SELECT population, p, correct FROM a UNION ALL SELECT 'All', p, correct FROM a) SELECT population, count(*) AS n, count(*) FILTER (WHERE p = correct) AS correct, count(*) FILTER (WHERE p IS NULL) AS unparsed, round_even(100 * count(*) FILTER (WHERE p = g.correct) / count(*), 4)::DOUBLE AS accuracy FROM g GROUP BY population",
     "metrics_upsert": "WITH u AS (SELECT o_custkey AS key, count(*) AS n, max(o_orderkey) AS last, 0 AS s FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1 UNION ALL SELECT o_custkey, count(*), max(o_orderkey), 1 FROM orders WHERE o_orderkey % 2 <> 0 GROUP BY 1) SELECT key, n, last FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY s DESC) = 1",
     "cohen_kappa": _kappa("SELECT quality AS l, toxic AS r FROM labels", _PLAIN) + " SELECT * FROM k",
     "quadratic_kappa": _kappa(f"SELECT r1 AS l, r2 AS r FROM ({_RAT})", _QUAD) + " SELECT * FROM k",
-    "rating_summary": _kappa(f"SELECT r1 AS l, r2 AS r FROM ({_RAT})", _QUAD) + ", pool AS (SELECT l AS v FROM p UNION ALL SELECT r FROM p) SELECT 'validity' AS metric, (SELECT count(*) FROM pool) AS n_ratings, (SELECT round(avg(v), 6) FROM pool) AS mean, (SELECT round(stddev_samp(v), 6) FROM pool) AS std, (SELECT round(avg((l = r)::INT), 6) FROM p) AS exact_agreement, (SELECT round(avg((abs(l - r) <= 1)::INT), 6) FROM p) AS within_one, n_items, kappa FROM k",
+    "rating_summary": _kappa(
+        f"SELECT r1 AS l, r2 AS r FROM ({_RAT})",
+        _QUAD,
+    ) + ", pool AS (SELECT l AS v FROM p UNION ALL SELECT r FROM p) SELECT 'validity' AS metric, (SELECT count(*) FROM pool) AS n_ratings, (SELECT round(avg(v), 6) FROM pool) AS mean, (SELECT round(stddev_samp(v), 6) FROM pool) AS std, (SELECT round(avg((l = r)::INT), 6) FROM p) AS exact_agreement, (SELECT round(avg((abs(l - r) <= 1)::INT), 6) FROM p) AS within_one, n_items, kappa FROM k",
     "fleiss_kappa": f"WITH c AS (SELECT doc_id, question_type AS l, count(*) AS n FROM ({_VOTES}) GROUP BY ALL), i AS (SELECT doc_id, (sum(n * n) - 3) / 6.0::DOUBLE AS p FROM c GROUP BY doc_id), q AS (SELECT l, sum(n)::DOUBLE AS n FROM c GROUP BY l), e AS (SELECT sum(n * n) / (sum(n) * sum(n)) AS pe FROM q) SELECT count(*) AS n_items, round((avg(p) - (SELECT pe FROM e)) / (1 - (SELECT pe FROM e)), 6) AS kappa FROM i",
     "majority_vote": _MAJ,
     "composition_rollup": f"WITH m AS (SELECT * FROM ({_MAJ}) WHERE NOT excluded) SELECT source, count(*) AS n_items, {_PCT.format('diagnosis', "question_type IN ('diagnosis', 'basic')")}, {_PCT.format('pediatric', "target_population = 'Pediatric'")}, {_PCT.format('anesthesia', 'is_anesthesia')} FROM m GROUP BY ROLLUP (source)",

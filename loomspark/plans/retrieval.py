@@ -15,7 +15,12 @@ def read(spark, sf_dir, table):
 def questions(spark, sf_dir):
     """Benchmark texts: the first sentence is the profile, the rest the core."""
     t = F.col("text")
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), t.alias("full"), F.substring_index(t, ".", 1).alias("profile"), F.expr("substring(text, instr(text, '.') + 1)").alias("core"))
+    return read(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("q_id"),
+        t.alias("full"),
+        F.substring_index(t, ".", 1).alias("profile"),
+        F.expr("substring(text, instr(text, '.') + 1)").alias("core"),
+    )
 
 
 def bm25_index_stats(spark, sf_dir):
@@ -50,11 +55,31 @@ def trajectory_documents(spark, sf_dir):
     rows = _found(spark, sf_dir)
     docs = F.sort_array(F.collect_list(F.struct("rank", F.col("doc_id").alias("corpus_index"), "score", "document_source")))  # at most k a stage
     nested = rows.groupBy("condition", "item_id", "stage").agg(docs.alias("documents"))
-    of = lambda s: F.max(F.when(F.col("stage") == s, F.struct(F.lit("text").alias("query_kind"), F.lit({"initial": 64, "middle": 8, "final": 1}[s]).alias("requested_k"), F.lit(s == "final").alias("reranked"), "documents"))).alias(s)
+    of = lambda s: F.max(
+        F.when(
+            F.col("stage") == s,
+            F.struct(
+                F.lit("text").alias("query_kind"),
+                F.lit({"initial": 64, "middle": 8, "final": 1}[s]).alias("requested_k"),
+                F.lit(s == "final").alias("reranked"),
+                "documents",
+            ),
+        )
+    ).alias(s)
     t = nested.groupBy("condition", "item_id").agg(*[of(s) for s in T.STAGES])
     t = t.select("item_id", F.struct("condition", *T.STAGES).alias("trajectory"))
     flat = T.flatten(t, ["item_id"])
-    return flat.select("item_id", "condition", "stage", F.col("requested_k").cast("long").alias("requested_k"), F.col("observed_k").cast("long").alias("observed_k"), "rank", "corpus_index", "score", "document_source")
+    return flat.select(
+        "item_id",
+        "condition",
+        "stage",
+        F.col("requested_k").cast("long").alias("requested_k"),
+        F.col("observed_k").cast("long").alias("observed_k"),
+        "rank",
+        "corpus_index",
+        "score",
+        "document_source",
+    )
 
 
 def question_source_counts(spark, sf_dir):

@@ -22,7 +22,14 @@ def ratings(spark, *rows):
 def test_ratings(spark):
     good = A.checked_ratings(ratings(spark, (" a ", "1", "2", "3.0", "5", "Correct "), ("b", "1", "1", "1", "1", "Incorrect")))
     assert [tuple(r) for r in good.orderBy("data_id").collect()] == [("a", 1, 2, 3, 5, "Correct"), ("b", 1, 1, 1, 1, "Incorrect")]
-    for bad, what in [((" ", "1", "1", "1", "1", "Correct"), "empty"), (("a", "6", "1", "1", "1", "Correct"), "1 to 5"), (("a", "1.5", "1", "1", "1", "Correct"), "1 to 5"), (("a", None, "1", "1", "1", "Correct"), "1 to 5"), (("a", "x", "1", "1", "1", "Correct"), "1 to 5"), (("a", "1", "1", "1", "1", "yes"), "Incorrect")]:
+    for bad, what in [
+        ((" ", "1", "1", "1", "1", "Correct"), "empty"),
+        (("a", "6", "1", "1", "1", "Correct"), "1 to 5"),
+        (("a", "1.5", "1", "1", "1", "Correct"), "1 to 5"),
+        (("a", None, "1", "1", "1", "Correct"), "1 to 5"),
+        (("a", "x", "1", "1", "1", "Correct"), "1 to 5"),
+        (("a", "1", "1", "1", "1", "yes"), "Incorrect"),
+    ]:
         with pytest.raises(ValueError, match=what):
             A.checked_ratings(ratings(spark, bad))
     with pytest.raises(ValueError, match="unique"):
@@ -40,7 +47,13 @@ def test_model_labels(spark):
         A.aligned_labels([a, b.where("id = 1")])
     with pytest.raises(ValueError, match="sources"):
         A.aligned_labels([a, b.withColumn("source", F.lit("t"))])
-    for bad, what in [([(1, "s", "Other", "Adult", True)], "question_type"), ([(1, "s", "OTHER", "adult", True)], "target_population"), ([(1, "s", "OTHER", "Adult", None)], "is_anesthesia_model"), ([(None, "s", "OTHER", "Adult", True)], "id is missing"), ([(1, "s", "OTHER", "Adult", True)] * 2, "unique")]:
+    for bad, what in [
+        ([(1, "s", "Other", "Adult", True)], "question_type"),
+        ([(1, "s", "OTHER", "adult", True)], "target_population"),
+        ([(1, "s", "OTHER", "Adult", None)], "is_anesthesia_model"),
+        ([(None, "s", "OTHER", "Adult", True)], "id is missing"),
+        ([(1, "s", "OTHER", "Adult", True)] * 2, "unique"),
+    ]:
         with pytest.raises(ValueError, match=what):
             A.checked_labels(labels(bad), "m")
 
@@ -59,7 +72,10 @@ def test_kappa_against_all_pairs_of_labels(spark):
 
 def test_evaluation_rows(spark):
     four = {x: f"o{x}" for x in "ABCD"}
-    df = spark.createDataFrame([("q", "Adult", four, "(B)"), ("r", "adult", four, "C"), ("s", "General", {"a": "1"}, "a")], "question string, target_population string, options map<string,string>, correct_answer string")
+    df = spark.createDataFrame(
+        [("q", "Adult", four, "(B)"), ("r", "adult", four, "C"), ("s", "General", {"a": "1"}, "a")],
+        "question string, target_population string, options map<string,string>, correct_answer string",
+    )
     assert [(r.question, r.evaluated_answer, r.evaluated_options["a"]) for r in io.validated(df, "ADULT").collect()] == [("q", "b", "oA")]
     with pytest.raises(Exception, match="no options"):
         io.validated(df).collect()
@@ -177,7 +193,18 @@ def reply(key, text):
 def test_construction_from_end_to_end(spark):
     pages = spark.createDataFrame([("k1", "g", 1, "long"), ("k2", "g", 2, "text"), ("k3", "h", 1, "more")], "k string, guideline string, page long, guidelinetext_processed string")
     rule = lambda c: {"condition_base": c, "action": "a", "triggers": [{"criterion": "x"}], "source_fragment": "s", "notes": None}
-    question = {"question_type": "Diagnosis", "target_population": "Adult", "category": "Post-op & Pain", "patient_profile": "p", "scenario": "s", "question": "why", "options": {x: x for x in "abcd"}, "correct_answer": "C", "explanation": "e", "difficulty": "Easy"}
+    question = {
+        "question_type": "Diagnosis",
+        "target_population": "Adult",
+        "category": "Post-op & Pain",
+        "patient_profile": "p",
+        "scenario": "s",
+        "question": "why",
+        "options": {x: x for x in "abcd"},
+        "correct_answer": "C",
+        "explanation": "e",
+        "difficulty": "Easy",
+    }
     lines = {
         1: [reply("k1", S1), reply("k2", "```json\n" + S1.replace("true", "false") + "\n```"), reply("k3", S1)],
         2: [reply("k1", json.dumps({"rules": [rule("c1"), rule("c2")]})), reply("k3", "no"), reply("k3", json.dumps({"rules": [rule("d1")]}))],
@@ -186,7 +213,10 @@ def test_construction_from_end_to_end(spark):
     lines = {n: spark.createDataFrame(list(enumerate(v, 1)), "line long, value string") for n, v in lines.items()}
     got, errors = stages.construct(pages, "k", lines, "k")
     rows = got.collect()
-    assert [(r.key, r.page, r.question_number, r.correct_answer, [x.condition for x in r.rules]) for r in rows] == [("guideline_page_000001", 1, 0, "c", ["c1", "c2"]), ("guideline_page_000001", 1, 1, "c", ["c1", "c2"])]
+    assert [(r.key, r.page, r.question_number, r.correct_answer, [x.condition for x in r.rules]) for r in rows] == [
+        ("guideline_page_000001", 1, 0, "c", ["c1", "c2"]),
+        ("guideline_page_000001", 1, 1, "c", ["c1", "c2"]),
+    ]
     assert [e.count() for e in errors.values()] == [0, 0, 1] and errors[3].first().status == "invalid"
     assert {r.status: r.n for r in stages.totals(errors[3]).collect()} == {"invalid": 1}
 

@@ -55,7 +55,16 @@ def test_repair(spark, text, ok):
     assert one(spark, J.parsed(F.col("t")).isNotNull(), t=text) == ok
 
 
-@pytest.mark.parametrize(("text", "error"), [('{"is_relevant": true, "target_population": "Adult", "category": "Post-op & Pain", "reason": "r"}', None), ('{"is_relevant": "true", "target_population": "Adult", "category": null, "reason": ""}', "is_relevant is no boolean"), ('{"target_population": "Adult"}', "is_relevant is missing"), ('{"is_relevant": true, "target_population": "Adult", "category": null, "reason": "r"}', "category is missing"), ('{"is_relevant": false, "target_population": "X", "category": null, "reason": "r"}', "unknown target_population")])
+@pytest.mark.parametrize(
+    ("text", "error"),
+    [
+        ('{"is_relevant": true, "target_population": "Adult", "category": "Post-op & Pain", "reason": "r"}', None),
+        ('{"is_relevant": "true", "target_population": "Adult", "category": null, "reason": ""}', "is_relevant is no boolean"),
+        ('{"target_population": "Adult"}', "is_relevant is missing"),
+        ('{"is_relevant": true, "target_population": "Adult", "category": null, "reason": "r"}', "category is missing"),
+        ('{"is_relevant": false, "target_population": "X", "category": null, "reason": "r"}', "unknown target_population"),
+    ],
+)
 def test_stage1(spark, text, error):
     assert one(spark, J.stage1_error(J.parsed(F.col("t"))), t=text) == error
 

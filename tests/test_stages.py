@@ -10,8 +10,23 @@ def test_stage_round_trip(spark):
     req = stages.page_requests(pages, "k", "html", system="s", temperature=0.0, batch_size=1)
     assert [(r.key, r.batch) for r in req.orderBy("key").collect()] == [(1, 1), (3, 2)]
     good = '{"is_relevant": true, "target_population": "Adult", "category": "Post-op & Pain", "reason": "r"}'
-    line = lambda k, t: F.to_json(F.struct(F.lit(k).alias("key"), F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.lit(t).alias("text"))).alias("parts")).alias("content"))).alias("candidates")).alias("response")))
-    lines = spark.range(1).select(F.explode(F.array(F.struct(F.lit(1).alias("line"), line("1", "no").alias("value")), F.struct(F.lit(2).alias("line"), line("1", good).alias("value")), F.struct(F.lit(3).alias("line"), line("9", good).alias("value")))).alias("x")).select("x.*")
+    line = lambda k, t: F.to_json(
+        F.struct(
+            F.lit(k).alias("key"),
+            F.struct(
+                F.array(F.struct(F.struct(F.array(F.struct(F.lit(t).alias("text"))).alias("parts")).alias("content"))).alias("candidates")
+            ).alias("response"),
+        )
+    )
+    lines = spark.range(1).select(
+        F.explode(
+            F.array(
+                F.struct(F.lit(1).alias("line"), line("1", "no").alias("value")),
+                F.struct(F.lit(2).alias("line"), line("1", good).alias("value")),
+                F.struct(F.lit(3).alias("line"), line("9", good).alias("value")),
+            )
+        ).alias("x")
+    ).select("x.*")
     ok, bad = stages.merge_results(pages.where("k <> 2"), "k", stages.results(lines), J.stage1_error)
     assert [r.k for r in ok.select("k").collect()] == [1]
     assert {r.key: r.status for r in bad.collect()} == {"3": "missing", "9": "unexpected"}
@@ -43,7 +58,13 @@ def test_conditions_from_retrieval_to_accuracy(spark):
 
     docs = spark.createDataFrame([(0, "child with fever", "s"), (1, "adult pain dose", "t"), (2, "other words", "s")], "doc_id long, text string, source string")
     options = {x: x for x in "abcd"}
-    q = spark.createDataFrame([(1, "fever of a child", "fever", "child", "why fever", options, "a", "Pediatric"), (2, "pain dose", "dose", "adult", "which dose", options, "b", "Adult")], "q_id long, full string, core string, profile string, question string, options map<string,string>, correct_answer string, target_population string")
+    q = spark.createDataFrame(
+        [
+            (1, "fever of a child", "fever", "child", "why fever", options, "a", "Pediatric"),
+            (2, "pain dose", "dose", "adult", "which dose", options, "b", "Adult"),
+        ],
+        "q_id long, full string, core string, profile string, question string, options map<string,string>, correct_answer string, target_population string",
+    )
     rows = experiments.run(docs, q, models.echo, (2, 2, 1)).collect()
     assert len(rows) == 10 and {r.condition for r in rows} == {"no_rag", "base_rag", "prof_rag", "q_qp", "q_q"}
     for r in rows:
