@@ -302,11 +302,27 @@ def test_identity():
 
 
 def test_pipeline(spark, texts):
+    """Each stage's decisions take effect on all that its predecessor kept."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
-        assert out.columns == docs.columns and out.count() > 0
-        docs = out
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+        assert out.columns == docs.columns
+        docs = out.cache()
+        kept.append({r.doc_id: r for r in docs.collect()} if len(kept) < 3 else docs.collect())
+    ruled, single, clean, mixed = kept
+    assert set(ruled) == {r.doc_id for r in quality.measure(spark.read.parquet(f"{SF}/documents.parquet")).collect() if r.kept}
+    groups, _ = naive_components({k: r.text for k, r in ruled.items()})
+    assert set(single) == set(groups.values())
+    assert set(clean) == set(single) and all(r.n_chars == len(r.text) for r in clean.values())
+    mails = re.compile(r"[\w.+-]+@[\w.-]+\.[a-z]+")
+    assert not {m for r in clean.values() for m in mails.findall(r.text)} & {m for r in single.values() for m in mails.findall(r.text)}
+    assert {r.doc_id for r in mixed} <= set(clean) and all(r.text == clean[r.doc_id].text for r in mixed)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    pieces = Counter()
+    for r in last:
+        pieces[r.doc_id] += r.length
+    size = {r.doc_id: r.doc_tokens for r in last}
+    assert pieces == {k: size[k] * n for k, n in Counter(r.doc_id for r in mixed).items()}
