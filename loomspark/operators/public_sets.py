@@ -75,3 +75,8 @@ def classification_error(v: Column) -> Column:
         .when(~F.coalesce(kind == "BOOLEAN", F.lit(False)), "is_anesthesia is no boolean")
         .when(F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.reason", "variant")) != "STRING", F.lit(True)), "reason is no text")
     )
+
+
+def by_source(items: DataFrame) -> DataFrame:
+    """(source, n_items), by source."""
+    return items.groupBy("source").agg(F.count("*").alias("n_items")).orderBy("source")

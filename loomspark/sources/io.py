@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
@@ -229,3 +230,44 @@ def retried(call, attempts: int = 3, wait: float = 0.0, errors: tuple = (Excepti
                 raise
             time.sleep(wait * 2**n)
     raise ValueError("attempts must be positive")
+
+
+def result_or(spark: SparkSession, path: str, rows: int, columns, build, overwrite: bool = False) -> DataFrame:
+    """The result at path, if it is there with these columns and as many rows; a different one is an error unless
+    overwrite; where there is none it is built and written."""
+    try:
+        found = None if overwrite else spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        found = None
+    if found is None:
+        build().write.mode("overwrite").parquet(path)
+        found = spark.read.parquet(path)
+    require_columns(found, columns)
+    if (n := found.count()) != rows:
+        raise ValueError(f"{path} has {n} rows, not {rows}")
+    return found
+
+
+def write_outcome(df: DataFrame, errors: DataFrame, path: str, overwrite: bool = False, allow_errors: bool = False) -> dict:
+    """Rows and errors of a stage beside each other, with their counts; then an error, if there are errors and none are
+    allowed, so that both can be looked at."""
+    write_table(df, path, overwrite)
+    write_table(errors, f"{path.rstrip('/')}.errors", overwrite)
+    made = {"rows": df.sparkSession.read.parquet(path).count(), "errors": df.sparkSession.read.parquet(f"{path.rstrip('/')}.errors").count()}
+    write_bytes(df.sparkSession, f"{path.rstrip('/')}.summary.json", manifest(**made).encode(), overwrite=True)
+    if made["errors"] and not allow_errors:
+        raise ValueError(f"{made['errors']} errors: {path}.errors")
+    return made
+
+
+def stage_paths(folder: str, stage: str) -> dict[str, str]:
+    """Where a stage's requests, manifest, results, rows and errors lie."""
+    base = f"{folder.rstrip('/')}/{stage}"
+    return {"requests": f"{base}_requests", "manifest": f"{base}_requests.manifest.json", "results": f"{base}_results", "rows": base, "errors": f"{base}.errors", "summary": f"{base}.summary.json"}
+
+
+def result_path(folder: str, *parts: str) -> str:
+    """A result's place: its parts as safe file names, joined."""
+    return f"{folder.rstrip('/')}/" + "__".join(re.sub(r"[^A-Za-z0-9_.-]+", "_", p).strip("._") or "_" for p in parts) + ".parquet"

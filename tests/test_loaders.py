@@ -224,3 +224,26 @@ def test_construction_from_end_to_end(spark):
 def test_profile_of_fields_in_capitals(spark):
     df = spark.createDataFrame([('{"PATIENT_PROFILE": "a child", "QUESTION_CORE": " "}',)], "t string")
     assert tuple(df.select(*J.profile(F.col("t"), F.lit("q"))).first()) == ("a child", "q")
+
+
+def test_results_and_outcomes(spark, tmp_path):
+    p = str(tmp_path)
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(3).withColumnRenamed("id", "a")
+
+    for _ in range(2):
+        assert io.result_or(spark, io.result_path(p, "a model/x", "q"), 3, ["a"], build).count() == 3
+    assert len(made) == 1 and (tmp_path / "a_model_x__q.parquet").exists()
+    with pytest.raises(ValueError, match="not 4"):
+        io.result_or(spark, io.result_path(p, "a model/x", "q"), 4, ["a"], build)
+    paths = io.stage_paths(p, "stage1")
+    with pytest.raises(ValueError, match="2 errors"):
+        io.write_outcome(spark.range(3), spark.range(2), paths["rows"])
+    assert io.read_json(spark, paths["summary"]) == {"errors": 2, "rows": 3} and spark.read.parquet(paths["errors"]).count() == 2
+    assert io.write_outcome(spark.range(1), spark.range(1), paths["rows"], overwrite=True, allow_errors=True) == {"rows": 1, "errors": 1}
+    from loomspark.operators import public_sets
+
+    assert [tuple(r) for r in public_sets.by_source(spark.createDataFrame([("b",), ("a",), ("b",)], "source string")).collect()] == [("a", 1), ("b", 2)]
