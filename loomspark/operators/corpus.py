@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions.text import strip, token_windows
+from loomspark.operators.lineage import written
 
 #: Text columns by priority, for chunking and for retrieval (fixed values).
 CHUNK_TEXT = ("text", "article_abstract", "translated_text", "guidelinetext_processed")
@@ -73,8 +74,11 @@ def dropped(df: DataFrame, text: str = "text") -> Column:
 
 
 def with_position(df: DataFrame, order: str, name: str = "position", blocks: int = 64) -> DataFrame:
-    """df with a dense position from 0 by `order`: places inside ranges, and counts of the ranges before."""
-    rows = df.repartitionByRange(blocks, order).withColumn("_p", F.spark_partition_id())
+    """df with a dense position from 0 by `order`: places inside ranges, and counts of the ranges before.
+
+    Ranges come from a sample, so they are written once: worked out twice, they could differ.
+    """
+    rows = written(df.repartitionByRange(blocks, order).withColumn("_p", F.spark_partition_id()))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     start = rows.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
