@@ -60,12 +60,14 @@ def hot_limit(rows: int) -> int:
     return max(HOT_ROWS, rows // HOT_KEYS)
 
 
-def met(rows_: DataFrame, table: DataFrame, key: list[str], n: str, limit: int, short=None) -> DataFrame:
+def met(rows_: DataFrame, table: DataFrame, key: list[str], n: str, limit: int, short=None, most: int | None = None) -> DataFrame:
     """rows_ joined with table, which has a row for each key and n, the number of its rows (or about it).
 
     Keys with limit rows or more (that are short, if that is asked) are few and go to the rows by broadcast; only the
-    others are dealt out, so no key is one task's.
+    others are dealt out, so no key is one task's. Where the greatest n is known (most) and under the limit, there are none.
     """
+    if most is not None and most < limit:
+        return rows_.join(table, key)
     is_hot = F.col(n) >= limit if short is None else (F.col(n) >= limit) & short
     hot = table.where(is_hot)
     cold = rows_.join(F.broadcast(hot.select(*key)), key, "left_anti")

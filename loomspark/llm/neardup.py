@@ -132,9 +132,9 @@ def _screened(pairs: DataFrame, sketch: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["id", "hub"]).filter(pa.array(agree >= _least(n)))
 
     side = lambda c, x: sketch.select(F.col("id").alias(c), F.col("n_shingles").alias("n" + x), F.col("mini").alias("s" + x))
-    times, (_, total) = counted(pairs.groupBy("hub").agg(F.count("*").alias("times")), F.sum("times"))
+    times, (_, total, most) = counted(pairs.groupBy("hub").agg(F.count("*").alias("times")), F.sum("times"), F.max("times"))
     hubs = cut(side("hub", "b").join(times, "hub"))
-    both = met(pairs.join(side("id", "a"), "id"), hubs, ["hub"], "times", hot_limit(total or 0))
+    both = met(pairs.join(side("id", "a"), "id"), hubs, ["hub"], "times", hot_limit(total or 0), most=most or 0)
     both = both.where(F.greatest("na", "nb") * PER_CENT <= F.least("na", "nb") * 100)
     return both.select("id", "hub", "sa", "sb").mapInArrow(run, "id long, hub long")
 
@@ -242,19 +242,22 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame) ->
                 ok.append(100 * common >= PER_CENT * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    often, (n_hubs, n_pairs) = counted(pairs.groupBy("hub").agg(F.count("*").alias("n")), F.sum("n"))
+    often, (n_hubs, n_pairs, most) = counted(pairs.groupBy("hub").agg(F.count("*").alias("n")), F.sum("n"), F.max("n"))
     if not n_hubs:
         return pairs.select(F.col("id").alias("a"), F.col("hub").alias("b"))
     hubs = cut(_sets(docs, id_col, text_col, often.select(F.col("hub").alias("id"))).select(F.col("id").alias("hub"), F.col("s").alias("sb")).join(often, "hub"))
-    is_hot = (F.col("n") >= max(256, n_pairs // HOT_HUBS)) & (F.octet_length("sb") <= HOT_BYTES)
+    limit = max(256, n_pairs // HOT_HUBS)
+    is_hot = (F.col("n") >= limit) & (F.octet_length("sb") <= HOT_BYTES)
     hot = hubs.where(is_hot).select("hub", "sb")
 
     def met_by(some, table):
         own = _sets(docs, id_col, text_col, some.select("id")).withColumnRenamed("s", "sa")
         return some.join(own, "id").join(table, "hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), "sa", "sb").mapInArrow(run, "a long, b long")
 
+    if most < limit or hot.isEmpty():
+        return met_by(pairs, hubs.select("hub", "sb"))
     cold = met_by(pairs.join(F.broadcast(hot.select("hub")), "hub", "left_anti"), hubs.where(~is_hot).select("hub", "sb"))
-    return cold if hot.isEmpty() else cold.unionByName(met_by(pairs.join(F.broadcast(hot.select("hub")), "hub", "left_semi"), F.broadcast(hot)))
+    return cold.unionByName(met_by(pairs.join(F.broadcast(hot.select("hub")), "hub", "left_semi"), F.broadcast(hot)))
 
 
 def _confirmed_in_blocks(docs: DataFrame, id_col: str, text_col: str, likely: DataFrame, found: DataFrame, sketch: DataFrame, n: int) -> DataFrame:
@@ -320,8 +323,8 @@ def components(edges: DataFrame) -> DataFrame:
         few = 1 + before[0] // FEW_ROWS
         limit = hot_limit(2 * before[0])
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(few)
-        low = counted(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))[0]
-        large = met(both.where("v > u"), low, ["u"], "n", limit).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(few)
+        low, (_, most) = counted(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), F.max("n"))
+        large = met(both.where("v > u"), low, ["u"], "n", limit, most=most or 0).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(few)
         # after a large-star a node points down only, to the least ones of its neighbours, whose copies go first
         down = large.groupBy("u", "v").agg(F.lit(1).alias("one")).coalesce(few)
         small = down.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
@@ -360,8 +363,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     reps = base.where("n_shingles > 0 and id is not null").groupBy("set_key").agg(F.min_by(F.struct("id", "n_shingles", "sig", "mini"), "id").alias("x")).select("set_key", "x.*")
     bands = banded(reps)
     limit = hot_limit(BANDS * base.count())
-    shared = cut(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = cut(met(bands, shared, ["key"], "n", limit))
+    shared, (_, most) = counted(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), F.max("n"))
+    members = cut(met(bands, shared, ["key"], "n", limit, most=most or 0))
     # a document in the largest buckets is nearest the middle of its group, and the best hub
     central = members.groupBy("id").agg(F.sum("n").alias("central"))
     sketch = cut(reps.select("id", "n_shingles", "mini").join(central, "id"))
@@ -376,13 +379,15 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     for some in (members.where(F.col("band") < FIRST_BANDS), members):
         at = _placed(some, found)
-        meeting = met(at, counted(_hubs(at))[0], ["key"], "n_all", limit).where("c <> hub_c")
+        hubs, (_, most) = counted(_hubs(at), F.max("n_all"))
+        meeting = met(at, hubs, ["key"], "n_all", limit, most=most or 0).where("c <> hub_c")
         # of a component's hubs a member takes one
         pairs = meeting.groupBy("id", "hub_c").agg(F.min("hub").alias("hub")).select("id", "hub")
         found = merged(_confirmed(docs, id_col, text_col, counted(_screened(pairs, sketch, n))[0]))
     # what is still apart: all pairs across components, compared in blocks
     at = _placed(members.drop("band"), found)
-    rest, (n_rest,) = counted(_blocks(cut(met(at, counted(_hubs(at))[0], ["key"], "n_all", limit)), sketch, n))
+    hubs, (_, most) = counted(_hubs(at), F.max("n_all"))
+    rest, (n_rest,) = counted(_blocks(cut(met(at, hubs, ["key"], "n_all", limit, most=most or 0)), sketch, n))
     if n_rest:
         found = merged(_confirmed_in_blocks(docs, id_col, text_col, rest, found, sketch, n))
     classes = reps.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
