@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import fingerprints, licenses, lm, mixing, neardup, packing, passages, pii, quality, sharding
+from loomspark.llm import collocations, fingerprints, infilling, licenses, lm, mixing, neardup, packing, passages, pii, quality, sharding
 from loomspark.llm.common import read
 
 
@@ -62,6 +62,14 @@ def op10_tokeniser_fertility(spark, sf_dir):
     return quality.measure(read(spark, sf_dir))
 
 
+def op11_event_infilling(spark, sf_dir):
+    return infilling.digests(infilling.fill_in_middle(read(spark, sf_dir)))
+
+
+def op12_automaton_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -80,7 +88,12 @@ QUERIES = {
         op8_min_cost_resharding,
         op9_hierarchical_packing,
         op10_tokeniser_fertility,
+        op11_event_infilling,
+        op12_automaton_collocations,
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_event_infilling": infilling.ORACLE,
+    "op12_automaton_collocations": collocations.ORACLE,
+}
