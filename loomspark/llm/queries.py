@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import collocations, fingerprints, infilling, licenses, lm, mixing, neardup, packing, passages, pii, quality, sharding
+from loomspark.llm import collocations, fingerprints, infilling, licenses, lm, mixing, neardup, packing, passages, pii, quality, sharding, urls
 from loomspark.llm.common import read
 
 
@@ -70,6 +70,10 @@ def op12_automaton_collocations(spark, sf_dir):
     return collocations.collocations(read(spark, sf_dir))
 
 
+def op13_redirect_equivalence(spark, sf_dir):
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -90,10 +94,12 @@ QUERIES = {
         op10_tokeniser_fertility,
         op11_event_infilling,
         op12_automaton_collocations,
+        op13_redirect_equivalence,
         pipeline,
     )
 }
 ORACLES: dict[str, str] = {
     "op11_event_infilling": infilling.ORACLE,
     "op12_automaton_collocations": collocations.ORACLE,
+    "op13_redirect_equivalence": urls.ORACLE,
 }
