@@ -6,10 +6,10 @@ are its endpos. A node whose only longer form has as many places is the same sta
 its longest substring, how short it may be cut from the left, and its endpos count. States are enumerated into substrings
 (those of one state share its count), and counts are summed over shards by phrase.
 
-The first automata are two words deep and give all words and pairs. A phrase is no more frequent than the pairs in it, so
-the deeper automata read only runs of frequent pairs; pairs are told by a bitmap of bounded size whose chance hits cost
-counts that are dropped afterwards, never a phrase. A longer phrase subsumes those that its suffix links lead to,
-with words cut from the right too.
+A phrase is no more frequent than the pairs in it. A first turn counts hashes of all pairs, and the automata read only
+runs of pairs whose hash is frequent; these are told by a bitmap of bounded size, whose chance hits cost counts that are
+dropped afterwards, never a phrase. A longer phrase subsumes those that its suffix links lead to, with words cut from
+the right too.
 
 Defined cases: null and empty texts and pieces without words have no phrases; a null language is `und` (one with the
 language of that name); rows that repeat an id count each; rows of an empty table give an empty result; ids and other
@@ -32,8 +32,8 @@ from loomspark.llm.common import LOWER, U64, cut, encoded, hot_limit, met, mix64
 LEAST, LONGEST, COVER, TOP = 30, 4, 80, 2000
 UND = "und"
 SCALE = 2_000_000
-#: Words of a shard and distinct words of a task's dictionary (about so many), and bytes of a text that are split at once.
-SHARD, VOCABULARY, BLOCK = 1 << 22, 1 << 20, 1 << 22
+#: Words of a shard of pairs and of one with an automaton (about so many), and bytes of a text that are split at once.
+PAIRS, SHARD, BLOCK = 1 << 22, 1 << 20, 1 << 21
 #: Bits of the map of frequent pairs: for each pair, at least, and at most (32 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 28
 #: A top list is cut in so many groups before its language's.
@@ -113,11 +113,11 @@ def pair_hashes(lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix64((a + U64(xxhash.xxh3_64_intdigest(lang.encode()))) * _M + b)
 
 
-class Counter:
-    """Words of a task by language, counted shard by shard."""
+class Shard:
+    """Words of a task by language, up to a number; a text that goes on in the next shard takes its last words along."""
 
-    def __init__(self, low: int, depth: int, frequent=None, shard: int = SHARD):
-        self.low, self.depth, self.frequent, self.shard = low, depth, frequent, shard
+    def __init__(self, carry: int):
+        self.carry = carry
         self.parts: dict[str, list[np.ndarray]] = collections.defaultdict(list)
         self.carried: dict[str, int] = collections.defaultdict(int)
         self.new()
@@ -128,78 +128,81 @@ class Counter:
         self.n = 0
 
     def add(self, lang: str, words: list[bytes]):
-        self.parts[lang].append(np.array(list(map(self.ids.__getitem__, words)), np.int64))
+        self.parts[lang].append(np.array(list(map(self.ids.__getitem__, words)), np.int32))
         self.n += len(words)
 
-    def full(self) -> bool:
-        return self.n >= self.shard or len(self.ids) >= VOCABULARY
-
-    def counted(self):
-        """(lang, ends' words, size, count) of the shard; what a phrase across its end needs is carried on."""
-        names = [None] * (len(self.ids) + 1)
-        for w, i in self.ids.items():
-            names[i] = w
-        texts = [b"" if w is None or w is _BREAK else w for w in names]
-        hashes = word_hashes(texts) if self.frequent is not None else None
-        rest = {}
-        for lang, parts in self.parts.items():
-            words, skip = np.concatenate(parts), self.carried[lang]
-            tail = words[-max(1, self.depth - 1):]
-            if tail[-1] != 0:  # a text goes on
-                rest[lang] = [_BREAK if i == 0 else texts[i] for i in tail]
-            if self.low == 1:
-                yield lang, None, 0, np.array([np.count_nonzero(words[skip:])])
-            yield from self.phrases(lang, words, skip, hashes)
+    def taken(self):
+        """(words by id, [(lang, words, how many of them were counted before)]); begins anew."""
+        names = sorted(self.ids, key=self.ids.__getitem__)
+        out = [(lang, np.concatenate(parts), self.carried[lang]) for lang, parts in self.parts.items()]
         self.parts.clear()
         self.carried.clear()
         self.new()
-        for lang, tail in rest.items():
-            self.add(lang, tail)
-            self.carried[lang] = len(tail)
-
-    def phrases(self, lang, words, skip, hashes):
-        if self.frequent is not None:
-            words, skip = self.runs(lang, words, skip, hashes)
-        end, length, shortest, count = automaton(words, self.depth, skip)
-        for size in range(self.low, self.depth + 1):
-            has = (shortest <= size) & (size <= length)
-            places = end[has]
-            if len(places):
-                yield lang, [words[places - k] for k in range(size - 1, -1, -1)], size, count[has]
-
-    def runs(self, lang, words, skip, hashes):
-        """Runs of frequent pairs, apart by breaks; words in no such pair are left out."""
-        a, b = words[:-1], words[1:]
-        near = (a > 0) & (b > 0)
-        near[near] = self.frequent(pair_hashes(lang, hashes[a[near]], hashes[b[near]]))
-        before, behind = np.concatenate(([False], near)), np.concatenate((near, [False]))
-        kept = before | behind
-        starts = kept & ~before  # a break goes in front of each run
-        place = np.cumsum(kept.astype(np.int64) + starts) - 1
-        out = np.zeros(int(kept.sum() + starts.sum()), np.int64)
-        out[place[kept]] = words[kept]
-        return out, int(place[skip - 1] + 1) if skip else 0
+        for lang, words, _ in out:
+            if words[-1] != 0:
+                tail = [names[i] for i in words[-self.carry :]]
+                self.add(lang, tail)
+                self.carried[lang] = len(tail)
+        self.n = 0
+        return names, out
 
 
-def _bitmap(pairs: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """Bits of the hashes of frequent pairs (lang, phrase), and how many bits tell a place."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * max(n, 1) - 1).bit_length()))
-    low = min(bits, 20)  # a block of bits is a row
+def shards(texts, carry: int, size: int):
+    """Shards of (lang, text) pairs."""
+    s = Shard(carry)
+    for lang, text in texts:
+        for words in tokens(text):
+            s.add(lang, words)
+            if s.n >= size:
+                yield s.taken()
+    if s.n:
+        yield s.taken()
+
+
+def pairs_of(lang: str, words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a pair begins at each word but the last, hashes of these pairs)."""
+    a, b = words[:-1], words[1:]
+    near = (a > 0) & (b > 0)
+    return near, pair_hashes(lang, hashes[a[near]], hashes[b[near]])
+
 
-    def hashed(batches):
+def runs(words: np.ndarray, near: np.ndarray, skip: int) -> tuple[np.ndarray, int]:
+    """Runs of words that pairs hold together, apart by breaks, and how much of it was counted before."""
+    before, behind = np.concatenate(([False], near)), np.concatenate((near, [False]))
+    kept = before | behind
+    starts = kept & ~before  # a break goes in front of each run
+    place = np.cumsum(kept.astype(np.int64) + starts) - 1
+    out = np.zeros(int(place[-1]) + 1, np.int64)
+    out[place[kept]] = words[kept]
+    return out, int(place[skip - 1] + 1) if skip else 0
+
+
+def frequent_pairs(docs: DataFrame, least: int, text_col: str, lang_col: str, size: int) -> DataFrame:
+    """(h) of pairs, by hash, that stand `least` times or more, and some more by chance."""
+
+    def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            langs, phrases = b.column(0).to_pylist(), b.column(1).to_pylist()
-            two = [p.encode().split(b" ") for p in phrases]
-            h = np.empty(len(two), U64)
-            wa, wb = word_hashes([x[0] for x in two]), word_hashes([x[1] for x in two])
-            langs = np.array(langs, object)
-            for lang in set(langs.tolist()):
-                of = langs == lang
-                h[of] = pair_hashes(lang, wa[of], wb[of])
-            place = (h >> U64(64 - bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(place >> low), pa.array(place & ((1 << low) - 1))], names=["block", "bit"])
+        for names, parts in shards(rows(batches, "lang", "text"), 1, size):
+            hashes = word_hashes(names)
+            found = np.sort(np.concatenate([pairs_of(lang, words[max(skip - 1, 0) :], hashes)[1] for lang, words, skip in parts]))
+            first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))[: len(found)])
+            f = np.diff(np.append(first, len(found)))
+            for i in range(0, len(first), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(found[first[i : i + (1 << 17)]].view(np.int64)), pa.array(f[i : i + (1 << 17)].astype(np.int64))], names=["h", "f"])
+
+    counted = _texts(docs, text_col, lang_col).mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    return counted.where(F.col("f") >= least).select("h")
+
+
+def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UND)).alias("lang"), F.col(text_col).alias("text"))
+
+
+def _bitmap(pairs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Bits of hashes (h), and how many of a hash's first bits tell its place."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * max(n, 1) - 1).bit_length()))
+    low = min(bits, 20)  # so many bits are a row
 
     def packed(batches):
         import pyarrow as pa
@@ -212,55 +215,52 @@ def _bitmap(pairs: DataFrame, n: int) -> tuple[np.ndarray, int]:
         for k, v in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(v).tobytes()])], names=["block", "bits"])
 
-    spread = pairs.select("lang", "phrase").mapInArrow(hashed, "block long, bit long").distinct().repartition(max(1, (1 << (bits - low)) // 8), "block")
-    out = np.zeros((1 << (bits - low), 1 << max(low - 3, 0)), np.uint8)
+    place = F.shiftrightunsigned("h", 64 - bits)
+    spread = pairs.select(F.shiftright(place, low).alias("block"), place.bitwiseAND(F.lit((1 << low) - 1)).alias("bit"))
+    spread = spread.repartition(max(1, (1 << (bits - low)) // 8), "block")
+    out = np.zeros((1 << (bits - low), 1 << (low - 3)), np.uint8)
     for r in spread.mapInArrow(packed, "block long, bits binary").toLocalIterator():  # 32 MB at most
         out[r.block] |= np.frombuffer(r.bits, np.uint8)
     return out.reshape(-1), bits
 
 
-def counts(docs: DataFrame, low: int, depth: int, frequent=None, text_col: str = "text", lang_col: str = "lang", shard: int = SHARD) -> DataFrame:
-    """(lang, phrase, size, f) of all phrases of low to depth words; size 0 is the language's number of words."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(frequent) if frequent is not None else None
-    schema = "lang string, phrase string, size int, f long"
+def counts(docs: DataFrame, longest: int, frequent: tuple[np.ndarray, int], text_col: str = "text", lang_col: str = "lang", shard: int = SHARD) -> DataFrame:
+    """(lang, size, phrase, f) of words, and of longer phrases whose pairs are all among the frequent; size 0 is the
+    language's number of words."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches):
+    def batch(lang, size, phrases, f):
         import pyarrow as pa
 
-        test = None
-        if held is not None:
-            bits, n = held.value
-            test = lambda h: (bits[(p := (h >> U64(64 - n)).astype(np.int64)) >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-        c = Counter(low, depth, test, shard)
-
-        def flushed():
-            names = {i: w.decode("utf-8", "replace") for w, i in c.ids.items() if w is not _BREAK}
-            name = names.__getitem__
-            for lang, words, size, f in c.counted():
-                if words is None:
-                    phrases = [""]
-                elif size == 1:
-                    phrases = list(map(name, words[0].tolist()))
-                else:
-                    phrases = list(map(" ".join, zip(*(map(name, w.tolist()) for w in words), strict=True)))
-                for i in range(0, len(phrases), 1 << 16):
-                    some = phrases[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(pa.scalar(lang), len(some)), pa.array(some, pa.string()), pa.repeat(pa.scalar(size, pa.int32()), len(some)), pa.array(f[i : i + (1 << 16)].astype(np.int64))],
-                        names=["lang", "phrase", "size", "f"],
-                    )
-
-        for lang, text in rows(batches, "lang", "text"):
-            for words in tokens(text):
-                c.add(lang, words)
-                if c.full():
-                    yield from flushed()
-        if c.n:
-            yield from flushed()
-
-    of = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UND)).alias("lang"), F.col(text_col).alias("text"))
-    return of.mapInArrow(run, schema).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+        for i in range(0, len(phrases), 1 << 16):
+            some = phrases[i : i + (1 << 16)]
+            columns = [pa.repeat(pa.scalar(lang), len(some)), pa.repeat(pa.scalar(size, pa.int32()), len(some)), pa.array(some, pa.string()), pa.array(f[i : i + (1 << 16)].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "f"])
+
+    def run(batches):
+        bits, n = held.value
+        for names, parts in shards(rows(batches, "lang", "text"), longest, shard):
+            hashes = word_hashes(names)
+            names = ["", *(w.decode("utf-8", "replace") for w in names[1:])]
+            for lang, words, skip in parts:
+                own = words[skip:]
+                f = np.bincount(own)
+                seen = np.flatnonzero(f[1:]) + 1
+                yield from batch(lang, 0, [""], np.array([np.count_nonzero(own)]))
+                yield from batch(lang, 1, [names[i] for i in seen.tolist()], f[seen])
+                near, h = pairs_of(lang, words, hashes)
+                place = (h >> U64(64 - n)).astype(np.int64)
+                near[near] = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+                held_words, before = runs(words, near, skip)
+                end, length, shortest, f = automaton(held_words, longest, before)
+                for size in range(2, longest + 1):
+                    has = (shortest <= size) & (size <= length)
+                    at = end[has]
+                    spelt = [map(names.__getitem__, held_words[at - k].tolist()) for k in range(size - 1, -1, -1)]
+                    yield from batch(lang, size, list(map(" ".join, zip(*spelt, strict=True))), f[has])
+
+    made = _texts(docs, text_col, lang_col).mapInArrow(run, "lang string, size int, phrase string, f long")
+    return made.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _share(a, b) -> str:
@@ -268,19 +268,14 @@ def _share(a, b) -> str:
     return f"cast({SCALE} as decimal(7,0)) * cast({a} as decimal(20,0)) div ({b})"
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", shard: int = SHARD) -> DataFrame:
-    """(lang, phrase, size, f) of all phrases of up to longest words with f >= least, and of each language (size 0)."""
-    short = cut(counts(docs, 1, min(2, longest), None, text_col, lang_col, shard).where((F.col("f") >= least) | (F.col("size") == 0)))
-    if longest < 3:
-        return short
-    pairs = short.where("size = 2")
-    n = pairs.count()
-    if not n:
-        return short
-    return short.unionByName(cut(counts(docs, 3, longest, _bitmap(pairs, n), text_col, lang_col, shard).where(F.col("f") >= least)))
+def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", shard: int | None = None) -> DataFrame:
+    """(lang, size, phrase, f) of all phrases of up to longest words with f >= least, and of each language (size 0)."""
+    pairs = cut(frequent_pairs(docs, least, text_col, lang_col, shard or PAIRS))
+    found = counts(docs, longest, _bitmap(pairs, pairs.count()), text_col, lang_col, shard or SHARD)
+    return cut(found.where((F.col("f") >= least) | (F.col("size") == 0)))
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, cover: int = COVER, top: int = TOP, shard: int = SHARD) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, cover: int = COVER, top: int = TOP, shard: int | None = None) -> DataFrame:
     """Each language's best phrases: lang, rank, phrase, a, l, r, n, score."""
     known = frequent_phrases(docs, least, longest, text_col, lang_col, shard)
     n = known.where("size = 0").select("lang", F.col("f").alias("n"))
