@@ -6,9 +6,10 @@ are its endpos. A node whose only longer form has as many places is the same sta
 its longest substring, how short it may be cut from the left, and its endpos count. States are enumerated into substrings
 (those of one state share its count), and counts are summed over shards by phrase.
 
-A phrase is no more frequent than the pairs in it. A first turn counts hashes of all pairs, and the automata read only
-runs of pairs whose hash is frequent; these are told by a bitmap of bounded size, whose chance hits cost counts that are
-dropped afterwards, never a phrase. A longer phrase subsumes those that its suffix links lead to, with words cut from
+A phrase is no more frequent than the phrases in it. First turns count hashes of all pairs, then of the triples whose pairs
+are frequent; the automata read only runs of frequent pairs, and their longer substrings are spelt out only where those
+inside are frequent. These are told by bitmaps of bounded size, whose chance hits cost counts that are dropped
+afterwards, never a phrase. A longer phrase subsumes those that its suffix links lead to, with words cut from
 the right too.
 
 Defined cases: null and empty texts and pieces without words have no phrases; a null language is `und` (one with the
@@ -32,7 +33,7 @@ from loomspark.llm.common import LOWER, U64, cut, encoded, hot_limit, met, mix64
 LEAST, LONGEST, COVER, TOP = 30, 4, 80, 2000
 UND = "und"
 SCALE = 2_000_000
-#: Words of a shard of pairs and of one with an automaton (about so many), and bytes of a text that are split at once.
+#: Words of a shard of hashes and of one with an automaton (about so many), and bytes of a text that are split at once.
 PAIRS, SHARD, BLOCK = 1 << 22, 1 << 20, 1 << 21
 #: Bits of the map of frequent pairs: for each pair, at least, and at most (32 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 28
@@ -108,9 +109,33 @@ def word_hashes(names: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, names), U64, len(names))
 
 
-def pair_hashes(lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def gram_hashes(lang: str, hashes: np.ndarray, words: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the phrases of a size that end at these places."""
+    acc = np.zeros(len(ends), U64)
     with np.errstate(over="ignore"):
-        return mix64((a + U64(xxhash.xxh3_64_intdigest(lang.encode()))) * _M + b)
+        for k in range(size - 1, -1, -1):
+            acc = acc * _M + hashes[words[ends - k]]
+        return mix64(acc + U64(xxhash.xxh3_64_intdigest(lang.encode(), seed=size)))
+
+
+class Frequent:
+    """Bitmaps of the hashes of frequent phrases, by size."""
+
+    def __init__(self, maps: dict[int, tuple[np.ndarray, int]]):
+        self.maps = maps
+
+    def has(self, size: int, h: np.ndarray) -> np.ndarray:
+        bits, n = self.maps[size]
+        place = (h >> U64(64 - n)).astype(np.int64)
+        return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+    def inside(self, lang, hashes, words, ends, size: int) -> np.ndarray:
+        """Whether both phrases of a word less in the phrases that end at these places are frequent."""
+        if size - 1 not in self.maps:
+            return np.ones(len(ends), bool)
+        ok = self.has(size - 1, gram_hashes(lang, hashes, words, ends, size - 1))
+        ok[ok] = self.has(size - 1, gram_hashes(lang, hashes, words, ends[ok] - 1, size - 1))
+        return ok
 
 
 class Shard:
@@ -159,11 +184,13 @@ def shards(texts, carry: int, size: int):
         yield s.taken()
 
 
-def pairs_of(lang: str, words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a pair begins at each word but the last, hashes of these pairs)."""
-    a, b = words[:-1], words[1:]
-    near = (a > 0) & (b > 0)
-    return near, pair_hashes(lang, hashes[a[near]], hashes[b[near]])
+def places(words: np.ndarray, size: int, skip: int) -> np.ndarray:
+    """Where phrases of a size end, without those counted before."""
+    ok = np.ones(max(len(words) - size + 1, 0), bool)
+    for k in range(size):
+        ok &= words[k : len(words) - size + 1 + k] > 0
+    ends = np.flatnonzero(ok) + size - 1
+    return ends[ends >= skip]
 
 
 def runs(words: np.ndarray, near: np.ndarray, skip: int) -> tuple[np.ndarray, int]:
@@ -177,15 +204,20 @@ def runs(words: np.ndarray, near: np.ndarray, skip: int) -> tuple[np.ndarray, in
     return out, int(place[skip - 1] + 1) if skip else 0
 
 
-def frequent_pairs(docs: DataFrame, least: int, text_col: str, lang_col: str, size: int) -> DataFrame:
-    """(h) of pairs, by hash, that stand `least` times or more, and some more by chance."""
+def frequent_hashes(docs: DataFrame, size: int, known: Frequent, least: int, text_col: str, lang_col: str, shard: int) -> DataFrame:
+    """(h) of phrases of a size, by hash, that stand `least` times or more (and some more by chance), if those inside do."""
+    held = docs.sparkSession.sparkContext.broadcast(known.maps)
 
     def run(batches):
         import pyarrow as pa
 
-        for names, parts in shards(rows(batches, "lang", "text"), 1, size):
-            hashes = word_hashes(names)
-            found = np.sort(np.concatenate([pairs_of(lang, words[max(skip - 1, 0) :], hashes)[1] for lang, words, skip in parts]))
+        known = Frequent(held.value)
+        for names, parts in shards(rows(batches, "lang", "text"), size, shard):
+            hashes, found = word_hashes(names), []
+            for lang, words, skip in parts:
+                ends = places(words, size, skip)
+                found.append(gram_hashes(lang, hashes, words, ends[known.inside(lang, hashes, words, ends, size)], size))
+            found = np.sort(np.concatenate(found))
             first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))[: len(found)])
             f = np.diff(np.append(first, len(found)))
             for i in range(0, len(first), 1 << 17):
@@ -199,7 +231,7 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UND)).alias("lang"), F.col(text_col).alias("text"))
 
 
-def _bitmap(pairs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+def _bitmap(hashes: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """Bits of hashes (h), and how many of a hash's first bits tell its place."""
     bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * max(n, 1) - 1).bit_length()))
     low = min(bits, 20)  # so many bits are a row
@@ -216,7 +248,7 @@ def _bitmap(pairs: DataFrame, n: int) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(v).tobytes()])], names=["block", "bits"])
 
     place = F.shiftrightunsigned("h", 64 - bits)
-    spread = pairs.select(F.shiftright(place, low).alias("block"), place.bitwiseAND(F.lit((1 << low) - 1)).alias("bit"))
+    spread = hashes.select(F.shiftright(place, low).alias("block"), place.bitwiseAND(F.lit((1 << low) - 1)).alias("bit"))
     spread = spread.repartition(max(1, (1 << (bits - low)) // 8), "block")
     out = np.zeros((1 << (bits - low), 1 << (low - 3)), np.uint8)
     for r in spread.mapInArrow(packed, "block long, bits binary").toLocalIterator():  # 32 MB at most
@@ -224,10 +256,9 @@ def _bitmap(pairs: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return out.reshape(-1), bits
 
 
-def counts(docs: DataFrame, longest: int, frequent: tuple[np.ndarray, int], text_col: str = "text", lang_col: str = "lang", shard: int = SHARD) -> DataFrame:
-    """(lang, size, phrase, f) of words, and of longer phrases whose pairs are all among the frequent; size 0 is the
-    language's number of words."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+def counts(docs: DataFrame, longest: int, known: Frequent, text_col: str = "text", lang_col: str = "lang", shard: int = SHARD) -> DataFrame:
+    """(lang, size, phrase, f) of words, and of longer phrases that may be frequent; size 0 is the language's number of words."""
+    held = docs.sparkSession.sparkContext.broadcast(known.maps)
 
     def batch(lang, size, phrases, f):
         import pyarrow as pa
@@ -238,7 +269,7 @@ def counts(docs: DataFrame, longest: int, frequent: tuple[np.ndarray, int], text
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "f"])
 
     def run(batches):
-        bits, n = held.value
+        known = Frequent(held.value)
         for names, parts in shards(rows(batches, "lang", "text"), longest, shard):
             hashes = word_hashes(names)
             names = ["", *(w.decode("utf-8", "replace") for w in names[1:])]
@@ -248,16 +279,19 @@ def counts(docs: DataFrame, longest: int, frequent: tuple[np.ndarray, int], text
                 seen = np.flatnonzero(f[1:]) + 1
                 yield from batch(lang, 0, [""], np.array([np.count_nonzero(own)]))
                 yield from batch(lang, 1, [names[i] for i in seen.tolist()], f[seen])
-                near, h = pairs_of(lang, words, hashes)
-                place = (h >> U64(64 - n)).astype(np.int64)
-                near[near] = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-                held_words, before = runs(words, near, skip)
-                end, length, shortest, f = automaton(held_words, longest, before)
+                near = np.zeros(max(len(words) - 1, 0), bool)
+                ends = places(words, 2, 0)
+                near[ends[known.has(2, gram_hashes(lang, hashes, words, ends, 2))] - 1] = True
+                apart, before = runs(words, near, skip)
+                end, length, shortest, f = automaton(apart, longest, before)
                 for size in range(2, longest + 1):
                     has = (shortest <= size) & (size <= length)
-                    at = end[has]
-                    spelt = [map(names.__getitem__, held_words[at - k].tolist()) for k in range(size - 1, -1, -1)]
-                    yield from batch(lang, size, list(map(" ".join, zip(*spelt, strict=True))), f[has])
+                    at, n = end[has], f[has]
+                    if size > 2:
+                        ok = known.has(size, gram_hashes(lang, hashes, apart, at, size)) if size in known.maps else known.inside(lang, hashes, apart, at, size)
+                        at, n = at[ok], n[ok]
+                    spelt = [map(names.__getitem__, apart[at - k].tolist()) for k in range(size - 1, -1, -1)]
+                    yield from batch(lang, size, list(map(" ".join, zip(*spelt, strict=True))), n)
 
     made = _texts(docs, text_col, lang_col).mapInArrow(run, "lang string, size int, phrase string, f long")
     return made.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
@@ -270,8 +304,11 @@ def _share(a, b) -> str:
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", shard: int | None = None) -> DataFrame:
     """(lang, size, phrase, f) of all phrases of up to longest words with f >= least, and of each language (size 0)."""
-    pairs = cut(frequent_pairs(docs, least, text_col, lang_col, shard or PAIRS))
-    found = counts(docs, longest, _bitmap(pairs, pairs.count()), text_col, lang_col, shard or SHARD)
+    known = Frequent({})
+    for size in range(2, max(3, longest)):
+        hashes = cut(frequent_hashes(docs, size, known, least, text_col, lang_col, shard or PAIRS))
+        known.maps[size] = _bitmap(hashes, hashes.count())
+    found = counts(docs, longest, known, text_col, lang_col, shard or SHARD)
     return cut(found.where((F.col("f") >= least) | (F.col("size") == 0)))
 
 
