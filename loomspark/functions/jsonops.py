@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspark.functions.literals import let, python_json
+from loomspark.functions.text import strip
+
 #: Closed vocabularies (fixed values).
 POPULATIONS = ("Adult", "Pediatric", "General")
 ANSWERS = ("a", "b", "c", "d")
@@ -21,9 +24,21 @@ def repaired(c: Column) -> Column:
     return F.regexp_replace(body, r",\s*([}\]])", "$1")
 
 
+def one_json(c: Column) -> Column:
+    """Text that is one JSON value, and nothing behind it, as a variant; else null."""
+
+    def read(t):
+        # the parser stops behind the first value: a mark must follow, which the text can't name
+        both = F.try_parse_json(F.concat(F.lit("[["), t, F.lit("],"), F.xxhash64(t).cast("string"), F.lit("]")))
+        alone = lambda v: (F.try_variant_get(v, "$[1]", "long") == F.xxhash64(t)) & F.try_variant_get(v, "$[0][1]", "variant").isNull()
+        return let(both, lambda v: F.when(alone(v), F.try_variant_get(v, "$[0][0]", "variant")))
+
+    return let(c, read)
+
+
 def parsed(c: Column) -> Column:
     """The repaired text as a variant; null where it is no JSON."""
-    return F.try_parse_json(F.when(repaired(c) != "", repaired(c)))
+    return one_json(repaired(c))
 
 
 def field_type(v: Column, path: str) -> Column:
@@ -111,11 +126,8 @@ def normalized_options(options: Column) -> Column:
 
 
 def nested(c: Column) -> Column:
-    """Text that holds a list or an object, as a variant: JSON, or the same with single quotes and Python's words."""
-    t = F.trim(c)
-    python = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.translate(t, "'", '"'), r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
-    python = F.regexp_replace(F.regexp_replace(F.regexp_replace(python, r"^\(", "["), r"\)$", "]"), r",\s*\]$", "]")
-    return F.when(t.rlike(r"^[\[{(]"), F.coalesce(F.try_parse_json(t), F.try_parse_json(python)))
+    """Text that holds a list or an object, as a variant: JSON, or a Python literal, whose tuples and sets are lists."""
+    return let(strip(c), lambda t: F.when(t.rlike(r"^[\[{(]"), F.coalesce(one_json(t), one_json(python_json(t)))))
 
 
 def options_of(v: Column) -> Column:
@@ -162,10 +174,44 @@ def profile(c: Column, original: Column) -> tuple[Column, Column]:
     return F.when(ok, p).otherwise("general patient"), F.when(ok & (core != ""), core).otherwise(original)
 
 
+def parsed_nested(v: Column) -> Column:
+    """A variant as it is, but one of text that holds a list or an object as that; blank text, nan and null are null."""
+
+    def read(t):
+        return F.when(~F.lower(strip(t)).isin("", "nan"), F.coalesce(nested(t), v))
+
+    text = let(F.try_variant_get(v, "$", "string"), read)
+    return F.when(kind(v) == "STRING", text).when(kind(v) != "VOID", v)
+
+
+def listed(v: Column) -> Column:
+    """The members of a variant as array<variant>: of a list its elements, of an object its names, else itself alone."""
+    names = F.transform(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), lambda k: F.try_parse_json(F.to_json(F.struct(k.alias("k")))))
+    names = F.transform(names, lambda x: inner(x, "k"))
+    return F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).when(kind(v) == "OBJECT", names).when(v.isNotNull(), F.array(v))
+
+
+def _names(parts: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: strip(x)), lambda x: F.coalesce(x, F.lit("")) != ""))
+
+
+def members_of(v: Column) -> Column:
+    """Sources in a variant as ordered distinct trimmed names: a list, text with |, or one name; null is none."""
+
+    def read(x):
+        text = F.try_variant_get(x, "$", "string")
+        parts = F.when(kind(x) == "STRING", F.split(text, r"\|", -1)).otherwise(F.transform(listed(x), lambda y: F.try_variant_get(y, "$", "string")))
+        return F.coalesce(_names(parts), F.array().cast("array<string>"))
+
+    return let(parsed_nested(v), read)
+
+
 def membership(c: Column) -> Column:
     """Sources in text as ordered distinct trimmed names: "a|b", a list written as text, or one name; null is none."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    v = nested(t)
-    listed = F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<string>"))
-    parts = F.when((t == "") | (F.lower(t) == "nan"), F.array().cast("array<string>")).otherwise(F.coalesce(listed, F.split(t, r"\|", -1)))
-    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != ""))
+
+    def read(t):
+        held = let(nested(t), lambda v: F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<string>")))
+        parts = F.when((t == "") | (F.lower(t) == "nan"), F.array().cast("array<string>")).otherwise(F.coalesce(held, F.split(t, r"\|", -1)))
+        return _names(parts)
+
+    return let(strip(F.coalesce(c, F.lit(""))), read)

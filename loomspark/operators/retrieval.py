@@ -7,20 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions.text import bm25_tokens
-from loomspark.operators.lineage import written
+from loomspark.operators.lineage import small, written
 
 K1, B = 1.5, 0.75
-#: Query sides up to so many rows are broadcast; others are joined by shuffles, or taken in blocks.
-BROADCAST_ROWS = 200_000
 #: First, middle and final query of each condition (fixed values).
 CONDITIONS = {"base_rag": ("full", "full", None), "prof_rag": ("core", "full", "profile"), "q_qp": ("core", "full", None), "q_q": ("core", "core", None)}
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def query_terms(queries: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(id, more..., term, qtf)."""
     t = queries.select(F.col(id_col).alias("q_id"), *more, F.explode(bm25_tokens(F.col(text_col))).alias("term"))

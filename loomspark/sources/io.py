@@ -8,10 +8,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from loomspark.functions.jsonops import POPULATIONS, normalized_options
+from loomspark.functions.jsonops import POPULATIONS, kind, normalized_options, one_json
 from loomspark.functions.text import strip
 from loomspark.operators.corpus import RETRIEVAL_TEXT, require_columns, text_column, with_position
+from loomspark.operators.lineage import small, written
 from loomspark.operators.metrics import correct_answer
 
 
@@ -19,6 +21,10 @@ from loomspark.operators.metrics import correct_answer
 DRIVER_BYTES = 256 << 20
 
 
+#: Suffixes of tables (fixed values).
+TABLES = ("parquet", "csv", "jsonl", "json", "pkl", "pickle", "xlsx", "xls")
+
+
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """By suffix: parquet, csv (quotes doubled, many lines), json lines; pickles and sheets of checked size through the
     driver; anything else is an error."""
@@ -47,7 +53,24 @@ def _driver_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
     data = io.BytesIO(bytes(spark.read.format("binaryFile").load(path).select("content").first().content))
     frame = pd.read_pickle(data) if kind.startswith("p") else pd.read_excel(data)
     frame.columns = [str(c) for c in frame.columns]
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None))
+    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None)).coalesce(1)
+
+
+def read_positioned(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """read_table with the place of each row in the table, from 0."""
+    if path.rstrip("/").rsplit(".", 1)[-1].lower() in TABLES[4:]:
+        return read_table(spark, path).withColumn(name, F.monotonically_increasing_id())  # of one partition
+    return numbered(read_table(spark, path), name, across=True)
+
+
+def tables_in(spark: SparkSession, path: str) -> list[str]:
+    """The tables (files or folders, by suffix) that lie in a folder, by name; a path that is a table is one itself."""
+    if path.rstrip("/").rsplit(".", 1)[-1].lower() in TABLES:
+        return [path]
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(str(x.getPath().toString()) for x in fs.listStatus(folder))
+    return [x for x in found if x.rsplit(".", 1)[-1].lower() in TABLES]
 
 
 def read_keywords(df: DataFrame, order: str, skip: int = 0) -> list[str]:
@@ -120,14 +143,29 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     return ids
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value, error) with line numbers from 1; blank lines are left out but counted; what is no object has an error.
+def numbered(df: DataFrame, name: str, first: int = 0, file: str | None = None, across: bool = False) -> DataFrame:
+    """Rows that a file source reads, with each one's place in its file from `first` on (and the file's path); or its place
+    across all files, by path.
 
-    A file is one row here, as a line's number needs all before it: for files that fit a task, as those of a batch do.
+    A file's splits are read one by one in order: a place is that in the split and the rows of the splits before it, of
+    which there is a row each. Nothing may stand between the source and this but projections.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
-    ok = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
-    return lines.where(strip(F.col("value")) != "").select("file", (F.col("n") + 1).cast("long").alias("line"), "value", F.when(~ok, "not a JSON object").alias("error"))
+    columns = df.columns
+    rows = df.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("_file", "_start").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    order = Window.orderBy("_file", "_start") if across else Window.partitionBy("_file").orderBy("_start")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = written(splits.select("_file", "_start", "_least", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    out = rows.join(small(splits), ["_file", "_start"]).withColumn(name, F.col("_before") + F.col("_id") - F.col("_least") + first)
+    return out.select(*columns, *([F.col("_file").alias(file)] if file else []), name)
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value, error) with line numbers from 1; blank lines are left out but counted; what is no object has an
+    error. A file may have many splits."""
+    lines = numbered(spark.read.text(path), "line", 1, "file").where(strip(F.col("value")) != "")
+    ok = kind(one_json(F.col("value"))) == "OBJECT"
+    return lines.select("file", "line", "value", F.when(~F.coalesce(ok, F.lit(False)), "not a JSON object").alias("error"))
 
 
 def validated(df: DataFrame, population: str = "all") -> DataFrame:
