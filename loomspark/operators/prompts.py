@@ -51,8 +51,85 @@ def mcqa_prompt(question: Column, options: Column, context: Column | None = None
     return F.concat_ws("\n\n", *parts)  # which leaves nulls out
 
 
+def lengths(most: int, least: int = LEAST) -> list[int]:
+    """Characters of each text that are tried, one after the other."""
+    out = [most]
+    while out[-1] > least:
+        out.append(max(least, int(out[-1] * SHRINK)))
+    return out
+
+
+def laid_out(texts: list[str], most: int) -> str:
+    """text.format_context of one list, in a worker."""
+    if not texts:
+        return ""
+
+    def clipped(t: str) -> str:
+        t = t.strip()
+        return t if len(t) <= most else t[:most].rsplit(" ", 1)[0] + "..."
+
+    blocks = "\n\n".join(f"[{i}] Text:\n{clipped(t)}" for i, t in enumerate(texts, 1))
+    return f"### Retrieved excerpt{'' if len(texts) == 1 else 's'} (top-{len(texts)})\n{blocks}"
+
+
+def budgeted(df: DataFrame, prompt: str, texts: str, out: str, budget: int, count: Callable[[list[str]], list[int]], most: int = 4500, bare: str | None = None) -> DataFrame:
+    """df with the prompt whose retrieved texts (at {context}) are laid out anew with each text clipped to fewer characters
+    until its tokens fit; one that fits with none is an error. Rows without texts take the prompt in column `bare`, if any.
+
+    count gives the tokens of a list of prompts at once; a turn counts the prompts of a batch that don't fit yet, first those
+    of the length that half of the lengths left are longer than, and then next to it: a row takes the greatest length
+    that fits and whose longer neighbour doesn't.
+    """
+    schema = StructType([*df.schema.fields, StructField(out, StringType())])
+    steps = lengths(most)
+
+    def fit(prompts_, contexts, bares):
+        n = len(prompts_)
+        made: dict[tuple[int, int], tuple[bool, str]] = {}
+
+        def tried(asked):
+            new = [x for x in dict.fromkeys(asked) if x not in made]
+            filled = [bares[i] if not contexts[i] and bares[i] is not None else prompts_[i].replace("{context}", laid_out(contexts[i], steps[s])) for i, s in new]
+            for x, text, size in zip(new, filled, count(filled) if filled else [], strict=True):
+                made[x] = (size <= budget, text)
+
+        low, high = [0] * n, [len(steps) - 1 if contexts[i] else 0 for i in range(n)]
+        tried((i, 0) for i in range(n))
+        for i in range(n):
+            if made[i, 0][0]:
+                high[i] = 0
+        while open_ := [i for i in range(n) if low[i] < high[i]]:
+            middle = {i: (low[i] + high[i]) // 2 for i in open_}
+            tried((i, s) for i, s in middle.items())
+            for i, s in middle.items():
+                if made[i, s][0]:
+                    high[i] = s
+                else:
+                    low[i] = s + 1
+        # a longer text may have fewer tokens at times: go back as long as the step before fits too
+        back = list(range(n))
+        while back:
+            tried((i, low[i]) for i in back)
+            tried((i, low[i] - 1) for i in back if low[i])
+            back = [i for i in back if low[i] and made[i, low[i] - 1][0]]
+            for i in back:
+                low[i] -= 1
+        for i in range(n):
+            if not made[i, low[i]][0]:
+                raise ValueError(f"the prompt is over its budget of {budget} tokens with texts of {steps[low[i]]} characters")
+        return [made[i, low[i]][1] for i in range(n)]
+
+    def run(frames):
+        for f in frames:
+            contexts = [[] if c is None else [x or "" for x in c] for c in f[texts]]
+            yield f.assign(**{out: fit(list(f[prompt]), contexts, list(f[bare]) if bare else [None] * len(f))})
+
+    return df.mapInPandas(run, schema)
+
+
 def within_budget(df: DataFrame, prompt: str, context: str, out: str, budget: int, count: Callable[[str], int]) -> DataFrame:
-    """df with the prompt whose context (at {context}) is shrunk until its tokens fit; a prompt that never fits is an error."""
+    """df with the prompt whose context (at {context}), one text, is cut from its end until its tokens fit; a prompt that
+    never fits is an error. budgeted() clips each of several texts."""
     schema = StructType([*df.schema.fields, StructField(out, StringType())])
 
     def fit(p: str, c: str | None) -> str:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,17 +41,43 @@ def with_idf(df: DataFrame) -> DataFrame:
     return df.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
+def weight(avg: float) -> Column:
+    """What a posting adds to a score, without qtf and idf."""
+    return F.col("tf") * (K1 + 1) / F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(max(avg, 1e-6))), F.lit(1e-12))
+
+
+class Postings(NamedTuple):
+    """An inverted index: rows (term, doc_id, len, tf), stats (term, df, idf, most: the greatest weight of its rows)."""
+
+    rows: DataFrame
+    stats: DataFrame
+    n_docs: int
+    avg_len: float
+
+
+def term_stats(rows: DataFrame, n_docs: int, avg_len: float) -> DataFrame:
+    counted = rows.groupBy("term").agg(F.count("*").alias("df"), F.max(weight(avg_len)).alias("most")).withColumn("n_docs", F.lit(n_docs))
+    return with_idf(counted).select("term", "df", "idf", "most")
+
+
+def gathered(docs: DataFrame, terms: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Postings:
+    """Postings of these terms only, read from the texts once and written."""
+    rows = written(postings(docs, terms, text_col, id_col))
+    n, avg = collection(docs, text_col).first()  # one row
+    return Postings(rows, written(term_stats(rows, n, avg or 0.0)), n, avg or 0.0)
+
+
+def _added(rows: DataFrame, terms: DataFrame, avg: float, *keys: str) -> DataFrame:
+    """(keys..., doc_id, part) of the postings of terms; a frequent term's postings stay where they are, terms go to them."""
+    joined = rows.join(small(terms.select(*keys, "term", "qtf", "idf")), "term")
+    return joined.groupBy(*keys, "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * weight(avg)).alias("part"))
+
+
 def bm25_scores(docs: DataFrame, terms: DataFrame, *more: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(q_id, more..., doc_id, score) of documents that hold a query's term."""
+    """(q_id, more..., doc_id, score) of all documents that hold a query's term."""
     terms = written(terms)
-    tf = written(postings(docs, terms, text_col, id_col))  # of query terms only; read for df and for scores
-    n, avg = collection(docs, text_col).first()  # one row
-    avg = max(avg or 0.0, 1e-6)
-    df = with_idf(tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("n_docs", F.lit(n)))
-    weight = F.col("tf") * (K1 + 1) / F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg)), F.lit(1e-12))
-    # a frequent term's postings stay where they are: terms with idf go to them
-    joined = tf.join(small(terms.join(df, "term").select("q_id", *more, "term", "qtf", "idf")), "term")
-    return joined.groupBy("q_id", *more, "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * weight), 6).alias("score"))
+    p = gathered(docs, terms, text_col, id_col)
+    return _added(p.rows, terms.join(p.stats, "term"), p.avg_len, "q_id", *more).withColumn("score", F.round("part", 6)).drop("part")
 
 
 def top_k(scores: DataFrame, k: int, *keys: str, id_col: str = "doc_id") -> DataFrame:
@@ -57,37 +86,131 @@ def top_k(scores: DataFrame, k: int, *keys: str, id_col: str = "doc_id") -> Data
     return scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def best_k(p: Postings, terms: DataFrame, k: int, *more: str) -> DataFrame:
+    """(q_id, more..., doc_id, score, rank): the k best documents of each query, the same as of all scores.
+
+    Terms with large upper bounds are read first and give a score that the k-th best reaches at least. The terms
+    with the least bounds, as long as together they can't reach it, bring no document of their own: they are read only for
+    documents that may still come in by what the others gave them.
+    """
+    keys = ["q_id", *more]
+    bound = F.col("qtf") * F.col("idf") * F.col("most")
+    order = Window.partitionBy(*keys).orderBy(F.desc("ub"), "term")
+    t = terms.join(p.stats, "term").withColumn("ub", bound)
+    # what this term and all behind it can give, and what those before it can
+    t = t.withColumn("rest", F.sum("ub").over(order.rowsBetween(0, Window.unboundedFollowing))).withColumn("before", F.sum("ub").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("ub"))
+    t = written(t.withColumn("first", F.col("before") < F.col("rest")).select(*keys, "term", "qtf", "idf", "ub", "rest", "first"))
+    part = written(_added(p.rows, t.where("first"), p.avg_len, *keys))
+    least = top_k(part.withColumnRenamed("part", "score"), k, *keys).where(F.col("rank") == k).select(*keys, F.col("score").alias("least"))
+    t = written(t.join(small(least), keys, "left").withColumn("least", F.coalesce("least", F.lit(0.0))))
+    # rounding to six places moves a score by half of a millionth at most
+    needed = F.col("first") | (F.col("rest") >= F.col("least") - 2e-6)
+    more_rows = t.where(needed & ~F.col("first"))
+    if not more_rows.isEmpty():
+        part = written(part.unionByName(_added(p.rows, more_rows, p.avg_len, *keys)).groupBy(*keys, "doc_id").agg(F.sum("part").alias("part")))
+    late = t.where(~needed)
+    gain = t.groupBy(*keys).agg(F.max("least").alias("least"), F.sum(F.when(~needed, F.col("ub")).otherwise(0.0)).alias("gain"))
+    may = part.join(small(gain), keys).where(F.col("part") + F.col("gain") >= F.col("least") - 2e-6).select(*keys, "doc_id", "part")
+    if not late.isEmpty():
+        may = written(may)
+        may = may.unionByName(rescored(p, late, may.select(*keys, "doc_id"), *more)).groupBy(*keys, "doc_id").agg(F.sum("part").alias("part"))
+    return top_k(may.withColumn("score", F.round("part", 6)).drop("part"), k, *keys)
+
+
+def rescored(p: Postings, terms: DataFrame, candidates: DataFrame, *more: str) -> DataFrame:
+    """(q_id, more..., doc_id, part): what these terms give to candidates (q_id, more..., doc_id); those without any have no row."""
+    keys = ["q_id", *more]
+    rows = p.rows.join(small(terms.select("term").distinct()), "term", "left_semi").join(small(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
+    both = rows.join(small(candidates.select(*keys, "doc_id")), "doc_id").join(small(terms.select(*keys, "term", "qtf", "idf")), [*keys, "term"])
+    return both.groupBy(*keys, "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * weight(p.avg_len)).alias("part"))
+
+
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, q_id: str = "item_id", q_text: str = "text") -> DataFrame:
-    return top_k(bm25_scores(docs, query_terms(queries, q_id, q_text)), k, "q_id")
+    terms = written(query_terms(queries, q_id, q_text))
+    return best_k(gathered(docs, terms), terms, k)
 
 
 def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
-    """The k best dot products of a stated query set against all rows; queries go out in blocks of bounded size."""
-    q = queries.select(F.col(id_col).alias("q_id"), F.col(vec_col).alias("q_vec"))
-    n = q.count()
-    parts = max(1, -(-n // block))
-    dot = F.aggregate(F.zip_with("q_vec", "vec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    rows, out = corpus.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("vec")), None
+    """The k best dot products of a stated query set against all rows, in double precision.
+
+    Queries go out in blocks of bounded size, as a matrix; a task multiplies it with the rows of its Arrow batches and keeps
+    k of each query at most, of which the k best of all tasks are taken. Null vectors, and queries without one, have no rows.
+    """
+    q = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("q_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    parts = max(1, -(-q.count() // block))
+    rows = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    id_type, q_type, out = rows.schema["doc_id"].dataType.simpleString(), q.schema["q_id"].dataType.simpleString(), None
     for i in range(parts):
         some = q if parts == 1 else q.where(F.pmod(F.xxhash64("q_id"), F.lit(parts)) == i)
-        best = top_k(rows.crossJoin(F.broadcast(some)).select("q_id", "doc_id", F.round(dot, 6).alias("score")), k, "q_id")
+        got = some.collect()  # a block
+        if not got:
+            continue
+        held = corpus.sparkSession.sparkContext.broadcast(([r.q_id for r in got], np.array([r.vec for r in got], np.float64)))
+        best = rows.mapInArrow(lambda batches, held=held: _best_products(batches, *held.value, k), f"q_id {q_type}, doc_id {id_type}, score double")
+        best = top_k(best.withColumn("score", F.round("score", 6)), k, "q_id")
         out = best if out is None else out.unionByName(best)
-    return out
-
-
-def cascade(docs: DataFrame, questions: DataFrame, k: tuple[int, int, int] = (64, 8, 1)) -> DataFrame:
-    """(condition, q_id, stage, rank, doc_id, score) for all conditions; questions has q_id, full, core, profile."""
+    return out if out is not None else corpus.sparkSession.createDataFrame([], f"q_id {q_type}, doc_id {id_type}, score double, rank long")
+
+
+def _best_products(batches, q_ids: list, matrix: np.ndarray, k: int):
+    """Of a task's rows, the k best of each query: by score to six places, then by least id."""
+    import pyarrow as pa
+
+    held = None  # (ids, scores) by query, k each at most, the best first
+    for b in batches:
+        ids, vectors = b.column(0), b.column(1)
+        if not b.num_rows:
+            continue
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) != b.num_rows * matrix.shape[1] or np.any(np.diff(vectors.offsets.to_numpy()) != matrix.shape[1]):
+            raise ValueError(f"a vector has not {matrix.shape[1]} components")
+        scores = matrix @ flat.reshape(b.num_rows, -1).T
+        at = ids.to_numpy(zero_copy_only=False)
+        names = np.broadcast_to(at, scores.shape)
+        if held is not None:
+            names, scores = np.concatenate([held[0], names], 1), np.concatenate([held[1], scores], 1)
+        if scores.shape[1] > 4 * k:
+            # what is below the k-th score can't be among the k; of what is left ties are told by id
+            shown = np.round(scores, 6)
+            least = np.partition(shown, shown.shape[1] - k, axis=1)[:, shown.shape[1] - k, None]
+            width = int((shown >= least).sum(1).max())
+            order = np.argsort(-shown, axis=1, kind="stable")[:, :width] if width > k else np.argpartition(-shown, k - 1, axis=1)[:, :k]
+            names, scores = np.take_along_axis(names, order, 1), np.take_along_axis(scores, order, 1)
+        order = np.lexsort((names, -np.round(scores, 6)), axis=1)[:, :k]
+        held = np.take_along_axis(names, order, 1), np.take_along_axis(scores, order, 1)
+    if held is not None:
+        n = held[0].shape[1]
+        for i in range(0, len(q_ids), 256):
+            names, scores = (x[i : i + 256].reshape(-1) for x in held)
+            yield pa.RecordBatch.from_arrays([pa.array([q for q in q_ids[i : i + 256] for _ in range(n)]), pa.array(names), pa.array(scores)], names=["q_id", "doc_id", "score"])
+
+
+def cascade(docs: DataFrame, questions: DataFrame, k: tuple[int, int, int] = (64, 8, 1), index: Postings | None = None) -> DataFrame:
+    """(condition, q_id, stage, rank, doc_id, score) for all conditions; questions has q_id, full, core, profile.
+
+    Only the first stage looks at the whole corpus (or its index); later ones score the candidates that the stage before
+    left, for each query text once.
+    """
     kinds = ("full", "core", "profile")
     long = questions.select("q_id", F.explode(F.array(*[F.struct(F.lit(x).alias("kind"), F.col(x).alias("text")) for x in kinds])).alias("e")).select("q_id", "e.kind", "e.text")
-    scores = written(bm25_scores(docs, query_terms(long, "q_id", "text", "kind"), "kind"))
+    terms = written(query_terms(long, "q_id", "text", "kind"))
+    p = index or gathered(docs, terms)
     plan = [(c, *s) for c, s in CONDITIONS.items()]
-    plan = questions.sparkSession.createDataFrame(plan, "condition string, first string, middle string, final string")
-    first = top_k(scores.join(F.broadcast(plan), scores["kind"] == plan["first"]).select("condition", "q_id", "middle", "final", "doc_id", "score"), k[0], "condition", "q_id")
+    plan = F.broadcast(questions.sparkSession.createDataFrame(plan, "condition string, kind string, middle string, final string"))
+    firsts = sorted({s[0] for s in CONDITIONS.values()})
+    found = written(best_k(p, terms.where(F.col("kind").isin(firsts)), k[0], "kind"))
+    first = found.join(plan, "kind").select("condition", "q_id", F.col("kind").alias("had"), "middle", "final", "doc_id", "score", "rank")
 
     def again(before, kind, most):
-        s = scores.select("q_id", F.col("kind").alias(kind), "doc_id", F.col("score").alias("new"))
-        got = before.drop("rank").join(s, ["q_id", kind, "doc_id"], "left").withColumn("score", F.when(F.col(kind).isNull(), F.col("score")).otherwise(F.coalesce("new", F.lit(0.0)))).drop("new")
-        return top_k(got, most, "condition", "q_id")
+        """Candidates by the query of a kind; where it is null or the same as before, they keep their scores."""
+        same = F.col(kind).isNull() | F.col(kind).eqNullSafe(F.col("had"))
+        asked = written(before.where(~same).select("q_id", F.col(kind).alias("kind"), "doc_id").distinct())
+        some = terms.join(small(asked.select("q_id", "kind").distinct()), ["q_id", "kind"], "left_semi").join(p.stats, "term")
+        new = rescored(p, some, asked, "kind").select("q_id", F.col("kind").alias(kind), "doc_id", F.round("part", 6).alias("new"))
+        got = before.join(new, ["q_id", kind, "doc_id"], "left")
+        score = F.when(same, F.col("score")).otherwise(F.coalesce("new", F.lit(0.0)))
+        got = got.withColumn("score", score).withColumn("had", F.coalesce(kind, "had")).drop("new", "rank")
+        return written(top_k(got, most, "condition", "q_id"))
 
     middle = again(first, "middle", k[1])
     final = again(middle, "final", k[2])

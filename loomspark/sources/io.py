@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
@@ -160,7 +162,7 @@ def numbered(df: DataFrame, name: str, first: int = 0, file: str | None = None,
     return out.select(*columns, *([F.col("_file").alias(file)] if file else []), name)
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, value, error) with line numbers from 1; blank lines are left out but counted; what is no object has an
     error. A file may have many splits."""
     lines = numbered(spark.read.text(path), "line", 1, "file").where(strip(F.col("value")) != "")
@@ -190,27 +192,147 @@ def validated(df: DataFrame, population: str = "all") -> DataFrame:
     return df.withColumns({"evaluated_options": options, "evaluated_answer": answer})
 
 
-def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """By suffix; nested columns become JSON text in csv; an existing path is an error unless overwrite."""
-    mode = "overwrite" if overwrite else "errorifexists"
-    if path.endswith(".csv"):
+def _filesystem(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _filesystem(spark, path)
+    return fs.exists(place)
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, place = _filesystem(spark, old)
+    if not fs.rename(place, _filesystem(spark, new)[1]):
+        raise OSError(f"{old} can't become {new}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, place = _filesystem(spark, path)
+    fs.delete(place, True)
+
+
+def _save(df: DataFrame, path: str, kind: str) -> None:
+    if kind == "csv":
         nested = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
-        df.withColumns({c: F.to_json(c) for c in nested}).write.mode(mode).option("escape", '"').csv(path, header=True)
-    elif path.endswith((".json", ".jsonl")):
-        df.withColumns({c: F.nanvl(c, F.lit(None)) for c, t in df.dtypes if t in ("double", "float")}).write.mode(mode).json(path)
+        df.withColumns({c: F.to_json(c) for c in nested}).write.mode("errorifexists").option("escape", '"').csv(path, header=True)
+    elif kind in ("json", "jsonl"):
+        df.withColumns({c: F.nanvl(c, F.lit(None)) for c, t in df.dtypes if t in ("double", "float")}).write.mode("errorifexists").json(path)
     else:
-        df.write.mode(mode).parquet(path)
+        df.write.mode("errorifexists").parquet(path)
+
 
+def write_all(spark: SparkSession, outputs: dict, overwrite: bool = False) -> None:
+    """Several outputs as one: path to a table, to bytes, or to a function that gives either once the tables before it are
+    staged (and is told where). Tables are of their suffix's kind, else parquet.
 
-def write_request_batches(df: DataFrame, path: str, line: str = "line", overwrite: bool = False, **facts) -> dict:
-    """A folder for each batch of request lines, and beside it a manifest of batches, rows and further facts, which is returned."""
-    df.select("batch", F.col(line).alias("value")).write.mode("overwrite" if overwrite else "errorifexists").partitionBy("batch").text(path)
+    That one exists is an error before any work, unless overwrite. All are written beside their places first; only when the
+    last is there do they take them, and if one can't, those that were there come back.
+    """
+    paths = {p.rstrip("/"): made for p, made in outputs.items()}
+    there = [p for p in paths if exists(spark, p)]
+    if there and not overwrite:
+        raise FileExistsError(f"{', '.join(there)} already exists")
+    mark = uuid.uuid4().hex
+    beside = {p: f"{p}.staged-{mark}" for p in paths}
+    moved, placed = [], []
+    try:
+        for p, made in paths.items():
+            made = made(beside) if callable(made) else made
+            if isinstance(made, bytes):
+                write_bytes(spark, beside[p], made)
+            else:
+                _save(made, beside[p], p.rsplit(".", 1)[-1].lower())
+        try:
+            for p in there:
+                _rename(spark, p, f"{p}.before-{mark}")
+                moved.append(p)
+            for p in paths:
+                _rename(spark, beside[p], p)
+                placed.append(p)
+        except Exception:
+            for p in placed:
+                _delete(spark, p)
+            for p in moved:
+                _rename(spark, f"{p}.before-{mark}", p)
+            raise
+    except Exception:
+        for p in beside.values():
+            _delete(spark, p)
+        raise
+    for p in moved:
+        _delete(spark, f"{p}.before-{mark}")
+
+
+def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """By suffix; nested columns become JSON text in csv; an existing path is an error unless overwrite, and stays as it is
+    until the new one is whole."""
+    write_all(df.sparkSession, {path: df}, overwrite)
+
+
+def content_hash(df: DataFrame) -> str:
+    """The SHA-256 of a table's content: its columns and their types, and sums of the hashes of its rows. It is the same for
+    any order and partitions, and another where a cell differs or a row is missing or there twice."""
+    columns = sorted(df.columns)
+    canonical = lambda c, t: F.array_sort(F.map_entries(c)) if t.startswith("map<") else c
+    types = dict(df.dtypes)
+    row = F.sha2(F.to_json(F.struct(*[canonical(F.col(f"`{c}`"), types[c]).alias(f"c{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}), 256)
+    pieces = [F.sum(F.conv(F.substring("_row", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)").cast("decimal(38,0)")) for i in range(4)]
+    got = df.select(row.alias("_row")).agg(F.count("*"), *pieces).first()
+    said = json.dumps([[(c, types[c]) for c in columns], [str(x) for x in got]])
+    return hashlib.sha256(said.encode()).hexdigest()
+
+
+def write_request_batches(df: DataFrame, path: str, line: str = "line", overwrite: bool = False, source: DataFrame | None = None, index: DataFrame | None = None, **facts) -> dict:
+    """A folder for each batch of request lines, beside it a manifest of batches, rows, further facts and the content hash of
+    the source that they were made of, which is returned; and the index (key, row_position) of the requests."""
+    spark, path = df.sparkSession, path.rstrip("/")
     n = df.agg(F.max("batch"), F.count("*")).first()
     made = {**facts, "batches": int(n[0] or 0), "requests": int(n[1])}
-    write_bytes(df.sparkSession, f"{path.rstrip("/")}.manifest.json", manifest(**made).encode(), overwrite=True)
+    if source is not None:
+        made["input_hash"] = content_hash(source)
+    outputs = {f"{path}.manifest.json": manifest(**made).encode()}
+    if index is not None:
+        outputs[f"{path}.index.parquet"] = index
+    there = [p for p in (path, *outputs) if exists(spark, p)]
+    if there and not overwrite:
+        raise FileExistsError(f"{', '.join(there)} already exists")
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    df.select("batch", F.col(line).alias("value")).write.partitionBy("batch").text(staged)
+    write_all(spark, outputs, overwrite)
+    if exists(spark, path):
+        _delete(spark, path)
+    _rename(spark, staged, path)
     return made
 
 
+def verified_input(spark: SparkSession, path: str, source: DataFrame, stage: str) -> tuple[dict, DataFrame]:
+    """(manifest, index) of requests at a path, if they were made for this stage of a source of this content."""
+    path = path.rstrip("/")
+    made = read_json(spark, f"{path}.manifest.json")
+    if made.get("stage") != stage:
+        raise ValueError(f"the requests are of stage {made.get('stage')!r}, not {stage!r}")
+    if made.get("input_hash") != content_hash(source):
+        raise ValueError(f"the input of {stage} has changed since its requests were made; make them again")
+    index = spark.read.parquet(f"{path}.index.parquet")
+    require_columns(index, ["key", "row_position"])
+    if not index.groupBy("key").count().where("count > 1").isEmpty():
+        raise ValueError(f"the index of {stage} has keys twice")
+    return made, index
+
+
+def expected_results(spark: SparkSession, folder: str, stage: str, batches: int) -> list[str]:
+    """The result files of a stage's batches, all of which must be there, and no others."""
+    want = [f"{stage}_results_batch_{i:03d}.jsonl" for i in range(1, batches + 1)]
+    fs, place = _filesystem(spark, folder)
+    names = {str(x.getPath().getName()): str(x.getPath().toString()) for x in fs.listStatus(place)}
+    found = {n for n in names if re.fullmatch(rf"{re.escape(stage)}_results_batch_.*\.jsonl", n)}
+    if found != set(want):
+        raise ValueError(f"the result files of {stage} are not those of its batches; missing: {sorted(set(want) - found)}, unexpected: {sorted(found - set(want))}")
+    return [names[n] for n in want]
+
+
 def manifest(**facts) -> str:
     """Sorted JSON of a run's facts."""
     return json.dumps(facts, sort_keys=True, ensure_ascii=False, indent=2)
@@ -289,12 +411,16 @@ def result_or(spark: SparkSession, path: str, rows: int, columns, build, overwri
 
 
 def write_outcome(df: DataFrame, errors: DataFrame, path: str, overwrite: bool = False, allow_errors: bool = False) -> dict:
-    """Rows and errors of a stage beside each other, with their counts; then an error, if there are errors and none are
-    allowed, so that both can be looked at."""
-    write_table(df, path, overwrite)
-    write_table(errors, f"{path.rstrip('/')}.errors", overwrite)
-    made = {"rows": df.sparkSession.read.parquet(path).count(), "errors": df.sparkSession.read.parquet(f"{path.rstrip('/')}.errors").count()}
-    write_bytes(df.sparkSession, f"{path.rstrip('/')}.summary.json", manifest(**made).encode(), overwrite=True)
+    """Rows and errors of a stage beside each other, with their counts, as one; then an error, if there are errors and none
+    are allowed, so that both can be looked at."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    made = {}
+
+    def summary(beside):
+        made.update(rows=spark.read.parquet(beside[path]).count(), errors=spark.read.parquet(beside[f"{path}.errors"]).count())
+        return manifest(**made).encode()
+
+    write_all(spark, {path: df, f"{path}.errors": errors, f"{path}.summary.json": summary}, overwrite)
     if made["errors"] and not allow_errors:
         raise ValueError(f"{made['errors']} errors: {path}.errors")
     return made

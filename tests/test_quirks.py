@@ -142,17 +142,29 @@ def test_adapter(spark):
 
 
 def test_stream_upsert(spark, tmp_path):
-    from loomspark.streaming.upsert import upsert_stream
+    from loomspark.sources import versions
+    from loomspark.streaming.upsert import upsert_stream, upserted
 
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([("x", 1)], "k string, v int").write.parquet(src)
-    for v in (None, 2):
-        if v:
-            spark.createDataFrame([("x", v), ("y", v)], "k string, v int").write.mode("append").parquet(src)
-        q = upsert_stream(spark.readStream.schema("k string, v int").parquet(src), out, ["k"], str(tmp_path / "cp"))
+    spark.createDataFrame([("x", 1, 1), ("x", 9, 0)], "k string, v int, o int").write.parquet(src)
+    assert upserted(spark, out) is None
+
+    def turn(checkpoint="cp"):
+        q = upsert_stream(spark.readStream.schema("k string, v int, o int").parquet(src), out, ["k"], str(tmp_path / checkpoint), "o")
         q.processAllAvailable()
         q.stop()
-    assert {r.k: r.v for r in spark.read.parquet(f"{out}/v1").collect()} == {"x": 2, "y": 2}
+
+    turn()
+    assert {r.k: r.v for r in upserted(spark, out).collect()} == {"x": 1}
+    spark.createDataFrame([("x", 2, 0), ("y", 2, 0)], "k string, v int, o int").write.mode("append").parquet(src)
+    turn()
+    assert {r.k: r.v for r in upserted(spark, out).collect()} == {"x": 2, "y": 2}
+    # a batch that is broken off before its note leaves the version before; one that comes again changes nothing
+    spark.range(1).write.parquet(f"{out}/v-2-half")
+    note = versions.current(spark, out)
+    assert note["epoch"] == 1 and {r.k for r in upserted(spark, out).collect()} == {"x", "y"}
+    turn("another")
+    assert versions.current(spark, out) == note
 
 
 def test_entry_contract(spark):
