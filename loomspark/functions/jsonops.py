@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomspark.functions.literals import let, python_json
+from loomspark.functions.binding import let
+from loomspark.functions.literals import python_json
 from loomspark.functions.text import strip
 
 #: Closed vocabularies (fixed values).
@@ -18,10 +19,9 @@ QUESTION_TYPES = ("Management", "Calculation", "Diagnosis")
 
 def repaired(c: Column) -> Column:
     """The JSON text inside a fence or prose, trailing commas removed."""
-    fence = F.regexp_extract(c, r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$", 1)
-    body = F.when(fence != "", fence).otherwise(c)
-    body = F.regexp_extract(body, r"(?s)[{\[].*[}\]]", 0)
-    return F.regexp_replace(body, r",\s*([}\]])", "$1")
+    fence = lambda t: F.regexp_extract(t, r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$", 1)
+    body = let(c, lambda t: F.when(t.contains("```"), F.coalesce(F.nullif(fence(t), F.lit("")), t)).otherwise(t))
+    return F.regexp_replace(F.regexp_extract(body, r"(?s)[{\[].*[}\]]", 0), r",\s*([}\]])", "$1")
 
 
 def one_json(c: Column) -> Column:
@@ -56,7 +56,7 @@ def response_error(c: Column) -> Column:
 
 def kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, VOID, ...; null where there is no value."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def inner(v: Column, name: str) -> Column:
@@ -81,41 +81,76 @@ def _one_of(c: Column, values) -> Column:
     return F.coalesce(c.isin(*values), F.lit(False))
 
 
+def _fields(v: Column, names, body) -> Column:
+    """body of a struct of an object's fields, each taken once: a variant, its kind and its text, by name; null in place of
+    the variant is a missing field."""
+    one = lambda x: F.struct(x.alias("v"), kind(x).alias("kind"), F.try_variant_get(x, "$", "string").alias("as_text"))
+    return let(F.struct(*[let(inner(v, n), one).alias(n) for n in names]), body)
+
+
+def _words(f: Column, name: str) -> Column:
+    """A field's text; null where it is no text."""
+    return F.when(f[name]["kind"] == "STRING", f[name]["as_text"])
+
+
+def _first_missing(f: Column, names) -> Column:
+    return F.coalesce(*[F.when(f[n]["v"].isNull(), f"{n} is missing") for n in names])
+
+
+def _checked(v: Column, names, otherwise: str, body) -> Column:
+    """The error of an object with these fields: that it is none, that one is missing, or what body says of its fields."""
+    said = lambda f: F.coalesce(_first_missing(f, names), body(f))
+    return let(v, lambda x: F.when(F.coalesce(kind(x) != "OBJECT", F.lit(True)), otherwise).otherwise(_fields(x, names, said)))
+
+
+def _first_error(items: Column, error) -> Column:
+    """The first error among a list's items; null for none."""
+    return F.get(F.filter(F.transform(items, error), lambda e: e.isNotNull()), F.lit(0))
+
+
 def stage1_error(v: Column) -> Column:
     """A page verdict: all fields, is_relevant a real boolean, a known population, a known category (null only if not
     relevant), and a reason in words."""
-    no_category = kind(inner(v, "category")) == "VOID"
-    return (
-        F.when(F.coalesce(kind(v) != "OBJECT", F.lit(True)), "no JSON object")
-        .when(lacking(v, ("is_relevant", "target_population", "category", "reason")).isNotNull(), lacking(v, ("is_relevant", "target_population", "category", "reason")))
-        .when(kind(inner(v, "is_relevant")) != "BOOLEAN", "is_relevant is no boolean")
-        .when(~_one_of(text_of(v, "target_population"), POPULATIONS), "unknown target_population")
-        .when(~no_category & ~_one_of(text_of(v, "category"), CATEGORIES), "unknown category")
-        .when(no_category & F.try_variant_get(v, "$.is_relevant", "boolean"), "category is missing")
-        .when(kind(inner(v, "reason")) != "STRING", "reason is no text")
-    )
+
+    def said(f):
+        no_category = f["category"]["kind"] == "VOID"
+        return (
+            F.when(f["is_relevant"]["kind"] != "BOOLEAN", "is_relevant is no boolean")
+            .when(~_one_of(_words(f, "target_population"), POPULATIONS), "unknown target_population")
+            .when(~no_category & ~_one_of(_words(f, "category"), CATEGORIES), "unknown category")
+            .when(no_category & (f["is_relevant"]["as_text"] == "true"), "category is missing")
+            .when(f["reason"]["kind"] != "STRING", "reason is no text")
+        )
+
+    return _checked(v, ("is_relevant", "target_population", "category", "reason"), "no JSON object", said)
 
 
 def rules_of(v: Column) -> Column:
     """The rules of a stage 2 response, each a variant; null where there is no list."""
-    return F.when((kind(v) == "OBJECT") & (kind(inner(v, "rules")) == "ARRAY"), F.try_variant_get(v, "$.rules", "array<variant>"))
+    rules = lambda x: let(inner(x, "rules"), lambda r: F.when(kind(r) == "ARRAY", F.try_variant_get(r, "$", "array<variant>")))
+    return let(v, lambda x: F.when(kind(x) == "OBJECT", rules(x)))
 
 
 def _rule_error(r: Column) -> Column:
-    triggers = F.when(kind(inner(r, "triggers")) == "ARRAY", F.try_variant_get(r, "$.triggers", "array<variant>"))
-    fields = ("condition_base", "action", "triggers", "source_fragment", "notes")
-    out = F.when(F.coalesce(kind(r) != "OBJECT", F.lit(True)), "a rule is no object").when(lacking(r, fields).isNotNull(), lacking(r, fields))
-    for name in ("condition_base", "action", "source_fragment"):
-        out = out.when(_blank(text_of(r, name)), f"{name} is blank")
-    out = out.when(F.coalesce(F.size(triggers), F.lit(0)) <= 0, "a rule has no trigger")
-    out = out.when(F.exists(triggers, lambda t: F.coalesce(kind(t) != "OBJECT", F.lit(True)) | _blank(text_of(t, "criterion"))), "a trigger has no criterion")
-    return out.when(~kind(inner(r, "notes")).isin("STRING", "VOID"), "notes is no text")
+    def trigger_error(t):
+        criterion = lambda x: F.when(_blank(F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string"))), "a trigger has no criterion")
+        return F.when(F.coalesce(kind(t) != "OBJECT", F.lit(True)), "a trigger has no criterion").otherwise(let(inner(t, "criterion"), criterion))
+
+    def said(f):
+        out = F.lit(None).cast("string")
+        for name in ("condition_base", "action", "source_fragment"):
+            out = F.coalesce(out, F.when(_blank(_words(f, name)), f"{name} is blank"))
+        triggers = F.when(f["triggers"]["kind"] == "ARRAY", F.try_variant_get(f["triggers"]["v"], "$", "array<variant>"))
+        listed_ = lambda t: F.when(F.coalesce(F.size(t), F.lit(0)) <= 0, "a rule has no trigger").otherwise(_first_error(t, trigger_error))
+        return F.coalesce(out, let(triggers, listed_), F.when(~f["notes"]["kind"].isin("STRING", "VOID"), "notes is no text"))
+
+    return _checked(r, ("condition_base", "action", "triggers", "source_fragment", "notes"), "a rule is no object", said)
 
 
 def stage2_error(v: Column) -> Column:
     """Rules: a list of objects with condition, action and source texts, triggers with criteria, and notes or null."""
-    errors = F.filter(F.transform(rules_of(v), _rule_error), lambda e: e.isNotNull())
-    return F.when(F.coalesce(kind(v) != "OBJECT", F.lit(True)), "no JSON object").when(rules_of(v).isNull(), "rules is no list").when(F.size(errors) > 0, F.get(errors, F.lit(0)))
+    read = lambda r: F.when(r.isNull(), "rules is no list").otherwise(_first_error(r, _rule_error))
+    return let(v, lambda x: F.when(F.coalesce(kind(x) != "OBJECT", F.lit(True)), "no JSON object").otherwise(let(rules_of(x), read)))
 
 
 def normalized_options(options: Column) -> Column:
@@ -130,12 +165,20 @@ def nested(c: Column) -> Column:
     return let(strip(c), lambda t: F.when(t.rlike(r"^[\[{(]"), F.coalesce(one_json(t), one_json(python_json(t)))))
 
 
+def _options(o: Column) -> Column:
+    """Options in a variant: an object of texts, or one written as text; normalized, else null."""
+    held = let(o, lambda x: F.when(kind(x) == "STRING", nested(F.try_variant_get(x, "$", "string"))).otherwise(x))
+
+    def read(x):
+        texts = F.forall(F.map_values(F.try_variant_get(x, "$", "map<string,variant>")), lambda y: kind(y) == "STRING")
+        return F.when(kind(x) == "OBJECT", F.when(texts, normalized_options(F.try_variant_get(x, "$", "map<string,string>"))))
+
+    return let(held, read)
+
+
 def options_of(v: Column) -> Column:
     """The options of a question: an object, or one written as text; normalized, else null."""
-    o = inner(v, "options")
-    o = F.when(kind(o) == "STRING", nested(F.try_variant_get(v, "$.options", "string"))).otherwise(o)
-    texts = F.forall(F.map_values(F.try_variant_get(o, "$", "map<string,variant>")), lambda x: kind(x) == "STRING")
-    return F.when((kind(o) == "OBJECT") & texts, normalized_options(F.try_variant_get(o, "$", "map<string,string>")))
+    return _options(inner(v, "options"))
 
 
 def questions_of(v: Column) -> Column:
@@ -144,22 +187,24 @@ def questions_of(v: Column) -> Column:
 
 
 def _question_error(q: Column, population: Column, category: Column) -> Column:
+    def said(f):
+        out = F.when(~_one_of(_words(f, "question_type"), QUESTION_TYPES), "unknown question_type")
+        out = out.when(~_words(f, "target_population").eqNullSafe(population), "population differs from its group")
+        out = out.when(~_words(f, "category").eqNullSafe(category), "category differs from its group")
+        out = out.when(~_one_of(_words(f, "difficulty"), DIFFICULTIES), "unknown difficulty")
+        for name in ("patient_profile", "scenario", "question", "explanation"):
+            out = out.when(_blank(_words(f, name)), f"{name} is blank")
+        out = out.when(_options(f["options"]["v"]).isNull(), "options are not a-d")
+        return out.when(~_one_of(F.lower(f["correct_answer"]["as_text"]), ANSWERS), "answer is not a-d")
+
     fields = ("question_type", "target_population", "category", "patient_profile", "scenario", "question", "options", "correct_answer", "explanation", "difficulty")
-    out = F.when(F.coalesce(kind(q) != "OBJECT", F.lit(True)), "a question is no object").when(lacking(q, fields).isNotNull(), lacking(q, fields))
-    out = out.when(~_one_of(text_of(q, "question_type"), QUESTION_TYPES), "unknown question_type")
-    out = out.when(~text_of(q, "target_population").eqNullSafe(population), "population differs from its group")
-    out = out.when(~text_of(q, "category").eqNullSafe(category), "category differs from its group")
-    out = out.when(~_one_of(text_of(q, "difficulty"), DIFFICULTIES), "unknown difficulty")
-    for name in ("patient_profile", "scenario", "question", "explanation"):
-        out = out.when(_blank(text_of(q, name)), f"{name} is blank")
-    out = out.when(options_of(q).isNull(), "options are not a-d")
-    return out.when(~_one_of(F.lower(F.try_variant_get(q, "$.correct_answer", "string")), ANSWERS), "answer is not a-d")
+    return _checked(q, fields, "a question is no object", said)
 
 
 def stage3_error(v: Column, population: Column, category: Column) -> Column:
     """Generated questions: at least one, each whole, of the population and category of its group."""
-    errors = F.filter(F.transform(questions_of(v), lambda q: _question_error(q, population, category)), lambda e: e.isNotNull())
-    return F.when(v.isNull(), "no JSON object").when(F.size(questions_of(v)) == 0, "no question").when(F.size(errors) > 0, F.get(errors, F.lit(0)))
+    read = lambda qs: F.when(F.size(qs) == 0, "no question").otherwise(_first_error(qs, lambda q: _question_error(q, population, category)))
+    return let(v, lambda x: F.when(x.isNull(), "no JSON object").otherwise(let(questions_of(x), read)))
 
 
 def profile(c: Column, original: Column) -> tuple[Column, Column]:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspark.functions.binding import let
+
 #: Stand for two backslashes, \' and \" (noncharacters, which no text may hold).
 BACKSLASH, QUOTE, DOUBLE = "﷐", "﷑", "﷒"
 _STRING = r"""[uUrR]?(?:'''.*?'''|\"\"\".*?\"\"\"|'[^'\n\r]*+'|"[^"\n\r]*+")"""
@@ -27,11 +29,6 @@ SAME, NUMBERED = "nrtbf", {"a": r"\u0007", "v": r"\u000b"}
 BAD = " ! "
 
 
-def let(value: Column, body) -> Column:
-    """body of a value that is worked out once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _quoted(c: Column) -> Column:
     """A JSON string's inside."""
     j = F.to_json(F.array(c))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspark.functions.binding import let
+
 #: How an answer is given, the named way first.
 ANSWER = r"(?i)final\s*answer\s*:?\s*(?:option\s*)?[\(\[]?\s*([A-D])\s*[\)\]]?"
 BARE = r"(?i)\(([A-D])\)"
@@ -29,19 +32,38 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
+#: Names of character references that are tried before all others (fixed values).
+FREQUENT = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9", "middot": "\u00b7"}
+
+
+@functools.cache
+def _names() -> str:
+    """All names of HTML, by their first two characters, as JSON: a map is searched from its start."""
+    by: dict[str, dict[str, str]] = {}
+    for name, chars in html5.items():
+        if name.endswith(";"):
+            by.setdefault(name[:2], {})[name[:-1]] = chars
+    return json.dumps(by)
+
+
 def unescaped(c: Column) -> Column:
     """Character references decoded, by number and by the names of HTML; unknown ones stay."""
-    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
-    name = lambda e: e.substr(F.lit(2), F.length(e) - 2)
+    names = F.from_json(F.lit(_names()), "map<string,map<string,string>>")
     point = lambda n: F.when((n > 0) & (n < 1114112) & ~n.between(55296, 57343), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
     def decoded(e):
         number = F.when(e.rlike("^&#[xX]"), F.conv(e.substr(F.lit(4), F.length(e) - 4), 16, 10).cast("long")).when(e.startswith("&#"), e.substr(F.lit(3), F.length(e) - 3).cast("long"))
-        return F.coalesce(point(number), F.when(number.isNull(), F.try_element_at(names, name(e))), e)
+        named = lambda n: F.try_element_at(F.try_element_at(names, F.substring(n, 1, 2)), n)
+        found = F.lit(None).cast("string")
+        for name, char in FREQUENT.items():
+            found = F.when(e == f"&{name};", char).otherwise(found)
+        return F.coalesce(found, F.when(e.startswith("&#"), point(number)).otherwise(named(e.substr(F.lit(2), F.length(e) - 2))), e)
+
+    def joined(t):
+        gaps, refs = F.split(t, REFERENCE, -1), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        return F.array_join(F.zip_with(gaps, refs, lambda gap, e: F.concat(gap, F.coalesce(decoded(e), F.lit("")))), "")
 
-    gaps, found = F.split(c, REFERENCE, -1), F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))
-    whole = F.array_join(F.zip_with(gaps, F.transform(found, decoded), lambda gap, e: F.concat(gap, F.coalesce(e, F.lit("")))), "")
-    return F.when(c.contains("&"), whole).otherwise(c)
+    return let(c, lambda t: F.when(t.contains("&"), joined(t)).otherwise(t))
 
 
 def clean_html(c: Column) -> Column:
@@ -61,26 +83,36 @@ def is_page_header(fragment: Column) -> Column:
     return F.coalesce(named & ((style == "") | style.contains("font-size:18px")), F.lit(False))
 
 
-def split_at_headers(html: Column, mode: str = "all") -> tuple[Column, Column]:
-    """(pages, number of headers): cut before every whole header element, or before those that name a chapter
-    ("validated"); what stands before the first header is in the first page; blank pages go; no HTML is an error."""
+def split_pages(html: Column, mode: str = "all") -> Column:
+    """struct<pages, n>: cut before every whole header element, or before those that name a chapter ("validated"), of which
+    there are n; what stands before the first header is in the first page; blank pages go; no HTML is an error."""
     if mode not in ("all", "validated"):
         raise ValueError(f"unknown mode {mode}")
     mark = "\ue000"
-    whole = F.when(F.length(strip(html)) > 0, html).otherwise(F.raise_error(F.lit("no HTML")).cast("string"))
-    parts = F.split(F.regexp_replace(whole, r"(?is)<header\b[^>]*>.*?</header\s*>", mark + "$0"), mark, -1)
-    element = lambda p: F.regexp_extract(p, r"(?is)^<header\b[^>]*>.*?</header\s*>", 0)
-    cuts = (lambda p: F.lit(True)) if mode == "all" else (lambda p: is_page_header(element(p)))
-    start = F.struct(F.array(F.lit("")).alias("pages"), F.lit(0).cast("long").alias("n"))
-    glue = lambda a, p: F.concat(F.slice(a["pages"], 1, F.size(a["pages"]) - 1), F.array(F.concat(F.element_at(a["pages"], -1), p)))
-    first = F.struct(F.array(parts[0]).alias("pages"), F.lit(0).cast("long").alias("n"))
-
-    def step(a, p):
-        new = F.when(cuts(p) & (a["n"] > 0), F.concat(a["pages"], F.array(p))).otherwise(glue(a, p))
-        return F.struct(new.alias("pages"), (a["n"] + F.when(cuts(p), 1).otherwise(0)).alias("n"))
-
-    got = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.coalesce(first, start), step)
-    return F.filter(got["pages"], lambda p: F.length(strip(p)) > 0), got["n"]
+    header = r"(?is)<header\b[^>]*>.*?</header\s*>"
+
+    def marked(t):
+        all_ = F.regexp_replace(t, header, mark + "$0")
+        if mode == "all":
+            return all_
+        element = lambda p: F.regexp_extract(p, "(?is)^" + header.removeprefix("(?is)"), 0)
+        kept = lambda p, i: F.when((i > 0) & is_page_header(element(p)), F.concat(F.lit(mark), p)).otherwise(p)
+        return F.array_join(F.transform(F.split(all_, mark, -1), kept), "")
+
+    def cut(parts):
+        # the first two are one page, all others are as they are
+        first = F.when(F.size(parts) > 1, F.concat(parts[0], F.get(parts, F.lit(1)))).otherwise(parts[0])
+        pages = F.concat(F.array(first), F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))))
+        return F.struct(F.filter(pages, lambda p: p.rlike(r"(?U)\S")).alias("pages"), (F.size(parts) - 1).cast("long").alias("n"))
+
+    whole = F.when(html.rlike(r"(?U)\S"), html).otherwise(F.raise_error(F.lit("no HTML")).cast("string"))
+    return let(F.split(let(whole, marked), mark, -1), cut)
+
+
+def split_at_headers(html: Column, mode: str = "all") -> tuple[Column, Column]:
+    """(pages, number of headers) of split_pages, which a plan that needs both puts in a column once."""
+    got = split_pages(html, mode)
+    return got["pages"], got["n"]
 
 
 def token_windows(text: Column, size: int = 384, overlap: int = 64) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark.functions.binding import let
 from loomspark.functions.jsonops import inner, kind, listed, members_of, membership, one_json, parsed_nested
-from loomspark.functions.literals import let
 from loomspark.functions.text import strip, text_hash
 from loomspark.operators.lineage import small
 from loomspark.sources.io import numbered, read_positioned, tables_in

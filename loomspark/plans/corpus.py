@@ -79,15 +79,16 @@ def source_lookup(spark, sf_dir):
 
 
 def html_clean(spark, sf_dir):
-    t = X.clean_html(F.col("html"))
-    return read(spark, sf_dir, "pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.md5(t.cast("binary")).alias("text_md5"))
+    t = read(spark, sf_dir, "pages").select("page_id", X.clean_html(F.col("html")).alias("t"))
+    return t.select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
 
 
 def page_split(spark, sf_dir):
     """Paragraphs stand for headers."""
     html = F.replace(F.replace("html", F.lit("<p>"), F.lit("<header>")), F.lit("</p>"), F.lit("</header>"))
-    parts, n = X.split_at_headers(html)
-    rows = read(spark, sf_dir, "pages").select("page_id", n.alias("n_headers"), F.posexplode(parts).alias("page", "content"))
+    got = read(spark, sf_dir, "pages").select("page_id", X.split_pages(html).alias("s"))
+    # an outer explode asks for no filter that would split once more; a document always has a page
+    rows = got.select("page_id", F.col("s.n").alias("n_headers"), F.posexplode_outer("s.pages").alias("page", "content"))
     return rows.select("page_id", "n_headers", (F.col("page") + 1).cast("long").alias("page"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
