@@ -41,6 +41,18 @@ def parsed(c: Column) -> Column:
     return one_json(repaired(c))
 
 
+def json_object(c: Column) -> Column:
+    """The JSON object that a text is, alone or in a fence, or that its outermost braces hold; null where there is none.
+    Nothing is repaired."""
+
+    def read(t):
+        fenced = F.regexp_extract(t, r"(?is)^\s*```(?:json)?\s*(\{.*\})\s*```\s*$", 1)
+        inside = lambda b: F.coalesce(one_json(b), one_json(F.nullif(F.regexp_extract(b, r"(?s)\{.*\}", 0), F.lit(""))))
+        return let(F.coalesce(F.nullif(fenced, F.lit("")), t), inside)
+
+    return let(let(c, read), lambda v: F.when(kind(v) == "OBJECT", v))
+
+
 def field_type(v: Column, path: str) -> Column:
     """The type of a field: tells true from "true", null and a missing key."""
     return F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant"))

@@ -73,12 +73,14 @@ def dropped(df: DataFrame, text: str = "text") -> Column:
     return F.count_if(F.coalesce(strip(F.col(text)), F.lit("")) == "")
 
 
-def with_position(df: DataFrame, order: str, name: str = "position", blocks: int = 64) -> DataFrame:
+def with_position(df: DataFrame, order: str, name: str = "position", blocks: int | None = None) -> DataFrame:
     """df with a dense position from 0 by `order`: places inside ranges, and counts of the ranges before.
 
-    Ranges come from a sample, so they are written once: worked out twice, they could differ.
+    There are as many ranges as shuffle partitions, of which Spark joins small ones. They come from a sample, so they are
+    written once: worked out twice, they could differ.
     """
-    rows = written(df.repartitionByRange(blocks, order).withColumn("_p", F.spark_partition_id()))
+    ranges = df.repartitionByRange(order) if blocks is None else df.repartitionByRange(blocks, order)
+    rows = written(ranges.withColumn("_p", F.spark_partition_id()))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     start = rows.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
@@ -117,6 +119,37 @@ def chunk_membership(chunks: DataFrame, text: str = "text", source: str = "sourc
     return pairs.groupBy("text_key").agg(F.sort_array(F.collect_set("source")).alias("source_membership"))
 
 
+def tagged(frames: list[tuple[str, DataFrame]], order: str, text: str | None = None) -> DataFrame:
+    """Sources as one table of all their columns: prepared documents with source and source_no; each source's text is in its
+    own column, by name or as it is found, and in column text here."""
+    out = None
+    for n, (name, df) in enumerate(frames):
+        c = text or text_column(df)
+        rows = df if c == "text" else df.drop("text").withColumnRenamed(c, "text")
+        part = prepare_documents(rows, name, "text", order).withColumn("source_no", F.lit(n))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def with_membership(docs: DataFrame, order: list[str], text: str = "text", source: str = "source") -> DataFrame:
+    """The first row of each text by `order`, with all its sources in order of first sight (source_membership)."""
+    place = F.struct(*order)
+    seen = docs.select(F.sha2(F.col(text), 256).alias("_key"), place.alias("_at"), F.col(source).alias("_source"))
+    by_source = seen.groupBy("_key", "_source").agg(F.min("_at").alias("_at"))
+    first = by_source.groupBy("_key").agg(F.min("_at").alias("_at"), F.sort_array(F.collect_list(F.struct("_at", "_source"))).alias("_m"))  # a source each
+    first = first.select("_at", F.transform("_m", lambda x: x["_source"]).alias("source_membership"))
+    return docs.drop("source_membership").withColumn("_at", place).join(first, "_at").drop("_at")
+
+
+def combined_chunks(docs: DataFrame, order: list[str], cut=chunk, keep_duplicates: bool = False) -> DataFrame:
+    """The chunks of all sources together, of each text once (unless duplicates are kept), with the sorted sources that have
+    an equal chunk in source_membership; docs are prepared documents with text and source. cut(docs) gives chunks."""
+    once = docs if keep_duplicates else with_membership(docs, order)
+    members = chunk_membership(cut(docs.select("source", "text")))
+    chunks = cut(once.drop("source_membership")).withColumn("text_key", F.sha2("text", 256))
+    return chunks.join(members, "text_key", "left").drop("text_key")
+
+
 def chunk_by_tokenizer(docs: DataFrame, file: str, size: int = 384, overlap: int = 64, text: str = "text") -> DataFrame:
     """A row for each window of a tokenizer's ids (a JSON file that executors can read), decoded and stripped; a text of one
     window stays as it is; blank windows go before they are numbered. Nothing is shuffled."""

@@ -1,4 +1,5 @@
-"""Public question sets of different layouts as one: (id, source, question, options, correct_option, correct_answer)."""
+"""Public question sets of different layouts as one: (id, source, question, options, correct_option, correct_answer,
+explanation, subject_name, medical_task); what a set doesn't have is null."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.operators.agreement import LABEL_TYPES
+from loomspark.operators.corpus import require_columns
 
 LETTERS = ("a", "b", "c", "d", "e")
 
@@ -15,37 +17,47 @@ def _options(cols: dict[str, str]) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
+def _set(df: DataFrame, source: str, id_col: str, options: Column, option: Column, answer: Column, more: tuple[str, ...]) -> DataFrame:
+    """A set in the common layout, with those of the last three columns that are of it and that it has."""
+    there = lambda c: (F.col(c).cast("string") if c in more and c in df.columns else F.lit(None).cast("string")).alias(c)
+    return df.select(
+        F.col(id_col).cast("string").alias("id"),
+        F.lit(source).alias("source"),
+        "question",
+        options.alias("options"),
+        option.alias("correct_option"),
+        answer.alias("correct_answer"),
+        *map(there, ("explanation", "subject_name", "medical_task")),
+    )
+
+
 def lettered(df: DataFrame, source: str, id_col: str = "id", prefix: str = "op", letters=LETTERS[:4]) -> DataFrame:
-    """Options in columns opa, opb, ...; answers are blank."""
-    o = _options({x: f"{prefix}{x}" for x in letters})
-    return df.select(F.col(id_col).cast("string").alias("id"), F.lit(source).alias("source"), "question", o.alias("options"), F.lit("").alias("correct_option"), F.lit("").alias("correct_answer"))
+    """Options in columns opa, opb, ...; answers are blank; a subject, if there is one."""
+    require_columns(df, [id_col, "question", *(f"{prefix}{x}" for x in letters)])
+    return _set(df, source, id_col, _options({x: f"{prefix}{x}" for x in letters}), F.lit(""), F.lit(""), ("subject_name",))
 
 
 def mapped(df: DataFrame, source: str, label: str = "label") -> DataFrame:
-    """Options in a map; a label names the correct one."""
+    """Options in a map; a label names the correct one; a task, if there is one."""
+    require_columns(df, ["id", "question", "options", label])
     low = F.transform_keys("options", lambda k, _: F.lower(k))
     key = F.lower(F.col(label))
-    return df.select(
-        F.col("id").cast("string").alias("id"),
-        F.lit(source).alias("source"),
-        "question",
-        low.alias("options"),
-        key.alias("correct_option"),
-        F.element_at(low, key).alias("correct_answer"),
-    )
+    return _set(df, source, "id", low, key, F.element_at(low, key), ("medical_task",))
 
 
 def indexed(df: DataFrame, source: str, id_col: str = "link", prefix: str = "op") -> DataFrame:
-    """Five option columns, the answer's text and its letter."""
-    o = _options({x: f"{prefix}{x}" for x in LETTERS})
-    return df.select(
-        F.col(id_col).cast("string").alias("id"),
-        F.lit(source).alias("source"),
-        "question",
-        o.alias("options"),
-        F.lower("answer_idx").alias("correct_option"),
-        F.col("answer").alias("correct_answer"),
-    )
+    """Five option columns, the answer's text and its letter, and an explanation, if there is one."""
+    require_columns(df, [id_col, "question", "answer", "answer_idx", *(f"{prefix}{x}" for x in LETTERS)])
+    return _set(df, source, id_col, _options({x: f"{prefix}{x}" for x in LETTERS}), F.lower("answer_idx"), F.col("answer"), ("explanation",))
+
+
+def given(df: DataFrame, source: str) -> DataFrame:
+    """A set whose column data already holds the parts (fixed names, some may be missing), beside subject and task."""
+    require_columns(df, ["id", "data"])
+    names = {f.name for f in df.schema["data"].dataType.fields}
+    part = lambda n, t="string": (F.col("data")[n] if n in names else F.lit(None)).cast(t)
+    rows = df.withColumns({"question": part("Question"), "explanation": part("Explanation")})
+    return _set(rows, source, "id", part("Options", "map<string,string>"), part("Correct Option"), part("Correct Answer"), ("explanation", "subject_name", "medical_task"))
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

@@ -185,8 +185,9 @@ def _best_products(batches, q_ids: list, matrix: np.ndarray, k: int):
             yield pa.RecordBatch.from_arrays([pa.array([q for q in q_ids[i : i + 256] for _ in range(n)]), pa.array(names), pa.array(scores)], names=["q_id", "doc_id", "score"])
 
 
-def cascade(docs: DataFrame, questions: DataFrame, k: tuple[int, int, int] = (64, 8, 1), index: Postings | None = None) -> DataFrame:
-    """(condition, q_id, stage, rank, doc_id, score) for all conditions; questions has q_id, full, core, profile.
+def cascade(docs: DataFrame, questions: DataFrame, k: tuple[int, int, int] = (64, 8, 1), index: Postings | None = None, conditions: dict | None = None) -> DataFrame:
+    """(condition, q_id, stage, rank, doc_id, score) for all conditions (or those given, as in CONDITIONS); questions has
+    q_id, full, core, profile.
 
     Only the first stage looks at the whole corpus (or its index); later ones score the candidates that the stage before
     left, for each query text once.
@@ -195,9 +196,10 @@ def cascade(docs: DataFrame, questions: DataFrame, k: tuple[int, int, int] = (64
     long = questions.select("q_id", F.explode(F.array(*[F.struct(F.lit(x).alias("kind"), F.col(x).alias("text")) for x in kinds])).alias("e")).select("q_id", "e.kind", "e.text")
     terms = written(query_terms(long, "q_id", "text", "kind"))
     p = index or gathered(docs, terms)
-    plan = [(c, *s) for c, s in CONDITIONS.items()]
+    conditions = CONDITIONS if conditions is None else conditions
+    plan = [(c, *s) for c, s in conditions.items()]
     plan = F.broadcast(questions.sparkSession.createDataFrame(plan, "condition string, kind string, middle string, final string"))
-    firsts = sorted({s[0] for s in CONDITIONS.values()})
+    firsts = sorted({s[0] for s in conditions.values()})
     found = written(best_k(p, terms.where(F.col("kind").isin(firsts)), k[0], "kind"))
     first = found.join(plan, "kind").select("condition", "q_id", F.col("kind").alias("had"), "middle", "final", "doc_id", "score", "rank")
 
