@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "corpus", "evaluation", "construction")
+MODULES = ("retrieval", "corpus", "evaluation", "construction", "results")
 
 
 def _all(name: str) -> dict:

@@ -36,4 +36,5 @@ def test_oracle(spark, db, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(registry.queries()) == set(registry.oracles())
+    # ids of a tokenizer are not SQL's: test_loaders holds the operator against the tokenizer
+    assert set(registry.queries()) == set(registry.oracles()) | {"chunk_tokens"}
