@@ -13,6 +13,8 @@ from loomspark.functions.text import bm25_tokens
 from loomspark.operators.lineage import small, written
 
 K1, B = 1.5, 0.75
+#: Postings of all queries together that are added up without looking for bounds first.
+DIRECT_ROWS = 100_000_000
 #: First, middle and final query of each condition (fixed values).
 CONDITIONS = {"base_rag": ("full", "full", None), "prof_rag": ("core", "full", "profile"), "q_qp": ("core", "full", None), "q_q": ("core", "core", None)}
 
@@ -86,34 +88,34 @@ def top_k(scores: DataFrame, k: int, *keys: str, id_col: str = "doc_id") -> Data
     return scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def best_k(p: Postings, terms: DataFrame, k: int, *more: str) -> DataFrame:
+def best_k(p: Postings, terms: DataFrame, k: int, *more: str, direct: int = DIRECT_ROWS) -> DataFrame:
     """(q_id, more..., doc_id, score, rank): the k best documents of each query, the same as of all scores.
 
-    Terms with large upper bounds are read first and give a score that the k-th best reaches at least. The terms
-    with the least bounds, as long as together they can't reach it, bring no document of their own: they are read only for
-    documents that may still come in by what the others gave them.
+    Up to `direct` postings of all queries together they are simply added up. Beyond, terms with large upper bounds are read
+    first, and the best of what they bring is scored in full: the k-th best score is that at least. The terms with the
+    least bounds, as long as together they can't reach it, bring no document of their own: they are read only for documents
+    that may still come in by what the others gave them.
     """
     keys = ["q_id", *more]
-    bound = F.col("qtf") * F.col("idf") * F.col("most")
+    t = terms.join(p.stats, "term")
+    if (t.agg(F.sum("df")).first()[0] or 0) <= direct:
+        return top_k(_added(p.rows, t, p.avg_len, *keys).withColumn("score", F.round("part", 6)).drop("part"), k, *keys)
     order = Window.partitionBy(*keys).orderBy(F.desc("ub"), "term")
-    t = terms.join(p.stats, "term").withColumn("ub", bound)
+    t = t.withColumn("ub", F.col("qtf") * F.col("idf") * F.col("most"))
     # what this term and all behind it can give, and what those before it can
     t = t.withColumn("rest", F.sum("ub").over(order.rowsBetween(0, Window.unboundedFollowing))).withColumn("before", F.sum("ub").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("ub"))
     t = written(t.withColumn("first", F.col("before") < F.col("rest")).select(*keys, "term", "qtf", "idf", "ub", "rest", "first"))
     part = written(_added(p.rows, t.where("first"), p.avg_len, *keys))
-    least = top_k(part.withColumnRenamed("part", "score"), k, *keys).where(F.col("rank") == k).select(*keys, F.col("score").alias("least"))
-    t = written(t.join(small(least), keys, "left").withColumn("least", F.coalesce("least", F.lit(0.0))))
+    ahead = written(top_k(part.withColumnRenamed("part", "score"), k, *keys).select(*keys, "doc_id"))
+    full = top_k(rescored(p, t, ahead, *more).withColumnRenamed("part", "score"), k, *keys)
+    least = full.where(F.col("rank") == k).select(*keys, F.col("score").alias("least"))
+    t = written(t.join(small(written(least)), keys, "left").withColumn("least", F.coalesce("least", F.lit(0.0))))
     # rounding to six places moves a score by half of a millionth at most
     needed = F.col("first") | (F.col("rest") >= F.col("least") - 2e-6)
-    more_rows = t.where(needed & ~F.col("first"))
-    if not more_rows.isEmpty():
-        part = written(part.unionByName(_added(p.rows, more_rows, p.avg_len, *keys)).groupBy(*keys, "doc_id").agg(F.sum("part").alias("part")))
-    late = t.where(~needed)
+    part = written(part.unionByName(_added(p.rows, t.where(needed & ~F.col("first")), p.avg_len, *keys)).groupBy(*keys, "doc_id").agg(F.sum("part").alias("part")))
     gain = t.groupBy(*keys).agg(F.max("least").alias("least"), F.sum(F.when(~needed, F.col("ub")).otherwise(0.0)).alias("gain"))
-    may = part.join(small(gain), keys).where(F.col("part") + F.col("gain") >= F.col("least") - 2e-6).select(*keys, "doc_id", "part")
-    if not late.isEmpty():
-        may = written(may)
-        may = may.unionByName(rescored(p, late, may.select(*keys, "doc_id"), *more)).groupBy(*keys, "doc_id").agg(F.sum("part").alias("part"))
+    may = written(part.join(small(gain), keys).where(F.col("part") + F.col("gain") >= F.col("least") - 2e-6).select(*keys, "doc_id", "part"))
+    may = may.unionByName(rescored(p, t.where(~needed), may.select(*keys, "doc_id"), *more)).groupBy(*keys, "doc_id").agg(F.sum("part").alias("part"))
     return top_k(may.withColumn("score", F.round("part", 6)).drop("part"), k, *keys)
 
 

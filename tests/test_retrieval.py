@@ -33,6 +33,8 @@ def test_bounds_lose_nothing(corpus, k):
     docs, queries = corpus
     want = R.top_k(R.bm25_scores(docs, R.query_terms(queries, "item_id", "text")), k, "q_id")
     assert rows(R.bm25_top_k(docs, queries, k)) == rows(want)
+    terms = R.written(R.query_terms(queries, "item_id", "text"))
+    assert rows(R.best_k(R.gathered(docs, terms), terms, k, direct=0)) == rows(want)
 
 
 def test_index_on_disk(spark, corpus, tmp_path):
