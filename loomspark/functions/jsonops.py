@@ -86,7 +86,7 @@ def lacking(v: Column, names) -> Column:
 
 
 def _blank(c: Column) -> Column:
-    return F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit("")) == ""
+    return F.coalesce(~c.rlike(r"(?U)\S"), F.lit(True))
 
 
 def _one_of(c: Column, values) -> Column:
@@ -222,13 +222,20 @@ def stage3_error(v: Column, population: Column, category: Column) -> Column:
 def profile(c: Column, original: Column) -> tuple[Column, Column]:
     """(profile, question core) of a reply, plain or fenced. No JSON, no profile or the general patient anywhere in it gives
     the general patient and the original question; a blank core gives the original question."""
-    t = F.trim(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
-    fenced = F.trim(F.regexp_replace(F.get(F.split(t, "```", -1), F.lit(1)), "^json", ""))
-    v = F.try_parse_json(F.when(t.contains("```"), fenced).otherwise(t))
-    field = lambda name: F.trim(F.coalesce(F.when(kind(v) == "OBJECT", F.try_variant_get(v, f"$.{name}", "string")), F.lit("")))
-    p, core = field("PATIENT_PROFILE"), field("QUESTION_CORE")
-    ok = (p != "") & ~F.lower(p).contains("general patient")
-    return F.when(ok, p).otherwise("general patient"), F.when(ok & (core != ""), core).otherwise(original)
+    def read(t):
+        fenced = F.trim(F.regexp_replace(F.get(F.split(t, "```", -1), F.lit(1)), "^json", ""))
+        return one_json(F.when(t.contains("```"), fenced).otherwise(t))
+
+    def found(v):
+        field = lambda name: strip(F.coalesce(F.when(kind(v) == "OBJECT", F.try_variant_get(v, f"$.{name}", "string")), F.lit("")))
+        return F.struct(field("PATIENT_PROFILE").alias("p"), field("QUESTION_CORE").alias("core"))
+
+    def chosen(f):
+        ok = (f["p"] != "") & ~F.lower(f["p"]).contains("general patient")
+        return F.struct(F.when(ok, f["p"]).otherwise("general patient").alias("p"), F.when(ok & (f["core"] != ""), f["core"]).otherwise(original).alias("core"))
+
+    got = let(let(let(strip(c), read), found), chosen)
+    return got["p"], got["core"]
 
 
 def parsed_nested(v: Column) -> Column:

@@ -101,82 +101,93 @@ def final_questions(spark, sf_dir):
 
 
 S1 = '{"is_relevant": true, "target_population": "Adult", "category": "Post-op & Pain", "reason": "r"}'
-S2 = '{"rules":[{"condition_base":"c","action":"a","triggers":[{"criterion":"x"}],"source_fragment":"s","notes":null}]}'
-S3 = '{"question_type":"Diagnosis","target_population":"Adult","category":"c","patient_profile":"p","scenario":"s","question":"q","options":{"A":"1","b":"2","c":"3","d":"4"},"correct_answer":"B","explanation":"e","difficulty":"Easy"}'
-#: Model replies by stage, and the fault that each has, written down by hand.
-REPLIES = {
-    "stage1": [
-        (S1, None),
-        (S1.replace('"Post-op & Pain"', "null"), "category is missing"),
-        (S1.replace("true", "false").replace('"Post-op & Pain"', "null"), None),
-        (S1.replace("Post-op", "X"), "unknown category"),
-        (S1.replace(', "reason": "r"', ""), "reason is missing"),
-        (S1.replace('"r"', "3"), "reason is no text"),
-        (S1.replace("true", '"true"'), "is_relevant is no boolean"),
-        (S1.replace("Adult", "adult"), "unknown target_population"),
-        ("[1]", "no JSON object"),
-        ("words", "no JSON object"),
-    ],
-    "stage2": [
-        (S2, None),
-        ('{"rules":[]}', None),
-        ('{"rules":{}}', "rules is no list"),
-        ("{}", "rules is no list"),
-        (S2.replace('"x"', '" "'), "a trigger has no criterion"),
-        (S2.replace('[{"criterion":"x"}]', "[]"), "a rule has no trigger"),
-        (S2.replace('"s"', '"  "'), "source_fragment is blank"),
-        (S2.replace(":null", ":3"), "notes is no text"),
-        (S2.replace(',"notes":null', ""), "notes is missing"),
-        ('{"rules":[1]}', "a rule is no object"),
-    ],
-    "stage3": [
-        (S3, None),
-        (f"[{S3}, {S3}]", None),
-        ("[]", "no question"),
-        (S3.replace("Diagnosis", "Other"), "unknown question_type"),
-        (S3.replace("Adult", "General"), "population differs from its group"),
-        (S3.replace('"c",', '"d",', 1), "category differs from its group"),
-        (S3.replace("Easy", "easy"), "unknown difficulty"),
-        (S3.replace('"4"', "4"), "options are not a-d"),
-        (S3.replace('"B"', '"e"'), "answer is not a-d"),
-        (S3.replace('"q"', '""'), "question is blank"),
-        (S3.replace(',"explanation":"e"', ""), "explanation is missing"),
-    ],
-}
-#: Profile replies, with profile and core (null: the question) written down by hand.
-PROFILES = [
-    ('{"PATIENT_PROFILE": "a child", "QUESTION_CORE": "why"}', "a child", "why"),
-    ('```json\n{"PATIENT_PROFILE": "a man", "QUESTION_CORE": ""}\n```', "a man", None),
-    ('{"PATIENT_PROFILE": "General patient, adult", "QUESTION_CORE": "x"}', "general patient", None),
-    ('{"patient_profile": "a child", "question_core": "x"}', "general patient", None),
-    ("no JSON", "general patient", None),
-    ('["x"]', "general patient", None),
-]
-#: Memberships in text, as they are read.
-MEMBERS = [("a|b", "a,b"), ("['x', 'y']", "x,y"), ('["p","q","p"]', "p,q"), ("one", "one"), (" ", ""), ("nan", ""), ("a || a|c ", "a,c"), ("('t', 'u')", "t,u")]
+def _sentences():
+    return F.filter(F.split(F.coalesce("text", F.lit("")), r"\.", -1), lambda x: F.length(x) > 0)
+
+
+def _case(n, *replies):
+    """One of these by the rest of the id."""
+    out = replies[-1]
+    for i, r in reversed(list(enumerate(replies[:-1]))):
+        out = F.when(F.col("doc_id") % n == i, r).otherwise(out)
+    return out
 
 
-def _reply(cases):
-    """The reply of a row, by its number."""
-    return F.get(F.array(*[F.lit(c[0]) for c in cases]), F.pmod("event_id", F.lit(len(cases))).cast("int"))
+def _json(*fields):
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
 def response_faults(spark, sf_dir):
-    """Replies of all three stages and what is wrong with them."""
-    e = read(spark, sf_dir, "events").select("event_id")
-    v = {k: J.parsed(_reply(c)) for k, c in REPLIES.items()}
-    return e.select("event_id", J.stage1_error(v["stage1"]).alias("stage1"), J.stage2_error(v["stage2"]).alias("stage2"), J.stage3_error(v["stage3"], F.lit("Adult"), F.lit("c")).alias("stage3"))
+    """Replies of all three stages made of the documents' own texts, with a fault or none by their ids, and what is found."""
+    d = read(spark, sf_dir, "documents")
+    null, adult, place = F.lit(None).cast("string"), F.lit("Adult").alias("target_population"), F.lit(J.CATEGORIES[0]).alias("category")
+    relevant, reason = (F.col("doc_id") % 2 == 0).alias("is_relevant"), F.col("text").alias("reason")
+    good = _json(relevant, adult, place, reason)
+    stage1 = _case(
+        7,
+        good,
+        _json(relevant, adult, place),
+        _json(relevant.cast("string").alias("is_relevant"), adult, place, reason),
+        _json(relevant, F.lower("lang").alias("target_population"), place, reason),
+        _json(relevant, adult, null.alias("category"), reason),
+        F.concat(F.lit("Here it is: "), good, F.lit(" done")),
+        F.substring(good, F.lit(1), F.length(good) - 1),
+    )
+    n = F.size(_sentences())
+    trigger = F.array(F.struct(F.col("lang").alias("criterion")))
+
+    def rules(triggers, fragment):
+        one = lambda x, i: F.struct(F.concat(F.lit("if "), x).alias("condition_base"), F.lit("act").alias("action"), triggers(i).alias("triggers"), fragment(x, i).alias("source_fragment"), null.alias("notes"))
+        return _json(F.transform(_sentences(), one).alias("rules"))
+
+    whole = lambda x, i: F.concat(F.lit("f "), x)
+    stage2 = _case(
+        5,
+        rules(lambda i: trigger, whole),
+        F.lit('{"rules": {}}'),
+        rules(lambda i: trigger, lambda x, i: F.when(i == n - 1, " \n").otherwise(whole(x, i))),
+        rules(lambda i: F.when(i == 0, F.array().cast("array<struct<criterion:string>>")).otherwise(trigger), whole),
+        _json(F.transform(_sentences(), lambda x, i: i).alias("rules")),
+    )
+
+    def question(options=("a", "B", "c", "d"), difficulty="Easy", answer="b", text=None):
+        texts = F.struct(*[F.concat(F.lit(f"{x} of "), F.col("text")).alias(x) for x in options])
+        fixed = {"question_type": "Diagnosis", "patient_profile": "p", "scenario": "s", "explanation": "e", "difficulty": difficulty, "correct_answer": answer}
+        asked = F.concat(F.lit("? "), F.col("text")) if text is None else F.lit(text)
+        return F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], adult, place, asked.alias("question"), texts.alias("options")))
+
+    both = lambda **how: F.concat(F.lit("["), question(), F.lit(", "), question(**how), F.lit("]"))
+    stage3 = _case(6, both(), question(), both(options=("a", "b", "c")), both(difficulty="easy"), both(answer="e"), both(text=" "))
+    v = d.select("doc_id", *[J.parsed(c).alias(k) for k, c in (("v1", stage1), ("v2", stage2), ("v3", stage3))])
+    return v.select("doc_id", J.stage1_error(F.col("v1")).alias("stage1"), J.stage2_error(F.col("v2")).alias("stage2"), J.stage3_error(F.col("v3"), F.lit("Adult"), F.lit(J.CATEGORIES[0])).alias("stage3"))
 
 
 def profiles(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("question "), F.col("event_id").cast("string")).alias("q"))
-    p, core = J.profile(_reply(PROFILES), F.col("q"))
-    return e.select("event_id", p.alias("profile"), core.alias("core"))
+    """Replies that name a document's first sentence as the profile and the rest as the core, in several ways."""
+    d = read(spark, sf_dir, "documents")
+    first, rest = F.substring_index("text", ".", 1), F.expr("substring(text, instr(text, '.') + 1)")
+    named = lambda p, c: _json(p.alias("PATIENT_PROFILE"), c.alias("QUESTION_CORE"))
+    reply = _case(
+        6,
+        named(first, rest),
+        F.concat(F.lit("```json\n"), named(first, F.lit("")), F.lit("\n```")),
+        named(F.concat(F.lit("General Patient, "), first), rest),
+        _json(first.alias("patient_profile"), rest.alias("question_core")),
+        F.concat(F.lit("none: "), F.col("text")),
+        F.to_json(F.array(first)),
+    )
+    p, core = J.profile(reply, F.col("text"))
+    return d.select("doc_id", F.md5(p.cast("binary")).alias("profile_md5"), F.md5(core.cast("binary")).alias("core_md5"))
 
 
 def memberships(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id")
-    return e.select("event_id", F.array_join(J.membership(_reply(MEMBERS)), ",").alias("members"))
+    """Sources and languages of documents as names with bars, lists of Python and of JSON, one name, and none."""
+    names = F.array(F.col("source"), F.concat("lang", F.lit("'s")), F.concat(F.lit(" "), F.col("source"), F.lit(" ")))
+    quoted = lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    listed = F.array_join(F.transform(names, quoted), ", ")
+    said = _case(6, F.array_join(names, "|"), F.concat(F.lit("["), listed, F.lit("]")), F.to_json(names), F.concat(F.lit("("), listed, F.lit(",)")), F.col("source"), F.lit(" nan "))
+    d = read(spark, sf_dir, "documents").select("doc_id", said.alias("t"))
+    return d.select("doc_id", F.array_join(J.membership(F.col("t")), ",").alias("members"))
 
 
 def rebalance(spark, sf_dir):
@@ -235,14 +246,10 @@ _GR = f"""SELECT *, 'guideline_page_' || lpad((row_number() OVER (ORDER BY page)
   SELECT guideline, page, count(*) AS n_rules, page % 7 = 0 AND count(*) >= 3 AS mixed, sum(k)::BIGINT AS sum_numbers FROM ({_RU}) GROUP BY guideline, page)"""
 
 
-def _listed(values) -> str:
-    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-def _picked(values) -> str:
-    return f"{_listed(values)}[event_id % {len(values)} + 1]"
-
-
+_N = "len(list_filter(string_split(coalesce(text, ''), '.'), lambda x: length(x) > 0))"
+_EDGES = r"regexp_replace(regexp_replace({}, '^[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+', ''), '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+$', '')"
+_P, _C = _EDGES.format("split_part(text, '.', 1)"), _EDGES.format("substring(text, instr(text, '.') + 1)")
+_NAMED = f"doc_id % 6 < 2 AND {_P} <> '' AND NOT contains(lower({_P}), 'general patient')"
 _B = "SELECT item_id, ['Adult','Pediatric','General'][item_id % 3 + 1] AS population, text AS profile FROM benchmark"
 _POOL = f"SELECT population AS g, profile AS p FROM (SELECT DISTINCT population, profile FROM ({_B}) WHERE population <> 'General' AND profile <> 'general patient') QUALIFY row_number() OVER (PARTITION BY population ORDER BY md5('42:' || profile), profile) <= 120"
 _DRAW = "coalesce((SELECT arg_min(p, md5('42:' || item_id || ':' || p)) FROM pool WHERE {}), b.profile)"
@@ -272,9 +279,11 @@ ORACLES = {
     "explode_rules": f"""SELECT guideline, page, k AS rule_number_on_page, 'act ' || length(c) AS action, '[{{"criterion":"over 5"}}]' AS triggers, NULL::VARCHAR AS notes, md5(c) AS condition_md5 FROM ({_RU})""",
     "stage3_groups": f"SELECT key, guideline, page, n_rules, mixed, sum_numbers FROM ({_GR})",
     "final_questions": f"SELECT key, page, n AS question_number, 'question ' || (n + 1) || ' of ' || key AS question, 'b' AS correct_answer, 'option B of ' || page AS answer, 'Easy' AS difficulty, 'Adult' AS target_population FROM (SELECT *, unnest(generate_series(0, 1 - page % 2)) AS n FROM ({_GR}) WHERE NOT mixed AND page % 5 <> 0)",
-    "response_faults": f"SELECT event_id, {', '.join(f'{_picked([x[1] for x in c])} AS {k}' for k, c in REPLIES.items())} FROM events",
-    "profiles": f"SELECT event_id, {_picked([x[1] for x in PROFILES])} AS profile, coalesce({_picked([x[2] for x in PROFILES])}, 'question ' || event_id) AS core FROM events",
-    "memberships": f"SELECT event_id, {_picked([x[1] for x in MEMBERS])} AS members FROM events",
+    "response_faults": f"""SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'reason is missing' WHEN 2 THEN 'is_relevant is no boolean' WHEN 3 THEN 'unknown target_population' WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN 'category is missing' END WHEN 6 THEN 'no JSON object' END AS stage1,
+      CASE WHEN doc_id % 5 = 1 THEN 'rules is no list' WHEN doc_id % 5 = 0 OR {_N} = 0 THEN NULL ELSE ['source_fragment is blank', 'a rule has no trigger', 'a rule is no object'][doc_id % 5 - 1] END AS stage2,
+      CASE WHEN doc_id % 6 > 1 THEN ['options are not a-d', 'unknown difficulty', 'answer is not a-d', 'question is blank'][doc_id % 6 - 1] END AS stage3 FROM documents""",
+    "profiles": f"SELECT doc_id, md5(CASE WHEN {_NAMED} THEN {_P} ELSE 'general patient' END) AS profile_md5, md5(CASE WHEN {_NAMED} AND doc_id % 6 = 0 AND {_C} <> '' THEN {_C} ELSE text END) AS core_md5 FROM documents",
+    "memberships": "SELECT doc_id, CASE WHEN doc_id % 6 < 4 THEN source || ',' || lang || chr(39) || 's' WHEN doc_id % 6 = 4 THEN source ELSE '' END AS members FROM documents",
     "answer_counts": "WITH t AS (SELECT count(*) AS t FROM documents) SELECT 'old_label' AS \"column\", l AS label, (SELECT count(*) FROM documents WHERE ['a', 'b', 'c'][doc_id % 3 + 1] = l) AS count FROM (SELECT unnest(['a', 'b', 'c', 'd']) AS l) UNION ALL SELECT 'correct_label', ['a', 'b', 'c', 'd'][i + 1], t // 4 + CASE WHEN i < t % 4 THEN 1 ELSE 0 END FROM t, (SELECT unnest([0, 1, 2, 3]) AS i)",
     "rebalance": "WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS p, count(*) OVER () AS t FROM documents) SELECT doc_id, CASE WHEN p < t // 4 + least(t % 4, 1) THEN 'a' WHEN p < 2 * (t // 4) + least(t % 4, 2) THEN 'b' WHEN p < 3 * (t // 4) + least(t % 4, 3) THEN 'c' ELSE 'd' END AS correct_label FROM o",
     "rebalanced_options": """WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS p, count(*) OVER () AS t, ['a', 'b', 'c'][doc_id % 3 + 1] AS old FROM documents),

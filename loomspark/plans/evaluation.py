@@ -28,10 +28,12 @@ PHRASES = (
 
 
 def _answers(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id")
+    """Each document's text as an explanation, with an answer behind it in one of many ways."""
+    d = read(spark, sf_dir, "documents")
+    phrase = F.get(F.array(*[F.lit(p) for p, _ in PHRASES]), (F.col("doc_id") % len(PHRASES)).cast("int"))
     return d.select(
         "doc_id",
-        F.get(F.array(*[F.lit(p) for p, _ in PHRASES]), (F.col("doc_id") % len(PHRASES)).cast("int")).alias("answer"),
+        F.concat_ws(" ", "text", phrase).alias("answer"),
         F.expr("array('a', 'b', 'c', 'd')[doc_id % 4]").alias("correct"),
         F.expr("array('Adult', 'Pediatric', 'General')[doc_id % 3]").alias("population"),
     )
@@ -183,8 +185,10 @@ def extractions(spark, sf_dir):
     return M.with_extractions(q, x, "position").select("item_id", "position", "extracted_patient_profile", "extracted_question_core")
 
 
-_LETTERS = "[" + ", ".join("NULL" if x is None else f"'{x}'" for _, x in PHRASES) + "]"
-_ANS = f"SELECT doc_id, {_LETTERS}[doc_id % {len(PHRASES)} + 1] AS p, ['a','b','c','d'][doc_id % 4 + 1] AS correct, ['Adult','Pediatric','General'][doc_id % 3 + 1] AS population FROM documents"
+_SAID = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p, _ in PHRASES) + f"][doc_id % {len(PHRASES)} + 1]"
+_LAST = "list_last(regexp_extract_all(answer, '{}', 1))"
+_ANS = f"""SELECT doc_id, lower(coalesce({_LAST.format(X.ANSWER)}, {_LAST.format(X.BARE)})) AS p, ['a','b','c','d'][doc_id % 4 + 1] AS correct,
+  ['Adult','Pediatric','General'][doc_id % 3 + 1] AS population FROM (SELECT doc_id, concat_ws(' ', text, {_SAID}) AS answer FROM documents)"""
 _RAT = "SELECT doc_id, 1 + doc_id % 5 AS r1, 1 + (doc_id + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) % 5 AS r2 FROM documents"
 
 

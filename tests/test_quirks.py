@@ -22,6 +22,13 @@ def test_answers(spark, text, letter):
     assert one(spark, X.parse_answer(F.col("t")), t=text) == letter
 
 
+def test_phrases(spark):
+    from loomspark.plans.evaluation import PHRASES
+
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(PHRASES)], "i int, p string")
+    assert [r.v for r in df.orderBy("i").select(X.parse_answer(F.col("p")).alias("v")).collect()] == [x for _, x in PHRASES]
+
+
 @pytest.mark.parametrize("n", [0, 1, 384, 385, 704, 705])
 def test_windows(spark, n):
     text = " ".join(f"w{i}" for i in range(n))
