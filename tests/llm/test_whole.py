@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -317,3 +319,57 @@ def test_word_hashes_follow_words():
     assert len(passages.word_hashes(None)) == len(passages.word_hashes(" \n")) == 0
     words = [f"w{i}" for i in range(5000)] + ["ab", "ba", "a", "b", "aa"]
     assert len(set(passages.word_hashes(" ".join(words)).tolist())) == len(words) and passages.word_hashes("x " * 9 + "w7")[-1] == passages.word_hashes("w7")[0]
+
+
+def test_no_link_hides_another(spark):
+    """A longer passage shared with one document leaves a shorter one inside it, shared with another, as it is."""
+    rng = np.random.default_rng(8)
+    x = [f"x{i}" for i in range(100)]
+    changed = lambda words, step, start, mark: [w if i % step != start else f"{mark}{i}" for i, w in enumerate(words)]
+    noise = lambda n: [f"n{k}" for k in rng.integers(0, 10**9, n)]
+    # the words that one changes are those that the other keeps: they share no seed
+    a = changed(x, 20, 9, "a")
+    b = ["b" if i % 20 < 3 else w for i, w in enumerate(x[15:85])]
+    texts = {1: noise(30) + a + noise(20), 2: noise(10) + b + noise(40), 3: noise(25) + x + noise(25)}
+    got = passages.passages(spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")).collect()
+    links = {(r.doc_id, r.ref_doc_id): r for r in got}
+    assert {(3, 1), (3, 2)} <= set(links)
+    assert links[3, 1].end_word - links[3, 1].start_word >= 95 and 55 <= links[3, 2].end_word - links[3, 2].start_word <= 75
+    assert all(r.identity >= passages.MIN_IDENTITY for r in got)
+
+
+def test_links_of_documents_against_brute_force(spark):
+    """Nearly all documents that share a passage with an earlier one are linked with one that shares it."""
+    rng = np.random.default_rng(9)
+    noise = lambda n: [f"n{k}" for k in rng.integers(0, 10**9, n)]
+    sources = [[f"s{n}_{i}" for i in range(120)] for n in range(6)]
+    texts, holds = [], []
+    for _ in range(70):
+        of = sorted(rng.choice(6, size=rng.integers(0, 4), replace=False).tolist())
+        words = noise(int(rng.integers(10, 80)))
+        for n in of:
+            start = int(rng.integers(0, 40))
+            part = [w if rng.random() > 0.04 else f"e{rng.integers(10**9)}" for w in sources[n][start : start + 80]]
+            words += part + noise(int(rng.integers(10, 60)))
+        texts.append(" ".join(words))
+        holds.append(set(of))
+    got = passages.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.ref_doc_id) for r in got}
+    assert all(holds[a] & holds[b] for a, b in found)
+    # for each source, the documents that hold it are one component of the links
+    joined = total = 0
+    for n in range(6):
+        have = [d for d in range(70) if n in holds[d]]
+        up = {d: d for d in have}
+
+        def root(d):
+            while up[d] != d:
+                d = up[d]
+            return d
+
+        for r in got:
+            if r.doc_id in up and r.ref_doc_id in up:
+                up[root(r.doc_id)] = root(r.ref_doc_id)
+        largest = Counter(root(d) for d in have).most_common(1)[0][1]
+        joined, total = joined + largest, total + len(have)
+    assert joined >= 0.95 * total
