@@ -147,7 +147,7 @@ def blocked_nodes(pages: DataFrame, rules=RULES, redirects: DataFrame | None = N
     edges = cut(said.select(node(F.col("from_url")).alias("a"), node(F.col("to_url")).alias("b")).where("a <> b").distinct()) if said is not None else None
     if edges is None or edges.isEmpty():
         return cut(marks.where(only).select("node"))
-    member = cut(components(edges))
+    member = cut(components(edges, local=False))
     marks = marks.join(member.withColumnRenamed("id", "node"), "node", "left")
     alone = marks.where(F.col("component").isNull() & only).select("node")
     classes = marks.where("component is not null").groupBy("component").agg(F.max("blocks").alias("blocks"), F.max("allows").alias("allows")).where(only).select("component")

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loomspark.llm import collocations, infilling, queries, urls
+from loomspark.llm import collocations, infilling, neardup, queries, urls
 
 SF = "/root/testdata/sf0.001"
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -232,3 +232,14 @@ def test_links_are_resolved(spark):
     cases = {"/c": "https://h.net/c", "c": "https://h.net/a/c", "//i.net/c": "https://i.net/c", "http://z/": "http://z/", "#top": None, "mailto:a@b": None, "": None, "?p=1": "https://h.net/a/?p=1"}
     df = spark.createDataFrame([(u, k) for k in cases], "u string, k string")
     assert {r.k: r.t for r in df.select("k", urls.resolved(df.k, df.u).alias("t")).collect()} == cases
+
+
+def test_components_in_one_task_and_by_stars(spark, monkeypatch):
+    rng = random.Random(7)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (7, 3), (7, 3)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    found = lambda **how: {r.id: r.component for r in neardup.components(edges, **how).collect()}
+    one = found()
+    assert one == found(local=False) and one[1059] == 1000
+    monkeypatch.setattr(neardup, "FEW_ROWS", 10)
+    assert found() == one
