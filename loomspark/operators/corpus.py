@@ -101,7 +101,7 @@ def chunk(docs: DataFrame, size: int = 384, overlap: int = 64, text: str = "text
     w = F.filter(token_windows(F.col(text), size, overlap), lambda x: F.trim(x["text"]) != "")
     rows = docs.withColumn("_w", w).withColumn("document_token_count", F.coalesce(F.try_element_at("_w", F.lit(-1))["token_end"], F.lit(0)))
     keep = [c for c in docs.columns if c != text]
-    rows = rows.select(*keep, "document_token_count", F.posexplode("_w").alias("chunk_id", "_c"))
+    rows = rows.select(*keep, "document_token_count", F.posexplode_outer("_w").alias("chunk_id", "_c")).where("chunk_id is not null")
     return rows.select(
         *keep,
         "chunk_id",

@@ -45,7 +45,8 @@ def merged_results(index: DataFrame, results: DataFrame, error: Column) -> DataF
 def explode_rules(pages: DataFrame, response: str = "response") -> DataFrame:
     """A row for each rule of each page's stage 2 response (a variant), numbered on its page from 1; the page's other
     columns stay. Pages without a list of rules have none."""
-    rows = pages.select(*[c for c in pages.columns if c != response], F.posexplode(J.rules_of(F.col(response))).alias("_n", "_r"))
+    # an inner explode would read the rules twice, once to filter pages without any
+    rows = pages.select(*[c for c in pages.columns if c != response], F.posexplode_outer(J.rules_of(F.col(response))).alias("_n", "_r")).where("_n is not null")
     text = lambda name: F.try_variant_get("_r", f"$.{name}", "string")
     triggers = F.to_json(F.try_variant_get("_r", "$.triggers", "variant"))
     return rows.select(
@@ -95,7 +96,7 @@ def final_questions(groups: DataFrame, responses: DataFrame, population: str = "
     both = groups.join(responses.select("key", "response"), "key")
     why = J.stage3_error(F.col("response"), F.col(population), F.col(category))
     checked = F.when(why.isNull(), J.questions_of(F.col("response"))).otherwise(F.raise_error(F.concat("key", F.lit(": "), why)).cast("array<variant>"))
-    rows = both.select(*groups.columns, F.posexplode(checked).alias("question_number", "_q"))
+    rows = both.select(*groups.columns, F.posexplode_outer(checked).alias("question_number", "_q")).where("question_number is not null")
     text = lambda name: F.try_variant_get("_q", f"$.{name}", "string").alias(name)
     fields = ("question_type", "patient_profile", "scenario", "question", "explanation", "difficulty")
     out = rows.select(

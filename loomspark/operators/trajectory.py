@@ -110,8 +110,8 @@ def _documents(staged: DataFrame) -> DataFrame:
         asked.cast("long").alias("requested_k"),
         F.size("documents").cast("long").alias("observed_k"),
         "new",
-        F.posexplode("documents").alias("_n", "d"),
-    )
+        F.posexplode_outer("documents").alias("_n", "d"),  # an inner one would parse them twice
+    ).where("_n is not null")
     d = F.col("d")
     is_object = F.col("new") & (kind(d) == "OBJECT")
     field = lambda name, type_: F.when(is_object, F.try_variant_get("d", f"$.{name}", type_))
@@ -149,8 +149,8 @@ def flatten_results(rows: DataFrame, lookup: DataFrame | None = None, trajectory
     found = _documents(base.select(*keys, name("condition"), name("backend"), _staged(F.when(kind(t) == "OBJECT", t), row)))
     metadata = F.when(kind(F.col("metadata")) == "OBJECT", F.col("metadata"))
     found = found.withColumn("metadata", metadata)
-    own = [members_of(inner(F.col("metadata"), n)) for n in ("source_membership", "source")]
-    found = found.withColumn("_own", F.coalesce(*[F.when(F.size(c) > 0, c) for c in own]))
+    own = F.transform(F.array(*[inner(F.col("metadata"), n) for n in ("source_membership", "source")]), members_of)
+    found = found.withColumn("_own", F.get(F.filter(own, lambda m: F.size(m) > 0), F.lit(0)))
     members = F.coalesce("_own", F.array().cast("array<string>"))
     if lookup is not None:
         found = found.withColumn("_h", F.when(F.col("_own").isNull(), text_hash(F.col("text"))))
