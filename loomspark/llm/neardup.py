@@ -39,6 +39,8 @@ PER_CENT = 75
 FIRST_BANDS, BLOCK, BLOCK_SHINGLES = 3, 1024, 1 << 18
 #: Ids up to which they are broadcast (under 2 MB), and rows of a partition of links.
 FEW_IDS, FEW_ROWS = 200_000, 50_000
+#: Links that one task joins at most: 16 MB of Arrow, and about 100 MB of arrays at its peak.
+FEW_LINKS = 1_000_000
 #: Hubs whose sets are broadcast at most, and bytes of such a set (8 MB together).
 HOT_HUBS, HOT_BYTES = 500, 1 << 14
 _M = U64(0x9E3779B97F4A7C15)
@@ -316,35 +318,38 @@ def counted(df: DataFrame, *more) -> tuple[DataFrame, tuple]:
 
 
 def forest(batches):
-    """(id, component) of every node of a small graph's edges (u, v), by union-find; component is its least node."""
-    import pyarrow as pa
-
-    up: dict = {}
+    """(id, component) of every node of a bounded graph's edges (u, v) of one task; component is its least node.
 
-    def root(x):
-        up.setdefault(x, x)
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    Roots hang on the least root that an edge leads them to, until no edge joins two of them.
+    """
+    import pyarrow as pa
 
-    for u, v in rows(batches, "u", "v"):
-        a, b = root(u), root(v)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    if up:
-        yield pa.RecordBatch.from_arrays([pa.array(list(up)), pa.array([root(x) for x in up])], names=["id", "component"])
+    table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if not table:
+        return
+    ids, at = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+    u, v = np.split(at, 2)
+    up = np.arange(len(ids))
+    while len(u):
+        a, b = up[u], up[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+    for i in range(0, len(ids), FEW_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + FEW_ROWS]), pa.array(ids[up[i : i + FEW_ROWS]])], names=["id", "component"])
 
 
 def components(edges: DataFrame, local: bool = True) -> DataFrame:
     """(id, component) of every node of edges (a, b) by alternating large-star and small-star; component is its least node.
 
-    A turn takes several jobs. Edges that one partition holds anyway (FEW_ROWS, counted) are joined by one task instead, with
-    the same result, if local is set.
+    A turn takes several jobs, each of which costs the driver memory. Edges that one partition holds well (FEW_LINKS, counted)
+    are joined by one task instead, with the same result, if local is set.
     """
     sum_ = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     edges, before = counted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), sum_)
-    if local and 0 < before[0] <= FEW_ROWS:
+    if local and 0 < before[0] <= FEW_LINKS:
         kind = edges.schema["u"].dataType.simpleString()
         return edges.coalesce(1).mapInArrow(forest, f"id {kind}, component {kind}")
     while before[0]:

@@ -243,3 +243,18 @@ def test_components_in_one_task_and_by_stars(spark, monkeypatch):
     assert one == found(local=False) and one[1059] == 1000
     monkeypatch.setattr(neardup, "FEW_ROWS", 10)
     assert found() == one
+
+
+def test_links_of_several_partitions_take_no_turns(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW_ROWS", 10)
+    rng = random.Random(8)
+    pairs = [(i, i + 1) for i in range(200, 260)] + [(rng.randrange(100), 150 + rng.randrange(40)) for _ in range(90)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    spark.sparkContext.setJobGroup("one task", "")
+    try:
+        one = {r.id: r.component for r in neardup.components(edges).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one task")) < 8  # stars: dozens
+    monkeypatch.setattr(neardup, "FEW_LINKS", 0)
+    assert one == {r.id: r.component for r in neardup.components(edges).collect()} and one[260] == 200
