@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from loomspark.functions.binding import let
 from loomspark.functions.jsonops import inner, kind, listed, members_of, membership, one_json, parsed_nested
 from loomspark.functions.text import strip, text_hash
-from loomspark.operators.lineage import small
+from loomspark.operators.lineage import small, written
 from loomspark.sources.io import numbered, read_positioned, tables_in
 
 STAGES = ("initial", "middle", "final")
@@ -153,8 +153,12 @@ def flatten_results(rows: DataFrame, lookup: DataFrame | None = None, trajectory
     found = found.withColumn("_own", F.get(F.filter(own, lambda m: F.size(m) > 0), F.lit(0)))
     members = F.coalesce("_own", F.array().cast("array<string>"))
     if lookup is not None:
-        found = found.withColumn("_h", F.when(F.col("_own").isNull(), text_hash(F.col("text"))))
-        found = found.join(small(lookup.select(F.col("text_hash").alias("_h"), F.col("source_membership").alias("_found"))), "_h", "left")
+        # rows with their own sources look nothing up: each has a key of its own, since equal ones (nulls too) are one task's
+        alone = F.concat_ws(" ", F.lit("own"), F.xxhash64("result_file", "result_row", "stage", "rank").cast("string"))
+        found = found.withColumn("_h", F.when(F.col("_own").isNull(), text_hash(F.col("text"))).otherwise(alone))
+        # written, so that its side of the join is a shuffle as it is, and Spark may divide what a frequent text gives one task
+        known = written(lookup.select(F.col("text_hash").alias("_h"), F.col("source_membership").alias("_found")))
+        found = found.join(small(known), "_h", "left")
         members = F.coalesce("_own", "_found", F.array().cast("array<string>"))
     found = found.withColumn("_m", members)
     return found.select(

@@ -82,3 +82,23 @@ def test_numbers_of_lines_over_splits(spark, tmp_path):
 
     want = [(f, i, x, valid(x)) for f, some in (("a.jsonl", lines), ("b.jsonl", lines[:50])) for i, x in enumerate(some, 1) if x.strip()]
     assert got == want
+
+
+def test_rows_with_their_own_sources_are_dealt_out(spark, tmp_path, monkeypatch):
+    """A lookup too large to broadcast: rows that look nothing up are not all one task's."""
+    monkeypatch.setattr(T, "small", lambda df: df)
+    docs = [{"rank": i, "text": f"t{i}", "metadata": {"source": "s"}} for i in range(200)]
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"id": k, "retrieval_trajectory": {"initial": {"documents": docs}, "final": {"documents": [f"t{k}"]}}}) + "\n" for k in range(20)))
+    look = spark.createDataFrame([("t3", ["x", "y"])], "t string, source_membership array<string>").select(text_hash(F.col("t")).alias("text_hash"), "source_membership")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = T.flatten_results(T.load_results(spark, str(tmp_path)), look).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was[0])
+        spark.conf.set("spark.sql.adaptive.enabled", was[1])
+    parts = [r.part for r in rows if r.stage == "initial"]
+    assert len(parts) == 4000 and max(parts.count(p) for p in set(parts)) < 2000
+    assert {r.source_membership for r in rows if r.stage == "initial"} == {"s"}
+    assert {(r.question_id, r.source_membership) for r in rows if r.stage == "final" and r.source_membership} == {("3", "x|y")}
