@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions.text import bm25_tokens
-from loomspark.operators.lineage import small, written
+from loomspark.operators.lineage import BROADCAST_ROWS, small, written
 
 K1, B = 1.5, 0.75
 #: Postings of all queries together that are added up without looking for bounds first.
 DIRECT_ROWS = 100_000_000
+#: Texts whose words are held counted at a time; queries and rows of a product that a task holds at a time.
+COUNTED, TILE_QUERIES, TILE_ROWS = 256, 256, 4096
 #: First, middle and final query of each condition (fixed values).
 CONDITIONS = {"base_rag": ("full", "full", None), "prof_rag": ("core", "full", "profile"), "q_qp": ("core", "full", None), "q_q": ("core", "core", None)}
 
@@ -155,10 +157,11 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
 
 
 def _best_products(batches, q_ids: list, matrix: np.ndarray, k: int):
-    """Of a task's rows, the k best of each query: by score to six places, then by least id."""
+    """Of a task's rows, the k best of each query: by score to six places, then by least id. Products are made and thinned out
+    in tiles, so that what a task holds depends neither on the queries of a block nor on the rows of a batch."""
     import pyarrow as pa
 
-    held = None  # (ids, scores) by query, k each at most, the best first
+    held: dict = {}  # (ids, scores) of a tile's queries, k each at most, the best first
     for b in batches:
         ids, vectors = b.column(0), b.column(1)
         if not b.num_rows:
@@ -166,25 +169,29 @@ def _best_products(batches, q_ids: list, matrix: np.ndarray, k: int):
         flat = vectors.flatten().to_numpy(zero_copy_only=False)
         if len(flat) != b.num_rows * matrix.shape[1] or np.any(np.diff(vectors.offsets.to_numpy()) != matrix.shape[1]):
             raise ValueError(f"a vector has not {matrix.shape[1]} components")
-        scores = matrix @ flat.reshape(b.num_rows, -1).T
-        at = ids.to_numpy(zero_copy_only=False)
-        names = np.broadcast_to(at, scores.shape)
-        if held is not None:
-            names, scores = np.concatenate([held[0], names], 1), np.concatenate([held[1], scores], 1)
-        if scores.shape[1] > 4 * k:
-            # what is below the k-th score can't be among the k; of what is left ties are told by id
-            shown = np.round(scores, 6)
-            least = np.partition(shown, shown.shape[1] - k, axis=1)[:, shown.shape[1] - k, None]
-            width = int((shown >= least).sum(1).max())
-            order = np.argsort(-shown, axis=1, kind="stable")[:, :width] if width > k else np.argpartition(-shown, k - 1, axis=1)[:, :k]
-            names, scores = np.take_along_axis(names, order, 1), np.take_along_axis(scores, order, 1)
-        order = np.lexsort((names, -np.round(scores, 6)), axis=1)[:, :k]
-        held = np.take_along_axis(names, order, 1), np.take_along_axis(scores, order, 1)
+        flat, at = flat.reshape(b.num_rows, -1), ids.to_numpy(zero_copy_only=False)
+        for r in range(0, b.num_rows, TILE_ROWS):
+            for i in range(0, len(q_ids), TILE_QUERIES):
+                held[i] = _best(held.get(i), at[r : r + TILE_ROWS], matrix[i : i + TILE_QUERIES] @ flat[r : r + TILE_ROWS].T, k)
+    for i, (names, scores) in held.items():
+        n = names.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array([q for q in q_ids[i : i + TILE_QUERIES] for _ in range(n)]), pa.array(names.reshape(-1)), pa.array(scores.reshape(-1))], names=["q_id", "doc_id", "score"])
+
+
+def _best(held, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores): the k best of each query (a row) among those held and new ones, the best first."""
+    names = np.broadcast_to(ids, scores.shape)
     if held is not None:
-        n = held[0].shape[1]
-        for i in range(0, len(q_ids), 256):
-            names, scores = (x[i : i + 256].reshape(-1) for x in held)
-            yield pa.RecordBatch.from_arrays([pa.array([q for q in q_ids[i : i + 256] for _ in range(n)]), pa.array(names), pa.array(scores)], names=["q_id", "doc_id", "score"])
+        names, scores = np.concatenate([held[0], names], 1), np.concatenate([held[1], scores], 1)
+    if scores.shape[1] > 4 * k:
+        # what is below the k-th score can't be among the k; of what is left ties are told by id
+        shown = np.round(scores, 6)
+        least = np.partition(shown, shown.shape[1] - k, axis=1)[:, shown.shape[1] - k, None]
+        width = int((shown >= least).sum(1).max())
+        order = np.argsort(-shown, axis=1, kind="stable")[:, :width] if width > k else np.argpartition(-shown, k - 1, axis=1)[:, :k]
+        names, scores = np.take_along_axis(names, order, 1), np.take_along_axis(scores, order, 1)
+    order = np.lexsort((names, -np.round(scores, 6)), axis=1)[:, :k]
+    return np.take_along_axis(names, order, 1), np.take_along_axis(scores, order, 1)
 
 
 def cascade(docs: DataFrame, questions: DataFrame, k: tuple[int, int, int] = (64, 8, 1), index: Postings | None = None, conditions: dict | None = None) -> DataFrame:

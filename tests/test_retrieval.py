@@ -151,3 +151,21 @@ def test_prompts_within_a_budget(spark):
     for most in (10, 80, 4500):
         same = spark.createDataFrame([(t,) for t in odd], "t array<string>").select(format_context(F.col("t"), most).alias("c")).collect()
         assert [r.c for r in same] == [prompts.laid_out(t, most) for t in odd]
+
+
+def test_products_of_a_block_are_held_in_tiles():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(10_000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * 8, pa.array(v.reshape(-1)))], names=["doc_id", "vec"])
+    tracemalloc.start()
+    got = [r for b in R._best_products([batch], list(range(4096)), v[:4096], 3) for r in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6  # all products of the block: 328 MB, several times over
+    for q in (0, 255, 256, 4095):
+        want = sorted((-round(float(s), 6), i) for i, s in enumerate(v @ v[q]))[:3]
+        assert [(r["doc_id"], round(r["score"], 6)) for r in got if r["q_id"] == q] == [(i, -s) for s, i in want]
