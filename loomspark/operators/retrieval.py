@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -28,12 +30,49 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str, *more: str) -> D
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, len, term, tf); only of the given terms, if any, which are looked up before the shuffle."""
-    t = bm25_tokens(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("tokens")).select("doc_id", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        rows = rows.join(small(terms.select("term").distinct()), "term", "left_semi")
-    return rows.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, len, term, tf); only of the given terms, if any, which are looked up where a text is read."""
+    return _counted(docs, terms, text_col, id_col).where("term is not null")
+
+
+def _counted(docs: DataFrame, terms: DataFrame | None, text_col: str, id_col: str) -> DataFrame:
+    """postings, and a row without a term for some documents each: len their words, tf their number.
+
+    A text's words are counted by the task that reads it, so they are not shuffled; only rows that repeat an id are added up
+    afterwards.
+    """
+    ids = docs.select(F.col(id_col).alias("doc_id"))
+    kind, spark = ids.schema["doc_id"].dataType.simpleString(), docs.sparkSession
+    n, n_ids, n_null = ids.agg(F.count("*"), F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    names = None if terms is None else [r.term for r in terms.select("term").distinct().limit(BROADCAST_ROWS + 1).collect()]
+    asked = None if names is None or len(names) > BROADCAST_ROWS else spark.sparkContext.broadcast(frozenset(names))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
+    rows = texts.mapInArrow(lambda batches: _word_counts(batches, asked.value if asked else None), f"doc_id {kind}, len long, term string, tf long")
+    if names is not None and asked is None:
+        rows = rows.where("term is null").unionByName(rows.join(terms.select("term").distinct(), "term", "left_semi").select(*rows.columns))
+    if n_ids < n - n_null or n_null > 1:
+        rows = rows.groupBy("doc_id", "len", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("n")).select("doc_id", F.when(F.col("term").isNull(), F.col("len") * F.col("n")).otherwise(F.col("len")).alias("len"), "term", "tf")
+    return rows
+
+
+def _word_counts(batches, asked: frozenset | None):
+    """_counted's rows of Arrow batches (doc_id, text), whose texts are lower-case."""
+    import pyarrow as pa
+
+    found = re.compile("[a-z0-9]+").findall
+    for whole in batches:
+        for b in (whole.slice(i, COUNTED) for i in range(0, whole.num_rows, COUNTED)):
+            of, lens, words, times, total = [], [], [], [], 0
+            for i, t in enumerate(b.column(1).to_pylist()):
+                tokens = found(t)
+                total += len(tokens)
+                got = Counter(tokens)
+                some = got.keys() if asked is None else got.keys() & asked
+                of += [i] * len(some)
+                lens += [len(tokens)] * len(some)
+                words += some
+                times += [got[w] for w in some]
+            ids = b.column(0).take(pa.array([*of, None], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([*lens, total], pa.int64()), pa.array([*words, None], pa.string()), pa.array([*times, b.num_rows], pa.int64())], names=["doc_id", "len", "term", "tf"])
 
 
 def collection(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -66,9 +105,10 @@ def term_stats(rows: DataFrame, n_docs: int, avg_len: float) -> DataFrame:
 
 def gathered(docs: DataFrame, terms: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Postings:
     """Postings of these terms only, read from the texts once and written."""
-    rows = written(postings(docs, terms, text_col, id_col))
-    n, avg = collection(docs, text_col).first()  # one row
-    return Postings(rows, written(term_stats(rows, n, avg or 0.0)), n, avg or 0.0)
+    counted = written(_counted(docs, terms, text_col, id_col))
+    n, words = counted.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum("len"), F.lit(0))).first()  # one row
+    rows, avg = counted.where("term is not null"), words / n if n else 0.0
+    return Postings(rows, written(term_stats(rows, n, avg)), n, avg)
 
 
 def _added(rows: DataFrame, terms: DataFrame, avg: float, *keys: str) -> DataFrame:

@@ -169,3 +169,23 @@ def test_products_of_a_block_are_held_in_tiles():
     for q in (0, 255, 256, 4095):
         want = sorted((-round(float(s), 6), i) for i, s in enumerate(v @ v[q]))[:3]
         assert [(r["doc_id"], round(r["score"], 6)) for r in got if r["q_id"] == q] == [(i, -s) for s, i in want]
+
+
+def test_words_are_counted_where_a_text_is_read(spark):
+    texts = ["A b a, B!", None, "c C1 c", "", "a " * 700 + "É1 K z"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    terms = spark.createDataFrame([("a",), ("c",), ("1",)], "term string")
+    plan = R.postings(docs, terms)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    found = lambda df: sorted((r.doc_id, r.len, r.term, r.tf) for r in df.collect())
+    assert found(R.postings(docs, terms)) == [(0, 4, "a", 2), (2, 3, "c", 2), (4, 703, "1", 1), (4, 703, "a", 700)]
+    p = R.gathered(docs, terms)
+    assert (p.n_docs, p.avg_len) == tuple(R.collection(docs).first())
+    # rows that repeat an id are one document's postings, as before
+    more = docs.unionByName(docs.where("doc_id = 0")).unionByName(spark.createDataFrame([(None, "a"), (None, "a c")], "doc_id long, text string"))
+    same = more.select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+")).alias("term"), F.size(R.bm25_tokens(F.col("text"))).cast("long").alias("len"))
+    want = same.where("term in ('a', 'c', '1')").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    key = lambda rows_: sorted(rows_, key=str)
+    assert key(tuple(r) for r in R.postings(more, terms).select("doc_id", "len", "term", "tf").collect()) == key(tuple(r) for r in want.select("doc_id", "len", "term", "tf").collect())
+    p = R.gathered(more, terms)
+    assert (p.n_docs, p.avg_len) == tuple(R.collection(more).first())
