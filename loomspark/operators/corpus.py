@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -150,9 +153,24 @@ def combined_chunks(docs: DataFrame, order: list[str], cut=chunk, keep_duplicate
     return chunks.join(members, "text_key", "left").drop("text_key")
 
 
-def chunk_by_tokenizer(docs: DataFrame, file: str, size: int = 384, overlap: int = 64, text: str = "text") -> DataFrame:
+@functools.cache
+def _ranked(file: str):
+    """A byte-level BPE vocabulary's rank file as an encoding, one for each worker process."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(file, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding(file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def chunk_by_tokenizer(docs: DataFrame, file: str, size: int = 384, overlap: int = 64, text: str = "text", ranks: str | None = None) -> DataFrame:
     """A row for each window of a tokenizer's ids (a JSON file that executors can read), decoded and stripped; a text of one
-    window stays as it is; blank windows go before they are numbered. Nothing is shuffled."""
+    window stays as it is; blank windows go before they are numbered. Nothing is shuffled.
+
+    ranks is a rank file of the same vocabulary, if there is one: it gives the same ids sooner. Texts that hold an added token
+    are left to the tokenizer.
+    """
     from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
     if not 0 <= overlap < size:
@@ -161,8 +179,11 @@ def chunk_by_tokenizer(docs: DataFrame, file: str, size: int = 384, overlap: int
     numbers = ("chunk_id", "token_start", "token_end", "token_count", "document_token_count")
     schema = StructType([*kept, *(StructField(n, IntegerType()) for n in numbers), StructField(text, StringType())])
 
-    def windows(tok, t):
-        ids = tok.encode(t or "", add_special_tokens=False).ids
+    def windows(tok, added, t):
+        if ranks and not any(a in (t or "") for a in added):
+            ids = _ranked(ranks).encode_ordinary(t or "")
+        else:
+            ids = tok.encode(t or "", add_special_tokens=False).ids
         if len(ids) <= size:
             return [(0, len(ids), t)] * bool(ids), len(ids)
         starts = range(0, len(ids) - overlap, size - overlap)
@@ -175,10 +196,11 @@ def chunk_by_tokenizer(docs: DataFrame, file: str, size: int = 384, overlap: int
         from tokenizers import Tokenizer
 
         tok, arrow = Tokenizer.from_file(file), to_arrow_schema(schema)
+        added = [a.content for a in tok.get_added_tokens_decoder().values()]
         for b in batches:
             of, rows = [], []
             for i, t in enumerate(b.column(b.schema.get_field_index(text)).to_pylist()):
-                got, total = windows(tok, t)
+                got, total = windows(tok, added, t)
                 for n, (start, end, part) in enumerate(x for x in got if x[2]):
                     of.append(i)
                     rows.append((n, start, end, end - start, total, part))

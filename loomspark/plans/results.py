@@ -138,7 +138,8 @@ def chunk_tokens(spark, sf_dir):
     """Chunks of a public tokenizer's ids; no SQL has one, a test holds them against the tokenizer."""
     import public_tokenizers
 
-    c = C.chunk_by_tokenizer(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), str(public_tokenizers.path("byte_bpe_50k.json")))
+    file, ranks = (str(public_tokenizers.path(f"byte_bpe_50k.{kind}")) for kind in ("json", "tiktoken"))
+    c = C.chunk_by_tokenizer(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), file, ranks=ranks)
     return c.select(*[F.col(x).cast("long").alias(x) for x in ("doc_id", "chunk_id", "token_start", "token_end", "token_count", "document_token_count")], "source", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

@@ -247,3 +247,16 @@ def test_results_and_outcomes(spark, tmp_path):
     from loomspark.operators import public_sets
 
     assert [tuple(r) for r in public_sets.by_source(spark.createDataFrame([("b",), ("a",), ("b",)], "source string")).collect()] == [("a", 1), ("b", 2)]
+
+
+def test_chunks_by_a_rank_file_are_the_tokenizers(spark):
+    import random
+
+    import public_tokenizers
+
+    rng = random.Random(5)
+    parts = ["word", " ", "  ", "\n\n", "\t", " ", "　", "it's", "'LL", "12345", "ünï", "漢字", "ไทย", "́", "😀", "\x00", "!!!", "<|endoftext|>", "<|end", "﻿", "²", "a" * 70]
+    texts = [None, "", *("".join(rng.choices(parts, k=rng.randrange(1, 60))) for _ in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda **how: sorted(tuple(r) for r in corpus.chunk_by_tokenizer(docs, public_tokenizers.path("byte_bpe_50k.json"), 20, 5, **how).collect())
+    assert found(ranks=public_tokenizers.path("byte_bpe_50k.tiktoken")) == found()
