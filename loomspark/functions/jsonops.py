@@ -29,9 +29,12 @@ def one_json(c: Column) -> Column:
 
     def read(t):
         # the parser stops behind the first value: a mark must follow, which the text can't name
-        both = F.try_parse_json(F.concat(F.lit("[["), t, F.lit("],"), F.xxhash64(t).cast("string"), F.lit("]")))
-        alone = lambda v: (F.try_variant_get(v, "$[1]", "long") == F.xxhash64(t)) & F.try_variant_get(v, "$[0][1]", "variant").isNull()
-        return let(both, lambda v: F.when(alone(v), F.try_variant_get(v, "$[0][0]", "variant")))
+        def marked(h):
+            both = F.try_parse_json(F.concat(F.lit("[["), t, F.lit("],"), h.cast("string"), F.lit("]")))
+            alone = lambda v: (F.try_variant_get(v, "$[1]", "long") == h) & F.try_variant_get(v, "$[0][1]", "variant").isNull()
+            return let(both, lambda v: F.when(alone(v), F.try_variant_get(v, "$[0][0]", "variant")))
+
+        return let(F.xxhash64(t), marked)
 
     return let(c, read)
 
@@ -115,6 +118,15 @@ def _checked(v: Column, names, otherwise: str, body) -> Column:
     return let(v, lambda x: F.when(F.coalesce(kind(x) != "OBJECT", F.lit(True)), otherwise).otherwise(_fields(x, names, said)))
 
 
+def _typed(v: Column, schema: str, fields: str, body, otherwise) -> Column:
+    """body of an object's fields, taken out at once, if the object's schema is of this pattern and none of them is null;
+    else what otherwise says. The fields of most objects are as they should be, and one by one they cost several times that."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    whole = lambda f: F.when(f.isNotNull() & ~F.coalesce(*[F.when(f[n].isNull(), True) for n in names], F.lit(False)), F.struct(body(f).alias("said")))
+    said = F.when(F.schema_of_variant(v).rlike(f"^{schema}$"), let(F.try_variant_get(v, "$", f"struct<{fields}>"), whole))
+    return let(said, lambda x: F.when(x.isNotNull(), x["said"]).otherwise(otherwise))
+
+
 def _first_error(items: Column, error) -> Column:
     """The first error among a list's items; null for none."""
     return F.get(F.filter(F.transform(items, error), lambda e: e.isNotNull()), F.lit(0))
@@ -156,7 +168,16 @@ def _rule_error(r: Column) -> Column:
         listed_ = lambda t: F.when(F.coalesce(F.size(t), F.lit(0)) <= 0, "a rule has no trigger").otherwise(_first_error(t, trigger_error))
         return F.coalesce(out, let(triggers, listed_), F.when(~f["notes"]["kind"].isin("STRING", "VOID"), "notes is no text"))
 
-    return _checked(r, ("condition_base", "action", "triggers", "source_fragment", "notes"), "a rule is no object", said)
+    def as_they_should_be(f):
+        out = F.lit(None).cast("string")
+        for name in ("condition_base", "action", "source_fragment"):
+            out = F.coalesce(out, F.when(_blank(f[name]), f"{name} is blank"))
+        return F.coalesce(out, F.when(F.exists(f["triggers"], lambda t: _blank(t["criterion"])), "a trigger has no criterion"))
+
+    schema = "OBJECT<action: STRING, condition_base: STRING, notes: (STRING|VOID), source_fragment: STRING, triggers: ARRAY<OBJECT<criterion: STRING>>>"
+    fields = "condition_base string, action string, source_fragment string, triggers array<struct<criterion:string>>"
+    slow = _checked(r, ("condition_base", "action", "triggers", "source_fragment", "notes"), "a rule is no object", said)
+    return _typed(r, schema, fields, as_they_should_be, slow)
 
 
 def stage2_error(v: Column) -> Column:
@@ -210,7 +231,21 @@ def _question_error(q: Column, population: Column, category: Column) -> Column:
         return out.when(~_one_of(F.lower(f["correct_answer"]["as_text"]), ANSWERS), "answer is not a-d")
 
     fields = ("question_type", "target_population", "category", "patient_profile", "scenario", "question", "options", "correct_answer", "explanation", "difficulty")
-    return _checked(q, fields, "a question is no object", said)
+    def as_they_should_be(f):
+        out = F.when(~_one_of(f["question_type"], QUESTION_TYPES), "unknown question_type")
+        out = out.when(~f["target_population"].eqNullSafe(population), "population differs from its group")
+        out = out.when(~f["category"].eqNullSafe(category), "category differs from its group")
+        out = out.when(~_one_of(f["difficulty"], DIFFICULTIES), "unknown difficulty")
+        for name in ("patient_profile", "scenario", "question", "explanation"):
+            out = out.when(_blank(f[name]), f"{name} is blank")
+        out = out.when(normalized_options(f["options"]).isNull(), "options are not a-d")
+        return out.when(~_one_of(F.lower(f["correct_answer"]), ANSWERS), "answer is not a-d")
+
+    text = r"\w+: STRING"
+    kinds = {n: rf"OBJECT<{text}(, {text})*>" if n == "options" else "STRING" for n in fields}
+    schema = "OBJECT<" + ", ".join(f"{n}: {kinds[n]}" for n in sorted(fields)) + ">"
+    typed = ", ".join(f"{n} {'map<string,string>' if n == 'options' else 'string'}" for n in fields)
+    return _typed(q, schema, typed, as_they_should_be, _checked(q, fields, "a question is no object", said))
 
 
 def stage3_error(v: Column, population: Column, category: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import jsonops as J
 from loomspark.functions import text as X
+from loomspark.functions.binding import let
 from loomspark.operators import ablation as B
 from loomspark.operators import prompts as P
 from loomspark.operators import qa_build as Q
@@ -133,7 +134,6 @@ def response_faults(spark, sf_dir):
         F.concat(F.lit("Here it is: "), good, F.lit(" done")),
         F.substring(good, F.lit(1), F.length(good) - 1),
     )
-    n = F.size(_sentences())
     trigger = F.array(F.struct(F.col("lang").alias("criterion")))
 
     def rules(triggers, fragment):
@@ -145,7 +145,7 @@ def response_faults(spark, sf_dir):
         5,
         rules(lambda i: trigger, whole),
         F.lit('{"rules": {}}'),
-        rules(lambda i: trigger, lambda x, i: F.when(i == n - 1, " \n").otherwise(whole(x, i))),
+        let(F.size(_sentences()), lambda n: rules(lambda i: trigger, lambda x, i: F.when(i == n - 1, " \n").otherwise(whole(x, i)))),
         rules(lambda i: F.when(i == 0, F.array().cast("array<struct<criterion:string>>")).otherwise(trigger), whole),
         _json(F.transform(_sentences(), lambda x, i: i).alias("rules")),
     )
