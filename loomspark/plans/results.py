@@ -14,7 +14,7 @@ from loomspark.operators import prompts as P
 from loomspark.operators import qa_build as Q
 from loomspark.operators import stages as S
 from loomspark.operators import trajectory as T
-from loomspark.operators.lineage import scratch
+from loomspark.operators.lineage import scratch, written
 from loomspark.plans import corpus as corpus_plans
 from loomspark.plans import retrieval as retrieval_plans
 from loomspark.plans.retrieval import read
@@ -95,8 +95,9 @@ def batch_results(spark, sf_dir):
     one that comes again, one that is no JSON, a fault, an error of the service, one of an unknown key, or a good one."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     folder = scratch(spark)
-    rows = C.with_position(docs, "doc_id", "position")
-    n = docs.count()
+    # written: requests, results of each batch, both hashes and the merge read it, and each would sort the texts anew
+    rows = written(C.with_position(docs, "doc_id", "position"))
+    n = rows.count()
     key = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
     batch = F.floor(F.col("position") * BATCHES / max(n, 1) + 1).cast("long")
     index = rows.select(key.alias("key"), F.col("position").alias("row_position"), batch.alias("batch"))
